@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import struct
 import tempfile
 import uuid
 import zlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,8 +90,47 @@ def runs_of_texts(rows: list[str], most: int = 2_000_000):
         yield start, len(rows)
 
 
-def word_hashes(words: list[bytes]) -> list[int]:
-    """64-bit hashes of words, with an error if two of a call's words share one."""
+_CODEC = pa.Codec("zstd", compression_level=1)
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays as compressed bytes; ``unpack`` returns them with their types."""
+    parts = []
+    for a in arrays:
+        raw = np.ascontiguousarray(a).tobytes()
+        made = _CODEC.compress(raw, asbytes=True) if raw else b""
+        parts.append(struct.pack("<4sQQ", a.dtype.str[1:].encode(), len(raw), len(made)) + made)
+    return b"".join(parts)
+
+
+def unpack(data: bytes) -> list[np.ndarray]:
+    out, at = [], 0
+    while at < len(data):
+        kind, size, held = struct.unpack_from("<4sQQ", data, at)
+        at += 20
+        raw = _CODEC.decompress(data[at : at + held], size, asbytes=True) if size else b""
+        out.append(np.frombuffer(raw, kind.rstrip(b"\0").decode()))
+        at += held
+    return out
+
+
+MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def mix(h: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit values that spreads every bit."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def hashed_words(texts: list[str], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of the texts, one after another, and the number of words of each text."""
     import xxhash
 
-    return [xxhash.xxh3_64_intdigest(w) for w in words]
+    split = [(t.encode().translate(LOWER_TABLE) if lower else t.encode()).split() for t in texts]
+    size = np.fromiter(map(len, split), np.int64, len(split))
+    words = list(set().union(*split))
+    held = dict(zip(words, map(xxhash.xxh3_64_intdigest, words), strict=True))
+    get = held.__getitem__
+    return np.fromiter((get(w) for s in split for w in s), np.uint64, int(size.sum())), size

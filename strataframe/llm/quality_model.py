@@ -84,8 +84,11 @@ def document_bag(text: str) -> tuple[np.ndarray, np.ndarray]:
     return found, np.bincount(back, np.concatenate(weight))
 
 
-def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, dim: int = 8, epochs: int = 5, rate: float = 40.0, batch: int = 32, seed: int = 7) -> Model:
-    """Softmax regression on averaged vectors, the vectors learned with it, by mini-batch SGD."""
+def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, dim: int = 8, epochs: int = 5, steps: int = 600, rate: float = 40.0, batch: int = 32, seed: int = 7) -> Model:
+    """Softmax regression on averaged vectors, the vectors learned with it, by mini-batch SGD.
+
+    It runs ``epochs`` times over the bags, or as often as it takes to make ``steps`` updates.
+    """
     rng = np.random.default_rng(seed)
     size = 1 << BITS
     if not len(labels) or labels.min() == labels.max():  # one class or none: its share, smoothed
@@ -93,7 +96,9 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, dim: in
         return Model(np.zeros(size, np.float32), float(np.log(share / (1 - share))))
     vectors = rng.uniform(-1 / dim, 1 / dim, (size, dim))
     out, bias = np.zeros((dim, 2)), np.zeros(2)
-    steps, done = epochs * -(-len(bags) // batch), 0
+    per_epoch = -(-len(bags) // batch)
+    epochs = max(epochs, -(-steps // per_epoch))
+    steps, done = epochs * per_epoch, 0
     for _ in range(epochs):
         order = rng.permutation(len(bags))
         for lo in range(0, len(order), batch):

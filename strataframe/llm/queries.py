@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from strataframe.llm.common import table
 from strataframe.llm.exact_dedup import exact_groups
+from strataframe.llm.ngram_join import ngram_components
 from strataframe.llm.packing import pack
 from strataframe.llm.quality_model import quality_scores
 from strataframe.llm.quality_rules import quality_rules
@@ -25,6 +26,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(table(spark, sf_dir, "documents"), words=5, percent=75)
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), limit=1024)
 
@@ -46,6 +51,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op3_token_counts": op3_token_counts,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_quality_classifier": op7_quality_classifier,

@@ -84,7 +84,12 @@ class Shingler:
         return self.docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, slice int, cells binary")
 
     def prefixes(self, cells: np.ndarray, buckets: int) -> DataFrame:
-        """(bucket, payload): documents with their sizes, and the prefix shingles of theirs that fall into the bucket."""
+        """(bucket, payload, groups): prefix shingles that fall into the bucket, and groups whose key does.
+
+        A group is the documents of one prefix and size; of a batch, its smallest document alone
+        has entries: the payload is the documents with their sizes, and each shingle with its
+        document and its place in the prefix. ``groups`` has every document with its group's key.
+        """
         words, percent = self.words, self.percent
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,7 +98,8 @@ class Shingler:
             for batch in batches:
                 ids, rows = batch.column(0).to_pylist(), batch.column(1).to_pylist()
                 seen: dict[bytes, int] = {}
-                doc, size, tokens, places = [], [], [], []
+                group: dict[bytes, int] = {}
+                doc, size, tokens, places, key = [], [], [], [], []
                 for lo, hi in runs_of_texts(rows):
                     for i, s in zip(ids[lo:hi], shingle_sets(rows[lo:hi], words), strict=True):
                         if i is None or not len(s):
@@ -105,28 +111,37 @@ class Shingler:
                         seen[d] = len(doc)
                         doc.append(i)
                         size.append(len(s))
-                        p = prefix_size(len(s), percent)
                         rank = cells[(s >> np.uint64(64 - CELLS)).astype(np.int64)]
-                        order = np.argsort(rank, kind="stable")[:p]  # s is sorted: ties go by hash
+                        order = np.argsort(rank, kind="stable")[: prefix_size(len(s), percent)]  # s is sorted: ties go by hash
+                        key.append(xxhash.xxh3_128_digest(s[order].tobytes(), len(s)))
+                        group.setdefault(key[-1], len(tokens))
                         tokens.append(s[order])
-                        places.append(np.minimum(np.arange(p), 65535).astype(np.uint16))
                 if not doc:
                     continue
                 doc, size = np.array(doc, np.int64), np.array(size, np.int64)
-                token = np.concatenate(tokens)
-                owner = np.repeat(np.arange(len(doc), dtype=np.uint32), [len(t) for t in tokens])
-                place = np.concatenate(places)
-                bucket = (token % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+                key = np.array(np.frombuffer(b"".join(key), np.uint64)).reshape(-1, 2)
+                heads = np.array(sorted(group.values()), np.int64)
+                # The smallest document of a group stands for it.
+                order = np.lexsort((doc, key[:, 1], key[:, 0]))
+                fresh = np.r_[True, (np.diff(key[order, 0]) != 0) | (np.diff(key[order, 1]) != 0)]
+                least = np.zeros(len(doc), np.int64)
+                least[order] = doc[order[fresh]][np.cumsum(fresh) - 1]
+                held = [tokens[i] for i in heads]
+                token = np.concatenate(held)
+                lens = np.array([len(t) for t in held])
+                owner = np.repeat(np.arange(len(heads), dtype=np.int64), lens)
+                place = np.minimum(np.arange(len(token)) - np.repeat(np.cumsum(lens) - lens, lens), 65535).astype(np.uint16)
+                order, cuts = by_bucket((token % np.uint64(buckets)).astype(np.int64), buckets)
+                order2, cuts2 = by_bucket((key[:, 0] % np.uint64(buckets)).astype(np.int64), buckets)
                 for b in range(buckets):
-                    at = order[cuts[b] : cuts[b + 1]]
-                    if len(at):
+                    at, at2 = order[cuts[b] : cuts[b + 1]], order2[cuts2[b] : cuts2[b + 1]]
+                    if len(at) + len(at2):
                         used, slot = np.unique(owner[at], return_inverse=True)
-                        load = pack(doc[used], size[used].astype(np.uint32), token[at], slot.astype(np.uint32), place[at])
-                        yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([load], pa.binary())], ["bucket", "payload"])
+                        load = pack(least[heads[used]], size[heads[used]].astype(np.uint32), token[at], slot.astype(np.uint32), place[at])
+                        whose = pack(doc[at2], key[at2, 0], key[at2, 1])
+                        yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([load], pa.binary()), pa.array([whose], pa.binary())], ["bucket", "payload", "groups"])
 
-        return self.docs.mapInArrow(run, "bucket int, payload binary")
+        return self.docs.mapInArrow(run, "bucket int, payload binary, groups binary")
 
     def sets(self, chosen: DataFrame) -> DataFrame:
         """(doc_id, set) of the chosen doc_ids."""
@@ -141,7 +156,21 @@ class Shingler:
         return self.docs.join(chosen, "doc_id", "left_semi").mapInArrow(run, "doc_id long, set binary")
 
 
-def groups_of_prefixes(payloads: list[bytes]) -> tuple[np.ndarray, ...]:
+def by_bucket(bucket: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(bucket, kind="stable")
+    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+
+
+def group_heads(loads: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Documents, and the smallest document of the group of each."""
+    doc, one, two = (np.concatenate(x) for x in zip(*map(unpack, loads), strict=True))
+    order = np.lexsort((doc, two, one))
+    doc, one, two = doc[order], one[order], two[order]
+    fresh = np.r_[True, (np.diff(one) != 0) | (np.diff(two) != 0)] if len(doc) else np.zeros(0, bool)
+    return doc, doc[fresh][np.cumsum(fresh) - 1]
+
+
+def shared_shingles(payloads: list[bytes]) -> tuple[np.ndarray, ...]:
     """A bucket's shared shingles: their members' documents, sizes and places, and where each shingle's run starts."""
     doc, size, token, owner, place = [], [], [], [], []
     base = 0
@@ -156,7 +185,7 @@ def groups_of_prefixes(payloads: list[bytes]) -> tuple[np.ndarray, ...]:
     doc, size, token, owner, place = (np.concatenate(x) for x in (doc, size, token, owner, place))
     order = np.lexsort((doc[owner], token))
     token, owner, place = token[order], owner[order], place[order]
-    fresh = np.r_[True, token[1:] != token[:-1]]
+    fresh = np.r_[True, token[1:] != token[:-1]][: len(token)]
     run = np.cumsum(fresh) - 1
     many = np.bincount(run)[run] > 1
     starts = np.flatnonzero(fresh[many])
@@ -169,8 +198,8 @@ def may_link(n1: np.ndarray, p1: np.ndarray, n2: np.ndarray, p2: np.ndarray, per
     Of a pair's shared shingles some first one has no other before it; for that one the rest of
     either set bounds the overlap. Places beyond 65,535 are held as that, which only weakens the bound.
     """
-    most = 1 + np.minimum(n1 - p1, n2 - p2) - 1
-    return (100 * most * 1 >= percent * (n1 + n2 - most)) & (100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2))
+    most = np.minimum(n1 - p1, n2 - p2)
+    return (100 * most >= percent * (n1 + n2 - most)) & (100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2))
 
 
 def ngram_links(docs: DataFrame, words: int, percent: int, work: Workspace) -> tuple[DataFrame, DataFrame]:
@@ -200,17 +229,24 @@ def ngram_links(docs: DataFrame, words: int, percent: int, work: Workspace) -> t
     buckets = max(shuffle_parts(spark), int(entries) // BUCKET + 1)
 
     def lists(batch: pa.Table) -> pa.Table:
-        doc, size, place, starts = groups_of_prefixes(batch.column("payload").to_pylist())
-        return pa.table({"bucket": batch.column("bucket")[:1], "payload": [pack(doc, size.astype(np.uint32), place.astype(np.uint16), starts)]})
+        doc, size, place, starts = shared_shingles(batch.column("payload").to_pylist())
+        whose = group_heads(batch.column("groups").to_pylist())
+        return pa.table({"bucket": batch.column("bucket")[:1], "payload": [pack(doc, size.astype(np.uint32), place.astype(np.uint16), starts)], "groups": [pack(*whose)]})
 
-    kept = work.write(shingler.prefixes(cells, buckets).groupBy("bucket").applyInArrow(lists, "bucket int, payload binary"), "lists")
+    kept = work.write(shingler.prefixes(cells, buckets).groupBy("bucket").applyInArrow(lists, "bucket int, payload binary, groups binary"), "lists")
     heads = rows.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("head"))
     head_of = work.write(rows.join(heads, "digest", "left"), "heads")
     same = head_of.where("head is not null").select("doc_id", "head").distinct()
 
-    def to_heads(pairs: DataFrame) -> DataFrame:
-        left = pairs.join(same.withColumnsRenamed({"doc_id": "a", "head": "ha"}), "a")
-        return left.join(same.withColumnsRenamed({"doc_id": "b", "head": "hb"}), "b").where("ha <> hb").select(F.least("ha", "hb").alias("a"), F.greatest("ha", "hb").alias("b")).distinct()
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column("groups").to_pylist():
+                doc, group = unpack(data)
+                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(group)], ["doc_id", "group"])
+
+    group_of = work.write(kept.select("groups").mapInArrow(told, "doc_id long, group long"), "groups")
+    member = work.write(group_of.join(same, "doc_id").select("group", F.col("head").alias("doc_id")).distinct(), "members")
+    ordered = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
 
     def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -222,19 +258,28 @@ def ngram_links(docs: DataFrame, words: int, percent: int, work: Workspace) -> t
                 pairs = np.unique(np.stack([doc[pivot][ok], doc[ok]], 1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)], ["a", "b"])
 
-    first = work.write(to_heads(kept.mapInArrow(stars, "a long, b long")), "first")
+    proposed = kept.select("payload").mapInArrow(stars, "a long, b long")
+    for side in "ab":
+        proposed = proposed.join(group_of.withColumnsRenamed({"doc_id": side, "group": f"g{side}"}), side)
+    proposed = proposed.where("ga <> gb").select("ga", "gb").distinct()
+    expanded = proposed.join(member.withColumnRenamed("group", "gb"), "gb").select(*ordered("ga", "doc_id"))
+    within = member.where("group <> doc_id").select(*ordered("group", "doc_id"))
+    first = work.write(expanded.unionByName(within).where("a <> b").distinct(), "first")
     links = work.write(verified(first, shingler, percent, work, "sets1"), "links1")
     parts = work.write(connected_components(links, work, "cc"), "parts1")
 
     # Second round: pairs of a shingle whose documents the first links have not joined.
+    placed = member.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("group", "doc_id", F.coalesce("component", "doc_id").alias("part"))
+    placed = work.write(placed, "placed")
+    spans = placed.groupBy("group").agg(F.min("part").alias("low"), F.max("part").alias("high"))
+
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b, data in zip(batch.column("bucket").to_pylist(), batch.column("payload").to_pylist(), strict=True):
                 doc = np.unique(unpack(data)[0])
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(doc), b, np.int32)), pa.array(doc)], ["bucket", "doc_id"])
 
-    marks = kept.mapInArrow(members, "bucket int, doc_id long").join(same, "doc_id").join(parts.withColumnRenamed("node", "head"), "head", "left")
-    marks = marks.select("bucket", "doc_id", F.coalesce("component", "head").alias("part"))
+    marks = kept.select("bucket", "payload").mapInArrow(members, "bucket int, doc_id long").join(group_of, "doc_id").join(spans, "group")
 
     def across(one: pa.Table, two: pa.Table) -> pa.Table:
         found = []
@@ -242,21 +287,27 @@ def ngram_links(docs: DataFrame, words: int, percent: int, work: Workspace) -> t
             doc, size, place, starts = unpack(data)
             known = two.column("doc_id").to_numpy()
             order = np.argsort(known)
-            part = two.column("part").to_numpy()[order][np.searchsorted(known, doc, sorter=order)]
+            at = order[np.searchsorted(known, doc, sorter=order)] if len(doc) else order[:0]
+            group, low, high = (two.column(c).to_numpy()[at] for c in ("group", "low", "high"))
             n, p = size.astype(np.int64), place.astype(np.int64)
             for lo, hi in zip(starts, np.r_[starts[1:], len(doc)], strict=True):
-                if (part[lo:hi] == part[lo]).all():
+                if (low[lo:hi] == high[lo]).all() and (high[lo:hi] == low[lo]).all():
                     continue
                 for i in range(lo, hi - 1):
                     j = np.arange(i + 1, hi)
-                    j = j[(part[j] != part[i]) & may_link(n[j], p[j], n[i], p[i], percent)]
+                    j = j[((low[j] != high[i]) | (high[j] != low[i])) & (group[j] != group[i]) & may_link(n[j], p[j], n[i], p[i], percent)]
                     if len(j):
-                        found.append(np.stack([np.full(len(j), doc[i]), doc[j]], 1))
+                        found.append(np.stack([np.full(len(j), group[i]), group[j]], 1))
         pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-    more = kept.groupBy("bucket").cogroup(marks.groupBy("bucket")).applyInArrow(across, "a long, b long")
-    second = work.write(to_heads(more).join(first, ["a", "b"], "left_anti"), "second")
+        return pa.table({"ga": np.ascontiguousarray(pairs[:, 0]), "gb": np.ascontiguousarray(pairs[:, 1])})
+
+    more = kept.select("bucket", "payload").groupBy("bucket").cogroup(marks.groupBy("bucket")).applyInArrow(across, "ga long, gb long").distinct()
+    inside = spans.where("low <> high").select(F.col("group").alias("ga"), F.col("group").alias("gb"))
+    pairs = more.unionByName(inside)
+    for side in "ab":
+        pairs = pairs.join(placed.withColumnsRenamed({"group": f"g{side}", "doc_id": side, "part": f"p{side}"}), f"g{side}")
+    second = pairs.where("pa <> pb").select(*ordered("a", "b")).distinct().join(first, ["a", "b"], "left_anti")
+    second = work.write(second, "second")
     if second.isEmpty():
         return head_of, parts
     links = links.unionByName(work.write(verified(second, shingler, percent, work, "sets2"), "links2"))

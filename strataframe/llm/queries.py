@@ -13,6 +13,7 @@ from strataframe.llm.ngram_join import ngram_components
 from strataframe.llm.packing import pack
 from strataframe.llm.quality_model import quality_scores
 from strataframe.llm.quality_rules import quality_rules
+from strataframe.llm.suffix_dedup import suffix_dedup
 from strataframe.llm.token_counts import token_counts
 
 
@@ -30,6 +31,10 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"), words=5, percent=75)
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents"), width=50).drop("kept_text")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), limit=1024)
 
@@ -52,6 +57,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op3_token_counts": op3_token_counts,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_quality_classifier": op7_quality_classifier,

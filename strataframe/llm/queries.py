@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from strataframe.llm.common import table
 from strataframe.llm.exact_dedup import exact_groups
+from strataframe.llm.katz import katz_scores
 from strataframe.llm.ngram_join import ngram_components
 from strataframe.llm.packing import pack
 from strataframe.llm.quality_model import quality_scores
@@ -39,6 +40,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), limit=1024)
 
 
+def op5_katz_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz_scores(table(spark, sf_dir, "documents"), order=2, folds=5, held_out=1)
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), capacity=4096, end_id=1)
 
@@ -59,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op3_token_counts": op3_token_counts,
+    "op5_katz_lm_scores": op5_katz_lm_scores,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_exact_dedup": op8_exact_dedup,

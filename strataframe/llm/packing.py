@@ -19,7 +19,7 @@ from strataframe.llm.common import Workspace, columns, runs_of_texts
 from strataframe.llm.token_counts import byte_symbols
 
 #: Words that a worker remembers with their ids; beyond that it starts anew.
-MEMO = 300_000
+MEMO = 600_000
 #: The pre-tokens of this kind of vocabulary, in lower case, and the words that are split by it here.
 TOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
 STABLE = re.compile("[\x21-\x7e\u00c0-\u012f\u0131-\u0148\u014a-\u0188]*").fullmatch
@@ -169,7 +169,7 @@ class WordIds:
         self.library = Tokenizer.from_file(path)
         self.special = [x.content for x in self.library.get_added_tokens_decoder().values()]
         self.to_symbol = {b: c for c, b in byte_symbols().items()}
-        self.memo: dict[str, bytes] = {}
+        self.memo: dict[bytes, bytes] = {}
         self.tokens: dict[str, bytes] = {}
 
     def _model(self, token: str) -> bytes:
@@ -178,40 +178,32 @@ class WordIds:
         out = self.tokens[token] = struct.pack(f"<{len(ids)}I", *ids)
         return out
 
-    def _learn(self, words: set[str], special: bool) -> None:
+    def _learn(self, words: set[bytes], special: bool) -> None:
         if len(self.tokens) > MEMO:
             self.tokens = {}
         memo, held, model = self.memo, self.tokens.get, self._model
-        for w in words:
-            if w.isascii() and w.isalpha():
+        for raw in words:
+            w = raw.decode()
+            if raw.isalpha():  # ASCII letters alone
                 low = w.lower()
-                memo[w] = held(low) or model(low)
+                memo[raw] = held(low) or model(low)
             elif STABLE(w) and not (special and any(s in w for s in self.special)):
-                memo[w] = b"".join([held(x) or model(x) for x in TOKENS(w.lower())])
+                memo[raw] = b"".join([held(x) or model(x) for x in TOKENS(w.lower())])
             else:
                 ids = self.library.encode(w, add_special_tokens=False).ids
-                memo[w] = struct.pack(f"<{len(ids)}I", *ids)
+                memo[raw] = struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        split = [split_words(t) for t in texts]
+        split = [t.encode().split() for t in texts]
         wanted = set().union(*split)
-        wanted.discard("")
         if len(self.memo) + len(wanted - self.memo.keys()) > MEMO:
             self.memo = {}
-        self.memo[""] = b""
         self._learn(wanted - self.memo.keys(), any(s in t for t in texts for s in self.special))
         get = self.memo.__getitem__
         return [b"".join(map(get, s)) for s in split]
 
 
-_SPACE_TABLE = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
-
-
-def split_words(text: str) -> list[str]:
-    return text.encode().translate(_SPACE_TABLE).decode().split(" ")
-
-
 _held: dict[str, WordIds] = {}
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from strataframe.llm.common import table
 from strataframe.llm.exact_dedup import exact_groups
+from strataframe.llm.html_extract import main_texts
 from strataframe.llm.katz import katz_scores
 from strataframe.llm.ngram_join import ngram_components
 from strataframe.llm.packing import pack
@@ -40,6 +41,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), limit=1024)
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_texts(table(spark, sf_dir, "pages"))
+
+
 def op5_katz_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz_scores(table(spark, sf_dir, "documents"), order=2, folds=5, held_out=1)
 
@@ -64,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op3_token_counts": op3_token_counts,
+    "op4_html_extraction": op4_html_extraction,
     "op5_katz_lm_scores": op5_katz_lm_scores,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_quality_classifier": op7_quality_classifier,

@@ -48,9 +48,3 @@ def exact_groups(docs: DataFrame, keep: str = "largest", id_col: str = "doc_id",
         out = out.unionByName(slim.join(F.broadcast(heads), ["h", "text_sha256"]).select(out.columns))
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
-
-def drop_exact_copies(docs: DataFrame, keep: str = "smallest", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose document stays, with all their columns."""
-    ids = exact_groups(docs, keep, id_col, text_col).where("kept").select(F.col("doc_id").alias(id_col)).distinct()
-    lost = docs.where(F.col(id_col).isNull())
-    return docs.join(ids, id_col, "left_semi").unionByName(lost).select(docs.columns)

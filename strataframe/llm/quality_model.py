@@ -189,18 +189,23 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, m
     return train([(np.frombuffer(r.buckets, np.int32), np.frombuffer(r.weights, np.float32)) for r in got], np.array([r.label for r in got], np.int64))
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per input row: doc_id and score, from the whole text alone. Null and empty texts have
-    the model's bias as their score; repeated rows have equal scores."""
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """A row per input row: doc_id and score, from the whole text alone; or the columns ``carry`` and score.
+
+    Null and empty texts have the model's bias as their score; repeated rows have equal scores.
+    """
+    rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("_text"), *(carry or [F.col(id_col).cast("long").alias("doc_id")]))
+    names = rows.columns[1:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for batch in batches:
-            rows = batch.column(1).to_pylist()
-            parts = [scorer.scores(rows[lo:hi]) for lo, hi in runs_of_texts(rows)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(np.concatenate([np.zeros(0), *parts]))], ["doc_id", "score"])
+            texts = batch.column(0).to_pylist()
+            parts = [scorer.scores(texts[lo:hi]) for lo, hi in runs_of_texts(texts)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(np.concatenate([np.zeros(0), *parts]))], [*names, "score"])
 
-    return columns(docs, id_col, text=text_col).mapInArrow(run, "doc_id long, score double")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[1:])
+    return rows.mapInArrow(run, f"{kinds}, score double")
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, **bounds: int) -> DataFrame:

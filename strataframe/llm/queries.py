@@ -15,6 +15,7 @@ from strataframe.llm.ngram_join import ngram_components
 from strataframe.llm.packing import pack
 from strataframe.llm.quality_model import quality_scores
 from strataframe.llm.quality_rules import quality_rules
+from strataframe.llm.sentence_pieces import round_trips
 from strataframe.llm.suffix_dedup import suffix_dedup
 from strataframe.llm.token_counts import token_counts
 
@@ -61,6 +62,10 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op9_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trips(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).drop("failed_rules", "stop_ratio", "upper_ratio")
 
@@ -74,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_sentencepiece_codec": op9_sentencepiece_codec,
     "op10_quality_rules": op10_quality_rules,
 }
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataframe.llm.common import Workspace, columns, mix, pack, shuffle_parts, unpack
+from strataframe.llm.common import Workspace, mix, pack, shuffle_parts, unpack
 
 #: Bytes of the strings by which candidates meet.
 GRAM = 16
@@ -449,8 +449,8 @@ def without_runs(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int,
     return b"".join(kept), removed, count
 
 
-def suffix_dedup(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept_text.
+def suffix_dedup(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """A row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text and the columns ``carry``.
 
     Removed is each byte covered by a string of ``width`` bytes (24 at least) that also starts
     in a document with a smaller id; strings are judged on the input. Null and empty texts, and
@@ -458,8 +458,10 @@ def suffix_dedup(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_
     source either. Rows that repeat an id are judged alike and aren't sources for one another.
     ``kept_text`` drops the bytes of characters that a removal has cut through.
     """
-    rows = columns(docs, id_col, text=text_col).withColumnRenamed(id_col, "doc_id").withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("mark", F.xxhash64("text"))
-    found = repeated_runs(rows.where("doc_id is not null"), width, Workspace(docs.sparkSession, "suffix-dedup"))
+    carried = [f"_carry{k}" for k in range(len(carry or []))]
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *(F.col(c).alias(x) for c, x in zip(carry or [], carried, strict=True)))
+    rows = rows.withColumn("mark", F.xxhash64("text"))
+    found = repeated_runs(rows.where("doc_id is not null").select("doc_id", "mark", "text"), width, Workspace(docs.sparkSession, "suffix-dedup"))
     spans = found.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -470,6 +472,9 @@ def suffix_dedup(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_
                 left, removed, count = without_runs(raw, [(s["lo"], s["hi"]) for s in held.as_py()] if held.is_valid else [])
                 out.append((len(raw), removed, count, hashlib.sha256(left).hexdigest(), left.decode(errors="ignore") if removed else text))
             made = [pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [()] * 5, [pa.int64()] * 3 + [pa.string()] * 2, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *made], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made, *batch.columns[3:]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", *carried])
 
-    return rows.join(spans, ["doc_id", "mark"], "left").select("doc_id", "text", "spans").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
+    kinds = "".join(f", {x} {docs.schema[c].dataType.simpleString()}" for c, x in zip(carry or [], carried, strict=True))
+    out = rows.join(spans, ["doc_id", "mark"], "left").select("doc_id", "text", "spans", *carried)
+    out = out.mapInArrow(cut, f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string{kinds}")
+    return out.withColumnsRenamed(dict(zip(carried, carry or [], strict=True)))

@@ -16,9 +16,10 @@ from strataframe.llm.common import Workspace, mix, pack, shuffle_parts, unpack
 GRAM = 16
 #: Bytes of text of one slice; positions in it fit into 20 bits.
 SLICE = 1_000_000
-#: Bytes of one suffix array, and of the candidate text that a bucket is to hold.
-SHARD = 6_000_000
-BUCKET = 12_000_000
+#: Bytes of one suffix array, of the input text to a bucket, and of the cuttings looked at together.
+SHARD = 2_000_000
+BUCKET = 5_000_000
+TOGETHER = 3_000_000
 _LOW = np.uint64((1 << 20) - 1)
 _ROLL = 0x100000001B3
 
@@ -264,28 +265,48 @@ def same_segments(text: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.n
     """A number for each segment, equal for equal contents; contents of one hash are compared in full."""
     if not len(start):
         return np.zeros(0, np.int64)
-    at = ragged(start, size)
-    within = at - np.repeat(start, size)
     power = np.ones(int(size.max()), np.uint64)
     power[1:] = np.cumprod(np.full(len(power) - 1, _ROLL, np.uint64))
-    sums = np.add.reduceat((text[at].astype(np.uint64) + np.uint64(1)) * power[within], np.cumsum(size) - size)
-    key = mix(sums + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    key = np.empty(len(start), np.uint64)
+    for some in spans_of(size):
+        at = ragged(start[some], size[some])
+        within = at - np.repeat(start[some], size[some])
+        key[some] = np.add.reduceat((text[at].astype(np.uint64) + np.uint64(1)) * power[within], np.cumsum(size[some]) - size[some])
+    key = mix(key + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     _, head, number = np.unique(key, return_index=True, return_inverse=True)
     # Equal hashes of different bytes get numbers of their own.
     first = head[number]
     differs = size != size[first]
-    like = np.flatnonzero(~differs)
-    pos = ragged(start[like], size[like])
-    other = ragged(start[first[like]], size[first[like]])
-    bad = np.logical_or.reduceat(text[pos] != text[other], np.cumsum(size[like]) - size[like])
-    differs[like[bad]] = True
+    check = np.flatnonzero(~differs & (first != np.arange(len(start))))
+    for some in spans_of(size[check]):
+        like = check[some]
+        same = text[ragged(start[like], size[like])] == text[ragged(start[first[like]], size[like])]
+        differs[like] = ~np.logical_and.reduceat(same, np.cumsum(size[like]) - size[like])
     number = number.copy()
     number[differs] = len(head) + np.flatnonzero(differs)
     return number
 
 
+def spans_of(size: np.ndarray, most: int = 1 << 19) -> Iterator[slice]:
+    """Slices of consecutive segments of about so many bytes together."""
+    cut = np.cumsum(size) // most
+    edge = np.r_[0, np.flatnonzero(np.diff(cut)) + 1, len(size)]
+    return (slice(a, b) for a, b in zip(edge[:-1], edge[1:], strict=True) if a < b)
+
+
+def cut_out(text: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    parts = [text[ragged(start[some], size[some])] for some in spans_of(size)]
+    return np.concatenate(parts) if parts else text[:0]
+
+
 def runs(doc: np.ndarray, mark: np.ndarray, first: np.ndarray, count: np.ndarray, width: int) -> pa.RecordBatch:
-    """Rows of covered bytes: ``count`` windows from ``first`` on."""
+    """Rows of covered bytes: ``count`` windows from ``first`` on; adjoining windows are one run."""
+    if len(doc):
+        order = np.lexsort((first, mark, doc))
+        doc, mark, first, count = doc[order], mark[order], first[order], count[order]
+        fresh = np.r_[True, (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1]) | (first[1:] != first[:-1] + count[:-1])]
+        count = np.add.reduceat(count, np.flatnonzero(fresh))
+        doc, mark, first = doc[fresh], mark[fresh], first[fresh]
     return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(mark), pa.array(first), pa.array(first + count + width - 1)], ["doc_id", "mark", "lo", "hi"])
 
 
@@ -353,12 +374,11 @@ def repeated_runs(docs: DataFrame, width: int, work: Workspace) -> DataFrame:
     work.drop("anchors")
 
     def cuttings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["bucket", "payload", "doc_id", "mark", "lo", "hi"]
         for batch in batches:
             ids, marks = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             wanted = batch.column(3)
             value, offset = wanted.flatten().to_numpy().view(np.uint64), np.r_[0, np.cumsum(wanted.value_lengths().to_numpy())]
-            made = []
+            made, held = [], 0
             for s in slices([t.encode() for t in batch.column(2).to_pylist()], width):
                 doc = s.doc[s.piece]
                 lo, hi = np.searchsorted(doc, np.arange(len(ids))), np.searchsorted(doc, np.arange(len(ids)), side="right")
@@ -366,28 +386,34 @@ def repeated_runs(docs: DataFrame, width: int, work: Workspace) -> DataFrame:
                 for d in np.unique(doc):
                     ok[lo[d] : hi[d]] = np.isin(s.hash[lo[d] : hi[d]], value[offset[d] : offset[d + 1]])
                 at = np.flatnonzero(ok)
+                if not len(at):
+                    continue
                 size = s.count[at] + width - 1
-                text = s.buf[ragged(s.first[at], size)]
-                made.append((doc[at], s.base[s.piece[at]] + s.first[at] - s.start[s.piece[at]], s.count[at], s.hash[at], text))
-            if not made:
-                continue
-            doc, first, count, hash_, text = (np.concatenate(x) for x in zip(*made, strict=True))
-            if not len(doc):
-                continue
-            size = count + width - 1
-            start = np.cumsum(size) - size
-            number = same_segments(text, start, size)
-            least = np.full(int(number.max()) + 1, np.iinfo(np.int64).max)
-            np.minimum.at(least, number, ids[doc])
-            later = ids[doc] > least[number]  # another document of this batch has the whole cutting
-            done = runs(ids[doc[later]], marks[doc[later]], first[later], count[later], width)
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(done), pa.int32()), pa.nulls(len(done), pa.binary()), *done.columns], names)
-            rest = np.flatnonzero(~later)
-            for b, at in by_bucket(hash_[rest], buckets):
-                at = rest[at]
-                used, slot = np.unique(doc[at], return_inverse=True)
-                load = pack(ids[used], marks[used], slot.astype(np.uint32), first[at], count[at].astype(np.uint8 if width < 200 else np.uint32), text[ragged(start[at], size[at])])
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([load], pa.binary()), *(pa.nulls(1, pa.int64()) for _ in range(4))], names)
+                made.append((doc[at], s.base[s.piece[at]] + s.first[at] - s.start[s.piece[at]], s.count[at], s.hash[at], cut_out(s.buf, s.first[at], size)))
+                held += int(size.sum())
+                if held > TOGETHER:
+                    yield from deal(made, ids, marks)
+                    made, held = [], 0
+            if made:
+                yield from deal(made, ids, marks)
+
+    def deal(made: list[tuple], ids: np.ndarray, marks: np.ndarray) -> Iterator[pa.RecordBatch]:
+        names = ["bucket", "payload", "doc_id", "mark", "lo", "hi"]
+        doc, first, count, hash_, text = (np.concatenate(x) for x in zip(*made, strict=True))
+        size = count + width - 1
+        start = np.cumsum(size) - size
+        number = same_segments(text, start, size)
+        least = np.full(int(number.max()) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(least, number, ids[doc])
+        later = ids[doc] > least[number]  # another of these documents has the whole cutting
+        done = runs(ids[doc[later]], marks[doc[later]], first[later], count[later], width)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(done), pa.int32()), pa.nulls(len(done), pa.binary()), *done.columns], names)
+        rest = np.flatnonzero(~later)
+        for b, at in by_bucket(hash_[rest], buckets):
+            at = rest[at]
+            used, slot = np.unique(doc[at], return_inverse=True)
+            load = pack(ids[used], marks[used], slot.astype(np.uint32), first[at], count[at].astype(np.uint8 if width < 200 else np.uint32), cut_out(text, start[at], size[at]))
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([load], pa.binary()), *(pa.nulls(1, pa.int64()) for _ in range(4))], names)
 
     def covered(batch: pa.Table) -> pa.Table:
         doc, mark, first, count, text = [], [], [], [], []
@@ -407,7 +433,7 @@ def repeated_runs(docs: DataFrame, width: int, work: Workspace) -> DataFrame:
         np.minimum.at(least, number, doc)
         hsize = size[head]
         windows = count[head]
-        distinct = text[ragged(start[head], hsize)]
+        distinct = cut_out(text, start[head], hsize)
         smallest = smallest_documents(distinct, np.cumsum(hsize) - hsize, hsize, least, width)
         begin = np.cumsum(windows) - windows
         # Occurrences in later documents are covered whole; of the others, the windows that an earlier one has.

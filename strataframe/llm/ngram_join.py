@@ -12,8 +12,12 @@ from pyspark.sql import functions as F
 from strataframe.llm.common import Workspace, columns, hashed_words, mix, pack, runs_of_texts, shuffle_parts, unpack
 from strataframe.llm.components import connected_components
 
-#: Cells of the frequency sketch that orders shingles; its size is fixed.
-CELLS = 20
+#: Bits of a cell's number in each of the two rows of the frequency sketch that orders shingles; its size is fixed.
+CELLS = 21
+#: Slices in which tasks' sketches are added up.
+SLICES = 16
+#: Bits of the filter of wanted documents; its size is fixed, and a full one lets all through.
+FILTER = 23
 #: Prefix entries that one bucket of the join is to hold.
 BUCKET = 1_500_000
 #: Members that one verification group holds beside its pivot.
@@ -49,6 +53,30 @@ def prefix_size(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1 if n else 0
 
 
+def cells_of(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A shingle's cell in either row of the sketch, rows end to end."""
+    one = (shingles >> np.uint64(64 - CELLS)).astype(np.int64)
+    two = ((shingles >> np.uint64(64 - 2 * CELLS)) & np.uint64((1 << CELLS) - 1)).astype(np.int64)
+    return one, two + (1 << CELLS)
+
+
+def wanted_filter(wanted: DataFrame) -> np.ndarray:
+    """Bits of the ids' hashes, so that other documents' texts needn't be shuffled."""
+    part = 1 << (FILTER - 5)
+    bits = wanted.select(F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER)).alias("bit")).distinct()
+
+    def gather(batch: pa.Table) -> pa.Table:
+        held = np.zeros(part, bool)
+        held[batch.column("bit").to_numpy() % part] = True
+        return pa.table({"slice": batch.column("slice")[:1], "bits": [pack(np.packbits(held))]})
+
+    rows = bits.withColumn("slice", F.floor(F.col("bit") / part).cast("int")).groupBy("slice").applyInArrow(gather, "slice int, bits binary").collect()
+    out = np.zeros(1 << FILTER, bool)
+    for r in rows:
+        out[r["slice"] * part : (r["slice"] + 1) * part] = np.unpackbits(unpack(r["bits"])[0])
+    return np.packbits(out)
+
+
 class Shingler:
     """Passes over documents; ``docs`` has doc_id and text, null ids and empty sets link with nothing."""
 
@@ -62,7 +90,7 @@ class Shingler:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             import xxhash
 
-            cells = np.zeros(1 << CELLS, np.int32)
+            cells = np.zeros(2 << CELLS, np.int32)
             seen: set[bytes] = set()
             for batch in batches:
                 rows = batch.column(1).to_pylist()
@@ -75,10 +103,11 @@ class Shingler:
                         if d not in seen:
                             if len(seen) < 200_000:
                                 seen.add(d)
-                            np.add.at(cells, (s >> np.uint64(64 - CELLS)).astype(np.int64), 1)
+                            for at in cells_of(s):
+                                np.add.at(cells, at, 1)
                 yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.binary())], names)
-            held = np.split(cells, 16)
-            yield pa.RecordBatch.from_arrays([pa.nulls(16, pa.int64()), pa.nulls(16, pa.int64()), pa.nulls(16, pa.binary()), pa.array(range(16), pa.int32()), pa.array([pack(x) for x in held], pa.binary())], names)
+            held = np.split(cells, SLICES)
+            yield pa.RecordBatch.from_arrays([pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.binary()), pa.array(range(SLICES), pa.int32()), pa.array([pack(x) for x in held], pa.binary())], names)
 
         names = ["doc_id", "n_shingles", "digest", "slice", "cells"]
         return self.docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, slice int, cells binary")
@@ -111,7 +140,7 @@ class Shingler:
                         seen[d] = len(doc)
                         doc.append(i)
                         size.append(len(s))
-                        rank = cells[(s >> np.uint64(64 - CELLS)).astype(np.int64)]
+                        rank = np.minimum(*(cells[at] for at in cells_of(s)))
                         order = np.argsort(rank, kind="stable")[: prefix_size(len(s), percent)]  # s is sorted: ties go by hash
                         key.append(xxhash.xxh3_128_digest(s[order].tobytes(), len(s)))
                         group.setdefault(key[-1], len(tokens))
@@ -153,7 +182,15 @@ class Shingler:
                 made = [s.tobytes() for lo, hi in runs_of_texts(rows) for s in shingle_sets(rows[lo:hi], words)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(made, pa.binary())], ["doc_id", "set"])
 
-        return self.docs.join(chosen, "doc_id", "left_semi").mapInArrow(run, "doc_id long, set binary")
+        bits = wanted_filter(chosen)
+
+        def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = batch.column(2).to_numpy()
+                yield batch.select([0, 1]).filter(pa.array((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1))
+
+        some = self.docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER)).alias("bit")).mapInArrow(likely, "doc_id long, text string")
+        return some.join(chosen, "doc_id", "left_semi").mapInArrow(run, "doc_id long, set binary")
 
 
 def by_bucket(bucket: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -218,13 +255,15 @@ def ngram_links(docs: DataFrame, words: int, percent: int, work: Workspace) -> t
     sums = both.where("cells is not null").select("slice", "cells")
 
     def add(batch: pa.Table) -> pa.Table:
-        total = np.zeros((1 << CELLS) // 16, np.int64)
+        total = np.zeros((2 << CELLS) // SLICES, np.int64)
         for x in batch.column("cells").to_pylist():
             total += unpack(x)[0]
-        return pa.table({"slice": batch.column("slice")[:1], "cells": [pack(np.minimum(total, 2**31 - 1).astype(np.int32))]})
+        return pa.table({"slice": batch.column("slice")[:1], "cells": [pack(total)]})
 
     slices = {r["slice"]: unpack(r["cells"])[0] for r in sums.groupBy("slice").applyInArrow(add, "slice int, cells binary").collect()}
-    cells = np.concatenate([slices.get(k, np.zeros((1 << CELLS) // 16, np.int32)) for k in range(16)])
+    cells = np.concatenate([slices.get(k, np.zeros((2 << CELLS) // SLICES, np.int64)) for k in range(SLICES)])
+    # Only the order of counts matters: in 16 bits they are exact where small, and logarithmic beyond.
+    cells = np.where(cells < 32768, cells, 32768 + 700 * np.log2(np.maximum(cells, 32768) / 32768)).astype(np.uint16)
     entries = rows.agg(F.coalesce(F.sum(F.col("n_shingles") * (100 - percent) / 100 + 1), F.lit(0))).first()[0]
     buckets = max(shuffle_parts(spark), int(entries) // BUCKET + 1)
 
@@ -258,7 +297,7 @@ def ngram_links(docs: DataFrame, words: int, percent: int, work: Workspace) -> t
                 pairs = np.unique(np.stack([doc[pivot][ok], doc[ok]], 1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)], ["a", "b"])
 
-    proposed = kept.select("payload").mapInArrow(stars, "a long, b long")
+    proposed = kept.select("payload").mapInArrow(stars, "a long, b long").distinct()
     for side in "ab":
         proposed = proposed.join(group_of.withColumnsRenamed({"doc_id": side, "group": f"g{side}"}), side)
     proposed = proposed.where("ga <> gb").select("ga", "gb").distinct()
@@ -317,7 +356,7 @@ def ngram_links(docs: DataFrame, words: int, percent: int, work: Workspace) -> t
 def verified(pairs: DataFrame, shingler: Shingler, percent: int, work: Workspace, name: str) -> DataFrame:
     """The pairs (a, b) that link, from whole sets; a pivot's partners are compared in groups of bounded size."""
     wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = work.write(shingler.sets(wanted).dropDuplicates(["doc_id"]), name)
+    sets = work.write(shingler.sets(wanted), name)
     sized = pairs.groupBy("a").agg((F.count(F.lit(1)) / GROUP).cast("int").alias("more"))
     dealt = pairs.join(sized, "a").withColumn("group", F.pmod(F.xxhash64("b"), F.col("more") + 1)).select("a", "group", "b")
     pivots = dealt.select("a", "group", F.col("a").alias("b")).distinct()
@@ -327,7 +366,7 @@ def verified(pairs: DataFrame, shingler: Shingler, percent: int, work: Workspace
         held = [np.frombuffer(x, np.uint64) for x in batch.column("set").to_pylist()]
         mine = held[b.index(a)]
         out = []
-        for other, s in zip(b, held, strict=True):
+        for other, s in dict(zip(b, held, strict=True)).items():  # repeated rows have one set
             if other != a:
                 at = np.searchsorted(mine, s)
                 both = int((mine[np.minimum(at, len(mine) - 1)] == s).sum())

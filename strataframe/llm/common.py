@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import struct
 import tempfile
 import uuid
@@ -58,10 +59,13 @@ class Workspace:
         return self.spark.read.parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
+        """Removes tables, and lets Spark remove shuffle files that nothing refers to any more."""
         jvm = self.spark._jvm
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(self.path(name))
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        gc.collect()
+        jvm.System.gc()
 
 
 def shuffle_parts(spark: SparkSession) -> int:

@@ -275,6 +275,8 @@ def ngram_links(docs: DataFrame, words: int, percent: int, work: Workspace) -> t
     kept = work.write(shingler.prefixes(cells, buckets).groupBy("bucket").applyInArrow(lists, "bucket int, payload binary, groups binary"), "lists")
     heads = rows.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("head"))
     head_of = work.write(rows.join(heads, "digest", "left"), "heads")
+    del both, rows, sums, heads
+    work.drop("summary")
     same = head_of.where("head is not null").select("doc_id", "head").distinct()
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,6 +307,7 @@ def ngram_links(docs: DataFrame, words: int, percent: int, work: Workspace) -> t
     within = member.where("group <> doc_id").select(*ordered("group", "doc_id"))
     first = work.write(expanded.unionByName(within).where("a <> b").distinct(), "first")
     links = work.write(verified(first, shingler, percent, work, "sets1"), "links1")
+    work.drop("sets1")
     parts = work.write(connected_components(links, work, "cc"), "parts1")
 
     # Second round: pairs of a shingle whose documents the first links have not joined.

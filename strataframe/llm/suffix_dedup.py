@@ -117,64 +117,77 @@ def words_at(text: np.ndarray) -> np.ndarray:
 def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All suffixes in order, and each position's rank.
 
-    Larsson-Sadakane refinement: suffixes are ranked by eight bytes, then groups of equal rank
-    are split by the rank of what follows the bytes compared so far, which doubles them. Groups
-    of one are never touched again.
+    Larsson-Sadakane refinement: suffixes are ranked by their first bytes, then groups of equal
+    rank are split by the rank of what follows the bytes compared so far, which doubles them.
+    Groups of one are never touched again. A group, what follows and the position share one
+    64-bit number where the text is short enough, so that a round is a plain sort.
     """
     n = len(text)
-    words = words_at(text)
-    sa = np.argsort(words, kind="stable")
-    ordered = words[sa]
+    bits = max(1, int(n + 1).bit_length())
+    if 3 * bits > 64:
+        raise ValueError(f"a shard of {n} bytes is too long")
+    low = np.uint64((1 << bits) - 1)
+    known = (64 - bits) // 8
+    first = words_at(text) >> np.uint64(64 - 8 * known)
+    packed = np.sort(first << np.uint64(bits) | np.arange(n, dtype=np.uint64))
+    sa = (packed & low).astype(np.int64)
+    ordered = packed >> np.uint64(bits)
     head = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]][:n])
-    group = np.repeat(head, np.diff(np.r_[head, n]))
+    size = np.diff(np.r_[head, n])
+    group = np.repeat(head, size)
     rank = np.empty(n + 1, np.int64)
-    rank[sa] = group
-    rank[n] = -1
-    known = 8
-    alone = np.diff(np.r_[head, n]) == 1
-    live = np.flatnonzero(~np.repeat(alone, np.diff(np.r_[head, n])))  # places in sa of unsplit groups
+    rank[sa] = group + 1
+    rank[n] = 0  # the text's end comes before all else
+    live = np.flatnonzero(np.repeat(size > 1, size))  # places in sa of unsplit groups
     while len(live):
         pos = sa[live]
-        follow = rank[np.minimum(pos + known, n)]
-        order = np.lexsort((follow, group[live]))
-        pos, follow, own = pos[order], follow[order], group[live]  # groups keep their places
+        follow = rank[np.minimum(pos + known, n)].astype(np.uint64)
+        packed = np.sort((group[live].astype(np.uint64) << np.uint64(2 * bits)) | (follow << np.uint64(bits)) | pos.astype(np.uint64))
+        pos = (packed & low).astype(np.int64)
         sa[live] = pos
-        fresh = np.r_[True, (own[1:] != own[:-1]) | (follow[1:] != follow[:-1])]
-        heads = np.flatnonzero(fresh)
+        packed >>= np.uint64(bits)
+        heads = np.flatnonzero(np.r_[True, packed[1:] != packed[:-1]])
         size = np.diff(np.r_[heads, len(live)])
         group[live] = np.repeat(live[heads], size)
-        rank[pos] = group[live]
+        rank[pos] = group[live] + 1
         live = live[np.repeat(size > 1, size)]
         known *= 2
     rank[sa] = np.arange(n)
     return sa, rank[:n]
 
 
-def common_prefixes(text: np.ndarray, sa: np.ndarray, rank: np.ndarray, most: int, lanes: int = 8192) -> np.ndarray:
+def common_prefixes(text: np.ndarray, sa: np.ndarray, rank: np.ndarray, most: int, lanes: int = 16384) -> np.ndarray:
     """By position: the length, ``most`` at the most, of the prefix shared with the suffix ranked before it.
 
-    Kasai's walk in text order, where a suffix shares at least one byte less than the one before
-    it: many stretches of the text walk at once, each a byte or a position further in a step.
+    Kasai's walk in text order, where a suffix shares at most one byte less than the one before
+    it: many stretches of the text walk at once, and a step compares eight bytes.
     """
     n = len(text)
-    before = np.full(n + 1, -1, np.int64)
+    before = np.full(n, -1, np.int64)
     before[sa[1:]] = sa[:-1]
-    padded = np.concatenate([text.astype(np.int16), np.full(most + 1, -1, np.int16)])
+    words = np.concatenate([words_at(text), np.zeros(most + 8, np.uint64)])
     out = np.zeros(n, np.int32)
-    lanes = max(1, min(lanes, n // 64))
-    edge = np.linspace(0, n, lanes + 1).astype(np.int64)
-    at, end = edge[:-1].copy(), edge[1:]
-    shared = np.zeros(lanes, np.int64)
-    at, end = at[at < end], end[edge[:-1] < end]
-    shared = shared[: len(at)]
+    edge = np.linspace(0, n, max(1, min(lanes, n // 64)) + 1).astype(np.int64)
+    at, end = edge[:-1], edge[1:]
+    at, end = at[edge[:-1] < end], end[edge[:-1] < end]
+    shared = np.zeros(len(at), np.int64)
+    limits = [np.uint64(1 << (8 * k)) for k in range(1, 8)]
     while len(at):
         other = before[at]
-        a = np.minimum(at + shared, n + most)
-        b = np.where(other >= 0, np.minimum(other + shared, n + most), n + most)
-        more = (shared < most) & (padded[a] == padded[b]) & (padded[a] >= 0) & (other >= 0)
-        stop = ~more
+        x = words[at + shared] ^ words[np.maximum(other, 0) + shared]
+        equal = np.full(len(x), 8, np.int64)
+        part = np.flatnonzero(x)
+        if len(part):
+            y = x[part]
+            few = np.zeros(len(part), np.int64)
+            for limit in limits:
+                few += y < limit
+            equal[part] = few
+        room = np.where(other >= 0, np.minimum(n - np.maximum(at, other), most), 0)
+        shared = np.minimum(shared + equal, room)
+        stop = (equal < 8) | (shared >= room)
         out[at[stop]] = shared[stop]
-        shared = np.where(more, shared + 1, np.maximum(shared - 1, 0))
+        shared = np.where(stop, np.maximum(shared - 1, 0), shared)
         at = at + stop
         going = at < end
         if not going.all():
@@ -371,6 +384,7 @@ def repeated_runs(docs: DataFrame, width: int, work: Workspace) -> DataFrame:
     told = sent.where("payload is not null").select("bucket", "payload").groupBy("bucket").applyInArrow(shared, "doc_id long, mark long, hash long")
     own = sent.where("payload is null").select("doc_id", "mark", "hash")
     marked = work.write(told.unionByName(own).groupBy("doc_id", "mark").agg(F.collect_list("hash").alias("hashes")), "marked")
+    del sent, told, own
     work.drop("anchors")
 
     def cuttings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -378,14 +392,15 @@ def repeated_runs(docs: DataFrame, width: int, work: Workspace) -> DataFrame:
             ids, marks = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             wanted = batch.column(3)
             value, offset = wanted.flatten().to_numpy().view(np.uint64), np.r_[0, np.cumsum(wanted.value_lengths().to_numpy())]
+            owner = np.repeat(np.arange(len(ids), dtype=np.uint64), np.diff(offset))
             made, held = [], 0
             for s in slices([t.encode() for t in batch.column(2).to_pylist()], width):
                 doc = s.doc[s.piece]
-                lo, hi = np.searchsorted(doc, np.arange(len(ids))), np.searchsorted(doc, np.arange(len(ids)), side="right")
-                ok = np.zeros(len(doc), bool)
-                for d in np.unique(doc):
-                    ok[lo[d] : hi[d]] = np.isin(s.hash[lo[d] : hi[d]], value[offset[d] : offset[d + 1]])
-                at = np.flatnonzero(ok)
+                if not len(doc):
+                    continue
+                lo, hi = offset[doc[0]], offset[doc[-1] + 1]
+                mine = mix(s.hash ^ doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                at = np.flatnonzero(np.isin(mine, mix(value[lo:hi] ^ owner[lo:hi] * np.uint64(0x9E3779B97F4A7C15))))
                 if not len(at):
                     continue
                 size = s.count[at] + width - 1
@@ -454,9 +469,12 @@ def repeated_runs(docs: DataFrame, width: int, work: Workspace) -> DataFrame:
 
     joined = docs.join(marked, ["doc_id", "mark"]).select("doc_id", "mark", "text", "hashes")
     cut = work.write(joined.mapInArrow(cuttings, "bucket int, payload binary, doc_id long, mark long, lo long, hi long"), "cuttings")
+    del joined, marked
+    work.drop("marked")
     rest = cut.where("payload is not null").select("bucket", "payload").groupBy("bucket").applyInArrow(covered, "doc_id long, mark long, lo long, hi long")
     out = work.write(cut.where("payload is null").select("doc_id", "mark", "lo", "hi").unionByName(rest), "runs")
-    work.drop("marked", "cuttings")
+    del cut, rest
+    work.drop("cuttings")
     return out
 
 

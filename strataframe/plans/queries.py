@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strataframe.operators import features, horizon, labels, memory, panels, properties, sessions
+from strataframe.operators import engines, features, horizon, labels, memory, panels, properties, sessions
 from strataframe.sources import tables
 from strataframe.sources.tables import table
 
@@ -275,3 +275,12 @@ def tag_count_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     tag = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("auto(count="), (F.col("event_id") * 7 % 1000).cast("string"), F.lit(")"))).otherwise("seed")
     e = table(spark, sf_dir, "events").select("event_id", tag.alias("tag"))
     return e.select("event_id", F.coalesce(F.expr(r"try_cast(regexp_extract(tag, 'count=(\\d+)\\)?', 1) as int)"), F.lit(0)).alias("n"))
+
+
+for _name in engines.ENGINES:
+    of_pixels(f"seg_{_name}", lambda px, e=_name: engines.segment(px, e).groupBy("figure_id", "lbl").agg(F.count(F.lit(1)).alias("n"), F.count("error").alias("errors")))
+of_pixels("lb_components", lambda px: engines.parts(labels.nearest_palette(px)))
+of_pixels("lb_tiny_fragments", lambda px: engines.fragments(engines.parts(labels.nearest_palette(px), eight=True)))
+of_pixels("lb_fragmentation", lambda px: engines.fragmentation(engines.parts(labels.nearest_palette(px))))
+of_pixels("lb_polygons", lambda px: engines.polygons(labels.nearest_palette(px)))
+of_labels("hz_label_blur", lambda lb: count_labels(engines.label_blur(lb)))

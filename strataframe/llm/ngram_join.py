@@ -332,7 +332,7 @@ def ngram_links(docs: DataFrame, words: int, percent: int, work: Workspace) -> t
             at = order[np.searchsorted(known, doc, sorter=order)] if len(doc) else order[:0]
             group, low, high = (two.column(c).to_numpy()[at] for c in ("group", "low", "high"))
             n, p = size.astype(np.int64), place.astype(np.int64)
-            for lo, hi in zip(starts, np.r_[starts[1:], len(doc)], strict=True):
+            for lo, hi in zip(starts, np.r_[starts[1:], len(doc)][: len(starts)], strict=True):
                 if (low[lo:hi] == high[lo]).all() and (high[lo:hi] == low[lo]).all():
                     continue
                 for i in range(lo, hi - 1):

@@ -14,9 +14,11 @@ from strataframe.llm.common import Workspace, columns, fold_of, hashed_words, mi
 START, END = np.uint64(0x5374617274), np.uint64(0x456E64)
 #: Counts up to this are discounted.
 CUTOFF = 5
-#: Tokens of one encoded block, and n-grams that one bucket is to hold.
-BLOCK = 2_500_000
-BUCKET = 4_000_000
+#: Characters of one encoded block, and n-grams that one bucket is to hold.
+BLOCK = 8_000_000
+BUCKET = 2_000_000
+#: Of an n-gram's hash 48 bits are sent beside the 64 of its context.
+SENT = np.uint64(0xFFFFFFFFFFFF0000)
 _ROLL = np.uint64(0x100000001B3)
 
 
@@ -29,6 +31,16 @@ def unplaned(x: np.ndarray, dtype: type) -> np.ndarray:
     return np.ascontiguousarray(x.reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).ravel()
 
 
+def coded(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values, and each element's number among them: a few values stand for many elements."""
+    values, at = np.unique(x, return_inverse=True)
+    return values, planes(at.astype(np.uint16 if len(values) <= 1 << 16 else np.uint32))
+
+
+def uncoded(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return values[unplaned(at, np.uint16 if len(values) <= 1 << 16 else np.uint32)] if len(values) else values
+
+
 def good_turing(counts_of: np.ndarray, cutoff: int = CUTOFF) -> np.ndarray:
     """Factors for counts 0 to ``cutoff`` + 1 (beyond: 1) from the numbers of n-grams with each count.
 
@@ -87,7 +99,7 @@ def encode(docs: DataFrame, folds: int, held_out: int) -> DataFrame:
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
             ids, rows = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for lo, hi in runs_of_texts(rows, 8_000_000):
+            for lo, hi in runs_of_texts(rows, BLOCK):
                 h, size = hashed_words(rows[lo:hi])
                 ends = np.cumsum(size)
                 h = mix(np.insert(h, ends, END))
@@ -165,17 +177,17 @@ def gram_table(encoded: DataFrame, lower: DataFrame, order: int, word: Words, bu
             if len(at):
                 fresh = np.flatnonzero(np.r_[True, ctx[at][1:] != ctx[at][:-1]])
                 sizes = np.diff(np.r_[fresh, len(at)]).astype(np.uint32)
-                out.append((b, pack(ctx[at][fresh], planes(sizes), planes(key[at]), planes(below[at]), planes(count[at].astype(np.uint32)))))
+                out.append((b, pack(ctx[at][fresh], planes(sizes), planes(key[at] & SENT), *coded(below[at]), planes(count[at].astype(np.uint32)))))
         return pa.table({"bucket": pa.array([x[0] for x in out], pa.int32()), "block": pa.array([block.column("block")[0].as_py()] * len(out), pa.int64()), "payload": pa.array([x[1] for x in out], pa.binary())})
 
     def merge(batch: pa.Table) -> pa.Table:
         parts = []
         for data in batch.column("payload").to_pylist():
-            ctx, sizes, key, below, count = unpack(data)
-            parts.append((np.repeat(ctx, unplaned(sizes, np.uint32)), unplaned(key, np.uint64), unplaned(below, np.float32), unplaned(count, np.uint32)))
+            ctx, sizes, key, values, below, count = unpack(data)
+            parts.append((np.repeat(ctx, unplaned(sizes, np.uint32)), unplaned(key, np.uint64), uncoded(values, below), unplaned(count, np.uint32)))
         ctx, key, below, count = (np.concatenate(x) for x in zip(*parts, strict=True))
         ends = np.cumsum([len(p[0]) for p in parts])[:-1]
-        _, seen, which = np.unique(key, return_index=True, return_inverse=True)
+        _, seen, which = np.unique(mix(ctx * _ROLL ^ key), return_index=True, return_inverse=True)
         total = np.bincount(which, count, minlength=len(seen)).astype(np.int64)
         new = np.argsort(ctx[seen], kind="stable")
         place = np.empty(len(new), np.int64)
@@ -185,7 +197,7 @@ def gram_table(encoded: DataFrame, lower: DataFrame, order: int, word: Words, bu
         sizes = np.diff(np.r_[fresh, len(seen)]).astype(np.uint32)
         known = total[total > 0]
         stats = np.bincount(np.minimum(known, CUTOFF + 2), minlength=CUTOFF + 3)[: CUTOFF + 2]
-        table = pack(planes(sizes), planes(total.astype(np.uint32)), planes(below[seen]))
+        table = pack(planes(sizes), planes(total.astype(np.uint32)), *coded(below[seen]))
         return pa.table({
             "bucket": batch.column("bucket")[:1],
             "stats": pa.array([stats.tolist()], pa.list_(pa.int64())),
@@ -221,13 +233,13 @@ def gram_answers(table: DataFrame, discount: np.ndarray, order: int) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b, data, blocks, which in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                sizes, count, below = unpack(data)
+                sizes, count, values, below = unpack(data)
                 count = unplaned(count, np.uint32).astype(np.int64)
-                p, weight = probabilities(unplaned(sizes, np.uint32), count, unplaned(below, np.float32), discount)
+                p, weight = probabilities(unplaned(sizes, np.uint32), count, uncoded(values, below), discount)
                 value = np.where(count > 0, p, weight).astype(np.float32)
                 for block, data2 in zip(blocks, which, strict=True):
                     w = unplaned(unpack(data2)[0], np.uint32)
-                    yield pa.RecordBatch.from_arrays([pa.array([order], pa.int32()), pa.array([b], pa.int32()), pa.array([block], pa.int64()), pa.array([pack(count[w] > 0, planes(value[w]))], pa.binary())], ["order", "bucket", "block", "payload"])
+                    yield pa.RecordBatch.from_arrays([pa.array([order], pa.int32()), pa.array([b], pa.int32()), pa.array([block], pa.int64()), pa.array([pack(np.packbits(count[w] > 0), *coded(value[w]))], pa.binary())], ["order", "bucket", "block", "payload"])
 
     return table.select("bucket", "table", "blocks", "which").mapInArrow(run, "order int, bucket int, block long, payload binary")
 
@@ -268,9 +280,10 @@ def token_scores(e: Encoded, told: pa.Table, order: int, word: Words, buckets: i
     rows = [(b, x) for o, b, x in zip(*(told.column(c).to_pylist() for c in ("order", "bucket", "payload")), strict=True) if o == order]
     known, value = np.zeros(len(ctx), bool), np.zeros(len(ctx), np.float32)
     for b, data in rows:
-        k, v = unpack(data)
-        known[place[cuts[b] : cuts[b + 1]]] = k
-        value[place[cuts[b] : cuts[b + 1]]] = unplaned(v, np.float32)
+        k, values, v = unpack(data)
+        at = place[cuts[b] : cuts[b + 1]]
+        known[at] = np.unpackbits(k, count=len(at)).view(bool)
+        value[at] = uncoded(values, v)
     return value[which] + np.where(known[which], 0, below)
 
 
@@ -296,11 +309,13 @@ def katz_scores(docs: DataFrame, order: int = 2, folds: int = 5, held_out: int =
     told = words.where("block >= 0").select(F.lit(1).alias("order"), "bucket", "block", "payload")
     for n in range(2, order + 1):
         table = work.write(gram_table(encoded, told, n, word, buckets), f"grams{n}", "uncompressed")
+        work.drop()
         sums = table.select(F.posexplode("stats")).groupBy("pos").agg(F.sum("col").alias("n")).collect()
         counts_of = np.zeros(CUTOFF + 2, np.int64)
         for r in sums:
             counts_of[r.pos] = r.n
         told = told.unionByName(work.write(gram_answers(table, good_turing(counts_of), n), f"answers{n}", "uncompressed"))
+        work.drop(f"grams{n}")
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def score(block: pa.Table, answer: pa.Table) -> pa.Table:

@@ -41,6 +41,8 @@ TELLING = {
     "share": "share sharing social follow like buttons meta byline author date",
 }
 GROUPS = list(TELLING)
+#: Groups of which an element isn't part of the main text.
+ASIDE = sum(1 << k for k, g in enumerate(GROUPS) if g not in ("main", "head"))
 WORD_GROUPS: dict[str, set[int]] = {}
 for _k, _words in enumerate(TELLING.values()):
     for _w in _words.split():
@@ -190,6 +192,9 @@ def features(nodes: list[Node]) -> np.ndarray:
         has("article", "main"), has("nav", "header", "footer", "aside"), has("form"),
         np.isin(kind, [KINDS.index(t) for t in ("nav", "header", "footer", "aside")]), np.isin(kind, [KINDS.index(t) for t in ("form", "button", "label")]), np.isin(kind, [KINDS.index(t) for t in ("article", "main")]), np.arange(n) / n, sub[parent, 1] / np.maximum(1, text[parent]),
     ]
+    path = attrs | above
+    aside = ((path & ASIDE) > 0) | (cols[20] > 0) | (cols[21] > 0) | cols[22] | cols[23]  # something on the way here tells of no main text
+    cols += [aside, ~aside & ((cols[19] > 0) | cols[24] | ((path & 1 << GROUPS.index("main")) > 0))]
     for bits in (attrs, above, below):
         cols += [(bits >> k) & 1 for k in range(len(GROUPS))]
     return np.stack([np.asarray(c, float) for c in cols], 1)
@@ -316,7 +321,7 @@ def sample_page(rng: random.Random) -> str:
 
 
 @cache
-def trained(pages: int = 1500, seed: int = 5) -> Forest:
+def trained(pages: int = 600, seed: int = 5) -> Forest:
     """The model of invented pages: a node is positive where its subtree has main text."""
     rng = random.Random(seed)
     xs, ys = [], []

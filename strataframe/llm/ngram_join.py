@@ -20,6 +20,8 @@ SLICES = 16
 FILTER = 23
 #: Prefix entries that one bucket of the join is to hold.
 BUCKET = 1_500_000
+#: Runs of a shingle up to this many members lose those that could link with none of the others.
+PAIRED = 48
 #: Members that one verification group holds beside its pivot.
 GROUP = 200
 _ROLL = np.uint64(0x100000001B3)
@@ -207,7 +209,7 @@ def group_heads(loads: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return doc, doc[fresh][np.cumsum(fresh) - 1]
 
 
-def shared_shingles(payloads: list[bytes]) -> tuple[np.ndarray, ...]:
+def shared_shingles(payloads: list[bytes], percent: int) -> tuple[np.ndarray, ...]:
     """A bucket's shared shingles: their members' documents, sizes and places, and where each shingle's run starts."""
     doc, size, token, owner, place = [], [], [], [], []
     base = 0
@@ -224,9 +226,20 @@ def shared_shingles(payloads: list[bytes]) -> tuple[np.ndarray, ...]:
     token, owner, place = token[order], owner[order], place[order]
     fresh = np.r_[True, token[1:] != token[:-1]][: len(token)]
     run = np.cumsum(fresh) - 1
-    many = np.bincount(run)[run] > 1
-    starts = np.flatnonzero(fresh[many])
-    return doc[owner[many]], size[owner[many]].astype(np.int64), place[many].astype(np.int64), starts
+    length = np.bincount(run)[run] if len(run) else run
+    n, p = size[owner].astype(np.int64), place.astype(np.int64)
+    # Members that could link with another one of their run; long runs keep all of theirs.
+    useful = length > PAIRED
+    ahead = (np.append(np.flatnonzero(fresh)[1:], len(token))[run] - np.arange(len(token)) - 1) if len(run) else run
+    for d in range(1, PAIRED):
+        i = np.flatnonzero((ahead >= d) & (length <= PAIRED))
+        if not len(i):
+            break
+        ok = may_link(n[i], p[i], n[i + d], p[i + d], percent) & (owner[i] != owner[i + d])
+        useful[i[ok]] = useful[i[ok] + d] = True
+    at = np.flatnonzero(useful)
+    starts = np.flatnonzero(np.r_[True, run[at][1:] != run[at][:-1]][: len(at)])
+    return doc[owner[at]], n[at], p[at], starts
 
 
 def may_link(n1: np.ndarray, p1: np.ndarray, n2: np.ndarray, p2: np.ndarray, percent: int) -> np.ndarray:
@@ -268,7 +281,7 @@ def ngram_links(docs: DataFrame, words: int, percent: int, work: Workspace) -> t
     buckets = max(shuffle_parts(spark), int(entries) // BUCKET + 1)
 
     def lists(batch: pa.Table) -> pa.Table:
-        doc, size, place, starts = shared_shingles(batch.column("payload").to_pylist())
+        doc, size, place, starts = shared_shingles(batch.column("payload").to_pylist(), percent)
         whose = group_heads(batch.column("groups").to_pylist())
         return pa.table({"bucket": batch.column("bucket")[:1], "payload": [pack(doc, size.astype(np.uint32), place.astype(np.uint16), starts)], "groups": [pack(*whose)]})
 

@@ -14,7 +14,7 @@ from strataframe.llm.katz import katz_scores
 from strataframe.llm.ngram_join import ngram_components
 from strataframe.llm.packing import pack
 from strataframe.llm.quality_model import quality_scores
-from strataframe.llm.quality_rules import quality_rules
+from strataframe.llm.quality_rules import RULES, STOP_WORDS, quality_rules
 from strataframe.llm.sentence_pieces import round_trips
 from strataframe.llm.suffix_dedup import suffix_dedup
 from strataframe.llm.token_counts import token_counts
@@ -83,7 +83,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": op10_quality_rules,
 }
 
+def rules_sql() -> str:
+    """The same counts, and the same table of thresholds, in DuckDB's SQL."""
+    stop = ", ".join(f"'{w}'" for w in STOP_WORDS)
+    limits = [f"{r.measure} >= {r.low}" for r in RULES if r.low is not None] + [f"{r.measure} <= {r.high}" for r in RULES if r.high is not None]
+    return rf"""
+        with d as (select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+        l as (select *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as ls from d),
+        g as (select doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] as g from (select doc_id, ws, unnest(range(1, len(ws) - 1)) as i from d)),
+        s as (select doc_id, i from (select *, count(*) over (partition by doc_id, g) as n from g) where n > 1),
+        r as (select doc_id, count(distinct i + k) as n from s, range(0, 3) t(k) group by doc_id),
+        m as (select doc_id, len(ws) as n_words, length(array_to_string(ws, '')) as word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) as n_symbols,
+            len(ls) - len(list_distinct(ls)) as n_dup_lines, coalesce(r.n, 0) as n_repeat_words, len(ls) as n_lines, length(regexp_replace(t, '[^\p{{Lu}}]', '', 'g')) as n_upper,
+            length(regexp_replace(t, '[^!]', '', 'g')) as n_exclaim, len(list_filter(ws, lambda w: w in ({stop}))) as n_stop from l left join r using (doc_id)),
+        q as (select *, word_chars / greatest(n_words, 1) as mean_word_chars, n_symbols / greatest(n_words, 1) as symbol_ratio, n_upper / greatest(word_chars, 1) as upper_ratio,
+            n_exclaim / greatest(n_words, 1) as exclaim_ratio, n_stop / greatest(n_words, 1) as stop_ratio, n_dup_lines / greatest(n_lines, 1) as dup_line_ratio,
+            n_repeat_words / greatest(n_words, 1) as repeat_ratio, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from m)
+        select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and {" and ".join(limits)} as kept from q"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op10_quality_rules": rules_sql(),
     "op8_exact_dedup": """
         with d as (select doc_id, coalesce(text, '') as text from documents),
         g as (select text, max(doc_id) as keep_id, count(*) as group_size from d group by text)

@@ -34,6 +34,10 @@ def fold_of(doc_id: int, n: int) -> int:
     return zlib.crc32(str(doc_id).encode()) % n
 
 
+#: Spark's setting that removes a query's shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Workspace:
     """Tables of one run in the folder that spark.checkpoint.dir names, read back without lineage.
 
@@ -52,7 +56,13 @@ class Workspace:
         return f"{self.root}/{name}"
 
     def write(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-        df.write.mode("overwrite").option("compression", codec).parquet(self.path(name))
+        """The table, written and read again. Once it is written nothing needs the shuffle files that made it."""
+        conf, held = self.spark.conf, self.spark.conf.get(CLEANUP, "false")
+        conf.set(CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").option("compression", codec).parquet(self.path(name))
+        finally:
+            conf.set(CLEANUP, held)
         return self.read(name)
 
     def read(self, name: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataframe.functions import kernels
+from strataframe.functions import seeds as seeds_
 from strataframe.operators.labels import PALETTE
 
 SCHEMA = "figure_id long, y int, x int, lbl int, error string"
@@ -239,3 +240,34 @@ def polygons(lb: DataFrame, least: int = 50, tolerance: float = 2.0) -> DataFram
         return pa.table({"figure_id": pa.array([f] * len(rows), pa.int64()), "lbl": pa.array(cols[0], pa.int32()), "ring": pa.array(cols[1], pa.int32()), "n_vertices": pa.array(cols[2], pa.int32()), "wkt": pa.array(cols[3], pa.string())})
 
     return lb.select("figure_id", "y", "x", "lbl").groupBy("figure_id").applyInArrow(run, "figure_id long, lbl int, ring int, n_vertices int, wkt string")
+
+
+def color_groups(px: DataFrame) -> DataFrame:
+    """(figure_id, ord, r, g, b, n, x, y): a figure's colour groups and the pixel that stands for each."""
+
+    def run(t: pa.Table) -> pa.Table:
+        _, _, rgb = panel(t)
+        back = np.median([rgb[0, 0], rgb[0, -1], rgb[-1, 0], rgb[-1, -1], rgb[rgb.shape[0] // 2, rgb.shape[1] // 2]], axis=0)
+        rows = []
+        for k, (mean, n) in enumerate(seeds_.color_groups(rgb)):
+            at = seeds_.find_pixel(rgb, mean, back) or (None, None)
+            rows.append((k, *(round(float(v), 4) for v in mean), n, *at))
+        f = t.column("figure_id")[0].as_py()
+        kinds = [pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.int32(), pa.int32()]
+        return pa.table({"figure_id": pa.array([f] * len(rows), pa.int64())} | {n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(zip(["ord", "r", "g", "b", "n", "x", "y"], kinds, strict=True))})
+
+    return px.select("figure_id", "y", "x", "r", "g", "b").groupBy("figure_id").applyInArrow(run, "figure_id long, ord int, r double, g double, b double, n long, x int, y int")
+
+
+def smooth_boundary(boundary: DataFrame, smoothness: float = 0.3) -> DataFrame:
+    """Local cubic smoothing of each boundary: a window of that share of its width, made odd, borders mirrored."""
+
+    def run(t: pa.Table) -> pa.Table:
+        x, y = t.column("x").to_numpy(), t.column("yb").to_numpy()
+        order = np.argsort(x)
+        n = len(x)
+        window = min(max(5, int(smoothness * n)) | 1, n - 1 if n % 2 == 0 else n - 2)
+        out = kernels.savgol(y[order], window, min(3, window - 2)) if window >= 5 else y[order]
+        return pa.table({"figure_id": t.column("figure_id"), "x": pa.array(x[order], pa.int32()), "yb": pa.array(np.round(out, 4))})
+
+    return boundary.groupBy("figure_id").applyInArrow(run, "figure_id long, x int, yb double")

@@ -284,3 +284,5 @@ of_pixels("lb_tiny_fragments", lambda px: engines.fragments(engines.parts(labels
 of_pixels("lb_fragmentation", lambda px: engines.fragmentation(engines.parts(labels.nearest_palette(px))))
 of_pixels("lb_polygons", lambda px: engines.polygons(labels.nearest_palette(px)))
 of_labels("hz_label_blur", lambda lb: count_labels(engines.label_blur(lb)))
+of_pixels("fig_color_groups", engines.color_groups)
+of_labels("hz_savgol", lambda lb: engines.smooth_boundary(horizon.dense_boundary(top_pair(lb), 1, 2)))

@@ -109,3 +109,14 @@ def test_stream_resumes(spark, tmp_path):
     step()
     step()
     assert sorted(r.twice for r in spark.read.parquet(out).collect()) == [2, 4]
+
+
+def test_seeds():
+    from strataframe.functions import seeds
+
+    rgb = np.full((20, 20, 3), 250.0)
+    rgb[5:15, 5:15] = (10, 200, 10)
+    groups = seeds.color_groups(rgb)
+    assert [n for _, n in groups] == [300, 100] and seeds.quantization(rgb) == 1.0
+    assert seeds.find_pixel(rgb, np.array([10, 200, 10]), np.array([250, 250, 250])) == (9, 9)
+    assert seeds.first_foreground(rgb, 2, 10, np.array([250, 250, 250])) == (5, 8)

@@ -203,8 +203,10 @@ class Shard:
         self.text, self.width = text, width
         sa, rank = suffix_array(text)
         lcp = common_prefixes(text, sa, rank, width)
-        ordered = np.argsort(rank[starts])
-        place = rank[starts[ordered]]
+        at_rank = np.full(len(text), -1, np.int64)
+        at_rank[rank[starts]] = np.arange(len(starts))
+        place = np.flatnonzero(at_rank >= 0)
+        ordered = at_rank[place]
         # A class ends where, between two windows in suffix order, some prefix is short.
         short = np.cumsum(lcp[sa] < width)
         fresh = np.r_[True, short[place[1:]] != short[place[:-1]]][: len(place)]
@@ -278,13 +280,22 @@ def same_segments(text: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.n
     """A number for each segment, equal for equal contents; contents of one hash are compared in full."""
     if not len(start):
         return np.zeros(0, np.int64)
-    power = np.ones(int(size.max()), np.uint64)
+    words = np.ndarray((len(text) - 7,), "<u8", np.ascontiguousarray(text).data, strides=(1,))  # the eight bytes at each place
+    each = -(-size // 8)
+    power = np.ones(int(each.max()), np.uint64)
     power[1:] = np.cumprod(np.full(len(power) - 1, _ROLL, np.uint64))
+
+    def eights(some: slice | np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The words that cover the segments (the last one ends with its segment), their numbers, where segments start."""
+        n = each[some]
+        first = np.cumsum(n) - n
+        k = np.arange(int(n.sum())) - np.repeat(first, n)
+        return words[np.repeat(start, n) + np.minimum(8 * k, np.repeat(size[some] - 8, n))], k, first
+
     key = np.empty(len(start), np.uint64)
     for some in spans_of(size):
-        at = ragged(start[some], size[some])
-        within = at - np.repeat(start[some], size[some])
-        key[some] = np.add.reduceat((text[at].astype(np.uint64) + np.uint64(1)) * power[within], np.cumsum(size[some]) - size[some])
+        w, k, first = eights(some, start[some])
+        key[some] = np.add.reduceat((w ^ (w >> np.uint64(29))) * power[k], first)
     key = mix(key + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     _, head, number = np.unique(key, return_index=True, return_inverse=True)
     # Equal hashes of different bytes get numbers of their own.
@@ -293,8 +304,9 @@ def same_segments(text: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.n
     check = np.flatnonzero(~differs & (first != np.arange(len(start))))
     for some in spans_of(size[check]):
         like = check[some]
-        same = text[ragged(start[like], size[like])] == text[ragged(start[first[like]], size[like])]
-        differs[like] = ~np.logical_and.reduceat(same, np.cumsum(size[like]) - size[like])
+        one, _, at = eights(like, start[like])
+        two, _, _ = eights(like, start[first[like]])
+        differs[like] = ~np.logical_and.reduceat(one == two, at)
     number = number.copy()
     number[differs] = len(head) + np.flatnonzero(differs)
     return number

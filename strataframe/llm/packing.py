@@ -36,14 +36,14 @@ class Pattern(NamedTuple):
 
 def _knapsack(sizes: np.ndarray, prices: np.ndarray, room: int) -> list[int]:
     """Indices of the items, each used once at most, of the largest price that fit into ``room``."""
-    best = np.zeros(room + 1)
+    best, with_it = np.zeros(room + 1), np.empty(room + 1)
     taken = np.zeros((len(sizes), room + 1), bool)
     for i, (s, p) in enumerate(zip(sizes.tolist(), prices.tolist(), strict=True)):
         if s <= room:
-            with_it = best[: room + 1 - s] + p
-            better = with_it > best[s:]
-            taken[i, s:] = better
-            best[s:] = np.where(better, with_it, best[s:])
+            here, to = with_it[s:], best[s:]
+            np.add(best[: room + 1 - s], p, out=here)
+            np.greater(here, to, out=taken[i, s:])
+            np.maximum(here, to, out=to)
     at, out = int(np.argmax(best)), []
     for i in range(len(sizes) - 1, -1, -1):
         if taken[i, at]:
@@ -52,6 +52,23 @@ def _knapsack(sizes: np.ndarray, prices: np.ndarray, room: int) -> list[int]:
     return out
 
 
+def _fill(sizes: np.ndarray, prices: np.ndarray, most: np.ndarray, room: int) -> np.ndarray:
+    """Indices of the items, each used up to ``most`` times, of the largest price that fit: items of doubling multiplicity."""
+    most = np.minimum(most, room // sizes)
+    which, times, step = [], [], 1
+    while (some := np.flatnonzero(most > 0)).size:
+        n = np.minimum(most[some], step)
+        which.append(some)
+        times.append(n)
+        most[some] -= n
+        step *= 2
+    if not which:
+        return np.zeros(0, np.int64)
+    i, n = np.concatenate(which), np.concatenate(times)
+    got = _knapsack(sizes[i] * n, prices[i] * n, room)
+    return np.repeat(i[got], n[got])
+
+
 def plan(counts: dict[int, int], capacity: int, rounds: int = 4000, rate: float = 4.0, seed: int = 11) -> list[Pattern]:
     """Patterns that hold every item of the length histogram exactly once.
 
@@ -59,7 +76,7 @@ def plan(counts: dict[int, int], capacity: int, rounds: int = 4000, rate: float
     length; a column's entries say how many items it covers. Multiplicative weights price the
     lengths: a length starts at its share of the capacity and loses weight as its demand is
     covered, so uncovered lengths become dear. Each round prices a column by a knapsack dynamic
-    program and takes it as often as its scarcest length allows in whole numbers, which rounds
+    program, in which a length may be repeated as often as it is left and fits, and takes it as often as its scarcest length allows in whole numbers, which rounds
     the program's solution down as it grows. What stays uncovered is filled by the same
     knapsack around the longest remaining item, which is best fit with the whole remainder in
     view. The histogram has at most ``capacity`` rows, so neither time nor the plan's size
@@ -76,6 +93,12 @@ def plan(counts: dict[int, int], capacity: int, rounds: int = 4000, rate: float
         out[key] = out.get(key := tuple(sorted(lengths[chosen].tolist(), reverse=True)), 0) + times
         np.subtract.at(left, chosen, times)
 
+    def fill_by_length(items: np.ndarray, got: np.ndarray, room: int) -> np.ndarray:
+        """What is left of the items, beside those already chosen, that fills the room best."""
+        spare = left.copy()
+        np.subtract.at(spare, got, 1)
+        return items[_fill(lengths[items], lengths[items].astype(float), spare[items], room)]
+
     for _ in range(rounds):
         open_ = np.flatnonzero(left)
         if left.sum() * (lengths[open_].mean() if len(open_) else 0) < 40 * capacity:
@@ -88,32 +111,17 @@ def plan(counts: dict[int, int], capacity: int, rounds: int = 4000, rate: float
             some = np.concatenate([dear, np.sort(rng.choice(rest, DRAWN, replace=False, p=p))])
         else:
             some = np.arange(len(open_))
-        # Lengths with much demand may be used more than once: as items of doubling multiplicity.
+        # A length may be used as often as it is left and fits.
         items = open_[some]
-        again = items[(left[items] >= 8) & (lengths[items] * 2 < capacity)][: DRAWN // 2]
-        both = np.concatenate([items, again])
-        cost = np.concatenate([price[some], price[np.searchsorted(open_, again)]])
-        got = both[_knapsack(lengths[both], cost, capacity)]
+        got = items[_fill(lengths[items], price[some], left[items], capacity)]
+        if (room := int(capacity - lengths[got].sum())) > 16:  # the price alone leaves room: fill it by length
+            got = np.concatenate([got, fill_by_length(items, got, room)])
         used, n = np.unique(got, return_counts=True)
-        if lengths[got].sum() < capacity - 16:  # the price alone leaves room: fill it by length
-            more = np.setdiff1d(items, used)
-            extra = more[_knapsack(lengths[more], lengths[more].astype(float), int(capacity - lengths[got].sum()))]
-            got = np.concatenate([got, extra])
-            used, n = np.unique(got, return_counts=True)
         take(got, max(1, int((left[used] // n).min())))
     while left.any():
         open_ = np.flatnonzero(left)
-        first = open_[-1]
-        left[first] -= 1
-        rest = open_[left[open_] > 0][::-1]
-        left[first] += 1
-        got = np.concatenate([[first], rest[_knapsack(lengths[rest], lengths[rest].astype(float), int(capacity - lengths[first]))]]) if len(rest) else np.array([first])
-        if len(rest) < 12:  # few lengths are left: repeat them where they fit
-            room, spare = int(capacity - lengths[got].sum()), left.copy()
-            np.subtract.at(spare, got, 1)
-            for i in rest:
-                n = min(int(spare[i]), room // int(lengths[i]))
-                got, room = np.concatenate([got, np.full(n, i)]), room - n * int(lengths[i])
+        got = open_[-1:]
+        got = np.concatenate([got, fill_by_length(open_[::-1], got, int(capacity - lengths[got].sum()))])
         used, n = np.unique(got, return_counts=True)
         take(got, max(1, int((left[used] // n).min())))
     return [Pattern(k, v) for k, v in sorted(out.items(), reverse=True)]

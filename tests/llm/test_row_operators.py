@@ -110,6 +110,18 @@ def test_plan_covers_all_items():
         assert seen == Counter(counts)
 
 
+@pytest.mark.parametrize(("counts", "most"), [({100: 10000}, 1.03), ({k: 10000 for k in range(10, 41)}, 1.01), ({300: 20000} | {k: 3 for k in range(1, 4096, 7) if k != 300}, 1.06)])
+def test_plan_repeats_lengths(counts, most):
+    plan = packing.plan(counts, 4096)
+    seen = Counter()
+    for p in plan:
+        assert sum(p.lengths) <= 4096
+        for n in p.lengths:
+            seen[n] += p.copies
+    assert seen == Counter(counts)
+    assert sum(p.copies for p in plan) <= most * -(-sum(k * n for k, n in counts.items()) // 4096)
+
+
 def test_quality_model_learns(spark):
     rng = random.Random(6)
     good = lambda: " ".join(rng.choice(["the", "cat", "sat", "mat", "dog", "ran"]) for _ in range(60))

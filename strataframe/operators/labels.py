@@ -37,18 +37,18 @@ def kmeans_rounds(px: DataFrame, palette: list[tuple[int, int, int]] = PALETTE,
     """Lloyd's rounds per figure from a given palette; an empty cluster keeps its centre.
 
     A figure's centres are one row of a few numbers beside its pixels, and a round is one partial
-    aggregate by (figure, label). The labels are those from before the last update of the centres.
+    aggregate by figure that carries the old centres along, so the plan grows by one join a round.
+    The labels are those from before the last update of the centres.
     """
     first = F.array(*[F.struct(*[F.lit(float(v)).alias(c) for c, v in zip("rgb", p, strict=True)]) for p in palette])
     centres = px.select("figure_id").distinct().withColumn("cs", first)
     out = px
     for k in range(rounds):
         d = F.transform("cs", lambda c: F.round((F.col("r") - c.r) * (F.col("r") - c.r) + (F.col("g") - c.g) * (F.col("g") - c.g) + (F.col("b") - c.b) * (F.col("b") - c.b), 6))
-        out = px.join(centres, "figure_id").withColumn("d", d).select(*KEYS, "r", "g", "b", (F.array_position("d", F.array_min("d")) - 1).cast("int").alias("lbl"))
+        out = px.join(centres, "figure_id").withColumn("d", d).select(*KEYS, "r", "g", "b", "cs", (F.array_position("d", F.array_min("d")) - 1).cast("int").alias("lbl"))
         if k + 1 < rounds:
-            means = out.groupBy("figure_id", "lbl").agg(F.struct(*[F.round(F.avg(c), 6).alias(c) for c in "rgb"]).alias("m"))
-            found = means.groupBy("figure_id").agg(F.map_from_entries(F.collect_list(F.struct("lbl", "m"))).alias("ms"))
-            centres = centres.join(found, "figure_id").select("figure_id", F.transform("cs", lambda c, i: F.coalesce(F.try_element_at(F.col("ms"), i), c)).alias("cs"))
+            mean = lambda i, c: F.coalesce(F.round(F.avg(F.when(F.col("lbl") == i, F.col(c))), 6), F.first(F.col("cs")[i][c])).alias(c)
+            centres = out.groupBy("figure_id").agg(F.array(*[F.struct(*[mean(i, c) for c in "rgb"]) for i in range(len(palette))]).alias("cs"))
     return out.select(*KEYS, "lbl")
 
 

@@ -55,7 +55,7 @@ for _name, _f in {
     "colorbar_bbox": features.colorbar,
     "colorbar_samples": features.colorbar_samples,
     "lb_nearest_palette": lambda px: count_labels(labels.nearest_palette(px)),
-    "lb_kmeans_rounds": lambda px: count_labels(labels.kmeans_rounds(px, rounds=3)),
+    "lb_kmeans_rounds": lambda px: count_labels(labels.kmeans_rounds(px, rounds=10)),
     "lb_reorder_median_y": lambda px: count_labels(labels.reorder_by_median_row(labels.nearest_palette(px))),
     "lb_consistency": lambda px: labels.consistency(labels.nearest_palette(px)),
     "panel_gap_runs": panels.gap_runs,

@@ -37,6 +37,25 @@ def test_same_as_sql(spark, duck, name):
     assert rows(got.select(names).collect()) == rows(want.fetchall())
 
 
+def test_kmeans_takes_ten_rounds(spark):
+    from collections import Counter
+
+    from strataframe.operators.labels import PALETTE
+    from strataframe.sources import tables
+
+    figures = {}
+    for r in tables.pixels(spark, SF).select("figure_id", "r", "g", "b").collect():
+        figures.setdefault(r[0], []).append(r[1:])
+    want = Counter()
+    for f, p in figures.items():
+        p, centres = np.array(p, float), np.array(PALETTE, float)
+        for _ in range(10):
+            lbl = ((p[:, None] - centres) ** 2).sum(2).round(6).argmin(1)
+            centres = np.array([p[lbl == k].mean(0).round(6) if (lbl == k).any() else centres[k] for k in range(len(centres))])
+        want.update((f, int(k)) for k in lbl)
+    assert {(r.figure_id, r.lbl): r.n for r in QUERIES["lb_kmeans_rounds"](spark, SF).collect()} == want
+
+
 def test_every_oracle_has_a_query():
     assert set(ORACLE_SQL) <= set(QUERIES)
 

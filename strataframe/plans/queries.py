@@ -246,7 +246,7 @@ def pages_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def captions_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    captions = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), F.trim(F.substring("text", 1, 120)).alias("caption"))
+    captions = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), F.trim("text").alias("caption"))
     return table(spark, sf_dir, "pages").select("page_id").join(captions, "page_id", "left").select("page_id", F.coalesce("caption", F.lit("")).alias("caption"))
 
 

@@ -56,6 +56,12 @@ def test_kmeans_takes_ten_rounds(spark):
     assert {(r.figure_id, r.lbl): r.n for r in QUERIES["lb_kmeans_rounds"](spark, SF).collect()} == want
 
 
+def test_captions_are_whole(spark, duck):
+    want = dict(duck.execute("select p.page_id, coalesce(trim(d.text), '') from pages p left join documents d on p.page_id = d.doc_id").fetchall())
+    assert max(map(len, want.values())) > 120
+    assert {r.page_id: r.caption for r in QUERIES["captions_join"](spark, SF).collect()} == want
+
+
 def test_every_oracle_has_a_query():
     assert set(ORACLE_SQL) <= set(QUERIES)
 

@@ -23,7 +23,7 @@ BLOCKS = (
     "table tbody td tfoot th thead tr ul button label"
 ).split()
 VOID = "area base br col embed hr img input link meta param source track wbr".split()
-RAW = "script style textarea title noscript template iframe svg math object canvas audio video head".split()
+RAW = "script style textarea title noscript template iframe svg math object canvas audio video".split()
 #: Elements that an opening tag ends, when they are the innermost block or stand open above inline elements.
 ENDS = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 ENDS |= {b: {"p"} for b in BLOCKS if b not in ENDS and b not in ("button", "label", "option", "select")}
@@ -47,7 +47,7 @@ WORD_GROUPS: dict[str, set[int]] = {}
 for _k, _words in enumerate(TELLING.values()):
     for _w in _words.split():
         WORD_GROUPS.setdefault(_w, set()).add(_k)
-KINDS = ["body", "div", "section", "article", "main", "header", "footer", "nav", "aside", "p", "h1", "h2", "h3", "ul", "li", "table", "td", "form", "blockquote", "button", "label", "other"]
+KINDS = ["body", "div", "section", "article", "main", "header", "footer", "nav", "aside", "p", "h1", "h2", "h3", "ul", "li", "table", "td", "form", "blockquote", "button", "label", "run", "other"]
 KIND = {t: i for i, t in enumerate(KINDS)} | {t: KINDS.index("h3") for t in ("h4", "h5", "h6")} | {"ol": KINDS.index("ul"), "html": 0, "menu": KINDS.index("nav"), "th": KINDS.index("td")}
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
@@ -76,7 +76,8 @@ def _telling(value: str) -> int:
 def parse(page: str) -> list[Node]:
     """Block elements in page order; inline elements only lend their text, links and inputs to them.
 
-    Text that no block holds is the body's. Unclosed and stray tags are taken as browsers do in
+    A run of text that no block holds is a leaf of its own below the body. The head ends at its end
+    tag, the body's tag or the first content, whichever comes first. Unclosed and stray tags are taken as browsers do in
     the common cases: blocks end open paragraphs, items end items, and an end tag without its
     start is passed over. An unclosed raw element runs to the page's end, an unclosed tag too.
     """
@@ -86,16 +87,32 @@ def parse(page: str) -> list[Node]:
     raw_end = None
     size = len(page)
     in_link = 0
+    run = 0  # the body's open run of text, 0 if none
+    in_head = run_main = False
+
+    def holder() -> int:
+        """The node that takes text and inline elements here."""
+        return stack[-1] or run
+
     while at < size:
         if raw_end:
             m = re.compile(rf"</{raw_end}\b[^>]*>?", re.I).search(page, at)
+            if in_head and (not m or raw_end == "title"):  # unclosed in a head: up to the head's end
+                end = HEAD_END.search(page, at, m.start() if m else size)
+                at, raw_end = (end.start() if end else m.end() if m else size), None
+                continue
             at, raw_end = (m.end() if m else size), None
             continue
         m = TAG.search(page, at)
         stop = m.start() if m else size
         if stop > at:
             text = page[at:stop]
-            node = nodes[stack[-1]]
+            if not holder() and text.strip():
+                nodes[0].children += 1
+                run, in_head = len(nodes), False
+                nodes.append(Node("run", 0, 1, 0, run_main, run))
+                nodes[run].spot = nodes[0].children
+            node = nodes[holder()]
             place += 1
             node.parts.append((place, text))
             if in_link:
@@ -107,6 +124,8 @@ def parse(page: str) -> list[Node]:
         if not tag:
             continue
         tag, closing, attrs = tag.lower(), m[1] or m[4], m[3] or m[6] or ""
+        if tag in ("head", "body"):
+            in_head = tag == "head" and not closing
         if closing:
             if tag == "a":
                 in_link = max(0, in_link - 1)
@@ -117,13 +136,19 @@ def parse(page: str) -> list[Node]:
                         in_link = 0
                         break
                 place += 1
-                nodes[stack[-1]].parts.append((place, " "))
+                nodes[holder()].parts.append((place, " "))
+            elif tag == "span":
+                run_main = False
             continue
         if tag in RAW_SET:
             if not attrs.rstrip().endswith("/"):
                 raw_end = tag
             continue
-        node = nodes[stack[-1]]
+        if tag == "head":
+            continue
+        if tag == "hr" and not stack[-1]:
+            run = 0
+        node = nodes[holder()]
         if tag in VOID_SET or tag not in BLOCK_SET:
             node.tags += 1
             if tag == "a":
@@ -133,13 +158,16 @@ def parse(page: str) -> list[Node]:
             elif tag in ("br", "hr", "img"):
                 place += 1
                 node.parts.append((place, " "))
+            elif tag == "span":
+                run_main = "data-main" in attrs
             continue
         if tag in ("html", "body"):
             continue
         ends = ENDS.get(tag, ())
         while len(stack) > 1 and nodes[stack[-1]].tag in ends:
             stack.pop()
-        in_link = 0
+        in_link = run = 0
+        in_head = False
         bits, main = 0, False
         for name, a, b, c in ATTRIBUTE.findall(attrs) if attrs else ():
             if name.lower() == "data-main":
@@ -157,6 +185,7 @@ def parse(page: str) -> list[Node]:
     return nodes
 
 
+HEAD_END = re.compile(r"</head\b|<body\b", re.I)
 BLOCK_SET, VOID_SET, RAW_SET = set(BLOCKS), set(VOID), set(RAW)
 
 
@@ -317,7 +346,14 @@ def sample_page(rng: random.Random) -> str:
         article = f"<{rng.choice(['main', 'div'])}{named('page', 'wrapper', 'container', 'content')}>{article}"
     before = [extra[k]() for k in ("header", "nav", "notice", "ad", "form", "aside") if rng.random() < 0.45]
     after = [extra[k]() for k in ("ad", "aside", "talk", "form", "notice", "footer") if rng.random() < 0.45]
-    return f"<html><head><title>{word()}</title></head><body>{''.join(before)}{article}{''.join(after)}"
+    if rng.random() < 0.25:  # text directly in the body, also behind an end tag too many
+        bare = lambda: "<span data-main>" + "".join(rng.choice([f"{prose(8)}<br>", f"{prose(5)} <b>{word()}</b> ", f"{prose(3)} {link()} {prose(4)}<br><br>"]) for _ in range(rng.choice([1, 2, 4, 8]))) + "</span>"
+        marked = heading.replace(">", " data-main>", 1)
+        article = rng.choice([marked + bare(), f"{bare()}<p data-main>{prose(6)}</p>{bare()}", f"<{tag}{named('content', 'post')}>{body}</{tag}></{tag}>{bare()}"])
+    if rng.random() < 0.25:
+        other = lambda: rng.choice([f"&copy; {word()} {rng.randrange(1990, 2030)} {sentence()}", " | ".join(link() for _ in range(rng.randrange(1, 9))), f"{word()} {link()}"])
+        (before if rng.random() < 0.5 else after).append(f"<hr>{other()}<hr>")
+    return f"<html><head><title>{word()}</title>{rng.choice(['</head><body>', '<body>', '</head><body>'])}{''.join(before)}{article}{''.join(after)}"
 
 
 @cache
@@ -351,9 +387,9 @@ def decode(nodes: list[Node], odds: np.ndarray) -> list[bool]:
 
 
 def main_text(nodes: list[Node], is_open: list[bool]) -> str:
-    """Open blocks' own text in page order; the body's own text counts only where nothing else is on the page."""
-    lone = len(nodes) == 1
-    parts = sorted(p for k, (x, ok) in enumerate(zip(nodes, is_open, strict=True)) if ok and (k or lone) for p in x.parts)
+    """Open blocks' and runs' own text in page order; without any block the whole page is main text."""
+    lone = all(x.tag == "run" for x in nodes[1:])
+    parts = sorted(p for x, ok in zip(nodes, is_open, strict=True) if ok or lone for p in x.parts)
     return " ".join(html.unescape("".join(t for _, t in parts)).split())
 
 

@@ -146,6 +146,17 @@ def test_html():
     assert all(is_open[n.parent] for n, ok in zip(nodes, is_open, strict=True) if ok and n.parent >= 0)
 
 
+def test_html_text_of_the_body():
+    model = html_extract.trained()
+    nav, foot = '<nav><ul><li><a href="/a">Home</a></li><li><a href="/b">News</a></li></ul></nav>', "<footer>&copy; site 2020. All rights.</footer>"
+    text = "The first sentence of a text, which is long enough. It has a second one, and <b>bold</b> words.<br>More of it follows here, as texts do."
+    want = " ".join(re.sub("<[^>]*>", " ", text).split())
+    pages = [f"<body>{nav}{text}{foot}", f"<body>{nav}<article><h1>A title</h1><p>{text}</p></article></div>{foot}", f"<body>{nav}<div><p>{text}</p></div></div>{text}{foot}"]
+    assert html_extract.extract(pages, model) == [want, f"A title {want}", f"{want} {want}"]
+    open_heads = [f"<head><title>t</title><body>{nav}<article><p>{text}</p></article>", f"<html><head><meta charset=utf-8><title>t</title><article><p>{text}</p></article>", f"<head><title>t</head><body><article><p>{text}</p></article>"]
+    assert html_extract.extract(open_heads, model) == [want] * 3
+
+
 def test_html_rows(spark):
     rows = [(1, "u", None, 3), (2, None, "<p>a</p>", 4), (2, None, "<p>a</p>", 4)]
     got = html_extract.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string, text int")).collect()

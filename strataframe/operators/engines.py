@@ -9,9 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataframe.functions import kernels
+from strataframe.functions import colors, kernels
 from strataframe.functions import seeds as seeds_
-from strataframe.operators.labels import PALETTE
 
 SCHEMA = "figure_id long, y int, x int, lbl int, error string"
 
@@ -62,30 +61,84 @@ def drop_small(lbl: np.ndarray, least: int) -> np.ndarray:
     return out
 
 
-def seeds(rgb: np.ndarray) -> np.ndarray:
-    return np.array(PALETTE, float)
+def lab(rgb: np.ndarray) -> np.ndarray:
+    v = rgb / 255.0
+    v = np.where(v > 0.04045, ((v + 0.055) / 1.055) ** 2.4, v / 12.92)
+    t = v @ np.array(colors.XYZ).T / np.array(colors.WHITE)
+    f = np.where(t > colors.KNEE, np.cbrt(t), t * colors.SLOPE + colors.SHIFT)
+    return np.stack([f[..., 1] * 116 - 16, (f[..., 0] - f[..., 1]) * 500, (f[..., 1] - f[..., 2]) * 200], -1)
+
+
+def seeds(rgb: np.ndarray, n_layers: int = 5) -> np.ndarray:
+    """The figure's colour groups, those unlike its background first, two more than layers at most."""
+    back = np.median([rgb[0, 0], rgb[0, -1], rgb[-1, 0], rgb[-1, -1], rgb[rgb.shape[0] // 2, rgb.shape[1] // 2]], axis=0)
+    found = np.array([m for m, _ in seeds_.color_groups(rgb, most=20)])
+    like = np.sqrt(((found - back) ** 2).sum(1)) < 80
+    return found[np.argsort(like, kind="stable")][: n_layers + 2]
 
 
 def v4_kmeans(rgb: np.ndarray) -> np.ndarray:
-    return kernels.median_filter(nearest(rgb, seeds(rgb)), 5)
+    return kernels.median_filter(nearest(lab(rgb), lab(seeds(rgb))), 5)
 
 
 def kmeans_full(rgb: np.ndarray) -> np.ndarray:
-    return lloyd(rgb, seeds(rgb))[0]
+    return lloyd(lab(rgb), lab(seeds(rgb)))[0]
+
+
+def pastel(rgb: np.ndarray, n_layers: int = 5) -> np.ndarray:
+    return lloyd(lab(rgb), lab(seeds(rgb)[:n_layers]))[0]
+
+
+def redecide(rgb: np.ndarray, lbl: np.ndarray, threshold: float = 55.0) -> np.ndarray:
+    """Pixels between two layers of like mean colours, one above the other, take the nearer one."""
+    out = lbl.copy()
+    means = {k: rgb[lbl == k].mean(0).astype(int) for k in np.unique(lbl)}
+    for i in range(int(lbl.max())):
+        a, b = means.get(i), means.get(i + 1)
+        if a is None or b is None or np.sqrt(((a - b) ** 2).sum()) >= threshold:
+            continue
+        rim = kernels.dilate(out == i, square=True) & kernels.dilate(out == i + 1, square=True)
+        lower = ((rgb - b) ** 2).sum(2) < ((rgb - a) ** 2).sum(2)
+        out[rim] = np.where(lower[rim], i + 1, i)
+    return out
 
 
 def colorbar_guided(rgb: np.ndarray) -> np.ndarray:
-    lbl = by_rows(lloyd(rgb, seeds(rgb))[0])
+    lbl = by_rows(lloyd(rgb, seeds(rgb)[:5])[0])
     for k in np.unique(lbl):
         lbl[kernels.fill_holes(lbl == k)] = k
-    return drop_small(lbl, max(8, int(0.001 * lbl.size)))
+    return redecide(rgb, drop_small(lbl, max(8, int(0.001 * lbl.size))))
+
+
+def merge_small(lbl: np.ndarray, share: float = 0.005) -> np.ndarray:
+    """Small parts of labels above 0 take the commonest label of the parts beside them; earlier changes count."""
+    comp = np.zeros(lbl.shape, int)
+    for k in np.unique(lbl[lbl > 0]):
+        own, _ = kernels.components(lbl == k, eight=True)
+        comp[own > 0] = own[own > 0] + comp.max()
+    ids, first, sizes = np.unique(comp, return_index=True, return_counts=True)
+    pairs = np.concatenate([np.stack([comp[:, :-1].ravel(), comp[:, 1:].ravel()], 1), np.stack([comp[:-1].ravel(), comp[1:].ravel()], 1)])
+    beside: dict[int, set[int]] = {}
+    for a, b in np.unique(pairs[(pairs[:, 0] != pairs[:, 1]) & (pairs > 0).all(1)], axis=0).tolist():
+        beside.setdefault(a, set()).add(b)
+        beside.setdefault(b, set()).add(a)
+    size, now = dict(zip(ids.tolist(), sizes.tolist(), strict=True)), dict(zip(ids.tolist(), lbl.ravel()[first].tolist(), strict=True))
+    for c in ids[np.argsort(first)].tolist():
+        if c and size[c] < share * lbl.size and c in beside:
+            votes: dict[int, int] = {}
+            for n in beside[c]:
+                votes[now[n]] = votes.get(now[n], 0) + size[n]
+            now[c] = min(votes, key=lambda k: (-votes[k], k))
+    out = np.array([now[c] for c in ids.tolist()])[np.searchsorted(ids, comp)]
+    return np.unique(out, return_inverse=True)[1].reshape(lbl.shape)
 
 
 def edge_guided(rgb: np.ndarray, weight: float = 0.5, sigma: float = 3.0) -> np.ndarray:
     """Pixels between two centres and near an edge take the commonest label of their edge-free region."""
-    lbl, centres = lloyd(rgb, seeds(rgb), 30)
+    own = lab(rgb)
+    lbl, centres = lloyd(own, lab(seeds(rgb)), 30)
     edges = kernels.canny(rgb.mean(2) / 255)
-    d = np.sort(np.sqrt(((rgb[:, :, None, :] - centres) ** 2).sum(3)), axis=2)
+    d = np.sort(np.sqrt(((own[:, :, None, :] - centres) ** 2).sum(3)), axis=2)
     unsure = (d[..., 0] / np.maximum(d[..., 1], 1e-9) > 1 - weight) & (kernels.distance_to(edges) <= sigma if edges.any() else False)
     comp, n = kernels.components(~edges, eight=True)
     out = lbl.copy()
@@ -135,17 +188,17 @@ def ensemble(rgb: np.ndarray) -> np.ndarray:
     votes = [v4_kmeans(rgb)] + ([kmeans_full(rgb)] if share >= 0.1 else []) + ([edge_guided(rgb)] if share >= 0.5 else [])
     if len(votes) == 1:
         return votes[0]
-    total = np.zeros((*rgb.shape[:2], len(PALETTE)))
+    total = np.zeros((*rgb.shape[:2], max(int(v.max()) for v in votes) + 1))
     for v in votes:
         same = np.logical_and.reduce([v == np.roll(v, s, a) for a in (0, 1) for s in (1, -1)]).mean()
-        for k in range(len(PALETTE)):
+        for k in range(total.shape[2]):
             total[..., k] += same * (v == k)
-    return total.argmax(2)
+    return merge_small(total.argmax(2))
 
 
 ENGINES: dict[str, Callable[[np.ndarray], np.ndarray]] = {
     "v4_kmeans": v4_kmeans,
-    "v4_kmeans_pastel": kmeans_full,
+    "v4_kmeans_pastel": pastel,
     "v4_kmeans_colorbar": colorbar_guided,
     "kmeans_full": kmeans_full,
     "edge_guided": edge_guided,

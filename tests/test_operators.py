@@ -113,6 +113,18 @@ def test_engines_find_bands(spark):
     assert doc["type"] == "FeatureCollection" and doc["features"]
 
 
+def test_engines_seed_from_the_figure():
+    rgb = np.zeros((24, 24, 3))
+    rgb[:12], rgb[12:] = (0, 90, 0), (0, 255, 0)
+    for name in ("v4_kmeans", "v4_kmeans_pastel", "kmeans_full", "v4_kmeans_colorbar", "ensemble"):
+        lbl = engines.ENGINES[name](rgb)
+        assert lbl[3, 12] != lbl[20, 12], name
+    assert np.allclose(engines.lab(np.array([[[255.0, 0, 0]]])), [53.24, 80.09, 67.2], atol=0.1)
+    lbl = np.ones((40, 40), int)
+    lbl[:, 20:], lbl[3:5, 3:5] = 2, 3
+    assert np.unique(engines.merge_small(lbl)).tolist() == [0, 1] and engines.merge_small(lbl)[3, 3] == 0
+
+
 def test_images_round_trip(spark, tmp_path):
     rgb = np.zeros((3, 2, 3), np.uint8)
     rgb[0, 1] = (10, 20, 30)

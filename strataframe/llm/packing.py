@@ -1,4 +1,4 @@
-"""Packing documents into sequences by a configuration linear program over their lengths."""
+"""Packing documents into sequences by a greedy over the columns of a configuration program of their lengths."""
 
 from __future__ import annotations
 
@@ -76,8 +76,9 @@ def plan(counts: dict[int, int], capacity: int, rounds: int = 4000, rate: float
     length; a column's entries say how many items it covers. Multiplicative weights price the
     lengths: a length starts at its share of the capacity and loses weight as its demand is
     covered, so uncovered lengths become dear. Each round prices a column by a knapsack dynamic
-    program, in which a length may be repeated as often as it is left and fits, and takes it as often as its scarcest length allows in whole numbers, which rounds
-    the program's solution down as it grows. What stays uncovered is filled by the same
+    program, in which a length may be repeated as often as it is left and fits, and takes it as
+    often as its scarcest length allows in whole numbers: a sequential greedy, which solves no
+    fractional program and gives no bound. What stays uncovered is filled by the same
     knapsack around the longest remaining item, which is best fit with the whole remainder in
     view. The histogram has at most ``capacity`` rows, so neither time nor the plan's size
     grows with the number of documents.

@@ -1,10 +1,8 @@
-"""Packing documents into sequences by a greedy over the columns of a configuration program of their lengths."""
+"""Packing documents into sequences by the configuration program of their lengths."""
 
 from __future__ import annotations
 
-import gc
 import re
-import struct
 import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -15,16 +13,16 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataframe.llm.common import Workspace, columns, runs_of_texts
-from strataframe.llm.token_counts import byte_symbols
+from strataframe.llm.common import WordRows, Workspace, columns, leanly, ragged, runs_of_texts
+from strataframe.llm.token_counts import RankMerger
 
-#: Words that a worker remembers with their ids; beyond that it starts anew.
-MEMO = 600_000
+#: Words that a worker remembers with their ids.
+MEMO = 400_000
 #: The pre-tokens of this kind of vocabulary, in lower case, and the words that are split by it here.
 TOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
 STABLE = re.compile("[\x21-\x7e\u00c0-\u012f\u0131-\u0148\u014a-\u0188]*").fullmatch
-#: Lengths that one pricing problem looks at: the dearest ones, and as many drawn by price.
-DEAREST, DRAWN = 96, 96
+#: Of these, lines of words without apostrophes and the two signs among the letters.
+PLAIN = re.compile("[\n\x21-\x26\x28-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u0188]*").fullmatch
 
 
 class Pattern(NamedTuple):
@@ -34,98 +32,160 @@ class Pattern(NamedTuple):
     copies: int
 
 
-def _knapsack(sizes: np.ndarray, prices: np.ndarray, room: int) -> list[int]:
-    """Indices of the items, each used once at most, of the largest price that fit into ``room``."""
-    best, with_it = np.zeros(room + 1), np.empty(room + 1)
-    taken = np.zeros((len(sizes), room + 1), bool)
-    for i, (s, p) in enumerate(zip(sizes.tolist(), prices.tolist(), strict=True)):
-        if s <= room:
-            here, to = with_it[s:], best[s:]
-            np.add(best[: room + 1 - s], p, out=here)
-            np.greater(here, to, out=taken[i, s:])
-            np.maximum(here, to, out=to)
-    at, out = int(np.argmax(best)), []
-    for i in range(len(sizes) - 1, -1, -1):
-        if taken[i, at]:
-            out.append(i)
-            at -= int(sizes[i])
+class Plan(NamedTuple):
+    """Patterns that hold every item exactly once, and a number of sequences that no packing can go below."""
+
+    patterns: list[Pattern]
+    bound: int
+
+
+def knapsack(price: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each room up to the capacity the best price, and the item (0: none) that comes last in it.
+
+    ``price`` is by length, from 0 on, negative where there is no such length. Every length may
+    be used as often as it fits. Of equal prices the longest item is taken.
+    """
+    best, last = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
+    own = price[capacity:0:-1].copy()  # longest first
+    for room in range(1, capacity + 1):
+        total = best[:room] + own[capacity - room :]
+        k = int(total.argmax())
+        if total[k] > best[room - 1]:
+            best[room], last[room] = total[k], room - k
+        else:
+            best[room] = best[room - 1]
+    return best, last
+
+
+def fractional(demand: np.ndarray, capacity: int, phases: int = 24, eager: float = 4.0, step: float = 0.5, slack: float = 0.02) -> tuple[dict[tuple[int, ...], float], float]:
+    """Columns of the configuration program with the share that each is used, and a bound from its dual.
+
+    The program has a column for each filling of a sequence and a row for each length. Weights are
+    multiplicative: a length's price is its share of the capacity times exp(-eager * its covered
+    share). A phase prices all lengths at once by one knapsack; every length gives the best column
+    that holds it, in which no length is used more often than it is wanted, and columns within
+    ``slack`` of the best are used by ``step`` of what their scarcest length wants, unless one of
+    their lengths has got its step in this phase. It ends when every length is covered. By duality
+    the prices, divided by the best column's, bound the number of sequences from below.
+    """
+    lengths = np.flatnonzero(demand)
+    size = np.arange(capacity + 1) / capacity
+    wanted, covered = demand.tolist(), np.zeros(capacity + 1)
+    out: dict[tuple[int, ...], float] = {}
+    bound = 0.0
+    for _ in range(phases):
+        open_ = lengths[covered[lengths] < 1]
+        if not len(open_):
+            break
+        price = np.full(capacity + 1, -1.0)
+        price[lengths] = size[lengths] * np.exp(-eager * covered[lengths])
+        best, last = knapsack(price, capacity)
+        bound = max(bound, float((demand[lengths] * price[lengths]).sum()) / best[capacity])
+        worth = price[open_] + best[capacity - open_]
+        order = np.argsort(covered[open_] - 1e-6 * open_, kind="stable")
+        # The largest room up to each in which an item comes last.
+        filled = np.maximum.accumulate(np.where(last > 0, np.arange(capacity + 1), 0)).tolist()
+        last, got = last.tolist(), [0.0] * (capacity + 1)
+        for n in open_[order][(worth >= (1 - slack) * best[capacity])[order]].tolist():
+            if got[n] >= step:
+                continue
+            used, room, refused = {n: 1}, filled[capacity - n], 0
+            while room and refused < 64:
+                k = last[room]
+                if used.get(k, 0) < wanted[k] and got[k] < 2 * step:
+                    used[k] = used.get(k, 0) + 1
+                    room = filled[room - k]
+                else:
+                    refused += 1
+                    room = filled[room - 1]
+            if sum(price[k] * times for k, times in used.items()) < (1 - slack) * best[capacity]:
+                continue
+            share = step * min(wanted[k] / times for k, times in used.items())
+            column = tuple(k for k in sorted(used, reverse=True) for _ in range(used[k]))
+            out[column] = out.get(column, 0.0) + share
+            for k, times in used.items():
+                got[k] += share * times / wanted[k]
+        covered += got
+    return out, bound
+
+
+def best_fit(left: np.ndarray, capacity: int, begun: dict[tuple[int, ...], int] | None = None) -> dict[tuple[int, ...], int]:
+    """Best fit over a histogram: lengths in falling order, each into the fullest sequences that still take it, those ``begun`` included."""
+    bins: dict[int, dict[tuple[int, ...], int]] = {}
+    for held, copies in (begun or {}).items():
+        bins.setdefault(capacity - sum(held), {})[held] = copies
+    for n in np.flatnonzero(left)[::-1].tolist():
+        todo = int(left[n])
+        for room in sorted(r for r in bins if r >= n):
+            if not todo:
+                break
+            each = room // n
+            for held, copies in list(bins[room].items()):
+                full = min(copies, todo // each)
+                for count, times in ((full, each), (1 if full < copies and todo - full * each else 0, todo - full * each)):
+                    if count and times:
+                        bins[room][held] -= count
+                        to = bins.setdefault(room - n * times, {})
+                        key = tuple(sorted(held + (n,) * times, reverse=True))
+                        to[key] = to.get(key, 0) + count
+                        todo -= count * times
+                if not bins[room][held]:
+                    del bins[room][held]
+                if not todo:
+                    break
+            if not bins[room]:
+                del bins[room]
+        each = capacity // n
+        for count, times in ((todo // each, each), (1, todo % each)):
+            if count and times:
+                to = bins.setdefault(capacity - n * times, {})
+                to[(n,) * times] = to.get((n,) * times, 0) + count
+    out: dict[tuple[int, ...], int] = {}
+    for held in bins.values():
+        for key, copies in held.items():
+            out[key] = out.get(key, 0) + copies
     return out
 
 
-def _fill(sizes: np.ndarray, prices: np.ndarray, most: np.ndarray, room: int) -> np.ndarray:
-    """Indices of the items, each used up to ``most`` times, of the largest price that fit: items of doubling multiplicity."""
-    most = np.minimum(most, room // sizes)
-    which, times, step = [], [], 1
-    while (some := np.flatnonzero(most > 0)).size:
-        n = np.minimum(most[some], step)
-        which.append(some)
-        times.append(n)
-        most[some] -= n
-        step *= 2
-    if not which:
-        return np.zeros(0, np.int64)
-    i, n = np.concatenate(which), np.concatenate(times)
-    got = _knapsack(sizes[i] * n, prices[i] * n, room)
-    return np.repeat(i[got], n[got])
-
-
-def plan(counts: dict[int, int], capacity: int, rounds: int = 4000, rate: float = 4.0, seed: int = 11) -> list[Pattern]:
-    """Patterns that hold every item of the length histogram exactly once.
-
-    The configuration program has a column for each filling of a sequence and a row for each
-    length; a column's entries say how many items it covers. Multiplicative weights price the
-    lengths: a length starts at its share of the capacity and loses weight as its demand is
-    covered, so uncovered lengths become dear. Each round prices a column by a knapsack dynamic
-    program, in which a length may be repeated as often as it is left and fits, and takes it as
-    often as its scarcest length allows in whole numbers: a sequential greedy, which solves no
-    fractional program and gives no bound. What stays uncovered is filled by the same
-    knapsack around the longest remaining item, which is best fit with the whole remainder in
-    view. The histogram has at most ``capacity`` rows, so neither time nor the plan's size
-    grows with the number of documents.
+def plan(counts: dict[int, int], capacity: int, rounds: int = 2) -> Plan:
+    """Patterns that hold every item of the length histogram exactly once, and a lower bound.
+
+    The fractional configuration program is solved by multiplicative weights and its columns are
+    rounded down, to no more than their lengths still need, the most used ones first; what that
+    leaves is a smaller program, solved again. Best fit over falling lengths packs the rest, into
+    what room the columns have and new sequences. Columns are also rounded down to a half and a
+    quarter of their share, which leaves more of the small items to the rest, and the rounding with the
+    fewest sequences is the plan. The histogram has at most ``capacity`` rows, so neither time nor
+    the plan's size grows with the number of documents.
     """
-    rng = np.random.default_rng(seed)
-    lengths = np.array(sorted(k for k in counts if 0 < k < capacity), np.int64)
-    demand = np.array([counts[int(k)] for k in lengths], np.int64)
-    left = demand.copy()
-    out: dict[tuple[int, ...], int] = {(capacity,): counts[capacity]} if counts.get(capacity) else {}
-    weight = lengths / capacity
-
-    def take(chosen: np.ndarray, times: int) -> None:
-        out[key] = out.get(key := tuple(sorted(lengths[chosen].tolist(), reverse=True)), 0) + times
-        np.subtract.at(left, chosen, times)
-
-    def fill_by_length(items: np.ndarray, got: np.ndarray, room: int) -> np.ndarray:
-        """What is left of the items, beside those already chosen, that fills the room best."""
-        spare = left.copy()
-        np.subtract.at(spare, got, 1)
-        return items[_fill(lengths[items], lengths[items].astype(float), spare[items], room)]
-
-    for _ in range(rounds):
-        open_ = np.flatnonzero(left)
-        if left.sum() * (lengths[open_].mean() if len(open_) else 0) < 40 * capacity:
+    demand = np.zeros(capacity + 1, np.int64)
+    for n, k in counts.items():
+        demand[n] = k
+    demand[0] = 0
+    bound = -(-int((demand * np.arange(capacity + 1)).sum()) // capacity)
+    made: list[dict[tuple[int, ...], int]] = []
+    first = fractional(demand, capacity)
+    bound = max(bound, int(np.ceil(first[1] - 1e-6)))
+    for part in (1.0, 0.5, 0.25):
+        out: dict[tuple[int, ...], int] = {}
+        left = demand.copy()
+        for k in range(rounds):
+            columns = fractional(left, capacity)[0] if k else first[0]
+            took = 0
+            for column, share in sorted(columns.items(), key=lambda x: (-x[1], x[0])):
+                used, times = np.unique(column, return_counts=True)
+                copies = min(int(share * part), int((left[used] // times).min()))
+                if copies:
+                    out[column] = out.get(column, 0) + copies
+                    left[used] -= copies * times
+                    took += copies
+            if not took or part < 1:
+                break
+        made.append(best_fit(left, capacity, out))
+        if sum(made[-1].values()) == bound:
             break
-        price = weight[open_] * np.exp(-rate * (1 - left[open_] / demand[open_]))
-        if len(open_) > DEAREST + DRAWN:
-            near = np.argsort(-price, kind="stable")
-            dear, rest = near[:DEAREST], near[DEAREST:]
-            p = price[rest] / price[rest].sum()
-            some = np.concatenate([dear, np.sort(rng.choice(rest, DRAWN, replace=False, p=p))])
-        else:
-            some = np.arange(len(open_))
-        # A length may be used as often as it is left and fits.
-        items = open_[some]
-        got = items[_fill(lengths[items], price[some], left[items], capacity)]
-        if (room := int(capacity - lengths[got].sum())) > 16:  # the price alone leaves room: fill it by length
-            got = np.concatenate([got, fill_by_length(items, got, room)])
-        used, n = np.unique(got, return_counts=True)
-        take(got, max(1, int((left[used] // n).min())))
-    while left.any():
-        open_ = np.flatnonzero(left)
-        got = open_[-1:]
-        got = np.concatenate([got, fill_by_length(open_[::-1], got, int(capacity - lengths[got].sum()))])
-        used, n = np.unique(got, return_counts=True)
-        take(got, max(1, int((left[used] // n).min())))
-    return [Pattern(k, v) for k, v in sorted(out.items(), reverse=True)]
+    best = min(made, key=lambda x: sum(x.values()))
+    return Plan([Pattern(k, v) for k, v in sorted(best.items(), reverse=True)], bound)
 
 
 class Slots:
@@ -163,13 +223,27 @@ class Slots:
         return self.first[row] + within // self.each[row], self.offsets[self.at[row] + within % self.each[row]]
 
 
+def _classes() -> np.ndarray:
+    """Of each byte in a stable word: 0 a line's end, 1 a letter's, 2 a digit, 3 a sign."""
+    out = np.full(256, 3, np.uint8)
+    out[ord("a") : ord("z") + 1] = out[128:] = 1
+    out[ord("0") : ord("9") + 1] = 2
+    out[10] = 0
+    return out
+
+
+CLASS = _classes()
+
+
 class WordIds:
-    """Ids of texts by the library, whose model sees each distinct pre-token once.
+    """Ids of texts, as the library gives them, each distinct word merged once.
 
     White space only separates in this kind of vocabulary, so a text's ids are those of its
-    words between ASCII white space, one after another. Words of characters that every Unicode
-    version lower-cases and classes alike, and that are their own composed form, are split into
-    pre-tokens here; the library splits the others.
+    words between ASCII white space, one after another. Stable words have characters that every
+    Unicode version lower-cases and classes alike, and that are their own composed form; without
+    apostrophes their pre-tokens are runs of letters, single digits and runs of signs, and a
+    batch's new words are split and merged together. Apostrophes are split by the pattern, and
+    the library encodes all other words.
     """
 
     def __init__(self, path: str):
@@ -177,40 +251,55 @@ class WordIds:
 
         self.library = Tokenizer.from_file(path)
         self.special = [x.content for x in self.library.get_added_tokens_decoder().values()]
-        self.to_symbol = {b: c for c, b in byte_symbols().items()}
-        self.memo: dict[bytes, bytes] = {}
-        self.tokens: dict[str, bytes] = {}
-
-    def _model(self, token: str) -> bytes:
-        sign = token if token.isascii() else token.encode().decode("latin-1").translate(self.to_symbol)
-        ids = [x.id for x in self.library.model.tokenize(sign)]
-        out = self.tokens[token] = struct.pack(f"<{len(ids)}I", *ids)
-        return out
-
-    def _learn(self, words: set[bytes], special: bool) -> None:
-        if len(self.tokens) > MEMO:
-            self.tokens = {}
-        memo, held, model = self.memo, self.tokens.get, self._model
-        for raw in words:
-            w = raw.decode()
-            if raw.isalpha():  # ASCII letters alone
-                low = w.lower()
-                memo[raw] = held(low) or model(low)
-            elif STABLE(w) and not (special and any(s in w for s in self.special)):
-                memo[raw] = b"".join([held(x) or model(x) for x in TOKENS(w.lower())])
+        self.merger = RankMerger(path)
+        self.words = WordRows(self._learn, MEMO)
+
+    def _runs(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Of stable words without apostrophes, or of such words' pre-tokens."""
+        text = np.frombuffer(b"\n".join(words).decode().lower().encode(), np.uint8)
+        kind = CLASS[text]
+        inside = kind > 0
+        before = np.r_[np.uint8(0), kind[:-1]]
+        fresh = inside & ((kind != before) | (kind == 2))
+        word = np.cumsum(~inside)[fresh]
+        at = np.flatnonzero(fresh[inside])
+        flat, n = self.merger.merge(text[inside], np.diff(np.r_[at, int(inside.sum())]))
+        return flat, np.bincount(word, n, minlength=len(words)).astype(np.int64)
+
+    def _learn(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        text = "\n".join([w.decode() for w in words])
+        plain = bool(PLAIN(text)) and not any(s in text for s in self.special)
+        odd = [] if plain else [i for i, w in enumerate(words) if not PLAIN(x := w.decode()) or any(s in x for s in self.special)]
+        if not odd:
+            return self._runs(words)
+        other, size = [], np.zeros(len(words), np.int64)
+        for i in odd:
+            w = words[i].decode()
+            if STABLE(w) and not any(s in w for s in self.special):
+                tokens = [t.encode() for t in TOKENS(w.lower())]
+                other.append(self.merger.merge(np.frombuffer(b"".join(tokens), np.uint8), np.array([len(t) for t in tokens]))[0])
             else:
-                ids = self.library.encode(w, add_special_tokens=False).ids
-                memo[raw] = struct.pack(f"<{len(ids)}I", *ids)
+                other.append(np.array(self.library.encode(w, add_special_tokens=False).ids, np.int64))
+            size[i] = len(other[-1])
+        rest = np.ones(len(words), bool)
+        rest[odd] = False
+        flat, n = self._runs([w for w, ok in zip(words, rest, strict=True) if ok]) if rest.any() else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        size[rest] = n
+        start = np.cumsum(size) - size
+        out = np.empty(int(size.sum()), np.int64)
+        out[ragged(start[rest], n)] = flat
+        out[ragged(start[odd], size[odd])] = np.concatenate(other)
+        return out, size
+
+    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, end to end, and the number of each text's."""
+        return self.words.ids([t.encode().split() for t in texts])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        split = [t.encode().split() for t in texts]
-        wanted = set().union(*split)
-        if len(self.memo) + len(wanted - self.memo.keys()) > MEMO:
-            self.memo = {}
-        self._learn(wanted - self.memo.keys(), any(s in t for t in texts for s in self.special))
-        get = self.memo.__getitem__
-        return [b"".join(map(get, s)) for s in split]
+        flat, n = self.ids(texts)
+        data, ends = flat.astype("<u4").tobytes(), (4 * np.cumsum(n)).tolist()
+        return [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
 _held: dict[str, WordIds] = {}
@@ -221,11 +310,11 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int, id_col:
     """A row per piece of at most ``capacity`` ids; each document's ids end with ``end_id``."""
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
+    @leanly
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if vocabulary not in _held:
             _held[vocabulary] = WordIds(vocabulary)
         held, end = _held[vocabulary], np.array([end_id], "<u4").tobytes()
-        gc.disable()  # no cycles are made here
         for batch in batches:
             ids, rows = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             out = []
@@ -250,7 +339,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int = 1
     work = Workspace(spark, "packing")
     rows = work.write(pieces(docs, vocabulary, capacity, end_id, id_col, text_col), "pieces")
     counts = {r["length"]: r["count"] for r in rows.groupBy("length").count().collect()}
-    slots = Slots(plan(counts, capacity))
+    slots = Slots(plan(counts, capacity).patterns)
     slices = max(8, sum(counts.values()) // 500_000)
     sliced = rows.withColumn("slice", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(slices)))
     within = sliced.withColumn("rank", F.row_number().over(Window.partitionBy("length", "slice").orderBy("doc_id", "piece")) - 1)

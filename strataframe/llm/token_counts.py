@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import json
 import re
 from collections.abc import Iterator
@@ -12,7 +11,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from strataframe.llm.common import columns, runs_of_texts
+from strataframe.llm.common import columns, leanly, runs_of_texts
 
 #: Entries of the per-worker memo of counted units; it starts anew beyond that.
 MEMO = 400_000
@@ -32,19 +31,29 @@ def byte_symbols() -> dict[str, int]:
 
 
 class RankMerger:
-    """Byte-pair merges of many pre-tokens at once."""
+    """Byte-pair merges of many pre-tokens at once.
+
+    Vocabularies whose last symbol of a pre-token has a suffix are merged alike. The merges must
+    be ranked as they were learned: none makes a symbol whose own merges come before it.
+    """
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        vocab = spec["model"]["vocab"]
+        vocab, suffix = spec["model"]["vocab"], spec["model"].get("end_of_word_suffix") or ""
+        if spec["model"].get("ignore_merges") or spec["model"].get("dropout"):
+            raise ValueError("vocabularies that ignore or drop merges aren't supported")
         self.to_byte = byte_symbols()
-        self.first = np.zeros(256, np.int64)
+        self.first, self.last = np.zeros(256, np.int64), np.zeros(256, np.int64)
         for ch, b in self.to_byte.items():
-            self.first[b] = vocab[ch]
+            self.first[b], self.last[b] = vocab[ch], vocab[ch + suffix]
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
         keys = np.array([vocab[a] << 32 | vocab[b] for a, b in pairs], np.int64)
         self.merged = np.array([vocab[a + b] for a, b in pairs], np.int64)
+        made = np.full(max(vocab.values()) + 1, -1, np.int64)  # the first merge that makes each symbol
+        made[self.merged[::-1]] = np.arange(len(pairs))[::-1]
+        if len(keys) and (np.maximum(made[keys >> 32], made[keys & 0xFFFFFFFF]) >= np.arange(len(keys))).any():
+            raise ValueError("a merge comes before the symbols that it needs")
         # An open hash table: pairs that find their slot taken go to the next one.
         self.bits = int(2 * len(keys)).bit_length() + 2
         self.keys = np.full(1 << self.bits, -1, np.int64)
@@ -79,11 +88,13 @@ class RankMerger:
             todo, slot = todo[on], slot[on]
         return out
 
-    def count(self, tokens: list[bytes]) -> np.ndarray:
-        """How many symbols of each token survive all merges."""
-        sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    def merge(self, raw: np.ndarray, sizes: np.ndarray, ids: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """For tokens of so many bytes, end to end: the ids that survive all merges, and their number in each; without ``ids`` the number alone."""
         out = sizes.copy()
-        sym = self.first[np.frombuffer(b"".join(tokens), np.uint8)]
+        sym = self.first[raw]
+        ends = np.cumsum(sizes)[sizes > 0] - 1
+        sym[ends] = self.last[raw[ends]]
+        done = [(np.flatnonzero(sizes == 1), sym[np.repeat(sizes == 1, sizes)])]
         live = np.flatnonzero(sizes > 1)
         sym = sym[np.repeat(sizes > 1, sizes)]
         size = sizes[live]
@@ -108,9 +119,22 @@ class RankMerger:
             sym = sym[~gone]
             stay = (low != NONE) & (size > 1)
             out[live] = size
-            sym = sym[np.repeat(stay, size)]
-            live, size = live[stay], size[stay]
-        return out
+            on = np.repeat(stay, size)
+            if ids:
+                done.append((live[~stay], sym[~on]))
+            sym, live, size = sym[on], live[stay], size[stay]
+        if not ids:
+            return sym, out
+        first = np.cumsum(out) - out
+        flat = np.empty(int(out.sum()), np.int64)
+        for which, held in done:
+            n = out[which]
+            flat[np.repeat(first[which] - (np.cumsum(n) - n), n) + np.arange(len(held))] = held
+        return flat, out
+
+    def count(self, tokens: list[bytes]) -> np.ndarray:
+        """How many symbols of each token survive all merges."""
+        return self.merge(np.frombuffer(b"".join(tokens), np.uint8), np.fromiter(map(len, tokens), np.int64, len(tokens)), ids=False)[1]
 
 
 class TokenCounter:
@@ -216,8 +240,8 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 1024, id_col: st
     on every executor, of a byte-level BPE vocabulary in the tokenizers library's format.
     """
 
+    @leanly
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # no cycles are made here, and tracing many short lists costs a fifth of the time
         held = counter(vocabulary)
         for batch in batches:
             rows = batch.column(1).to_pylist()

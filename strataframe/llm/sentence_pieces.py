@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import gc
+import itertools
 import struct
 import zlib
 from collections.abc import Iterator
@@ -12,11 +12,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from strataframe.llm.common import columns, runs_of_texts
+from strataframe.llm.common import WordRows, columns, leanly, ragged, runs_of_texts
 
 MARK = "▁"
-#: Words that a worker remembers with their ids; beyond that it starts anew.
-MEMO = 400_000
+#: Words that a worker remembers with their ids.
+MEMO = 300_000
 # Field numbers of the model file's messages, and the kinds of pieces and models.
 PIECES, TRAINER, NORMALIZER = 1, 2, 3
 PIECE, SCORE, KIND = 1, 2, 3
@@ -130,40 +130,50 @@ class Codec:
         self.library = build(self.spec)
         # Words can be remembered where spaces only part them: nothing maps or strips characters.
         self.by_word = not (self.spec.charsmap or self.spec.remove_extra or crossing(self.spec)) and self.spec.dummy_prefix
-        self.memo: dict[str, bytes] = {}
-        self.changed: set[str] = set()
+        self.begins = np.array([p.startswith(MARK) for p, _, _ in self.spec.pieces])
+        self.words = WordRows(self._learn, MEMO)
+        # What each piece stands for, as bytes, and the pieces that stand for none.
+        raw = [bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(MARK, " ").encode() for p, _, k in self.spec.pieces]
+        self.odd = np.array([k in (UNKNOWN, CONTROL, UNUSED) for _, _, k in self.spec.pieces])
+        self.raw, self.raw_size = np.frombuffer(b"".join(raw), np.uint8), np.array([len(x) for x in raw], np.int64)
+        self.raw_start = np.cumsum(self.raw_size) - self.raw_size
+
+    def _learn(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Words parted by single spaces, in several threads; each begins with the only piece of it that has a mark."""
+        texts = [x.decode() for x in words]
+        made = self.library.encode_batch([" ".join(texts[lo : lo + 2000]) for lo in range(0, len(texts), 2000)], add_special_tokens=False)
+        flat = np.concatenate([np.array(x.ids, np.int64) for x in made])
+        at = np.flatnonzero(self.begins[flat])
+        if len(at) != len(words):
+            raise ValueError("the model doesn't mark the beginnings of words")
+        return flat, np.diff(np.r_[at, len(flat)])
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.library.encode_batch(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text; the library works on a batch in several threads."""
-        return [x for x, _ in self.encode_words(texts)[0]]
-
-    def encode_words(self, texts: list[str]) -> tuple[list[tuple[bytes, list[str] | None]], set[str]]:
-        """Ids of each text and its words, None where it was encoded whole; and the words that don't decode to themselves."""
         if not self.by_word:
-            return [(x, None) for x in self.whole(texts)], self.changed
+            return self.whole(texts)
         plain = [bool(t) and t[0] != " " and t[-1] != " " and "  " not in t and MARK not in t for t in texts]
-        split = [t.split(" ") if ok else None for t, ok in zip(texts, plain, strict=True)]
-        wanted = set().union(*filter(None, split))
-        if len(self.memo) + len(wanted) > MEMO + len(wanted & self.memo.keys()):
-            self.memo, self.changed = {}, set()
-        new = list(wanted - self.memo.keys())
-        made = self.whole(new)
-        self.memo.update(zip(new, made, strict=True))
-        self.changed.update(w for w, back in zip(new, self.decode(made), strict=True) if w != back)
+        flat, n = self.words.ids([t.encode().split(b" ") for t, ok in zip(texts, plain, strict=True) if ok])
+        data, ends = flat.astype("<u4").tobytes(), (4 * np.cumsum(n)).tolist()
+        own = iter([data[a:b] for a, b in zip([0, *ends], ends, strict=False)])
         odd = iter(self.whole([t for t, ok in zip(texts, plain, strict=True) if not ok]))
-        get = self.memo.__getitem__
-        return [(b"".join(map(get, s)), s) if s else (next(odd), None) for s in split], self.changed
-
-    def round_trip(self, texts: list[str]) -> list[tuple[bytes, bool]]:
-        """Ids of each text, and whether they decode to it. Every word starts with a mark of its own,
-        so a text of words parted by single spaces does if its words do; others are decoded whole."""
-        made, changed = self.encode_words(texts)
-        whole = [k for k, (_, s) in enumerate(made) if s is None]
-        back = dict(zip(whole, self.decode([made[k][0] for k in whole]), strict=True))
-        return [(x, back[k] == texts[k] if s is None else changed.isdisjoint(s) if changed else True) for k, (x, s) in enumerate(made)]
+        return [next(own) if ok else next(odd) for ok in plain]
+
+    def decodes(self, ids: list[bytes], texts: list[str]) -> list[bool]:
+        """Whether each text's ids decode to it: by the pieces' bytes, and by the library where these don't give the text."""
+        flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int64)
+        got = self.raw[ragged(self.raw_start[flat], self.raw_size[flat])].tobytes()
+        ends = np.concatenate([[0], np.cumsum(self.raw_size[flat])])[np.cumsum([0, *(len(x) // 4 for x in ids)])].tolist()
+        lead = b" " * self.spec.dummy_prefix
+        out = [got[a:b] == (lead + t.encode() if t else b"") for a, b, t in zip(ends[:-1], ends[1:], texts, strict=True)]
+        if self.odd[flat].any() or not all(out):
+            check = [i for i, (x, ok) in enumerate(zip(ids, out, strict=True)) if not ok or self.odd[np.frombuffer(x, "<u4")].any()]
+            for i, back in zip(check, self.decode([ids[i] for i in check]), strict=True):
+                out[i] = back == texts[i]
+        return out
 
     def decode(self, ids: list[bytes]) -> list[str]:
         return self.library.decode_batch([np.frombuffer(x, "<u4").tolist() for x in ids], skip_special_tokens=False)
@@ -181,8 +191,8 @@ def codec(path: str) -> Codec:
 def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids): little-endian 32-bit ids of each whole text; null and empty texts have none."""
 
+    @leanly
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()
         for batch in batches:
             rows = batch.column(1).to_pylist()
             made = [x for lo, hi in runs_of_texts(rows) for x in codec(model).encode(rows[lo:hi])]
@@ -206,24 +216,28 @@ def round_trips(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: s
     """A row per input row: doc_id, n_tokens, ids_crc32, parity and round_trip.
 
     ``parity`` compares the ids of every whole text with the sentencepiece library's, and
-    ``round_trip`` the decoded text with the input. Null and empty texts have no tokens and pass
-    both. Rows are independent, so repeated rows have equal results.
+    ``round_trip`` the text that all its ids decode to with the input. Null and empty texts have no
+    tokens and pass both. Rows are independent, so repeated rows have equal results; an empty table
+    gives an empty result. A very long text is encoded alone and held whole.
     """
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_()]
 
+    @leanly
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import sentencepiece
 
-        gc.disable()
         reference = sentencepiece.SentencePieceProcessor(model_file=model)
         held = codec(model)
         for batch in batches:
             ids, rows, out = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
             for lo, hi in runs_of_texts(rows):
                 some = rows[lo:hi]
-                made = held.round_trip(some)
+                made = held.encode(some)
+                back = held.decodes(made, some)
                 want = reference.encode(some, num_threads=1)
-                out += [(i, len(x) // 4, zlib.crc32(x), np.array(w, "<u4").tobytes() == x, ok) for i, (x, ok), w in zip(ids[lo:hi], made, want, strict=True)]
+                flat = np.fromiter(itertools.chain.from_iterable(want), "<u4", sum(map(len, want))).tobytes()
+                ends = np.cumsum([0, *(4 * len(w) for w in want)]).tolist()
+                out += [(i, len(x) // 4, zlib.crc32(x), flat[a:b] == x, ok) for i, x, a, b, ok in zip(ids[lo:hi], made, ends[:-1], ends[1:], back, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], ["doc_id", "n_tokens", "ids_crc32", "parity", "round_trip"])
 
     return columns(docs, id_col, text=text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, parity boolean, round_trip boolean")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataframe.llm.common import Workspace, mix, pack, shuffle_parts, unpack
+from strataframe.llm.common import Workspace, leanly, mix, pack, ragged, shuffle_parts, unpack
 
 #: Bytes of the strings by which candidates meet.
 GRAM = 16
@@ -91,11 +91,6 @@ def slices(texts: list[bytes], width: int) -> Iterator[Slice]:
         yield Slice(held, width)
 
 
-def ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Indices of runs: start, start + 1, ... of each."""
-    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-
-
 def by_bucket(key: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
     bucket = (key % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
@@ -229,10 +224,13 @@ class Shard:
         low, high = np.zeros(len(other.at), np.int64), np.full(len(other.at), len(self.at), np.int64)
 
         def compare(mid: np.ndarray, rows: np.ndarray) -> np.ndarray:
-            out = np.zeros(len(rows), np.int64)
+            out, todo = np.zeros(len(rows), np.int64), np.arange(len(rows))
             for k in parts:
-                mine, theirs = self.key(k, self.at[mid]), keys[k][rows]
-                out = np.where(out == 0, (mine > theirs).astype(np.int64) - (mine < theirs), out)
+                mine, theirs = self.key(k, self.at[mid[todo]]), keys[k][rows[todo]]
+                out[todo] = (mine > theirs).astype(np.int64) - (mine < theirs)
+                todo = todo[mine == theirs]
+                if not len(todo):
+                    break
             return out
 
         while (go := np.flatnonzero(low < high)).size:
@@ -349,11 +347,12 @@ def repeated_runs(docs: DataFrame, width: int, work: Workspace) -> DataFrame:
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(shuffle_parts(spark), int(total) // BUCKET + 1)
 
+    @leanly
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["bucket", "payload", "doc_id", "mark", "hash"]
         for batch in batches:
             ids, marks = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            found = [(s.doc[s.piece], s.hash) for s in slices([t.encode() for t in batch.column(2).to_pylist()], width)]
+            found = [(s.doc[s.piece], s.hash) for s in slices(batch.column(2).cast(pa.binary()).to_pylist(), width)]
             if not found:
                 continue
             doc, hash_ = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -376,6 +375,7 @@ def repeated_runs(docs: DataFrame, width: int, work: Workspace) -> DataFrame:
                 load = pack(step.view(np.uint8).reshape(-1, 8).T, slot.astype(np.uint32), ids[used], marks[used], several[at])
                 yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([load], pa.binary()), *(pa.nulls(1, pa.int64()) for _ in range(3))], names)
 
+    @leanly
     def shared(batch: pa.Table) -> pa.Table:
         hash_, doc, mark, several = [], [], [], []
         for data in batch.column("payload").to_pylist():
@@ -399,6 +399,7 @@ def repeated_runs(docs: DataFrame, width: int, work: Workspace) -> DataFrame:
     del sent, told, own
     work.drop("anchors")
 
+    @leanly
     def cuttings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, marks = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -406,7 +407,7 @@ def repeated_runs(docs: DataFrame, width: int, work: Workspace) -> DataFrame:
             value, offset = wanted.flatten().to_numpy().view(np.uint64), np.r_[0, np.cumsum(wanted.value_lengths().to_numpy())]
             owner = np.repeat(np.arange(len(ids), dtype=np.uint64), np.diff(offset))
             made, held = [], 0
-            for s in slices([t.encode() for t in batch.column(2).to_pylist()], width):
+            for s in slices(batch.column(2).cast(pa.binary()).to_pylist(), width):
                 doc = s.doc[s.piece]
                 if not len(doc):
                     continue
@@ -442,6 +443,7 @@ def repeated_runs(docs: DataFrame, width: int, work: Workspace) -> DataFrame:
             load = pack(ids[used], marks[used], slot.astype(np.uint32), first[at], count[at].astype(np.uint8 if width < 200 else np.uint32), cut_out(text, start[at], size[at]))
             yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([load], pa.binary()), *(pa.nulls(1, pa.int64()) for _ in range(4))], names)
 
+    @leanly
     def covered(batch: pa.Table) -> pa.Table:
         doc, mark, first, count, text = [], [], [], [], []
         for data in batch.column("payload").to_pylist():
@@ -520,14 +522,15 @@ def suffix_dedup(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_
     found = repeated_runs(rows.where("doc_id is not null").select("doc_id", "mark", "text"), width, Workspace(docs.sparkSession, "suffix-dedup"))
     spans = found.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
+    @leanly
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, held in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
-                raw = text.encode()
+            for raw, held in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2), strict=True):
                 left, removed, count = without_runs(raw, [(s["lo"], s["hi"]) for s in held.as_py()] if held.is_valid else [])
-                out.append((len(raw), removed, count, hashlib.sha256(left).hexdigest(), left.decode(errors="ignore") if removed else text))
-            made = [pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [()] * 5, [pa.int64()] * 3 + [pa.string()] * 2, strict=True)]
+                out.append((len(raw), removed, count, hashlib.sha256(left).hexdigest(), left.decode(errors="ignore").encode() if removed else raw))
+            made = [pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [()] * 5, [pa.int64()] * 3 + [pa.string(), pa.binary()], strict=True)]
+            made[-1] = made[-1].cast(pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), *made, *batch.columns[3:]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", *carried])
 
     kinds = "".join(f", {x} {docs.schema[c].dataType.simpleString()}" for c, x in zip(carry or [], carried, strict=True))

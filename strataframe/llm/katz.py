@@ -3,28 +3,28 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataframe.llm.common import Workspace, columns, fold_of, hashed_words, mix, pack, runs_of_texts, shuffle_parts, unpack
+from strataframe.llm.common import LOWER_TABLE, Workspace, columns, fold_of, leanly, mix, pack, ragged, runs_of_texts, shuffle_parts, unpack
 
-START, END = np.uint64(0x5374617274), np.uint64(0x456E64)
 #: Counts up to this are discounted.
 CUTOFF = 5
 #: Characters of one encoded block, and n-grams that one bucket is to hold.
 BLOCK = 8_000_000
 BUCKET = 2_000_000
-#: Of an n-gram's hash 48 bits are sent beside the 64 of its context.
-SENT = np.uint64(0xFFFFFFFFFFFF0000)
+#: Contexts with more than this share of a bucket are dealt by word, too, and of all tokens one in so many at the least.
+HOT, HOT_TOKENS = 4, 100_000
 _ROLL = np.uint64(0x100000001B3)
 
 
 def planes(x: np.ndarray) -> np.ndarray:
     """Bytes of like weight together, so that what is small or alike compresses."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.dtype.itemsize).T).ravel()
+    return np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.dtype.itemsize).T).ravel()
 
 
 def unplaned(x: np.ndarray, dtype: type) -> np.ndarray:
@@ -32,13 +32,17 @@ def unplaned(x: np.ndarray, dtype: type) -> np.ndarray:
 
 
 def coded(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct values, and each element's number among them: a few values stand for many elements."""
+    """Distinct values, and each element's number among them, where a few values stand for many elements; else the elements alone."""
     values, at = np.unique(x, return_inverse=True)
+    if 2 * len(values) > len(x):
+        return planes(x), np.zeros(0, np.uint8)
     return values, planes(at.astype(np.uint16 if len(values) <= 1 << 16 else np.uint32))
 
 
 def uncoded(values: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return values[unplaned(at, np.uint16 if len(values) <= 1 << 16 else np.uint32)] if len(values) else values
+    if not len(at):
+        return unplaned(values, np.float64) if values.dtype == np.uint8 else values
+    return values[unplaned(at, np.uint16 if len(values) <= 1 << 16 else np.uint32)]
 
 
 def good_turing(counts_of: np.ndarray, cutoff: int = CUTOFF) -> np.ndarray:
@@ -57,42 +61,18 @@ def good_turing(counts_of: np.ndarray, cutoff: int = CUTOFF) -> np.ndarray:
     return d
 
 
-class Encoded:
-    """A block of documents as indices into its distinct words."""
-
-    def __init__(self, data: bytes):
-        ids, null, held, size, at, self.words = unpack(data)
-        self.ids, self.null, self.held_out, self.size = ids, null, held, size.astype(np.int64)
-        self.at = unplaned(at, np.uint32).astype(np.int64)
-        self.owner = np.repeat(np.arange(len(ids)), self.size)
-
-    def words_in_training(self) -> np.ndarray:
-        return np.bincount(self.at[~self.held_out[self.owner]], minlength=len(self.words))
-
-    def grams(self, order: int) -> tuple[np.ndarray, ...]:
-        """Of the distinct n-grams: context and key hashes, sorted by them, an occurrence, the count
-        in training; and of each token its n-gram."""
-        h = self.words[self.at]
-        first = np.cumsum(self.size) - self.size
-        ctx = np.full(len(h), order, np.uint64)
-        within = np.arange(len(h)) - np.repeat(first, self.size)
-        for k in range(order - 1, 0, -1):
-            back = np.r_[np.full(min(k, len(h)), START), h[: max(0, len(h) - k)]]
-            ctx = ctx * _ROLL + np.where(within >= k, back, START)
-        ctx = mix(ctx)
-        key = mix(ctx * _ROLL ^ h)
-        _, seen, which = np.unique(key, return_index=True, return_inverse=True)
-        count = np.bincount(which[~self.held_out[self.owner]], minlength=len(seen))
-        new = np.lexsort((key[seen], ctx[seen]))
-        place = np.empty(len(new), np.int64)
-        place[new] = np.arange(len(new))
-        seen = seen[new]
-        return ctx[seen], key[seen], seen, count[new], place[which]
+def word_bytes(sizes: np.ndarray, joined: np.ndarray) -> list[bytes]:
+    data, ends = joined.tobytes(), np.cumsum(sizes, dtype=np.int64).tolist()
+    return [data[i:j] for i, j in zip([0, *ends], ends, strict=False)]
 
 
 def encode(docs: DataFrame, folds: int, held_out: int) -> DataFrame:
-    """(block, payload): documents as blocks of word indices; each text ends with an end token."""
+    """(block, payload): documents as indices into the block's distinct words, frequent ones first.
+
+    Each text ends with an end token, the empty word.
+    """
 
+    @leanly
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -100,191 +80,282 @@ def encode(docs: DataFrame, folds: int, held_out: int) -> DataFrame:
         for batch in batches:
             ids, rows = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for lo, hi in runs_of_texts(rows, BLOCK):
-                h, size = hashed_words(rows[lo:hi])
-                ends = np.cumsum(size)
-                h = mix(np.insert(h, ends, END))
-                words, at = np.unique(h, return_inverse=True)
+                split = [[*t.encode().translate(LOWER_TABLE).split(), b""] for t in rows[lo:hi]]
+                words = list(set().union(*split))
+                index = dict(zip(words, range(len(words)), strict=True))
+                size = np.fromiter(map(len, split), np.int64, len(split))
+                at = np.fromiter((index[w] for t in split for w in t), np.int64, int(size.sum()))
+                order = np.argsort(-np.bincount(at, minlength=len(words)), kind="stable")
+                place = np.empty(len(words), np.uint32)
+                place[order] = np.arange(len(words))
+                words = [words[i] for i in order.tolist()]
                 own = np.array([i or 0 for i in ids[lo:hi]], np.int64)
                 null = np.array([i is None for i in ids[lo:hi]])
                 held = np.array([i is not None and fold_of(i, folds) == held_out for i in ids[lo:hi]])
-                load = pack(own, null, held, (size + 1).astype(np.uint32), planes(at.astype(np.uint32)), words)
+                load = pack(own, null, held, size.astype(np.uint32), planes(place[at]), planes(np.array([len(w) for w in words], np.uint32)), np.frombuffer(b"".join(words), np.uint8))
                 yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([load], pa.binary())], ["block", "payload"])
                 number += 1
 
     return docs.mapInArrow(run, "block long, payload binary")
 
 
-def dealt(key: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    bucket = (key % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+class Level(NamedTuple):
+    """What blocks need of an order besides their answers: its discount factors, and the statistics of hot contexts."""
+
+    discount: np.ndarray
+    hot: np.ndarray
+    stats: np.ndarray
+
+
+class Words:
+    """The order-1 model: discounted counts, and all that is left for any unseen word."""
+
+    def __init__(self, stats: np.ndarray):
+        self.counts_of, self.tokens, self.types = stats[: CUTOFF + 2], int(stats[-2]), int(stats[-1])
+        self.discount = good_turing(self.counts_of)
+        n = np.arange(CUTOFF + 2)
+        lost = float((self.counts_of[: CUTOFF + 1] * n[: CUTOFF + 1] * (1 - self.discount[: CUTOFF + 1])).sum())
+        self.unseen = lost / self.tokens if self.tokens else 1.0
+        if not self.unseen:  # no rare word: half a count
+            self.unseen = 0.5 / (self.tokens + 0.5)
+        self.rest = 1 - self.unseen if not lost else 1.0
+        #: Contexts with larger counts are hot.
+        self.hot = max(BUCKET // HOT, self.tokens // HOT_TOKENS)
+
+    def probabilities(self, count: np.ndarray) -> np.ndarray:
+        p = self.rest * self.discount[np.minimum(count, CUTOFF + 1)] * count / max(1, self.tokens)
+        return np.where(count > 0, p, self.unseen)
+
+    def base(self, count: np.ndarray) -> np.ndarray:
+        return np.log10((count + 0.5) / (self.tokens + 0.5 * (self.types + 1)))
+
+
+def context_stats(fresh: np.ndarray, count: np.ndarray, below: np.ndarray) -> np.ndarray:
+    """For each context (its n-grams stand together): how many n-grams have each count up to the
+    cutoff, the sum of the other counts, and what the order below gives to the words seen."""
+    known = count > 0
+    parts = [known & (count == r) for r in range(1, CUTOFF + 1)] + [np.where(count > CUTOFF, count, 0), np.where(known, below, 0.0)]
+    return np.stack([np.add.reduceat(x.astype(np.float64), fresh) for x in parts], 1) if len(fresh) else np.zeros((0, CUTOFF + 2))
+
+
+def backoff(stats: np.ndarray, discount: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each context's count, the factor on its words' discounted shares, and its backoff weight.
+
+    Weights are exactly normalised: what discounting takes, over what the order below gives to
+    words not seen in the context, which always holds the unseen word. A context without rare
+    words gives half a count away; an unseen context has weight 1.
+    """
+    r = np.arange(1, CUTOFF + 1)
+    total = stats[:, :CUTOFF] @ r + stats[:, CUTOFF]
+    taken = stats[:, :CUTOFF] @ (r * (1 - discount[1 : CUTOFF + 1]))
+    none = taken <= 0
+    left = np.where(none, 0.5 / (total + 0.5), taken / np.maximum(total, 1))
+    weight = np.where(total > 0, left / (1 - stats[:, CUTOFF + 1]), 1.0)
+    return total, np.where(none, 1 - left, 1.0), weight
+
+
+class Block:
+    """A block of documents at the order that its answers have reached."""
 
+    def __init__(self, data: bytes, told: pa.Table | None, buckets: int, word: Words | None = None, levels: list[Level] = ()):
+        import xxhash
 
-def answers(rows: list[tuple[int, bytes]], order: np.ndarray, cuts: np.ndarray, width: int) -> list[np.ndarray]:
-    """What the buckets have answered to a block, in the block's own order."""
-    out = None
-    for b, data in rows:
-        got = unpack(data)
-        out = out or [np.zeros(len(order), x.dtype) for x in got]
-        for whole, part in zip(out, got, strict=True):
-            whole[order[cuts[b] : cuts[b + 1]]] = part
-    return out or [np.zeros(0)] * width
+        self.ids, self.null, self.held_out, size, at, sizes, joined = unpack(data)
+        self.size, self.buckets, self.word = size.astype(np.int64), buckets, word
+        self.at = unplaned(at, np.uint32).astype(np.int64)
+        self.sizes, self.joined = unplaned(sizes, np.uint32), joined
+        bucket = np.array([xxhash.xxh3_64_intdigest(w) % buckets for w in word_bytes(self.sizes, joined)], np.int64)
+        self.by_bucket = np.argsort(bucket, kind="stable")
+        self.cuts = np.searchsorted(bucket[self.by_bucket], np.arange(buckets + 1))
+        self.owner = np.repeat(np.arange(len(self.ids)), self.size)
+        self.training = ~self.held_out[self.owner]
+        if told is None:
+            return
+        answers: dict[int, list[tuple[int, bytes]]] = {}
+        for n, b, x in zip(*(told.column(c).to_pylist() for c in ("order", "bucket", "payload")), strict=True):
+            answers.setdefault(n, []).append((b, x))
+        self.gid, self.count = np.zeros(len(self.sizes), np.int64), np.zeros(len(self.sizes), np.int64)
+        for b, x in answers.get(1, []):
+            rank, count = unpack(x)
+            some = self.by_bucket[self.cuts[b] : self.cuts[b + 1]]
+            self.gid[some], self.count[some] = unplaned(rank, np.uint32).astype(np.int64) * buckets + b + 1, unplaned(count, np.int64)
+        self.words, self.word_count, self.which = self.gid, self.count, self.at
+        self.prob = word.probabilities(self.count)[self.at]
+        for n, level in enumerate(levels, 2):
+            self.extend()
+            self.hear(answers.get(n, []), level)
+
+    def extend(self) -> None:
+        """To the distinct n-grams of the next order: (context, word) as global numbers, exact without hashes."""
+        before = np.r_[0, self.which[:-1] + 1] if len(self.at) else self.which
+        before[np.cumsum(self.size) - self.size] = 0
+        wide = len(self.sizes)
+        code, self.seen, which = np.unique(before * wide + self.at, return_index=True, return_inverse=True)
+        context, last = code // wide, code % wide
+        self.context, self.last = np.r_[0, self.gid][context], self.words[last]
+        self.hot = np.r_[np.iinfo(np.int64).max, self.count][context] > self.word.hot
+        key = mix(self.context.astype(np.uint64))
+        key = np.where(self.hot, mix(key * _ROLL ^ self.last.astype(np.uint64)), key)
+        bucket = (key % np.uint64(self.buckets)).astype(np.int64)
+        small = len(code) and int(self.context.max()) < 1 << 40 and self.buckets < 1 << 22
+        self.order = np.argsort(bucket << 40 | self.context, kind="stable") if small else np.lexsort((self.context, bucket))
+        self.gram_cuts = np.searchsorted(bucket[self.order], np.arange(self.buckets + 1))
+        self.which, self.below = which, self.prob
+
+    def ask(self) -> Iterator[tuple[int, bytes]]:
+        count = np.bincount(self.which[self.training], minlength=len(self.seen))
+        below = self.below[self.seen]
+        for b in range(self.buckets):
+            at = self.order[self.gram_cuts[b] : self.gram_cuts[b + 1]]
+            if len(at):
+                yield b, pack(planes(np.diff(self.context[at], prepend=0)), planes(self.last[at]), planes(count[at].astype(np.uint32)), *coded(below[at]), np.packbits(self.hot[at]))
+
+    def hear(self, answers: list[tuple[int, bytes]], level: Level) -> None:
+        """Takes the buckets' answers: each n-gram's count and number, and its context's statistics."""
+        n = len(self.seen)
+        count, gid, stats = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros((n, CUTOFF + 2))
+        for b, data in answers:
+            at = self.order[self.gram_cuts[b] : self.gram_cuts[b + 1]]
+            c, rank, small, large, values, free = unpack(data)
+            count[at] = unplaned(c, np.uint32)
+            if len(rank):
+                gid[at] = unplaned(rank, np.uint32).astype(np.int64) * self.buckets + b + 1
+            fresh = np.r_[True, self.context[at][1:] != self.context[at][:-1]]
+            own = np.concatenate([unplaned(small, np.uint32).reshape(CUTOFF, -1), unplaned(large, np.int64)[None], uncoded(values, free)[None]]).T
+            stats[at] = own[np.cumsum(fresh) - 1]
+        if self.hot.any():
+            k = np.minimum(np.searchsorted(level.hot, self.context), max(0, len(level.hot) - 1))
+            found = self.hot & (level.hot[k] == self.context) if len(level.hot) else np.zeros(n, bool)
+            stats[self.hot] = 0
+            stats[found] = level.stats[k[found]]
+        total, factor, weight = backoff(stats, level.discount)
+        p = factor * level.discount[np.minimum(count, CUTOFF + 1)] * count / np.maximum(total, 1)
+        self.count, self.gid = count, gid
+        self.prob = np.where(count[self.which] > 0, p[self.which], weight[self.which] * self.below)
 
 
 def word_table(encoded: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, block, payload): counts of a block's words in all training texts; block -1: counts of counts, tokens and types."""
+    """(order, bucket, block, payload): numbers and training counts of a block's words; block -1: counts of counts, tokens and types."""
 
+    @leanly
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                e = Encoded(data)
-                count = e.words_in_training()
-                order, cuts = dealt(e.words, buckets)
-                for b in range(buckets):
-                    at = order[cuts[b] : cuts[b + 1]]
-                    if len(at):
-                        yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([block], pa.int64()), pa.array([pack(e.words[at], count[at].astype(np.uint32))], pa.binary())], ["bucket", "block", "payload"])
-
+                e = Block(data, None, buckets)
+                count = np.bincount(e.at[e.training], minlength=len(e.sizes)).astype(np.uint32)
+                first = np.cumsum(e.sizes, dtype=np.int64) - e.sizes
+                for b in np.flatnonzero(np.diff(e.cuts)).tolist():
+                    at = e.by_bucket[e.cuts[b] : e.cuts[b + 1]]
+                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([block], pa.int64()), pa.array([pack(e.sizes[at], e.joined[ragged(first[at], e.sizes[at].astype(np.int64))], count[at])], pa.binary())], ["bucket", "block", "payload"])
+
+    @leanly
     def answer(batch: pa.Table) -> pa.Table:
-        asked = [unpack(x) for x in batch.column("payload").to_pylist()]
-        words, which = np.unique(np.concatenate([x[0] for x in asked]), return_inverse=True)
-        total = np.bincount(which, np.concatenate([x[1] for x in asked]), minlength=len(words)).astype(np.int64)
+        number: dict[bytes, int] = {}
+        which, counts = [], []
+        for data in batch.column("payload").to_pylist():
+            sizes, joined, count = unpack(data)
+            which.append(np.array([number.setdefault(w, len(number)) for w in word_bytes(sizes, joined)], np.int64))
+            counts.append(count)
+        total = np.bincount(np.concatenate(which), np.concatenate(counts), minlength=len(number)).astype(np.int64)
+        rank = np.empty(len(total), np.uint32)
+        rank[np.argsort(-total, kind="stable")] = np.arange(len(total))  # frequent words have small numbers
         known = total[total > 0]
         stats = np.r_[np.bincount(np.minimum(known, CUTOFF + 2), minlength=CUTOFF + 3)[: CUTOFF + 2], known.sum(), len(known)]
-        ends = np.cumsum([len(x[0]) for x in asked])[:-1]
-        loads = [pack(total[w]) for w in np.split(which, ends)]
-        b = batch.column("bucket")[0].as_py()
-        return pa.table({"bucket": pa.array([b] * (len(loads) + 1), pa.int32()), "block": pa.array([*batch.column("block").to_pylist(), -1], pa.int64()), "payload": pa.array([*loads, pack(stats)], pa.binary())})
+        loads = [pack(planes(rank[w]), planes(total[w])) for w in which]
+        return answered(1, batch, loads, stats)
+
+    return encoded.mapInArrow(ask, "bucket int, block long, payload binary").groupBy("bucket").applyInArrow(answer, ANSWERS)
+
+
+ANSWERS = "order int, bucket int, block long, payload binary"
+
 
-    return encoded.mapInArrow(ask, "bucket int, block long, payload binary").groupBy("bucket").applyInArrow(answer, "bucket int, block long, payload binary")
+def answered(order: int, batch: pa.Table, loads: list[bytes], stats: np.ndarray) -> pa.Table:
+    b, n = batch.column("bucket")[0].as_py(), len(loads) + 1
+    return pa.table({"order": pa.array([order] * n, pa.int32()), "bucket": pa.array([b] * n, pa.int32()), "block": pa.array([*batch.column("block").to_pylist(), -1], pa.int64()), "payload": pa.array([*loads, pack(stats)], pa.binary())})
 
 
-def gram_table(encoded: DataFrame, lower: DataFrame, order: int, word: Words, buckets: int) -> DataFrame:
-    """A row per bucket of contexts: the merged counts, and which of them each block has.
+def gram_table(encoded: DataFrame, told: DataFrame, order: int, last: bool, word: Words, levels: list[Level], buckets: int) -> DataFrame:
+    """Answers of an order: the counts of a block's n-grams and their contexts' statistics.
 
-    ``lower`` has the answers of lower orders; a block sends each distinct n-gram once, with its
-    count in training and the probability that the lower order gives its last word.
+    Block -1 has the counts of counts, block -2 a bucket's share of hot contexts' statistics. A
+    block sends each distinct n-gram once, with its count in training and the probability that
+    the order below gives its last word. All n-grams of a context go to one bucket, but those of
+    hot contexts, which are dealt by word.
     """
 
-    def ask(block: pa.Table, told: pa.Table) -> pa.Table:
-        e = Encoded(block.column("payload")[0].as_py())
-        ctx, key, seen, count, _ = e.grams(order)
-        below = token_scores(e, told, order - 1, word, buckets)[seen].astype(np.float32)
-        place, cuts = dealt(ctx, buckets)
-        out = []
-        for b in range(buckets):
-            at = place[cuts[b] : cuts[b + 1]]
-            if len(at):
-                fresh = np.flatnonzero(np.r_[True, ctx[at][1:] != ctx[at][:-1]])
-                sizes = np.diff(np.r_[fresh, len(at)]).astype(np.uint32)
-                out.append((b, pack(ctx[at][fresh], planes(sizes), planes(key[at] & SENT), *coded(below[at]), planes(count[at].astype(np.uint32)))))
+    def ask(block: pa.Table, answers: pa.Table) -> pa.Table:
+        e = Block(block.column("payload")[0].as_py(), answers, buckets, word, levels)
+        e.extend()
+        out = list(e.ask())
         return pa.table({"bucket": pa.array([x[0] for x in out], pa.int32()), "block": pa.array([block.column("block")[0].as_py()] * len(out), pa.int64()), "payload": pa.array([x[1] for x in out], pa.binary())})
 
     def merge(batch: pa.Table) -> pa.Table:
         parts = []
         for data in batch.column("payload").to_pylist():
-            ctx, sizes, key, values, below, count = unpack(data)
-            parts.append((np.repeat(ctx, unplaned(sizes, np.uint32)), unplaned(key, np.uint64), uncoded(values, below), unplaned(count, np.uint32)))
-        ctx, key, below, count = (np.concatenate(x) for x in zip(*parts, strict=True))
+            context, w, count, values, below, hot = unpack(data)
+            n = len(context) // 8
+            parts.append((np.cumsum(unplaned(context, np.int64)), unplaned(w, np.int64), unplaned(count, np.uint32), uncoded(values, below), np.unpackbits(hot, count=n).view(bool)))
+        context, w, count, below, hot = (np.concatenate(x) for x in zip(*parts, strict=True))
         ends = np.cumsum([len(p[0]) for p in parts])[:-1]
-        _, seen, which = np.unique(mix(ctx * _ROLL ^ key), return_index=True, return_inverse=True)
-        total = np.bincount(which, count, minlength=len(seen)).astype(np.int64)
-        new = np.argsort(ctx[seen], kind="stable")
-        place = np.empty(len(new), np.int64)
-        place[new] = np.arange(len(new))
-        seen, total = seen[new], total[new]
-        fresh = np.flatnonzero(np.r_[True, ctx[seen][1:] != ctx[seen][:-1]])
-        sizes = np.diff(np.r_[fresh, len(seen)]).astype(np.uint32)
+        del parts
+        new = np.lexsort((w, context))
+        c, x = context[new], w[new]
+        fresh = np.r_[True, (c[1:] != c[:-1]) | (x[1:] != x[:-1])]
+        heads = np.flatnonzero(fresh)
+        gram = np.empty(len(new), np.int64)
+        gram[new] = np.cumsum(fresh) - 1
+        total = np.add.reduceat(count[new].astype(np.int64), heads)
+        starts = np.flatnonzero(np.r_[True, c[heads][1:] != c[heads][:-1]])
+        stats = context_stats(starts, total, below[new[heads]])
+        whose = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(heads)]))
+        rank = np.empty(len(total), np.uint32)
+        rank[np.argsort(-total, kind="stable")] = np.arange(len(total))
+        loads = []
+        for some, own in zip(np.split(gram, ends), np.split(context, ends), strict=True):
+            mine = stats[whose[some[np.flatnonzero(np.r_[True, own[1:] != own[:-1]])]]]
+            loads.append(pack(planes(total[some].astype(np.uint32)), planes(rank[some]) if not last else np.zeros(0, np.uint8), planes(np.ascontiguousarray(mine[:, :CUTOFF].T).astype(np.uint32).ravel()), planes(mine[:, CUTOFF].astype(np.int64)), *coded(mine[:, CUTOFF + 1])))
         known = total[total > 0]
-        stats = np.bincount(np.minimum(known, CUTOFF + 2), minlength=CUTOFF + 3)[: CUTOFF + 2]
-        table = pack(planes(sizes), planes(total.astype(np.uint32)), *coded(below[seen]))
-        return pa.table({
-            "bucket": batch.column("bucket")[:1],
-            "stats": pa.array([stats.tolist()], pa.list_(pa.int64())),
-            "table": pa.array([table], pa.binary()),
-            "blocks": pa.array([batch.column("block").to_pylist()], pa.list_(pa.int64())),
-            "which": pa.array([[pack(planes(w.astype(np.uint32))) for w in np.split(place[which], ends)]], pa.list_(pa.binary())),
-        })
-
-    sent = encoded.groupBy("block").cogroup(lower.groupBy("block")).applyInArrow(ask, "bucket int, block long, payload binary")
-    return sent.groupBy("bucket").applyInArrow(merge, "bucket int, stats array<long>, table binary, blocks array<long>, which array<binary>")
-
-
-def probabilities(sizes: np.ndarray, count: np.ndarray, below: np.ndarray, discount: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """log10 of each n-gram's discounted probability, and of its context's backoff weight.
-
-    Weights are exactly normalised: what discounting leaves, over what the lower order gives to
-    words not seen in the context. A context that leaves nothing to unseen words by rounding
-    keeps a sliver; an unseen context has weight 1.
-    """
-    which = np.repeat(np.arange(len(sizes)), sizes)
-    total = np.bincount(which, count, minlength=len(sizes))
-    p = discount[np.minimum(count, CUTOFF + 1)] * count / np.maximum(total, 1)[which]
-    left = 1 - np.bincount(which, p, minlength=len(sizes))
-    free = 1 - np.bincount(which, np.where(count > 0, 10.0 ** below.astype(np.float64), 0), minlength=len(sizes))
-    weight = np.where(total > 0, np.maximum(left, 1e-12) / np.maximum(free, 1e-12), 1.0)
-    with np.errstate(divide="ignore"):
-        return np.log10(p), np.log10(weight)[which]
-
-
-def gram_answers(table: DataFrame, discount: np.ndarray, order: int) -> DataFrame:
-    """(order, bucket, block, payload): for each n-gram of a block whether it is known, and its log10 probability or else its context's weight."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for b, data, blocks, which in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                sizes, count, values, below = unpack(data)
-                count = unplaned(count, np.uint32).astype(np.int64)
-                p, weight = probabilities(unplaned(sizes, np.uint32), count, uncoded(values, below), discount)
-                value = np.where(count > 0, p, weight).astype(np.float32)
-                for block, data2 in zip(blocks, which, strict=True):
-                    w = unplaned(unpack(data2)[0], np.uint32)
-                    yield pa.RecordBatch.from_arrays([pa.array([order], pa.int32()), pa.array([b], pa.int32()), pa.array([block], pa.int64()), pa.array([pack(np.packbits(count[w] > 0), *coded(value[w]))], pa.binary())], ["order", "bucket", "block", "payload"])
-
-    return table.select("bucket", "table", "blocks", "which").mapInArrow(run, "order int, bucket int, block long, payload binary")
+        out = answered(order, batch, loads, np.bincount(np.minimum(known, CUTOFF + 2), minlength=CUTOFF + 3)[: CUTOFF + 2])
+        warm = np.flatnonzero(hot[new[heads[starts]]])
+        if len(warm):
+            share = pack(c[heads[starts[warm]]], stats[warm].ravel())
+            out = pa.concat_tables([out, pa.table({"order": pa.array([order], pa.int32()), "bucket": batch.column("bucket")[:1], "block": pa.array([-2], pa.int64()), "payload": pa.array([share], pa.binary())})])
+        return out
 
+    sent = encoded.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(leanly(ask), "bucket int, block long, payload binary")
+    return sent.groupBy("bucket").applyInArrow(leanly(merge), ANSWERS)
 
-class Words:
-    """The order-1 model: discounted counts, and all that is left for any unseen word."""
 
-    def __init__(self, stats: np.ndarray):
-        self.counts_of, self.tokens, self.types = stats[: CUTOFF + 2], int(stats[-2]), int(stats[-1])
-        self.discount = good_turing(self.counts_of)
-        n = np.arange(CUTOFF + 2)
-        lost = float((self.counts_of[: CUTOFF + 1] * n[: CUTOFF + 1] * (1 - self.discount[: CUTOFF + 1])).sum())
-        self.unseen = lost / self.tokens if self.tokens else 1.0
-        if not self.unseen:  # no rare word: half a count
-            self.unseen = 0.5 / (self.tokens + 0.5)
-        self.rest = 1 - self.unseen if not lost else 1.0
+def added(rows: DataFrame, n: int) -> np.ndarray:
+    """The sum of all payloads of ``n`` numbers, added up in tasks first."""
 
-    def logs(self, count: np.ndarray) -> np.ndarray:
-        p = self.rest * self.discount[np.minimum(count, CUTOFF + 1)] * count / max(1, self.tokens)
-        return np.log10(np.where(count > 0, p, self.unseen))
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(n, np.int64)
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                total += unpack(x)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array(total)], ["k", "n"])
 
-    def base(self, count: np.ndarray) -> np.ndarray:
-        return np.log10((count + 0.5) / (self.tokens + 0.5 * (self.types + 1)))
+    out = np.zeros(n, np.int64)
+    for r in rows.select("payload").mapInArrow(some, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
+        out[r.k] = r.n
+    return out
 
 
-def word_counts(e: Encoded, told: pa.Table, buckets: int) -> np.ndarray:
-    rows = [(b, x) for o, b, x in zip(*(told.column(c).to_pylist() for c in ("order", "bucket", "payload")), strict=True) if o == 1]
-    return answers(rows, *dealt(e.words, buckets), 1)[0].astype(np.int64)
+def hot_contexts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The statistics of hot contexts, of which there are at most HOT_TOKENS an order, added up over buckets."""
+    names = [f"s{k}" for k in range(CUTOFF + 2)]
 
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                context, stats = unpack(x)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(context), b, np.int32)), pa.array(context), *(pa.array(np.ascontiguousarray(y)) for y in stats.reshape(-1, CUTOFF + 2).T)], ["bucket", "context", *names])
 
-def token_scores(e: Encoded, told: pa.Table, order: int, word: Words, buckets: int) -> np.ndarray:
-    """log10 probability of each token at an order: the n-gram's own, or its context's weight and the order below."""
-    if order == 1:
-        return word.logs(word_counts(e, told, buckets))[e.at]
-    below = token_scores(e, told, order - 1, word, buckets)
-    ctx, _, _, _, which = e.grams(order)
-    place, cuts = dealt(ctx, buckets)
-    rows = [(b, x) for o, b, x in zip(*(told.column(c).to_pylist() for c in ("order", "bucket", "payload")), strict=True) if o == order]
-    known, value = np.zeros(len(ctx), bool), np.zeros(len(ctx), np.float32)
-    for b, data in rows:
-        k, values, v = unpack(data)
-        at = place[cuts[b] : cuts[b + 1]]
-        known[at] = np.unpackbits(k, count=len(at)).view(bool)
-        value[at] = uncoded(values, v)
-    return value[which] + np.where(known[which], 0, below)
+    each = rows.select("bucket", "payload").mapInArrow(some, "bucket int, context long, " + ", ".join(f"{n} double" for n in names))
+    got = sorted(each.groupBy("context").agg(*(F.sum(n).alias(n) for n in names)).collect())
+    return np.array([r.context for r in got], np.int64), np.array([[r[n] for n in names] for r in got]).reshape(-1, CUTOFF + 2)
 
 
 def katz_scores(docs: DataFrame, order: int = 2, folds: int = 5, held_out: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -294,35 +365,31 @@ def katz_scores(docs: DataFrame, order: int = 2, folds: int = 5, held_out: int =
     text ends with an end token; a null or empty text is that token alone. A null id is in
     training. Repeated rows count as often as they stand. Words unknown in training are one
     class, which has what discounting leaves; so every order's probabilities sum to one over the
-    known words and that class. An empty table gives an empty result.
+    known words and that class. Words are compared whole and numbered; an n-gram is its context's
+    number and its word's, so nothing rests on hashes. An empty table gives an empty result; a
+    very long text is a block of its own.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "katz")
-    encoded = work.write(encode(columns(docs, id_col, text=text_col), folds, held_out), "encoded")
-    chars = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col))), F.lit(0))).first()[0]
+    rows = columns(docs, id_col, text=text_col)
+    chars = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(shuffle_parts(spark), int(chars) // 6 // BUCKET + 1)
-    words = work.write(word_table(encoded, buckets), "words")
-    stats = np.zeros(CUTOFF + 4, np.int64)
-    for r in words.where("block = -1").select("payload").collect():
-        stats += unpack(r.payload)[0]
-    word = Words(stats)
-    told = words.where("block >= 0").select(F.lit(1).alias("order"), "bucket", "block", "payload")
+    encoded = work.write(encode(rows, folds, held_out), "encoded", "uncompressed")
+    words = work.write(word_table(encoded, buckets), "words", "uncompressed")
+    word = Words(added(words.where("block = -1"), CUTOFF + 4))
+    told, levels = words.where("block >= 0"), []
     for n in range(2, order + 1):
-        table = work.write(gram_table(encoded, told, n, word, buckets), f"grams{n}", "uncompressed")
-        work.drop()
-        sums = table.select(F.posexplode("stats")).groupBy("pos").agg(F.sum("col").alias("n")).collect()
-        counts_of = np.zeros(CUTOFF + 2, np.int64)
-        for r in sums:
-            counts_of[r.pos] = r.n
-        told = told.unionByName(work.write(gram_answers(table, good_turing(counts_of), n), f"answers{n}", "uncompressed"))
-        work.drop(f"grams{n}")
+        grams = work.write(gram_table(encoded, told, n, n == order, word, list(levels), buckets), f"grams{n}", "uncompressed")
+        levels.append(Level(good_turing(added(grams.where("block = -1"), CUTOFF + 2)), *hot_contexts(grams.where("block = -2"))))
+        told = told.unionByName(grams.where("block >= 0"))
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
-    def score(block: pa.Table, answer: pa.Table) -> pa.Table:
-        e = Encoded(block.column("payload")[0].as_py())
-        count = word_counts(e, answer, buckets)[e.at]
+    @leanly
+    def score(block: pa.Table, answers: pa.Table) -> pa.Table:
+        e = Block(block.column("payload")[0].as_py(), answers, buckets, word, levels)
+        count = e.word_count[e.at]
         add = lambda x: np.bincount(e.owner, x, minlength=len(e.ids))
-        made = [pa.array(e.ids, mask=e.null), pa.array(e.held_out), pa.array(e.size), pa.array(add(count > 0).astype(np.int64)), pa.array(np.full(len(e.ids), word.tokens)), pa.array(add(word.base(count))), pa.array(add(token_scores(e, answer, order, word, buckets)))]
+        made = [pa.array(e.ids, mask=e.null), pa.array(e.held_out), pa.array(e.size), pa.array(add(count > 0).astype(np.int64)), pa.array(np.full(len(e.ids), word.tokens)), pa.array(add(word.base(count))), pa.array(add(np.log10(e.prob)))]
         return pa.Table.from_arrays(made, schema=schema)
 
     return encoded.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -3,27 +3,28 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataframe.llm.common import Workspace, columns, hashed_words, mix, pack, runs_of_texts, shuffle_parts, unpack
+from strataframe.llm.common import Workspace, columns, hashed_words, leanly, mix, pack, ragged, runs_of_texts, shuffle_parts, unpack
 from strataframe.llm.components import connected_components
 
 #: Bits of a cell's number in each of the two rows of the frequency sketch that orders shingles; its size is fixed.
 CELLS = 21
 #: Slices in which tasks' sketches are added up.
 SLICES = 16
-#: Bits of the filter of wanted documents; its size is fixed, and a full one lets all through.
-FILTER = 23
+#: The largest filter of wanted documents has two to this power of bits.
+FILTER = 27
 #: Prefix entries that one bucket of the join is to hold.
 BUCKET = 1_500_000
 #: Runs of a shingle up to this many members lose those that could link with none of the others.
 PAIRED = 48
-#: Members that one verification group holds beside its pivot.
-GROUP = 200
+#: Members that one verification group holds beside its pivot, and bytes of their sets.
+GROUP, GROUP_BYTES = 200, 4_000_000
 _ROLL = np.uint64(0x100000001B3)
 
 
@@ -62,10 +63,14 @@ def cells_of(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return one, two + (1 << CELLS)
 
 
-def wanted_filter(wanted: DataFrame) -> np.ndarray:
-    """Bits of the ids' hashes, so that other documents' texts needn't be shuffled."""
-    part = 1 << (FILTER - 5)
-    bits = wanted.select(F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER)).alias("bit")).distinct()
+def wanted_filter(wanted: DataFrame) -> tuple[np.ndarray, int]:
+    """Bits of the ids' hashes, so that other documents' sets needn't be shuffled, and their number's power of two.
+
+    The filter has eight bits an id, 2^FILTER of them at the most; a full one lets all through.
+    """
+    power = min(FILTER, max(16, int(8 * wanted.count()).bit_length()))
+    part = 1 << (power - 5)
+    bits = wanted.select(F.pmod(F.xxhash64("doc_id"), F.lit(1 << power)).alias("bit")).distinct()
 
     def gather(batch: pa.Table) -> pa.Table:
         held = np.zeros(part, bool)
@@ -73,10 +78,10 @@ def wanted_filter(wanted: DataFrame) -> np.ndarray:
         return pa.table({"slice": batch.column("slice")[:1], "bits": [pack(np.packbits(held))]})
 
     rows = bits.withColumn("slice", F.floor(F.col("bit") / part).cast("int")).groupBy("slice").applyInArrow(gather, "slice int, bits binary").collect()
-    out = np.zeros(1 << FILTER, bool)
+    out = np.zeros(1 << power, bool)
     for r in rows:
         out[r["slice"] * part : (r["slice"] + 1) * part] = np.unpackbits(unpack(r["bits"])[0])
-    return np.packbits(out)
+    return np.packbits(out), power
 
 
 class Shingler:
@@ -89,6 +94,7 @@ class Shingler:
         """doc_id, n_shingles and digest; and each task's slices of the frequency sketch."""
         words = self.words
 
+        @leanly
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             import xxhash
 
@@ -123,6 +129,7 @@ class Shingler:
         """
         words, percent = self.words, self.percent
 
+        @leanly
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             import xxhash
 
@@ -175,24 +182,28 @@ class Shingler:
         return self.docs.mapInArrow(run, "bucket int, payload binary, groups binary")
 
     def sets(self, chosen: DataFrame) -> DataFrame:
-        """(doc_id, set) of the chosen doc_ids."""
+        """(doc_id, set) of the chosen doc_ids and, as the filter goes, a few others; a row's set is never shuffled here."""
         words = self.words
+        bits, power = wanted_filter(chosen)
 
+        @leanly
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows = batch.column(1).to_pylist()
+                at = batch.column(2).to_numpy()
+                some = batch.select([0, 1]).filter(pa.array((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1))
+                rows = some.column(1).to_pylist()
                 made = [s.tobytes() for lo, hi in runs_of_texts(rows) for s in shingle_sets(rows[lo:hi], words)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(made, pa.binary())], ["doc_id", "set"])
+                yield pa.RecordBatch.from_arrays([some.column(0).cast(pa.int64()), pa.array(made, pa.binary())], ["doc_id", "set"])
 
-        bits = wanted_filter(chosen)
+        hashed = self.docs.where("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << power)).alias("bit"))
+        return hashed.mapInArrow(run, "doc_id long, set binary")
 
-        def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                at = batch.column(2).to_numpy()
-                yield batch.select([0, 1]).filter(pa.array((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1))
 
-        some = self.docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER)).alias("bit")).mapInArrow(likely, "doc_id long, text string")
-        return some.join(chosen, "doc_id", "left_semi").mapInArrow(run, "doc_id long, set binary")
+class FACTS:
+    """A row of the exchange that tells buckets of their documents: a request, or what is known of a document."""
+
+    names: ClassVar = ["part", "bucket", "payload", "doc_id", "group", "low", "high"]
+    ddl = "part int, bucket int, payload binary, doc_id long, group long, low long, high long"
 
 
 def by_bucket(bucket: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -280,6 +291,7 @@ def ngram_links(docs: DataFrame, words: int, percent: int, work: Workspace) -> t
     entries = rows.agg(F.coalesce(F.sum(F.col("n_shingles") * (100 - percent) / 100 + 1), F.lit(0))).first()[0]
     buckets = max(shuffle_parts(spark), int(entries) // BUCKET + 1)
 
+    @leanly
     def lists(batch: pa.Table) -> pa.Table:
         doc, size, place, starts = shared_shingles(batch.column("payload").to_pylist(), percent)
         whose = group_heads(batch.column("groups").to_pylist())
@@ -291,6 +303,10 @@ def ngram_links(docs: DataFrame, words: int, percent: int, work: Workspace) -> t
     del both, rows, sums, heads
     work.drop("summary")
     same = head_of.where("head is not null").select("doc_id", "head").distinct()
+    sizes = head_of.where("head is not null").groupBy("doc_id").agg(F.max("n_shingles").alias("n"))
+    # An id with several texts is one document: it links what each of its sets is equal to.
+    several = head_of.where("head is not null").groupBy("doc_id").agg(F.min("head").alias("low"), F.max("head").alias("high")).where("low <> high").select("doc_id")
+    several = same.join(several, "doc_id").select(*(f("doc_id", "head").alias(x) for f, x in ((F.least, "a"), (F.greatest, "b")))).where("a <> b")
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -319,7 +335,7 @@ def ngram_links(docs: DataFrame, words: int, percent: int, work: Workspace) -> t
     expanded = proposed.join(member.withColumnRenamed("group", "gb"), "gb").select(*ordered("ga", "doc_id"))
     within = member.where("group <> doc_id").select(*ordered("group", "doc_id"))
     first = work.write(expanded.unionByName(within).where("a <> b").distinct(), "first")
-    links = work.write(verified(first, shingler, percent, work, "sets1"), "links1")
+    links = work.write(verified(first, sizes, shingler, percent, work, "sets1").unionByName(several), "links1")
     work.drop("sets1")
     parts = work.write(connected_components(links, work, "cc"), "parts1")
 
@@ -328,22 +344,54 @@ def ngram_links(docs: DataFrame, words: int, percent: int, work: Workspace) -> t
     placed = work.write(placed, "placed")
     spans = placed.groupBy("group").agg(F.min("part").alias("low"), F.max("part").alias("high"))
 
-    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # What is known of a bucket's documents: they are asked for and answered in arrays, a row for
+    # each bucket and part of the documents.
+    part_of = lambda doc: (mix(doc.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+
+    @leanly
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b, data in zip(batch.column("bucket").to_pylist(), batch.column("payload").to_pylist(), strict=True):
                 doc = np.unique(unpack(data)[0])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(doc), b, np.int32)), pa.array(doc)], ["bucket", "doc_id"])
-
-    marks = kept.select("bucket", "payload").mapInArrow(members, "bucket int, doc_id long").join(group_of, "doc_id").join(spans, "group")
-
+                order, cuts = by_bucket(part_of(doc), buckets)
+                parts = np.flatnonzero(np.diff(cuts)).tolist()
+                loads = [pack(doc[order[cuts[p] : cuts[p + 1]]]) for p in parts]
+                none = pa.nulls(len(parts), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([b] * len(parts), pa.int32()), pa.array(loads, pa.binary()), none, none, none, none], FACTS.names)
+
+    @leanly
+    def facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array(part_of(batch.column(0).to_numpy()), pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), *batch.columns], FACTS.names)
+
+    @leanly
+    def answer(batch: pa.Table) -> pa.Table:
+        known, asking = batch.filter(batch.column("payload").is_null()), batch.filter(batch.column("payload").is_valid())
+        doc = known.column("doc_id").to_numpy()
+        order = np.argsort(doc, kind="stable")
+        doc, rest = doc[order], [known.column(c).to_numpy()[order] for c in ("group", "low", "high")]
+        loads = []
+        for data in asking.column("payload").to_pylist():
+            want = unpack(data)[0]
+            lo, hi = np.searchsorted(doc, want), np.searchsorted(doc, want, side="right")
+            at = ragged(lo, hi - lo)
+            loads.append(pack(doc[at], *(x[at] for x in rest)))
+        return pa.table({"bucket": asking.column("bucket"), "payload": pa.array(loads, pa.binary())})
+
+    requests = kept.select("bucket", "payload").mapInArrow(asked, FACTS.ddl)
+    told_of = group_of.join(spans, "group").select("doc_id", "group", "low", "high").mapInArrow(facts, FACTS.ddl)
+    marks = requests.unionByName(told_of).groupBy("part").applyInArrow(answer, "bucket int, payload binary")
+
+    @leanly
     def across(one: pa.Table, two: pa.Table) -> pa.Table:
         found = []
+        known, *rest = (np.concatenate(x) for x in zip(*map(unpack, two.column("payload").to_pylist()), strict=True)) if two.num_rows else [np.zeros(0, np.int64)] * 4
+        order = np.argsort(known)
         for data in one.column("payload").to_pylist():
             doc, size, place, starts = unpack(data)
-            known = two.column("doc_id").to_numpy()
-            order = np.argsort(known)
             at = order[np.searchsorted(known, doc, sorter=order)] if len(doc) else order[:0]
-            group, low, high = (two.column(c).to_numpy()[at] for c in ("group", "low", "high"))
+            group, low, high = (x[at] for x in rest)
             n, p = size.astype(np.int64), place.astype(np.int64)
             for lo, hi in zip(starts, np.r_[starts[1:], len(doc)][: len(starts)], strict=True):
                 if (low[lo:hi] == high[lo]).all() and (high[lo:hi] == low[lo]).all():
@@ -365,32 +413,42 @@ def ngram_links(docs: DataFrame, words: int, percent: int, work: Workspace) -> t
     second = work.write(second, "second")
     if second.isEmpty():
         return head_of, parts
-    links = links.unionByName(work.write(verified(second, shingler, percent, work, "sets2"), "links2"))
+    links = links.unionByName(work.write(verified(second, sizes, shingler, percent, work, "sets2"), "links2"))
     return head_of, work.write(connected_components(links, work, "cc2"), "parts2")
 
 
-def verified(pairs: DataFrame, shingler: Shingler, percent: int, work: Workspace, name: str) -> DataFrame:
-    """The pairs (a, b) that link, from whole sets; a pivot's partners are compared in groups of bounded size."""
+def verified(pairs: DataFrame, sizes: DataFrame, shingler: Shingler, percent: int, work: Workspace, name: str) -> DataFrame:
+    """The pairs (a, b) that link, from whole sets; a pivot's partners are compared in groups of bounded bytes.
+
+    ``sizes`` has the largest set of each id; those of linked ids are within the similarity of it.
+    """
     wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     sets = work.write(shingler.sets(wanted), name)
-    sized = pairs.groupBy("a").agg((F.count(F.lit(1)) / GROUP).cast("int").alias("more"))
+    most = F.greatest(F.lit(1), F.least(F.lit(GROUP), F.floor(F.lit(GROUP_BYTES * percent / 800) / F.col("n"))))
+    sized = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("partners")).join(sizes.withColumnRenamed("doc_id", "a"), "a").select("a", F.floor(F.col("partners") / most).cast("int").alias("more"))
     dealt = pairs.join(sized, "a").withColumn("group", F.pmod(F.xxhash64("b"), F.col("more") + 1)).select("a", "group", "b")
     pivots = dealt.select("a", "group", F.col("a").alias("b")).distinct()
 
+    @leanly
     def compare(batch: pa.Table) -> pa.Table:
         a, b = batch.column("a")[0].as_py(), batch.column("b").to_pylist()
-        held = [np.frombuffer(x, np.uint64) for x in batch.column("set").to_pylist()]
-        mine = held[b.index(a)]
-        out = []
-        for other, s in dict(zip(b, held, strict=True)).items():  # repeated rows have one set
-            if other != a:
-                at = np.searchsorted(mine, s)
-                both = int((mine[np.minimum(at, len(mine) - 1)] == s).sum())
-                if 100 * both >= percent * (len(mine) + len(s) - both):
-                    out.append(other)
+        column = batch.column("set")
+        view = lambda i: np.frombuffer(column[i].as_buffer(), np.uint64)
+        mine = [view(i) for i, other in enumerate(b) if other == a]
+        out = set()
+        for i, other in enumerate(b):
+            if other != a and other not in out:
+                s = view(i)
+                for own in mine:
+                    at = np.searchsorted(own, s)
+                    both = int((own[np.minimum(at, len(own) - 1)] == s).sum())
+                    if 100 * both >= percent * (len(own) + len(s) - both):
+                        out.add(other)
+                        break
         return pa.table({"a": pa.array([a] * len(out), pa.int64()), "b": pa.array(out, pa.int64())})
 
-    with_sets = dealt.unionByName(pivots).join(sets.withColumnRenamed("doc_id", "b"), "b")
+    # Sets are too large to be broadcast on either side, also where the pairs are few.
+    with_sets = dealt.unionByName(pivots).hint("merge").join(sets.withColumnRenamed("doc_id", "b").hint("merge"), "b")
     return with_sets.select("a", "group", "b", "set").groupBy("a", "group").applyInArrow(compare, "a long, b long")
 
 
@@ -400,7 +458,9 @@ def ngram_components(docs: DataFrame, words: int = 5, percent: int = 75, id_col:
     Sets of lower-cased word n-grams link when 100 * intersection >= percent * union. Texts with
     fewer words have their whole sequence as one n-gram; null, empty and wordless texts have an
     empty set and link with nothing, and so do rows without an id (their component is null).
-    Rows that repeat an id are one document. N-grams are compared as 64-bit hashes.
+    Rows that repeat an id are one document, which links with what any of its texts links with.
+    N-grams are compared as 64-bit hashes. Very long texts are held whole, one at a time. Pairs
+    that earlier links have already joined aren't verified, so links aren't counted.
     """
     rows = columns(docs, id_col, text=text_col).withColumnRenamed(id_col, "doc_id").withColumn("doc_id", F.col("doc_id").cast("long"))
     head_of, parts = ngram_links(rows, words, percent, Workspace(docs.sparkSession, "ngram-join"))

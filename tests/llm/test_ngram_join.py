@@ -56,3 +56,9 @@ def test_empty_repeated_and_clashing(spark):
     df = spark.createDataFrame([(3, "a b c d e f", 1, 2), (3, "a b c d e f", 1, 2), (1, "A b c d e f", 1, 2), (None, "a b c d e f", 1, 2)], "doc_id long, text string, head long, digest long")
     got = sorted(map(tuple, ngram_components(df).collect()), key=str)
     assert got == sorted([(3, 2, 1), (3, 2, 1), (1, 2, 1), (None, 2, 1)], key=str)
+
+
+def test_id_with_several_texts(spark):
+    docs = [(1, "a b c d e f g h"), (1, "q r s t u v w x"), (2, "q r s t u v w y"), (3, "a b c d e f g h i"), (0, "q r s t u v w x"), (9, "q r s t u v w x z z z z")]
+    got = {(r.doc_id, r.component_id) for r in ngram_components(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()}
+    assert got == {(0, 0), (1, 0), (2, 2), (3, 0), (9, 9)}

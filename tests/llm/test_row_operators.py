@@ -1,11 +1,15 @@
 import hashlib
 import random
 import re
+import struct
+import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow.parquet as pq
 import pytest
+import sentencepiece
 from tokenizers import Tokenizer
 
 from strataframe.llm import html_extract, packing, quality_model, sentence_pieces
@@ -79,8 +83,6 @@ def test_packing(spark):
     docs = list(enumerate(texts)) + [(3, texts[3])]
     rows = packing.pack(spark.createDataFrame(docs, DOCS).repartition(3), path, capacity=128, end_id=1).collect()
     library = Tokenizer.from_file(path)
-    import zlib
-
     for i, t in enumerate(texts):
         ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
         mine = sorted({(r.piece, r.start, r.length, r.ids_crc32) for r in rows if r.doc_id == i})
@@ -101,7 +103,7 @@ def test_packing(spark):
 def test_plan_covers_all_items():
     rng = random.Random(4)
     for counts in ({4096: 3, 1: 1}, {2000: 200, 1500: 120, 700: 80}, dict(Counter(rng.randrange(1, 4096) for _ in range(3000)))):
-        plan = packing.plan(counts, 4096)
+        plan = packing.plan(counts, 4096).patterns
         seen = Counter()
         for p in plan:
             assert sum(p.lengths) <= 4096
@@ -112,7 +114,7 @@ def test_plan_covers_all_items():
 
 @pytest.mark.parametrize(("counts", "most"), [({100: 10000}, 1.03), ({k: 10000 for k in range(10, 41)}, 1.01), ({300: 20000} | {k: 3 for k in range(1, 4096, 7) if k != 300}, 1.06)])
 def test_plan_repeats_lengths(counts, most):
-    plan = packing.plan(counts, 4096)
+    plan = packing.plan(counts, 4096).patterns
     seen = Counter()
     for p in plan:
         assert sum(p.lengths) <= 4096
@@ -122,6 +124,37 @@ def test_plan_repeats_lengths(counts, most):
     assert sum(p.copies for p in plan) <= most * -(-sum(k * n for k, n in counts.items()) // 4096)
 
 
+def test_plan_is_no_worse_than_best_fit():
+    rng = np.random.default_rng(3)
+    files = [np.minimum(pq.read_table(f"/root/testdata/{sf}/documents.parquet", columns=["n_chars"])["n_chars"].to_numpy() // 4 + 1, 4096) for sf in ("sf0.01", "sf0.1")]
+    for lengths in [*files, rng.integers(1, 4097, 3000), np.r_[rng.integers(200, 3000, 2000), np.full(2000, 777)], rng.choice([1365, 1366, 2000, 2731], 5000)]:
+        counts = dict(Counter(lengths.tolist()))
+        demand = np.zeros(4097, np.int64)
+        demand[list(counts)] = list(counts.values())
+        made = packing.plan(counts, 4096)
+        n = sum(p.copies for p in made.patterns)
+        assert made.bound <= n <= sum(packing.best_fit(demand, 4096).values())
+
+
+def test_knapsack_is_exact():
+    rng = np.random.default_rng(5)
+    price = np.full(61, -1.0)
+    sizes = rng.choice(np.arange(3, 40), 8, replace=False)
+    price[sizes] = rng.random(8)
+    best, last = packing.knapsack(price, 60)
+    for room in range(61):
+        want = max([0.0, *(price[n] + best[room - n] for n in sizes if n <= room)])
+        assert abs(best[room] - want) < 1e-12 and (last[room] == 0 or price[last[room]] >= 0)
+
+
+def test_words_are_forgotten_and_learned_again(monkeypatch):
+    monkeypatch.setattr(packing, "MEMO", 50)
+    path = P.path("word_bpe_49k.json")
+    held, library, texts = packing.WordIds(path), Tokenizer.from_file(path), random_texts(40, 9) + ODD
+    for t in texts:
+        assert held.encode([t, "as ever"]) == [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch([t, "as ever"], add_special_tokens=False)]
+
+
 def test_quality_model_learns(spark):
     rng = random.Random(6)
     good = lambda: " ".join(rng.choice(["the", "cat", "sat", "mat", "dog", "ran"]) for _ in range(60))
@@ -169,6 +202,42 @@ def test_sentence_pieces(spark):
     df = spark.createDataFrame(list(enumerate(texts)), DOCS)
     rows = sentence_pieces.round_trips(df, path).collect()
     assert all(r.parity for r in rows) and len(rows) == len(texts)
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    for r in rows:
+        ids = library.encode(texts[r.doc_id] or "")
+        assert (r.n_tokens, r.ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        assert r.round_trip == (library.decode(ids) == (texts[r.doc_id] or "")), texts[r.doc_id]
     back = {r.doc_id: r.text for r in sentence_pieces.decode(sentence_pieces.encode(df, path), path).collect()}
     assert all(back[r.doc_id] == (texts[r.doc_id] or "") for r in rows if r.round_trip)
     assert sum(r.round_trip for r in rows) >= len(rows) - 1
+    assert sentence_pieces.round_trips(df.where("false"), path).count() == 0
+
+
+def message(*parts):
+    """A protobuf message of (number, value): floats, texts, bytes and small numbers."""
+    out = b""
+    for number, value in parts:
+        if isinstance(value, float):
+            out += bytes([number << 3 | 5]) + struct.pack("<f", value)
+        elif isinstance(value, int):
+            out += (bytes([number << 3]) if number < 16 else bytes([number << 3 & 127 | 128, number >> 4])) + bytes([value])
+        else:
+            data = value.encode() if isinstance(value, str) else value
+            out += bytes([number << 3 | 2, *([len(data)] if len(data) < 128 else [len(data) & 127 | 128, len(data) >> 7])]) + data
+    return out
+
+
+def test_unigram_equals_the_library(tmp_path):
+    rng = random.Random(8)
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *((f"<0x{b:02X}>", 0.0, 6) for b in range(256))]
+    words = {"".join(rng.choice("abc▁") if k == 0 else rng.choice("abc") for k in range(rng.randrange(1, 5))) for _ in range(60)} | set("abc▁")
+    pieces += [(w, -rng.random() * 9, 1) for w in sorted(words)]
+    trainer = message((3, 1), (35, 1), (40, 0))
+    data = b"".join(message((1, message((1, p), (2, s), (3, k)))) for p, s, k in pieces) + message((2, trainer), (3, message((3, 1), (4, 0), (5, 1))))
+    (tmp_path / "unigram.model").write_bytes(data)
+    library = sentencepiece.SentencePieceProcessor(model_proto=data)
+    held = sentence_pieces.Codec(str(tmp_path / "unigram.model"))
+    texts = ["abc abca", "a", "", " b  c ", "aé\nz", *(" ".join("".join(rng.choice("abcd") for _ in range(rng.randrange(1, 9))) for _ in range(9)) for _ in range(40))]
+    made = held.encode(texts)
+    assert made == [np.array(library.encode(t), "<u4").tobytes() for t in texts]
+    assert held.decodes(made, texts) == [library.decode(library.encode(t)) == t for t in texts]

@@ -6,13 +6,20 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataframe.functions import colors, kernels
 from strataframe.functions import seeds as seeds_
 
-SCHEMA = "figure_id long, y int, x int, lbl int, error string"
+def per_figure(df: DataFrame, run: Callable[[pa.Table], pa.Table], columns: str) -> DataFrame:
+    """Grouped map by figure, whose id keeps its type; ``run`` gives the other columns."""
+
+    def with_id(t: pa.Table) -> pa.Table:
+        own, ids = run(t), t.column("figure_id")
+        return own.add_column(0, "figure_id", pa.chunked_array([pa.repeat(ids[0], own.num_rows)], ids.type))
+
+    return df.groupBy("figure_id").applyInArrow(with_id, f"figure_id {df.schema['figure_id'].dataType.simpleString()}, {columns}")
 
 
 def panel(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -220,11 +227,11 @@ def segment(px: DataFrame, engine: str) -> DataFrame:
             try:
                 lbl = f(rgb)
                 break
-            except (ValueError, IndexError, FloatingPointError) as e:
+            except Exception as e:  # noqa: BLE001  one figure's failure isn't the batch's
                 error = f"{engine}: {e}"
-        return pa.table({"figure_id": t.column("figure_id"), "y": pa.array(y, pa.int32()), "x": pa.array(x, pa.int32()), "lbl": pa.array(lbl[y, x], pa.int32()), "error": pa.array([error] * len(y), pa.string())})
+        return pa.table({"y": pa.array(y, pa.int32()), "x": pa.array(x, pa.int32()), "lbl": pa.array(lbl[y, x], pa.int32()), "error": pa.array([error] * len(y), pa.string())})
 
-    return px.select("figure_id", "y", "x", "r", "g", "b").groupBy("figure_id").applyInArrow(run, SCHEMA)
+    return px.select("figure_id", "y", "x", "r", "g", "b").transform(per_figure, run, "y int, x int, lbl int, error string")
 
 
 def parts(lb: DataFrame, eight: bool = False) -> DataFrame:
@@ -242,22 +249,53 @@ def parts(lb: DataFrame, eight: bool = False) -> DataFrame:
                 rows.append((int(k), c, len(py), px.min(), py.min(), px.max(), py.max(), px.mean(), py.mean()))
         cols = list(zip(*rows, strict=True))
         names = ["lbl", "part", "area", "x0", "y0", "x1", "y1", "cx", "cy"]
-        f = t.column("figure_id")[0].as_py()
         kinds = [pa.int32(), pa.int32(), pa.int64(), *[pa.int32()] * 4, pa.float64(), pa.float64()]
-        return pa.table({"figure_id": pa.array([f] * len(rows), pa.int64())} | {n: pa.array(list(map(float if k == pa.float64() else int, v)), k) for n, v, k in zip(names, cols, kinds, strict=True)})
+        return pa.table({n: pa.array(list(map(float if k == pa.float64() else int, v)), k) for n, v, k in zip(names, cols, kinds, strict=True)})
 
-    return lb.select("figure_id", "y", "x", "lbl").groupBy("figure_id").applyInArrow(run, "figure_id long, lbl int, part int, area long, x0 int, y0 int, x1 int, y1 int, cx double, cy double")
+    return lb.select("figure_id", "y", "x", "lbl").transform(per_figure, run, "lbl int, part int, area long, x0 int, y0 int, x1 int, y1 int, cx double, cy double")
 
 
-def fragments(components: DataFrame, pixels: int = 64 * 64, share: float = 0.003, least: int = 30) -> DataFrame:
-    """Components below a share of the panel."""
-    return components.where(F.col("area") < max(least, int(share * pixels))).select("figure_id", "lbl", "part", "area", F.round(F.col("area") / pixels, 5).alias("fraction"))
+def fragments(components: DataFrame, share: float = 0.003, least: int = 30) -> DataFrame:
+    """Components below a share of their panel, whose pixels are the areas of all its components."""
+    pixels = F.sum("area").over(Window.partitionBy("figure_id"))
+    c = components.withColumn("pixels", pixels).where(F.col("area") < F.greatest(F.lit(least), F.floor(F.col("pixels") * share)))
+    return c.select("figure_id", "lbl", "part", "area", F.round(F.col("area") / F.col("pixels"), 5).alias("fraction"))
 
 
-def fragmentation(components: DataFrame, pixels: int = 64 * 64) -> DataFrame:
+def fragmentation(components: DataFrame) -> DataFrame:
     """The share of pixels in small components of labels that have several."""
-    many = components.groupBy("figure_id", "lbl").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("area") < max(50, int(0.001 * pixels)), F.col("area")).otherwise(0)).alias("small"))
-    return many.groupBy("figure_id").agg(F.round(F.sum(F.when(F.col("n") > 1, F.col("small")).otherwise(0)) / pixels, 5).alias("fragmentation"))
+    pixels = F.sum("area").over(Window.partitionBy("figure_id"))
+    c = components.withColumn("pixels", pixels)
+    small = F.when(F.col("area") < F.greatest(F.lit(50), F.floor(F.col("pixels") * 0.001)), F.col("area")).otherwise(0)
+    many = c.groupBy("figure_id", "lbl").agg(F.count(F.lit(1)).alias("n"), F.sum(small).alias("small"), F.max("pixels").alias("pixels"))
+    return many.groupBy("figure_id").agg(F.round(F.sum(F.when(F.col("n") > 1, F.col("small")).otherwise(0)) / F.max("pixels"), 5).alias("fragmentation"))
+
+
+def fill_holes(lb: DataFrame) -> DataFrame:
+    """Labels in rising order take what they enclose; earlier fillings count."""
+
+    def run(t: pa.Table) -> pa.Table:
+        y, x, lbl = (t.column(c).to_numpy().astype(int) for c in ("y", "x", "lbl"))
+        grid = np.full((y.max() + 1, x.max() + 1), -1)
+        grid[y, x] = lbl
+        for k in np.unique(lbl):
+            grid[kernels.fill_holes(grid == k)] = k
+        return pa.table({"y": pa.array(y, pa.int32()), "x": pa.array(x, pa.int32()), "lbl": pa.array(grid[y, x], pa.int32())})
+
+    return lb.select("figure_id", "y", "x", "lbl").transform(per_figure, run, "y int, x int, lbl int")
+
+
+def remove_small(lb: DataFrame, share: float = 0.001, least: int = 50) -> DataFrame:
+    """Small parts of labels with several parts take the commonest label around them."""
+
+    def run(t: pa.Table) -> pa.Table:
+        y, x, lbl = (t.column(c).to_numpy().astype(int) for c in ("y", "x", "lbl"))
+        grid = np.zeros((y.max() + 1, x.max() + 1), int)
+        grid[y, x] = lbl
+        out = drop_small(grid, max(least, int(share * grid.size)))
+        return pa.table({"y": pa.array(y, pa.int32()), "x": pa.array(x, pa.int32()), "lbl": pa.array(out[y, x], pa.int32())})
+
+    return lb.select("figure_id", "y", "x", "lbl").transform(per_figure, run, "y int, x int, lbl int")
 
 
 def label_blur(lb: DataFrame, sigma: float = 3.0) -> DataFrame:
@@ -269,9 +307,9 @@ def label_blur(lb: DataFrame, sigma: float = 3.0) -> DataFrame:
         grid[y, x] = lbl
         ids = np.unique(lbl)
         out = ids[np.stack([kernels.gaussian((grid == k).astype(float), sigma) for k in ids]).argmax(0)]
-        return pa.table({"figure_id": t.column("figure_id"), "y": pa.array(y, pa.int32()), "x": pa.array(x, pa.int32()), "lbl": pa.array(out[y, x], pa.int32())})
+        return pa.table({"y": pa.array(y, pa.int32()), "x": pa.array(x, pa.int32()), "lbl": pa.array(out[y, x], pa.int32())})
 
-    return lb.select("figure_id", "y", "x", "lbl").groupBy("figure_id").applyInArrow(run, "figure_id long, y int, x int, lbl int")
+    return lb.select("figure_id", "y", "x", "lbl").transform(per_figure, run, "y int, x int, lbl int")
 
 
 def polygons(lb: DataFrame, least: int = 50, tolerance: float = 2.0) -> DataFrame:
@@ -288,11 +326,10 @@ def polygons(lb: DataFrame, least: int = 50, tolerance: float = 2.0) -> DataFram
             for i, ring in enumerate(kernels.outline(kernels.fill_holes(mask)) if mask.any() else []):
                 r = kernels.simplify(ring, tolerance)
                 rows.append((int(k), i, len(r), "POLYGON ((" + ", ".join(f"{a} {b}" for a, b in r) + "))"))
-        f = t.column("figure_id")[0].as_py()
         cols = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
-        return pa.table({"figure_id": pa.array([f] * len(rows), pa.int64()), "lbl": pa.array(cols[0], pa.int32()), "ring": pa.array(cols[1], pa.int32()), "n_vertices": pa.array(cols[2], pa.int32()), "wkt": pa.array(cols[3], pa.string())})
+        return pa.table({"lbl": pa.array(cols[0], pa.int32()), "ring": pa.array(cols[1], pa.int32()), "n_vertices": pa.array(cols[2], pa.int32()), "wkt": pa.array(cols[3], pa.string())})
 
-    return lb.select("figure_id", "y", "x", "lbl").groupBy("figure_id").applyInArrow(run, "figure_id long, lbl int, ring int, n_vertices int, wkt string")
+    return lb.select("figure_id", "y", "x", "lbl").transform(per_figure, run, "lbl int, ring int, n_vertices int, wkt string")
 
 
 def color_groups(px: DataFrame) -> DataFrame:
@@ -305,11 +342,10 @@ def color_groups(px: DataFrame) -> DataFrame:
         for k, (mean, n) in enumerate(seeds_.color_groups(rgb)):
             at = seeds_.find_pixel(rgb, mean, back) or (None, None)
             rows.append((k, *(round(float(v), 4) for v in mean), n, *at))
-        f = t.column("figure_id")[0].as_py()
         kinds = [pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.int32(), pa.int32()]
-        return pa.table({"figure_id": pa.array([f] * len(rows), pa.int64())} | {n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(zip(["ord", "r", "g", "b", "n", "x", "y"], kinds, strict=True))})
+        return pa.table({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(zip(["ord", "r", "g", "b", "n", "x", "y"], kinds, strict=True))})
 
-    return px.select("figure_id", "y", "x", "r", "g", "b").groupBy("figure_id").applyInArrow(run, "figure_id long, ord int, r double, g double, b double, n long, x int, y int")
+    return px.select("figure_id", "y", "x", "r", "g", "b").transform(per_figure, run, "ord int, r double, g double, b double, n long, x int, y int")
 
 
 def smooth_boundary(boundary: DataFrame, smoothness: float = 0.3) -> DataFrame:
@@ -321,6 +357,6 @@ def smooth_boundary(boundary: DataFrame, smoothness: float = 0.3) -> DataFrame:
         n = len(x)
         window = min(max(5, int(smoothness * n)) | 1, n - 1 if n % 2 == 0 else n - 2)
         out = kernels.savgol(y[order], window, min(3, window - 2)) if window >= 5 else y[order]
-        return pa.table({"figure_id": t.column("figure_id"), "x": pa.array(x[order], pa.int32()), "yb": pa.array(np.round(out, 4))})
+        return pa.table({"x": pa.array(x[order], pa.int32()), "yb": pa.array(np.round(out, 4))})
 
-    return boundary.groupBy("figure_id").applyInArrow(run, "figure_id long, x int, yb double")
+    return boundary.transform(per_figure, run, "x int, yb double")

@@ -34,12 +34,15 @@ def median_of(a):
 def hampel(series: DataFrame, key: str, at: str, value: str, half: int = 10, sigmas: float = 3.0) -> DataFrame:
     """Values far from the median of 2 * half + 1 neighbours (fewer at the ends) become that median.
 
-    The frame is a bounded array, so the median and its deviation are array expressions.
+    A series shorter than a whole window stays as it is. The frame is a bounded array, so the
+    median and its deviation are array expressions.
     """
     w = Window.partitionBy(key).orderBy(at).rowsBetween(-half, half)
     s = series.withColumn("near", F.array_sort(F.collect_list(F.col(value)).over(w))).withColumn("med", median_of(F.col("near")))
     s = s.withColumn("mad", median_of(F.array_sort(F.transform("near", lambda v: F.abs(v - F.col("med"))))))
-    out = F.abs(F.col(value) - F.col("med")) > sigmas * 1.4826 * F.col("mad")
+    long = F.count(F.lit(1)).over(Window.partitionBy(key)) >= 2 * half + 1
+    s = s.withColumn("long", long)
+    out = F.col("long") & (F.abs(F.col(value) - F.col("med")) > sigmas * 1.4826 * F.col("mad"))
     return s.select(key, at, F.round(F.when(out, F.col("med")).otherwise(F.col(value)), 4).alias("filtered"), out.alias("is_outlier"))
 
 

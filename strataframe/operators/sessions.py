@@ -23,15 +23,22 @@ def ready(entries: DataFrame, status: str) -> DataFrame:
     return entries.where(F.col("status") == status).select("session_id", "figure_id", "ord")
 
 
-# The state that a figure goes back to, and the results that it keeps.
-BACK_TO = {"classify": ("pending", False), "panel": ("classified", False), "segment": ("classified", True)}
+# The state that a figure goes back to, and the states that have what the stage needs.
+BACK_TO = {
+    "classify": ("pending", tuple(STATUSES)),
+    "panel": ("classified", ("classified", "segmented", "reviewed", "exported")),
+    "segment": ("classified", ("segmented", "reviewed", "exported")),
+}
 
 
 def backtrack(entries: DataFrame, stage: str) -> DataFrame:
-    """Figures past a stage go back before it and lose the results that came after; others stay."""
-    status, keeps = BACK_TO[stage]
-    past = F.col("status").isin("segmented", "reviewed", "exported")
-    return entries.select("session_id", "figure_id", F.when(past, F.lit(status)).otherwise(F.col("status")).alias("status"), F.when(past & ~F.lit(keeps), F.lit(None)).otherwise(F.col("score")).alias("score"))
+    """Figures go back to a stage, whatever their state, and lose the segmentation and its score.
+
+    A figure that lacks what the stage needs (a classification, or panels) stays as it is.
+    """
+    status, able = BACK_TO[stage]
+    goes = F.col("status").isin(*able)
+    return entries.select("session_id", "figure_id", F.when(goes, F.lit(status)).otherwise(F.col("status")).alias("status"), F.when(~goes, F.col("score")).alias("score"))
 
 
 def update(entries: DataFrame, changes: DataFrame) -> DataFrame:

@@ -99,6 +99,7 @@ ORACLE_SQL: dict[str, str] = {
     "px_striation": _with("select * from f4", FEATURES),
     "px_text_density": _with("select * from f5", FEATURES),
     "fig_quality_check": _with("select figure_id, h, w, round(blank, 5) as blank_ratio, round(edges, 5) as edge_ratio, case when least(h, w) < 40 then 'too_small' when blank > 0.95 then 'mostly_blank' when edges < 0.005 then 'no_edges' else '' end as reason, not (least(h, w) < 40 or blank > 0.95 or edges < 0.005) as ok from (select figure_id, max(y) + 1 as h, max(x) + 1 as w, avg(case when v > 0.97 then 1.0::double else 0.0 end) as blank, avg(case when edge > 0.05 then 1.0::double else 0.0 end) as edges from so group by 1)", FEATURES),
+    "fig_quality_split": _with("select ok, reason, count(*) as n from (select figure_id, h, w, round(blank, 5) as blank_ratio, round(edges, 5) as edge_ratio, case when least(h, w) < 40 then 'too_small' when blank > 0.95 then 'mostly_blank' when edges < 0.005 then 'no_edges' else '' end as reason, not (least(h, w) < 40 or blank > 0.95 or edges < 0.005) as ok from (select figure_id, max(y) + 1 as h, max(x) + 1 as w, avg(case when v > 0.97 then 1.0::double else 0.0 end) as blank, avg(case when edge > 0.05 then 1.0::double else 0.0 end) as edges from so group by 1)) group by 1, 2", FEATURES),
     "fig_classify": _with("select figure_id, s1 as conceptual_score, s2 as observational_score, case when least(h, w) < 50 then 'other' when s1 >= s2 + 0.15 then 'conceptual' when s2 >= s1 + 0.15 then 'observational' else 'other' end as figure_type from (select *, round(edge_density * 0.15 + (1 - gradient_uniformity) * 0.15 + text_density * 0.20 - striation * 0.50, 4) as s1, round(gradient_uniformity * 0.25 + (1 - edge_density) * 0.15 + striation * 0.35, 4) as s2 from feat)", FEATURES),
     "fig_complexity": _with("select figure_id, round(case when least(h, w) < 10 then 0.0 else edge_density * 0.5 + saturation_ratio * 0.3 + (1 - gradient_uniformity) * 0.2 end, 4) as complexity from feat", FEATURES),
     "route_engine": _with("select figure_id, case when saturation_ratio < 0.005 then 'grayscale_agglomerative' when saturation_ratio < 0.1 then 'v4_kmeans_pastel' when saturation_ratio < 0.5 then 'v4_kmeans' else ['kmeans_full', 'edge_guided', 'edge_grow'][cast(panel_hash % 3 + 1 as int)] end as engine from feat join hash_ using (figure_id)", FEATURES),
@@ -107,7 +108,7 @@ ORACLE_SQL: dict[str, str] = {
     "colorbar_bbox": _with("select figure_id, coalesce(strip, 'none') as strip, coalesce(score, 0.0) as score from dims left join (select figure_id, arg_min(strip, ord) as strip, arg_min(score, ord) as score from (select figure_id, ord, strip, round(least(1.0, (stddev_pop(a) + stddev_pop(bb)) / 2 / 40), 4) as score from (select lab.figure_id, ord, strip, a, bb from lab join dims using (figure_id) join (values (0, 'top'), (1, 'bottom'), (2, 'right'), (3, 'left')) s(ord, strip) on case strip when 'top' then y < greatest(4, least(h, w) // 10) when 'bottom' then y >= h - greatest(4, least(h, w) // 10) when 'right' then x >= w - greatest(4, least(h, w) // 10) else x < greatest(4, least(h, w) // 10) end) group by 1, 2, 3) where score > 0.3 group by 1) using (figure_id)", PX, _lab()),
     "colorbar_samples": _with("select px.figure_id, i, px.y, r, g, b from px join (select figure_id, i, cast(floor(lo + (floor(h * 0.95::double) - 1 - lo) * i / 4) as bigint) as y from (select figure_id, h, floor(h * 0.05::double) as lo, i from dims, range(0, 5) t(i))) s on px.figure_id = s.figure_id and px.y = s.y where px.x = 0", PX),
     "lb_nearest_palette": _with("select figure_id, lbl, count(*) as n from near group by 1, 2", PX, NEAR),
-    "lb_kmeans_rounds": _with("select figure_id, lbl, count(*) as n from k2 group by 1, 2", PX, _kmeans(3)),
+    "lb_kmeans_rounds": _with("select figure_id, lbl, count(*) as n from k9 group by 1, 2", PX, _kmeans(10)),
     "lb_reorder_median_y": _with("select figure_id, lbl, count(*) as n from (select figure_id, new as lbl from near join (select figure_id, lbl, row_number() over (partition by figure_id order by median(y), lbl) - 1 as new from near group by 1, 2) using (figure_id, lbl)) group by 1, 2", PX, NEAR),
     "lb_map_common": _with("select figure_id, lbl, arg_min(k, (d, k)) as mapped from (select *, round((r - pr) * (r - pr) + (g - pg) * (g - pg) + (b - pb) * (b - pb), 6) as d from pm, pal) group by 1, 2", PX, LAYERS, MEDIANS, PAL),
     "lb_weighted_vote": _with("select figure_id, lbl, count(*) as n, round(sum(votes), 4) as votes from (select figure_id, y, x, arg_max(lbl, (s, -lbl)) as lbl, max(s) as votes from (select figure_id, y, x, lbl, round(sum(wt), 6) as s from (select figure_id, y, x, lbl, 0.4::double as wt from near union all select figure_id, y, x, label % 6, 0.35::double from px union all select figure_id, y, x, r // 43, 0.25::double from px) group by 1, 2, 3, 4) group by 1, 2, 3) group by 1, 2", PX, NEAR),
@@ -127,7 +128,7 @@ ORACLE_SQL: dict[str, str] = {
     "panel_background_type": _with("select figure_id, m as corner_mean, case when m < 0.35 then 'black' when m > 0.65 then 'white' when m < 0.5 then 'black' else 'white' end as background from (select figure_id, round(avg(" + GRAY + "), 6) as m from px join dims using (figure_id) where (y < 8 or y >= h - 8) and (x < 8 or x >= w - 8) group by 1)", PX),
     "hz_dense_boundary": _with("select figure_id, x, round(case when t1 < b0 then (mt + mb) / 2 else (lo + hi) / 2.0 end, 4) as yb from (select lb.figure_id, x, median(case when lbl = t then y end) as mt, median(case when lbl = b_ then y end) as mb, max(case when lbl = t then y end) as t1, min(case when lbl = b_ then y end) as b0, min(y) as lo, max(y) as hi from lb join (select figure_id, t, b as b_ from pair) using (figure_id) where lbl in (t, b_) group by 1, 2) where mt is not null and mb is not null", PX, LAYERS, BOUND),
     "hz_zero_crossing": _with("select figure_id, x, round(arg_min(at_, y), 5) as yb from (select *, y + v / (v - n) as at_ from (select *, lead(v) over (partition by figure_id, x order by y) as n from (select *, avg(s) over (partition by figure_id, x order by y rows between 1 preceding and 1 following) as v from (select lb.figure_id, x, y, case when lbl = t then 1.0::double when lbl = b_ then -1.0 else 0.0 end as s from lb join (select figure_id, t, b as b_ from pair) using (figure_id)))) where v > 0 and n <= 0) group by 1, 2", PX, LAYERS, BOUND),
-    "hz_hampel": "with s as (select user_id, event_id, value from events), m as (select *, median(value) over w as med, list(value) over w as near from s window w as (partition by user_id order by event_id rows between 10 preceding and 10 following)), d as (select *, list_median([abs(v - med) for v in near]) as mad from m) select user_id, event_id, round(case when abs(value - med) > 3.0 * 1.4826 * mad then med else value end, 4) as filtered, abs(value - med) > 3.0 * 1.4826 * mad as is_outlier from d",
+    "hz_hampel": "with s as (select user_id, event_id, value from events), m as (select *, median(value) over w as med, list(value) over w as near from s window w as (partition by user_id order by event_id rows between 10 preceding and 10 following)), d as (select *, list_median([abs(v - med) for v in near]) as mad from m) select user_id, event_id, round(case when n >= 21 and abs(value - med) > 3.0 * 1.4826 * mad then med else value end, 4) as filtered, n >= 21 and abs(value - med) > 3.0 * 1.4826 * mad as is_outlier from (select *, count(*) over (partition by user_id) as n from d)",
     "props_assign": _with("select figure_id, lbl, ord, name, vp, vs, rho from layer", PX, LAYERP),
     "props_missing_anti": _with("select figure_id, lbl, ord, name from named where name not in (select name from def_)", PX, LAYERP),
     "props_generate": _with("select figure_id, ord, name, round(t * 3000 + 3000, 2) as vp, round((t * 3000 + 3000) / 1.732, 2) as vs, round(t * 600 + 2200, 2) as rho from (select *, case when n = 1 then 0.5 else i::double / greatest(n - 1, 1) end as t from (select *, count(*) over (partition by figure_id) as n, row_number() over (partition by figure_id order by ord) - 1 as i from named))", PX, NAMED),
@@ -136,11 +137,14 @@ ORACLE_SQL: dict[str, str] = {
     "parfile_lines": _with("select figure_id, 'nx = 100' || chr(10) || 'nz = 50' || chr(10) || 'dx = 1.0' || chr(10) || 'dz = 1.0' || chr(10) || string_agg(printf('# %-10s %.1f %.1f %.1f', name, vp, vs, rho), chr(10) order by ord) as snippet from (select figure_id, ord, name, round(t * 3000 + 3000, 2) as vp, round((t * 3000 + 3000) / 1.732, 2) as vs, round(t * 600 + 2200, 2) as rho from (select *, case when n = 1 then 0.5 else i::double / greatest(n - 1, 1) end as t from (select *, count(*) over (partition by figure_id) as n, row_number() over (partition by figure_id order by ord) - 1 as i from named))) group by 1", PX, NAMED),
     "external_ascii": _with("select figure_id, block, z, string_agg(printf('%.4f', v), ' ' order by x) as line from (select figure_id, z, x, 0 as block, vp as v from grid union all select figure_id, z, x, 1, vs from grid union all select figure_id, z, x, 2, rho from grid) group by 1, 2, 3", PX, LAYERS, LAYERP, GRID),
     "mem_engine_rates": _with("select engine, count(*) as n, round(count(*) filter (outcome = 'success') / count(*), 3) as success_rate from log group by 1 having count(*) >= 2", LOG),
+    "mem_feature_bins": _with("select case when saturation < 0.1 then 'pastel' when saturation < 0.5 then 'mixed' else 'vivid' end as sat_bin, case when edge_density < 0.01 then 'low' when edge_density < 0.03 then 'medium' else 'high' end as edge_bin, count(*) as n from log group by 1, 2", LOG),
     "mem_patterns": _with("select sat_bin, edge_bin, engine as best_engine, n, round(rate, 3) as success_rate, round(al / c, 4) as avg_alignment, least(1.0, n / 20.0) as confidence from (select *, row_number() over (partition by sat_bin, edge_bin order by rate desc, c desc, first_) as k from (select *, ok / c as rate from (select *, cast(sum(c) over (partition by sat_bin, edge_bin) as bigint) as n from (select case when saturation < 0.1 then 'pastel' when saturation < 0.5 then 'mixed' else 'vivid' end as sat_bin, case when edge_density < 0.01 then 'low' when edge_density < 0.03 then 'medium' else 'high' end as edge_bin, engine, count(*) as c, count(*) filter (outcome = 'success') as ok, min(ord) as first_, sum(coalesce(alignment, 0.0)) as al from log group by 1, 2, 3))) where n >= 3 and c >= 2 and rate > 0) where k = 1", LOG),
     "mem_query_similar": _with("select ord, engine, distance from (select *, round((abs(saturation - 0.42) * 2 + abs(edge_density - 0.02) + abs(groups - 6.0) + abs(aspect - 1.5) * 0.5) / 4.5, 6) as distance from log where outcome = 'success') order by distance, ord limit 3", LOG),
     "sess_summary": _with("select session_id, " + ", ".join(f"count(*) filter (status = '{s}') as n_{s}" for s in ("pending", "classified", "segmented", "reviewed", "exported", "skipped", "error")) + " from last_ group by 1", LAST),
     "sess_ready": _with("select session_id, figure_id, ord from last_ where status = 'segmented'", LAST),
-    "sess_backtrack": _with("select session_id, figure_id, case when status in ('segmented', 'reviewed', 'exported') then 'pending' else status end as status, case when status not in ('segmented', 'reviewed', 'exported') then score end as score from last_", LAST),
+    "sess_backtrack": _with("select session_id, figure_id, 'pending' as status, cast(null as double) as score from last_", LAST),
+    "sess_backtrack_panel": _with("select session_id, figure_id, case when status in ('pending', 'skipped', 'error') then status else 'classified' end as status, case when status in ('pending', 'skipped', 'error') then score end as score from last_", LAST),
+    "sess_backtrack_segment": _with("select session_id, figure_id, case when status in ('segmented', 'reviewed', 'exported') then 'classified' else status end as status, case when status not in ('segmented', 'reviewed', 'exported') then score end as score from last_", LAST),
     "sess_update": _with("select l.session_id, l.figure_id, coalesce(new_status, l.status) as status, coalesce(new_score, l.score) as score from last_ l left join (select session_id, figure_id, 'reviewed' as new_status, round(score / 2, 4) as new_score from last_ where status = 'segmented') u using (session_id, figure_id)", LAST),
     "report_stats": _with("select session_id, count(*) as total, count(*) filter (status = 'exported') as exported, count(*) filter (status = 'segmented') as segmented, count(*) filter (status = 'skipped') as skipped, round(coalesce(avg(score), 0.0), 4) as avg_score from last_ group by 1", LAST),
     "report_cards": _with("select session_id, figure_id, row_number() over (partition by session_id order by ord) as card, case when score >= 0.75 then 'good' when score >= 0.6 then 'warn' else 'bad' end as band, coalesce(score < 0.7 and status = 'segmented', false) as alert, status || ' ' || coalesce(printf('%.2f', score), '—') as caption from last_", LAST),
@@ -148,7 +152,7 @@ ORACLE_SQL: dict[str, str] = {
     "batch_tally": "select count(*) filter (status = 'processed') as processed, count(*) filter (status = 'skipped') as skipped, count(*) filter (status = 'error') as error, count(*) as total from (select case o_orderstatus when 'F' then 'processed' when 'O' then 'skipped' else 'error' end as status from orders)",
     "retry_underseg": _with("select figure_id, engine, n_layers, case when n_layers < 2 then case engine when 'grayscale_agglomerative' then 'v4_kmeans' when 'v4_kmeans_pastel' then 'v4_kmeans_colorbar' when 'v4_kmeans_colorbar' then 'kmeans_full' when 'v4_kmeans' then 'edge_guided' when 'edge_guided' then 'edge_grow' when 'edge_grow' then 'kmeans_full' when 'kmeans_full' then 'edge_guided' end end as retry_engine from (select figure_id, case when saturation_ratio < 0.005 then 'grayscale_agglomerative' when saturation_ratio < 0.1 then 'v4_kmeans_pastel' when saturation_ratio < 0.5 then 'v4_kmeans' else ['kmeans_full', 'edge_guided', 'edge_grow'][cast(panel_hash % 3 + 1 as int)] end as engine from feat join hash_ using (figure_id)) join (select figure_id, count(distinct case when lbl <> 0 then lbl end) as n_layers from lb group by 1) using (figure_id)", FEATURES, LAYERS),
     "pages_semi_join": "select page_id, url from pages where page_id in (select doc_id from documents where lang = 'en')",
-    "captions_join": "select p.page_id, coalesce(d.caption, '') as caption from pages p left join (select doc_id, trim(substr(text, 1, 120)) as caption from documents) d on p.page_id = d.doc_id",
+    "captions_join": "select p.page_id, coalesce(d.caption, '') as caption from pages p left join (select doc_id, trim(text, ' ') as caption from documents) d on p.page_id = d.doc_id",
     "text_blocks_top15": "select source, doc_id, block, kind from (select source, doc_id, substr(text, 1, 120) as block, lang as kind, row_number() over (partition by source order by doc_id) as k from documents) where k <= 15",
     "feedback_messages": "select conv_id, turn, '【' || conv_id || '】' || trim(text, ' ') as message from conversations where role = 'user' and trim(text, ' ') <> ''",
     "figure_id_sanitize": r"select page_id, regexp_replace(regexp_extract(url, '([^/]*)$', 1), '[^A-Za-z0-9_-]', '_', 'g') as figure_id from pages",

@@ -47,6 +47,7 @@ for _name, _f in {
     "px_striation": features.striation,
     "px_text_density": features.text_density,
     "fig_quality_check": features.quality_check,
+    "fig_quality_split": lambda px: features.quality_check(px).groupBy("ok", "reason").agg(F.count(F.lit(1)).alias("n")),
     "fig_classify": lambda px: features.classify(features.feature_row(px)),
     "fig_complexity": lambda px: features.complexity(features.feature_row(px)),
     "route_engine": lambda px: features.route(features.feature_row(px), features.panel_hash(px)),
@@ -201,6 +202,11 @@ def mem_engine_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memory.engine_rates(tables.attempts(spark, sf_dir))
 
 
+@query
+def mem_feature_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return memory.bins(tables.attempts(spark, sf_dir)).groupBy("sat_bin", "edge_bin").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def mem_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memory.patterns(tables.attempts(spark, sf_dir))
@@ -219,6 +225,8 @@ for _name, _f in {
     "sess_summary": sessions.summary,
     "sess_ready": lambda e: sessions.ready(e, "segmented"),
     "sess_backtrack": lambda e: sessions.backtrack(e, "classify"),
+    "sess_backtrack_panel": lambda e: sessions.backtrack(e, "panel"),
+    "sess_backtrack_segment": lambda e: sessions.backtrack(e, "segment"),
     "sess_update": lambda e: sessions.update(e, e.where("status = 'segmented'").select("session_id", "figure_id", F.lit("reviewed").alias("new_status"), F.round(F.col("score") / 2, 4).alias("new_score"))),
     "report_stats": sessions.report_stats,
     "report_cards": sessions.report_cards,
@@ -282,6 +290,8 @@ for _name in engines.ENGINES:
 of_pixels("lb_components", lambda px: engines.parts(labels.nearest_palette(px)))
 of_pixels("lb_tiny_fragments", lambda px: engines.fragments(engines.parts(labels.nearest_palette(px), eight=True)))
 of_pixels("lb_fragmentation", lambda px: engines.fragmentation(engines.parts(labels.nearest_palette(px))))
+of_pixels("lb_fill_holes", lambda px: count_labels(engines.fill_holes(labels.nearest_palette(px))))
+of_pixels("lb_remove_small", lambda px: count_labels(engines.remove_small(labels.nearest_palette(px))))
 of_pixels("lb_polygons", lambda px: engines.polygons(labels.nearest_palette(px)))
 of_labels("hz_label_blur", lambda lb: count_labels(engines.label_blur(lb)))
 of_pixels("fig_color_groups", engines.color_groups)

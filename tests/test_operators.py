@@ -3,6 +3,7 @@ import json
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from strataframe.functions import kernels
 from strataframe.operators import engines
@@ -27,7 +28,7 @@ def plain(v):
     return round(float(v), 6) if isinstance(v, float) or type(v).__name__ == "Decimal" else int(v) if isinstance(v, bool) else v
 
 
-@pytest.mark.parametrize("name", ["fig_classify", "route_engine", "lb_kmeans_rounds", "lb_weighted_vote", "lb_boundary_alignment", "colorbar_bbox", "hz_zero_crossing", "hz_hampel", "mem_patterns", "sess_update", "report_cards", "external_ascii", "panel_iou_pairs"])
+@pytest.mark.parametrize("name", ["fig_classify", "route_engine", "lb_kmeans_rounds", "lb_weighted_vote", "lb_boundary_alignment", "colorbar_bbox", "hz_zero_crossing", "hz_hampel", "mem_patterns", "mem_feature_bins", "fig_quality_split", "captions_join", "sess_backtrack", "sess_backtrack_panel", "sess_backtrack_segment", "sess_update", "report_cards", "external_ascii", "panel_iou_pairs"])
 def test_same_as_sql(spark, duck, name):
     got = QUERIES[name](spark, SF)
     want = duck.execute(ORACLE_SQL[name])
@@ -157,3 +158,39 @@ def test_seeds():
     assert [n for _, n in groups] == [300, 100] and seeds.quantization(rgb) == 1.0
     assert seeds.find_pixel(rgb, np.array([10, 200, 10]), np.array([250, 250, 250])) == (9, 9)
     assert seeds.first_foreground(rgb, 2, 10, np.array([250, 250, 250])) == (5, 8)
+
+
+def test_figures_of_any_size_and_id(spark):
+    """Shares are of each figure's own pixels, ids keep their type, and a failing figure isn't the batch's failure."""
+    from strataframe.operators import engines
+
+    cells = [(f"fig-{n}", y, x, int(x >= n // 2 and not (y == 1 and x == n - 2))) for n in (20, 30) for y in range(n) for x in range(n)]
+    lb = spark.createDataFrame(cells, "figure_id string, y int, x int, lbl int")
+    parts = engines.parts(lb)
+    assert {(r.figure_id, r.lbl, r.area): r.fraction for r in engines.fragments(parts).collect()} == {("fig-20", 0, 1): 0.0025, ("fig-30", 0, 1): 0.00111}
+    assert {r.figure_id: r.fragmentation for r in engines.fragmentation(parts).collect()} == {"fig-20": 0.0025, "fig-30": 0.00111}
+    for clean in (engines.fill_holes(lb), engines.remove_small(lb)):
+        assert {(r.figure_id, r.lbl): r["count"] for r in clean.groupBy("figure_id", "lbl").count().collect()} == {("fig-20", 0): 200, ("fig-20", 1): 200, ("fig-30", 0): 450, ("fig-30", 1): 450}
+    px = lb.select("figure_id", "y", "x", *[(F.col("lbl") * 200 + 20).cast("double").alias(c) for c in "rgb"])
+    out = engines.segment(px, "v4_kmeans")
+    assert {r.figure_id for r in engines.polygons(out.select("figure_id", "y", "x", "lbl")).collect()} == {"fig-20", "fig-30"}
+
+    def broken(rgb):
+        if len(rgb) == 20:
+            raise KeyError("no seeds")
+        return (rgb[..., 0] > 100).astype(int)
+
+    engines.ENGINES["broken"] = broken
+    try:
+        got = {r.figure_id: r.error for r in engines.segment(px, "broken").select("figure_id", "error").distinct().collect()}
+    finally:
+        del engines.ENGINES["broken"]
+    assert got["fig-30"] is None and "no seeds" in got["fig-20"]
+
+
+def test_short_series_stay(spark):
+    from strataframe.operators.horizon import hampel
+
+    rows = [(k, i, 100.0 if i == 5 else 1.0 + 0.01 * (i % 3)) for k, n in (("short", 20), ("long", 21)) for i in range(n)]
+    got = {(r.k, r.i): r.is_outlier for r in hampel(spark.createDataFrame(rows, "k string, i int, v double"), "k", "i", "v").collect()}
+    assert got["long", 5] and not got["short", 5]

@@ -335,8 +335,7 @@ def ngram_links(docs: DataFrame, words: int, percent: int, work: Workspace) -> t
     expanded = proposed.join(member.withColumnRenamed("group", "gb"), "gb").select(*ordered("ga", "doc_id"))
     within = member.where("group <> doc_id").select(*ordered("group", "doc_id"))
     first = work.write(expanded.unionByName(within).where("a <> b").distinct(), "first")
-    links = work.write(verified(first, sizes, shingler, percent, work, "sets1").unionByName(several), "links1")
-    work.drop("sets1")
+    links = work.write(verified(first, sizes, shingler, percent).unionByName(several), "links1")
     parts = work.write(connected_components(links, work, "cc"), "parts1")
 
     # Second round: pairs of a shingle whose documents the first links have not joined.
@@ -413,17 +412,17 @@ def ngram_links(docs: DataFrame, words: int, percent: int, work: Workspace) -> t
     second = work.write(second, "second")
     if second.isEmpty():
         return head_of, parts
-    links = links.unionByName(work.write(verified(second, sizes, shingler, percent, work, "sets2"), "links2"))
+    links = links.unionByName(work.write(verified(second, sizes, shingler, percent), "links2"))
     return head_of, work.write(connected_components(links, work, "cc2"), "parts2")
 
 
-def verified(pairs: DataFrame, sizes: DataFrame, shingler: Shingler, percent: int, work: Workspace, name: str) -> DataFrame:
+def verified(pairs: DataFrame, sizes: DataFrame, shingler: Shingler, percent: int) -> DataFrame:
     """The pairs (a, b) that link, from whole sets; a pivot's partners are compared in groups of bounded bytes.
 
     ``sizes`` has the largest set of each id; those of linked ids are within the similarity of it.
     """
     wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = work.write(shingler.sets(wanted), name)
+    sets = shingler.sets(wanted)  # read once, so not written
     most = F.greatest(F.lit(1), F.least(F.lit(GROUP), F.floor(F.lit(GROUP_BYTES * percent / 800) / F.col("n"))))
     sized = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("partners")).join(sizes.withColumnRenamed("doc_id", "a"), "a").select("a", F.floor(F.col("partners") / most).cast("int").alias("more"))
     dealt = pairs.join(sized, "a").withColumn("group", F.pmod(F.xxhash64("b"), F.col("more") + 1)).select("a", "group", "b")

@@ -24,7 +24,7 @@ _ROLL = np.uint64(0x100000001B3)
 def _bucket(h: np.ndarray, kind: int) -> np.ndarray:
     x = (h ^ np.uint64(kind * 0x51ED270B)) * _MIX
     x = (x ^ (x >> np.uint64(29))) * _MIX
-    return (x >> np.uint64(64 - BITS)).astype(np.int64) | 1
+    return np.maximum((x >> np.uint64(64 - BITS)).astype(np.int64), 1)
 
 
 def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -74,6 +74,10 @@ PROPS = f"def_ as (select * from {_values([(k, *v) for k, v in DEFAULTS.items()]
 LAYERP = NAMED + ", " + PROPS + ", layer as (select figure_id, lbl, ord, named.name, vp, vs, rho from named left join def_ using (name))"
 GRID = "grid as (select lb.figure_id, y as z, x, coalesce(vp, 3000.0) as vp, coalesce(vs, 1732.0) as vs, coalesce(rho, 2200.0) as rho from lb left join (select * from layer where lbl <> 0) l on lb.figure_id = l.figure_id and lb.lbl = l.lbl)"
 BOUND = "ord_ as (select figure_id, lbl, row_number() over (partition by figure_id order by med, lbl) as k from (select figure_id, lbl, median(y) as med from lb group by 1, 2)), pair as (select a.figure_id, a.lbl as t, b.lbl as b from ord_ a join ord_ b on a.figure_id = b.figure_id and a.k = 1 and b.k = 2)"
+TOP = BOUND.split(", pair as")[0] + ", tp as (select lb.figure_id, y, x, cast(coalesce(k, 0) as int) as lbl from lb left join (select * from ord_ where k <= 2) o on lb.figure_id = o.figure_id and lb.lbl = o.lbl)"
+DENSE = TOP + ", db as (select figure_id, x, round(case when t1 < b0 then (mt + mb) / 2 else (lo + hi) / 2.0 end, 4) as yb from (select figure_id, x, median(case when lbl = 1 then y end) as mt, median(case when lbl = 2 then y end) as mb, max(case when lbl = 1 then y end) as t1, min(case when lbl = 2 then y end) as b0, min(y) as lo, max(y) as hi from tp where lbl in (1, 2) group by 1, 2) where mt is not null and mb is not null)"
+ADJUST = DENSE + ", adj as (select tp.figure_id, y, tp.x, cast(case when lbl in (1, 2) and abs(y - yb) <= 5 then case when y <= round_even(yb, 0) then 1 else 2 end else lbl end as int) as lbl from tp left join db on tp.figure_id = db.figure_id and tp.x = db.x)"
+WIDE = _runs("wide", "dark >= h * 0.5", 4)
 
 
 def _kmeans(rounds: int) -> str:
@@ -121,6 +125,9 @@ ORACLE_SQL: dict[str, str] = {
     "lb_palette_median": _with("select figure_id, lbl, r, g, b, 'region_' || (row_number() over (partition by figure_id order by lbl) - 1) as name from pm", PX, LAYERS, MEDIANS),
     "palette_names_by_hue": _with(f"select figure_id, lbl, hue, case when k <= 6 then {HUE_NAMES!r}[least(k, 6)] else 'c' || (k - 1) end as name from (select *, row_number() over (partition by figure_id order by hue, lbl) as k from (select figure_id, lbl, round({HUE}, 6) as hue from (select *, greatest(r, g, b) as mx, least(r, g, b) as mn from pm)))", PX, LAYERS, MEDIANS),
     "lb_broken_pairs": _with("select p.figure_id, top, bot, t.lo is null as broken from (select figure_id, lbl as top, lead(lbl) over (partition by figure_id order by med, lbl) as bot from (select figure_id, lbl, median(y) as med from lb where lbl <> 0 group by 1, 2)) p left join (select distinct figure_id, least(lbl, nx) as lo, greatest(lbl, nx) as hi from (select figure_id, lbl, nx from steps union all select figure_id, lbl, ny from steps) where nx <> lbl) t on p.figure_id = t.figure_id and least(top, bot) = t.lo and greatest(top, bot) = t.hi where bot is not null", PX, LAYERS, STEPS),
+    "lb_noise_regions": _with("select figure_id, lbl, round(aspect, 4) as aspect, fraction, noise from (select *, case when aspect > 8 and fraction < 0.15 then 'extreme_aspect' when (x0 < w * 0.05::double or x1 >= w * 0.95::double or y0 < h * 0.05::double or y1 >= h * 0.95::double) and (aspect > 3 or fraction < 0.05) then 'border_strip' end as noise from (select *, greatest(x1 - x0 + 1, y1 - y0 + 1) / least(x1 - x0 + 1, y1 - y0 + 1) as aspect from (select figure_id, lbl, round(count(*) / any_value(n), 4) as fraction, min(x) as x0, min(y) as y0, max(x) as x1, max(y) as y1 from lb join (select figure_id, count(*) as n from lb group by 1) using (figure_id) where lbl <> 0 group by 1, 2) join dims using (figure_id))) where noise is not null", PX, LAYERS),
+    "lb_close_boundaries": _with("select figure_id, least(lbl, next) as lo, greatest(lbl, next) as hi, count(*) as touching from (select figure_id, lbl, nx as next from steps union all select figure_id, lbl, ny from steps) s join (select p.k as i, q.k as j from pal p join pal q on q.k = p.k + 1 where sqrt((p.pr - q.pr) * (p.pr - q.pr) + (p.pg - q.pg) * (p.pg - q.pg) + (p.pb - q.pb) * (p.pb - q.pb)) < 130) c on least(lbl, next) = i and greatest(lbl, next) = j group by 1, 2, 3", PX, NEAR, "lb as (select * from near)", STEPS),
+    "panel_candidates": _with("select figure_id, row_number() over (partition by figure_id order by lo) - 1 as panel_id, lo as x, y0 as y, hi - lo as w, y1 - y0 as h, area_ratio from (select e.*, round((hi - lo) * (y1 - y0) / (h * w), 5) as area_ratio from (select figure_id, lo, hi, min(y) as y0, max(y) + 1 as y1 from (select px.figure_id, lo, hi, y, count(*) as n from px join wide on px.figure_id = wide.figure_id and x >= lo and x < hi where (r + g + b) / 3.0 < 150 group by 1, 2, 3, 4) where n > 0.1::double * (hi - lo) group by 1, 2, 3) e join dims using (figure_id)) where area_ratio between 0.02 and 0.95", PX, DARK, WIDE),
     "panel_gap_runs": _with("select * from gaps", PX, DARK, GAPS),
     "panel_gutter_cells": _with("select figure_id, x0, x1, density, round(density * 0.3 + 0.6, 2) as conf from (select c.figure_id, x0, x1, round(sum(dark) / sum(h), 5) as density from (select e.figure_id, edge as x0, coalesce(lead(edge) over (partition by e.figure_id order by edge), w) as x1 from (select figure_id, hi as edge from gaps union select distinct figure_id, 0 from px) e join dims using (figure_id)) c join dark on dark.figure_id = c.figure_id and dark.x >= x0 and dark.x < x1 group by 1, 2, 3) where density >= 0.15", PX, DARK, GAPS),
     "panel_iou_pairs": _with("select page_id, a, b, iou from (select *, round(iw * ih / (wa * ha + wb * hb - iw * ih), 5) as iou from (select p.page_id, p.box_id as a, q.box_id as b, greatest(0, least(p.x + p.w, q.x + q.w) - greatest(p.x, q.x))::double as iw, greatest(0, least(p.y + p.h, q.y + q.h) - greatest(p.y, q.y)) as ih, p.w as wa, p.h as ha, q.w as wb, q.h as hb from box p join box q on p.page_id = q.page_id and p.box_id < q.box_id)) where iou >= 0.05", BOX),
@@ -128,6 +135,9 @@ ORACLE_SQL: dict[str, str] = {
     "panel_background_type": _with("select figure_id, m as corner_mean, case when m < 0.35 then 'black' when m > 0.65 then 'white' when m < 0.5 then 'black' else 'white' end as background from (select figure_id, round(avg(" + GRAY + "), 6) as m from px join dims using (figure_id) where (y < 8 or y >= h - 8) and (x < 8 or x >= w - 8) group by 1)", PX),
     "hz_dense_boundary": _with("select figure_id, x, round(case when t1 < b0 then (mt + mb) / 2 else (lo + hi) / 2.0 end, 4) as yb from (select lb.figure_id, x, median(case when lbl = t then y end) as mt, median(case when lbl = b_ then y end) as mb, max(case when lbl = t then y end) as t1, min(case when lbl = b_ then y end) as b0, min(y) as lo, max(y) as hi from lb join (select figure_id, t, b as b_ from pair) using (figure_id) where lbl in (t, b_) group by 1, 2) where mt is not null and mb is not null", PX, LAYERS, BOUND),
     "hz_zero_crossing": _with("select figure_id, x, round(arg_min(at_, y), 5) as yb from (select *, y + v / (v - n) as at_ from (select *, lead(v) over (partition by figure_id, x order by y) as n from (select *, avg(s) over (partition by figure_id, x order by y rows between 1 preceding and 1 following) as v from (select lb.figure_id, x, y, case when lbl = t then 1.0::double when lbl = b_ then -1.0 else 0.0 end as s from lb join (select figure_id, t, b as b_ from pair) using (figure_id)))) where v > 0 and n <= 0) group by 1, 2", PX, LAYERS, BOUND),
+    "hz_adjust": _with("select figure_id, lbl, count(*) as n from adj group by 1, 2", PX, LAYERS, ADJUST),
+    "hz_repartition": _with("select tp.figure_id, case when yb <= y then 1 else 0 end as lbl, count(*) as n from tp left join db on tp.figure_id = db.figure_id and tp.x = db.x group by 1, 2", PX, LAYERS, DENSE),
+    "hz_quality_gate": _with("select figure_id, round(c, 6) as changed, n0 as layers_before, n1 as layers_after, c <= 0.15 and n1 >= n0 - 1 as accepted from (select tp.figure_id, avg(case when tp.lbl <> adj.lbl then 1.0::double else 0.0 end) as c, count(distinct tp.lbl) as n0, count(distinct adj.lbl) as n1 from tp join adj on tp.figure_id = adj.figure_id and tp.y = adj.y and tp.x = adj.x group by 1)", PX, LAYERS, ADJUST),
     "hz_hampel": "with s as (select user_id, event_id, value from events), m as (select *, median(value) over w as med, list(value) over w as near from s window w as (partition by user_id order by event_id rows between 10 preceding and 10 following)), d as (select *, list_median([abs(v - med) for v in near]) as mad from m) select user_id, event_id, round(case when n >= 21 and abs(value - med) > 3.0 * 1.4826 * mad then med else value end, 4) as filtered, n >= 21 and abs(value - med) > 3.0 * 1.4826 * mad as is_outlier from (select *, count(*) over (partition by user_id) as n from d)",
     "props_assign": _with("select figure_id, lbl, ord, name, vp, vs, rho from layer", PX, LAYERP),
     "props_missing_anti": _with("select figure_id, lbl, ord, name from named where name not in (select name from def_)", PX, LAYERP),

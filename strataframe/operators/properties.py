@@ -58,18 +58,43 @@ def tomography_lines(grid: DataFrame, dx: float = 1.0, dz: float = 1.0) -> DataF
     return grid.select("figure_id", "z", "x", line.alias("line"))
 
 
-def parameter_lines(layers: DataFrame, nx: int = 100, nz: int = 50) -> DataFrame:
+# The text of a parameter snippet before its layers, and the first line of a tomography file.
+SNIPPET = """# Place these lines into your SPECFEM2D Par_file
+
+MODEL                           = tomo
+TOMOGRAPHY_FILE                 = ./DATA/tomo_file.xyz
+
+# Model dimensions (must match tomography_file grid)
+nx_tomo                         = {nx}
+nz_tomo                         = {nz}
+dx_tomo                         = {dx:.6f}
+dz_tomo                         = {dz:.6f}
+
+# Color zone -> property mapping (for reference)
+"""
+TOMOGRAPHY_HEADER = "#x #z #Vp #Vs #rho"
+
+
+def parameter_lines(layers: DataFrame, nx: int = 100, nz: int = 50, dx: float = 1.0, dz: float = 1.0) -> DataFrame:
     """The parameter snippet of each figure: sizes, then a comment per layer in order."""
-    rows = F.array_sort(F.collect_list(F.struct("ord", F.format_string("# %-10s %.1f %.1f %.1f", "name", "vp", "vs", "rho").alias("l"))))
-    head = F.lit(f"nx = {nx}\nnz = {nz}\ndx = 1.0\ndz = 1.0")
-    return layers.groupBy("figure_id").agg(rows.alias("r")).select("figure_id", F.concat_ws("\n", head, F.array_join(F.transform("r", lambda x: x.l), "\n")).alias("snippet"))
-
-
-def ascii_rows(grid: DataFrame) -> DataFrame:
-    """Row lines of the three blocks: (figure_id, block, z, line)."""
-    out = None
-    for block, k in enumerate(("vp", "vs", "rho")):
-        cells = F.array_sort(F.collect_list(F.struct("x", F.format_string("%.4f", k).alias("v"))))
-        part = grid.groupBy("figure_id", "z").agg(cells.alias("c")).select("figure_id", F.lit(block).alias("block"), "z", F.array_join(F.transform("c", lambda s: s.v), " ").alias("line"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    rows = F.array_sort(F.collect_list(F.struct("ord", F.format_string("#   %-10s:  Vp=%.1f  Vs=%.1f  rho=%.1f\n", "name", "vp", "vs", "rho").alias("l"))))
+    head = F.lit(SNIPPET.format(nx=nx, nz=nz, dx=dx, dz=dz))
+    return layers.groupBy("figure_id").agg(rows.alias("r")).select("figure_id", F.concat(head, F.array_join(F.transform("r", lambda x: x.l), "")).alias("snippet"))
+
+
+def ascii_rows(grid: DataFrame, dx: float = 1.0, dz: float = 1.0) -> DataFrame:
+    """Lines of an external model by (block, z): sizes (-3), columns (-2), rows (-1), then the three properties' rows (0 to 2).
+
+    A row of the grid is gathered once for all three properties, and the first lines come from these rows.
+    """
+    cells = F.array_sort(F.collect_list(F.struct("x", *[F.format_string("%.4f", k).alias(k) for k in ("vp", "vs", "rho")])))
+    rows = grid.groupBy("figure_id", "z").agg(cells.alias("c"))
+    joined = lambda a, f: F.array_join(F.transform(a, f), " ")
+    field = lambda k: lambda s: s[k]
+    line = lambda block, text: F.struct(F.lit(block).alias("block"), text.alias("line"))
+    body = rows.select("figure_id", F.col("z").cast("int").alias("z"), F.explode(F.array(*[line(i, joined("c", field(k))) for i, k in enumerate(("vp", "vs", "rho"))])).alias("b"))
+    sizes = rows.groupBy("figure_id").agg(F.array_sort(F.collect_list("z")).alias("zs"), F.max_by(F.col("c.x"), F.size("c")).alias("xs"))
+    at = lambda step: lambda v: F.format_string("%.6f", v * step)
+    first = F.array(line(-3, F.format_string("%d %d", F.size("xs"), F.size("zs"))), line(-2, joined("xs", at(dx))), line(-1, joined("zs", at(dz))))
+    head = sizes.select("figure_id", F.lit(0).alias("z"), F.explode(first).alias("b"))
+    return head.unionByName(body).select("figure_id", "b.block", "z", "b.line")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from strataframe.operators.labels import HUE_NAMES, PALETTE
-from strataframe.operators.properties import DEFAULTS
+from strataframe.operators.properties import DEFAULTS, SNIPPET
 
 ROWS = "rows_ as (select vec_id - vec_id % 64 as figure_id, row_number() over (partition by vec_id - vec_id % 64 order by label, vec_id) - 1 as y, cast(label as int) as label, embedding from embeddings)"
 PX = ROWS + """,
@@ -144,8 +144,8 @@ ORACLE_SQL: dict[str, str] = {
     "props_generate": _with("select figure_id, ord, name, round(t * 3000 + 3000, 2) as vp, round((t * 3000 + 3000) / 1.732, 2) as vs, round(t * 600 + 2200, 2) as rho from (select *, case when n = 1 then 0.5 else i::double / greatest(n - 1, 1) end as t from (select *, count(*) over (partition by figure_id) as n, row_number() over (partition by figure_id order by ord) - 1 as i from named))", PX, NAMED),
     "grid_vp_vs_rho": _with("select figure_id, z, round(avg(vp), 4) as vp, round(avg(vs), 4) as vs, round(avg(rho), 4) as rho from grid group by 1, 2", PX, LAYERS, LAYERP, GRID),
     "tomo_lines": _with("select figure_id, z, x, printf('%.6f %.6f %.4f %.4f %.4f', x::double, z::double, vp, vs, rho) as line from grid", PX, LAYERS, LAYERP, GRID),
-    "parfile_lines": _with("select figure_id, 'nx = 100' || chr(10) || 'nz = 50' || chr(10) || 'dx = 1.0' || chr(10) || 'dz = 1.0' || chr(10) || string_agg(printf('# %-10s %.1f %.1f %.1f', name, vp, vs, rho), chr(10) order by ord) as snippet from (select figure_id, ord, name, round(t * 3000 + 3000, 2) as vp, round((t * 3000 + 3000) / 1.732, 2) as vs, round(t * 600 + 2200, 2) as rho from (select *, case when n = 1 then 0.5 else i::double / greatest(n - 1, 1) end as t from (select *, count(*) over (partition by figure_id) as n, row_number() over (partition by figure_id order by ord) - 1 as i from named))) group by 1", PX, NAMED),
-    "external_ascii": _with("select figure_id, block, z, string_agg(printf('%.4f', v), ' ' order by x) as line from (select figure_id, z, x, 0 as block, vp as v from grid union all select figure_id, z, x, 1, vs from grid union all select figure_id, z, x, 2, rho from grid) group by 1, 2, 3", PX, LAYERS, LAYERP, GRID),
+    "parfile_lines": _with(f"select figure_id, '{SNIPPET.format(nx=100, nz=50, dx=1.0, dz=1.0)}' || string_agg(printf('#   %-10s:  Vp=%.1f  Vs=%.1f  rho=%.1f', name, vp, vs, rho) || chr(10), '' order by ord) as snippet from (select figure_id, ord, name, round(t * 3000 + 3000, 2) as vp, round((t * 3000 + 3000) / 1.732, 2) as vs, round(t * 600 + 2200, 2) as rho from (select *, case when n = 1 then 0.5 else i::double / greatest(n - 1, 1) end as t from (select *, count(*) over (partition by figure_id) as n, row_number() over (partition by figure_id order by ord) - 1 as i from named))) group by 1", PX, NAMED),
+    "external_ascii": _with("select figure_id, block, z, string_agg(printf('%.4f', v), ' ' order by x) as line from (select figure_id, z, x, 0 as block, vp as v from grid union all select figure_id, z, x, 1, vs from grid union all select figure_id, z, x, 2, rho from grid) group by 1, 2, 3 union all select figure_id, -3, 0, w || ' ' || h from dims union all select figure_id, -2, 0, string_agg(printf('%.6f', x::double), ' ' order by x) from grid where z = 0 group by 1 union all select figure_id, -1, 0, string_agg(printf('%.6f', z::double), ' ' order by z) from grid where x = 0 group by 1", PX, LAYERS, LAYERP, GRID),
     "mem_engine_rates": _with("select engine, count(*) as n, round(count(*) filter (outcome = 'success') / count(*), 3) as success_rate from log group by 1 having count(*) >= 2", LOG),
     "mem_feature_bins": _with("select case when saturation < 0.1 then 'pastel' when saturation < 0.5 then 'mixed' else 'vivid' end as sat_bin, case when edge_density < 0.01 then 'low' when edge_density < 0.03 then 'medium' else 'high' end as edge_bin, count(*) as n from log group by 1, 2", LOG),
     "mem_patterns": _with("select sat_bin, edge_bin, engine as best_engine, n, round(rate, 3) as success_rate, round(al / c, 4) as avg_alignment, least(1.0, n / 20.0) as confidence from (select *, row_number() over (partition by sat_bin, edge_bin order by rate desc, c desc, first_) as k from (select *, ok / c as rate from (select *, cast(sum(c) over (partition by sat_bin, edge_bin) as bigint) as n from (select case when saturation < 0.1 then 'pastel' when saturation < 0.5 then 'mixed' else 'vivid' end as sat_bin, case when edge_density < 0.01 then 'low' when edge_density < 0.03 then 'medium' else 'high' end as edge_bin, engine, count(*) as c, count(*) filter (outcome = 'success') as ok, min(ord) as first_, sum(coalesce(alignment, 0.0)) as al from log group by 1, 2, 3))) where n >= 3 and c >= 2 and rate > 0) where k = 1", LOG),

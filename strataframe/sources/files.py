@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataframe.operators import properties
@@ -44,9 +44,11 @@ def png(rgb: np.ndarray) -> bytes:
 
 
 def write_tomography(grid: DataFrame, path: str) -> None:
-    """Text files of node lines, a folder per figure, depth by depth; a figure's lines stay in one file."""
+    """Text files of node lines under their header, a folder per figure, depth by depth; a figure's lines stay in one file."""
     lines = properties.tomography_lines(grid)
-    lines.repartition("figure_id").sortWithinPartitions("figure_id", "z", "x").select("figure_id", F.col("line").alias("value")).write.mode("overwrite").partitionBy("figure_id").text(path)
+    first = F.row_number().over(Window.partitionBy("figure_id").orderBy("z", "x")) == 1
+    value = F.when(first, F.concat(F.lit(properties.TOMOGRAPHY_HEADER + "\n"), "line")).otherwise(F.col("line"))
+    lines.select("figure_id", value.alias("value")).write.mode("overwrite").partitionBy("figure_id").text(path)
 
 
 def append_attempts(log: DataFrame, path: str) -> None:

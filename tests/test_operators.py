@@ -28,7 +28,7 @@ def plain(v):
     return round(float(v), 6) if isinstance(v, float) or type(v).__name__ == "Decimal" else int(v) if isinstance(v, bool) else v
 
 
-@pytest.mark.parametrize("name", ["fig_classify", "route_engine", "lb_kmeans_rounds", "lb_weighted_vote", "lb_boundary_alignment", "colorbar_bbox", "hz_zero_crossing", "hz_hampel", "mem_patterns", "mem_feature_bins", "fig_quality_split", "captions_join", "sess_backtrack", "sess_backtrack_panel", "sess_backtrack_segment", "sess_update", "report_cards", "external_ascii", "panel_iou_pairs"])
+@pytest.mark.parametrize("name", ["lb_noise_regions", "lb_close_boundaries", "panel_candidates", "hz_adjust", "hz_repartition", "hz_quality_gate", "parfile_lines", "external_ascii", "fig_classify", "route_engine", "lb_kmeans_rounds", "lb_weighted_vote", "lb_boundary_alignment", "colorbar_bbox", "hz_zero_crossing", "hz_hampel", "mem_patterns", "mem_feature_bins", "fig_quality_split", "captions_join", "sess_backtrack", "sess_backtrack_panel", "sess_backtrack_segment", "sess_update", "report_cards", "external_ascii", "panel_iou_pairs"])
 def test_same_as_sql(spark, duck, name):
     got = QUERIES[name](spark, SF)
     want = duck.execute(ORACLE_SQL[name])
@@ -194,3 +194,18 @@ def test_short_series_stay(spark):
     rows = [(k, i, 100.0 if i == 5 else 1.0 + 0.01 * (i % 3)) for k, n in (("short", 20), ("long", 21)) for i in range(n)]
     got = {(r.k, r.i): r.is_outlier for r in hampel(spark.createDataFrame(rows, "k string, i int, v double"), "k", "i", "v").collect()}
     assert got["long", 5] and not got["short", 5]
+
+
+def test_model_files(spark, tmp_path):
+    from strataframe.operators import properties
+
+    cells = [("a", z, x, 3000.0 + x, 1732.0, 2200.0) for z in range(2) for x in range(3)] + [("b", 0, 0, 5000.0, 2886.8, 2600.0)]
+    grid = spark.createDataFrame(cells, "figure_id string, z int, x int, vp double, vs double, rho double").repartition(4)
+    files.write_tomography(grid, str(tmp_path / "tomo"))
+    texts = {f: [p.read_text() for p in (tmp_path / "tomo" / f"figure_id={f}").glob("part-*")] for f in "ab"}
+    assert texts["b"] == ["#x #z #Vp #Vs #rho\n0.000000 0.000000 5000.0000 2886.8000 2600.0000\n"]
+    (a,) = texts["a"]
+    want = [f"{x:.6f} {z:.6f} {3000 + x:.4f} 1732.0000 2200.0000" for z in range(2) for x in range(3)]
+    assert a.splitlines() == ["#x #z #Vp #Vs #rho", *want]
+    got = [r.line for r in properties.ascii_rows(grid, dz=0.5).where("figure_id = 'a'").orderBy("block", "z").collect()]
+    assert got[:4] == ["3 2", "0.000000 1.000000 2.000000", "0.000000 0.500000", "3000.0000 3001.0000 3002.0000"] and len(got) == 9

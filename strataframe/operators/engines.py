@@ -216,22 +216,31 @@ ENGINES: dict[str, Callable[[np.ndarray], np.ndarray]] = {
 }
 
 
+def labelled(t: pa.Table, engine: str) -> pa.Table:
+    """A figure's labels by an engine; if that fails, by the baseline, else zeros and ``failed``."""
+    y, x, rgb = panel(t)
+    error, failed = None, True
+    lbl = np.zeros(rgb.shape[:2], int)
+    for f in (lambda a: ENGINES[engine](a), v4_kmeans):
+        try:
+            lbl, failed = f(rgb), False
+            break
+        except Exception as e:  # noqa: BLE001  one figure's failure isn't the batch's
+            error = f"{engine}: {e}"
+    n = len(y)
+    return pa.table({"y": pa.array(y, pa.int32()), "x": pa.array(x, pa.int32()), "lbl": pa.array(lbl[y, x], pa.int32()), "error": pa.array([error] * n, pa.string()), "failed": pa.array([failed] * n, pa.bool_())})
+
+
 def segment(px: DataFrame, engine: str) -> DataFrame:
     """Labels of each figure by one engine; if it fails, by the baseline, else zeros, with the error beside them."""
+    run = lambda t: labelled(t, engine).drop_columns("failed")
+    return px.select("figure_id", "y", "x", "r", "g", "b").transform(per_figure, run, "y int, x int, lbl int, error string")
 
-    def run(t: pa.Table) -> pa.Table:
-        y, x, rgb = panel(t)
-        error = None
-        lbl = np.zeros(rgb.shape[:2], int)
-        for f in (ENGINES[engine], v4_kmeans):
-            try:
-                lbl = f(rgb)
-                break
-            except Exception as e:  # noqa: BLE001  one figure's failure isn't the batch's
-                error = f"{engine}: {e}"
-        return pa.table({"y": pa.array(y, pa.int32()), "x": pa.array(x, pa.int32()), "lbl": pa.array(lbl[y, x], pa.int32()), "error": pa.array([error] * len(y), pa.string())})
 
-    return px.select("figure_id", "y", "x", "r", "g", "b").transform(per_figure, run, "y int, x int, lbl int, error string")
+def segment_by(px: DataFrame) -> DataFrame:
+    """Labels of each figure by the engine in its column ``engine``; ``failed`` where the baseline fails too."""
+    run = lambda t: labelled(t, t.column("engine")[0].as_py())
+    return px.select("figure_id", "y", "x", "r", "g", "b", "engine").transform(per_figure, run, "y int, x int, lbl int, error string, failed boolean")
 
 
 def parts(lb: DataFrame, eight: bool = False) -> DataFrame:

@@ -91,3 +91,29 @@ def background_type(px: DataFrame, patch: int = 8) -> DataFrame:
     corner = ((F.col("y") < patch) | (F.col("y") >= F.col("h") - patch)) & ((F.col("x") < patch) | (F.col("x") >= F.col("w") - patch))
     m = p.where(corner).groupBy("figure_id").agg(F.round(F.avg(colors.gray(F.col("r"), F.col("g"), F.col("b"))), 6).alias("corner_mean"))
     return m.withColumn("background", F.when(F.col("corner_mean") < 0.35, "black").when(F.col("corner_mean") > 0.65, "white").when(F.col("corner_mean") < 0.5, "black").otherwise("white"))
+
+
+def merge_overlapping(boxes: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """Boxes by falling area, ties by id; one that overlaps merged boxes beyond the threshold becomes their common box.
+
+    A fold over a page's boxes, as later boxes are held against merged ones; a page has few.
+    """
+    order = F.array_sort(F.collect_list(F.struct((-F.col("w") * F.col("h")).alias("o"), "box_id", F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + F.col("w")).alias("x1"), (F.col("y") + F.col("h")).alias("y1"))))
+
+    def over(p, q):
+        iw, ih = F.least(p.x1, q.x1) - F.greatest(p.x0, q.x0), F.least(p.y1, q.y1) - F.greatest(p.y0, q.y0)
+        both = iw * ih
+        return (iw > 0) & (ih > 0) & (both > threshold * ((p.x1 - p.x0) * (p.y1 - p.y0) + (q.x1 - q.x0) * (q.y1 - q.y0) - both))
+
+    corners = ("x0", "y0", "x1", "y1")
+
+    def step(acc, p):
+        own = F.struct(*[p[c].alias(c) for c in corners])
+        hit = F.concat(F.filter(acc, lambda q: over(p, q)), F.array(own))
+        side = lambda c: F.transform(hit, lambda q: q[c])
+        whole = F.struct(*[(F.array_min if c.endswith("0") else F.array_max)(side(c)).alias(c) for c in corners])
+        return F.concat(F.filter(acc, lambda q: ~over(p, q)), F.array(whole))
+
+    none = F.expr("cast(array() as array<struct<x0:bigint,y0:bigint,x1:bigint,y1:bigint>>)")
+    m = boxes.groupBy("page_id").agg(order.alias("all")).select("page_id", F.posexplode(F.aggregate("all", none, step)).alias("k", "b"))
+    return m.select("page_id", "k", F.col("b.x0").alias("x"), F.col("b.y0").alias("y"), (F.col("b.x1") - F.col("b.x0")).alias("w"), (F.col("b.y1") - F.col("b.y0")).alias("h"))

@@ -68,3 +68,18 @@ def resume(listing: DataFrame, done: DataFrame, key: str) -> DataFrame:
 def tally(results: DataFrame) -> DataFrame:
     n = lambda s: F.count_if(F.col("status") == s).alias(s)
     return results.agg(n("processed"), n("skipped"), n("error"), F.count(F.lit(1)).alias("total"))
+
+
+ENTRY = "figure_id long, status string, score double, ord long"
+
+
+def to_json(entries: DataFrame) -> DataFrame:
+    """(session_id, json): a session's figures in the order of the work set; a session is one document."""
+    row = F.struct("ord", "figure_id", "status", "score")
+    return entries.groupBy("session_id").agg(F.to_json(F.struct(F.array_sort(F.collect_list(row)).alias("figures")), {"ignoreNullFields": "false"}).alias("json"))
+
+
+def from_json(saved: DataFrame) -> DataFrame:
+    """The entries of saved sessions; a document that can't be read fails, as half a session would be taken for a whole one."""
+    s = saved.select("session_id", F.from_json("json", f"figures array<struct<{ENTRY.replace(' ', ':').replace(',:', ',')}>>", {"mode": "FAILFAST"}).alias("s"))
+    return s.select("session_id", F.inline("s.figures"))

@@ -167,4 +167,10 @@ ORACLE_SQL: dict[str, str] = {
     "feedback_messages": "select conv_id, turn, '【' || conv_id || '】' || trim(text, ' ') as message from conversations where role = 'user' and trim(text, ' ') <> ''",
     "figure_id_sanitize": r"select page_id, regexp_replace(regexp_extract(url, '([^/]*)$', 1), '[^A-Za-z0-9_-]', '_', 'g') as figure_id from pages",
     "tag_count_parse": "select event_id, coalesce(try_cast(nullif(regexp_extract(tag, 'count=([0-9]+)\\)?', 1), '') as int), 0) as n from (select event_id, case when event_id % 3 = 0 then 'auto(count=' || (event_id * 7 % 1000) || ')' else 'seed' end as tag from events)",
+    "doc_text_blocks": "select doc_id as doc, 0 as page, 0 as k, 'title' as kind, trim(coalesce(lang, '') || ' ' || coalesce(source, '')) as text, (doc_id % 100)::double as x1 from documents where coalesce(lang, '') || coalesce(source, '') <> '' union all select doc_id, 0, 1, 'text', text, null from documents where text <> '' union all select doc_id, 2, 0, 'image_caption', source, null from documents where source <> ''",
+    "doc_figures": "select doc_id as doc, doc_id || case doc_id % 3 when 0 then '.png' when 1 then '.jpeg' else '.jpg' end as name, 2 as page, nullif(trim(source, ' '), '') as caption from documents where doc_id % 5 <> 0",
+    "review_parse": "select event_id, case when problem is null then kind end as kind, case when problem is null then confidence end as confidence, problem from (select event_id, event_type as kind, (event_id * 13 % 100) / 100.0::double as confidence, case when event_id % 7 = 0 or event_id % 11 = 0 or event_type is null then 'schema' when (event_id * 13 % 100) / 100.0::double < 0.7 then 'confidence' end as problem from events)",
+    "review_overview": "select page_id, case when n = 0 then 'no_panels_detected' end as warning, score, n = 0 as can_auto_fix, case when score >= 0.7 then 'continue' else 'manual_intervention' end as suggested_action from (select p_partkey // 8 as page_id, count(*) filter ((p_partkey * 7 % 100) / 100.0::double > 0.8) as n, max((p_partkey * 7 % 100) / 100.0::double) as score from part group by 1)",
+    "sess_json": _with("select session_id, figure_id, status, score, ord from last_", LAST),
+    "fig_gate": _with("select figure_id, case when reason is null then 'ready' else 'skipped' end as status, reason from (select figure_id, case when w < 32 or h < 60 then printf('too_small_for_auto_segmentation (%dx%d < 32x60)', w, h) when k % 3 = 2 then null when k % 5 = 1 then 'vlm_recommended_skip: ' || kind when k % 5 = 2 then 'vlm_recommended_manual_review: ' || kind when k % 5 <> 3 and kind = 'photo' then 'vlm_rejected: ' || kind end as reason from (select *, figure_id // 64 as k, case when (figure_id // 64) % 4 = 0 then 'velocity_model' else 'photo' end as kind from dims))", PX),
 }

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strataframe.operators import engines, features, horizon, labels, memory, panels, properties, sessions
-from strataframe.sources import tables
+from strataframe.operators import engines, features, flow, horizon, labels, memory, panels, properties, reviews, sessions
+from strataframe.sources import documents, tables
 from strataframe.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -296,3 +296,78 @@ of_pixels("lb_polygons", lambda px: engines.polygons(labels.nearest_palette(px))
 of_labels("hz_label_blur", lambda lb: count_labels(engines.label_blur(lb)))
 of_pixels("fig_color_groups", engines.color_groups)
 of_labels("hz_savgol", lambda lb: engines.smooth_boundary(horizon.dense_boundary(top_pair(lb), 1, 2)))
+
+
+def layout_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc, body, source, lang, text): a layout file of each document, with a page that isn't a list and a part that isn't text."""
+    text = lambda kind, content: F.struct(F.lit(kind).alias("type"), content.alias("content"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "source", "lang", "text")
+    title = F.to_json(F.struct(F.lit("title").alias("type"), F.struct(F.array(text("text", F.col("lang")), text("equation", F.lit("x")), text("text", F.col("source"))).alias("title_content")).alias("content"), F.array(F.lit(0), F.lit(0), F.col("doc") % 100, F.lit(10)).alias("bbox")))
+    plain = F.to_json(text("text", F.col("text")))
+    path = F.concat(F.lit("images/"), F.col("doc").cast("string"), F.when(F.col("doc") % 3 == 0, ".png.").when(F.col("doc") % 3 == 1, "").otherwise(".jpg"))
+    image = F.to_json(F.struct(F.lit("image").alias("type"), F.struct(F.struct(path.alias("path")).alias("image_source"), F.array(text("text", F.col("source"))).alias("image_caption")).alias("content")))
+    return d.withColumn("body", F.concat(F.lit("[["), title, F.lit(","), plain, F.lit("],7,["), image, F.lit("]]")))
+
+
+@query
+def doc_text_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = documents.text_blocks(layout_docs(spark, sf_dir).select("doc", "body"))
+    return b.select("doc", "page", "k", "kind", "text", F.get("bbox", F.lit(2)).alias("x1"))
+
+
+@query
+def doc_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each figure's page and caption; every fifth document's image is missing."""
+    d = layout_docs(spark, sf_dir)
+    ext = F.when(F.col("doc") % 3 == 0, ".png").when(F.col("doc") % 3 == 1, ".jpeg").otherwise(".jpg")
+    files = d.where("doc % 5 <> 0").select("doc", F.concat(F.col("doc").cast("string"), ext).alias("name"))
+    return documents.page_map(d, files).join(documents.caption_map(d, files), ["doc", "name"], "left")
+
+
+@query
+def review_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("event_id")
+    kind = F.when(k % 7 == 0, F.lit(None)).otherwise(F.col("event_type"))
+    answer = F.to_json(F.struct(kind.alias("kind"), (k * 13 % 100 / 100).alias("confidence")))
+    raw = table(spark, sf_dir, "events").select("event_id", F.when(k % 11 == 0, "no answer").otherwise(answer).alias("raw"))
+    return reviews.parse(raw, "kind string, confidence double")
+
+
+@query
+def review_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = tables.boxes(spark, sf_dir)
+    return reviews.overview(b.groupBy("page_id").agg(F.count_if(F.col("conf") > 0.8).alias("n_panels"), F.max("conf").alias("confidence")))
+
+
+@query
+def sess_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.from_json(sessions.to_json(entries(spark, sf_dir)))
+
+
+@query
+def panel_merge_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return panels.merge_overlapping(tables.boxes(spark, sf_dir), threshold=0.1)
+
+
+@query
+def fig_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    px = tables.pixels(spark, sf_dir)
+    sizes = px.groupBy("figure_id").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
+    return flow.gate(sizes.withColumn("figure_type", F.lit("conceptual")), figure_reviews(sizes), min_w=32, min_h=60)
+
+
+def figure_reviews(figures: DataFrame) -> DataFrame:
+    """Reviews of two figures in three, by fixed rules."""
+    k = F.expr("figure_id div 64")
+    kind = F.when(k % 4 == 0, "velocity_model").otherwise("photo")
+    says = F.when(k % 5 == 1, "skip").when(k % 5 == 2, "manual_review").when(k % 5 == 3, "segment")
+    return figures.where(k % 3 != 2).select("figure_id", kind.alias("kind"), says.alias("recommendation"))
+
+
+@query
+def fig_process(spark: SparkSession, sf_dir: str) -> DataFrame:
+    px = tables.pixels(spark, sf_dir)
+    return flow.process(px, figure_reviews(px.select("figure_id").distinct()), min_w=32, min_h=60)
+
+
+of_labels("lb_metrics", flow.metrics)

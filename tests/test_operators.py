@@ -28,7 +28,7 @@ def plain(v):
     return round(float(v), 6) if isinstance(v, float) or type(v).__name__ == "Decimal" else int(v) if isinstance(v, bool) else v
 
 
-@pytest.mark.parametrize("name", ["lb_noise_regions", "lb_close_boundaries", "panel_candidates", "hz_adjust", "hz_repartition", "hz_quality_gate", "parfile_lines", "external_ascii", "fig_classify", "route_engine", "lb_kmeans_rounds", "lb_weighted_vote", "lb_boundary_alignment", "colorbar_bbox", "hz_zero_crossing", "hz_hampel", "mem_patterns", "mem_feature_bins", "fig_quality_split", "captions_join", "sess_backtrack", "sess_backtrack_panel", "sess_backtrack_segment", "sess_update", "report_cards", "external_ascii", "panel_iou_pairs"])
+@pytest.mark.parametrize("name", ["doc_text_blocks", "doc_figures", "review_parse", "review_overview", "sess_json", "fig_gate", "lb_noise_regions", "lb_close_boundaries", "panel_candidates", "hz_adjust", "hz_repartition", "hz_quality_gate", "parfile_lines", "external_ascii", "fig_classify", "route_engine", "lb_kmeans_rounds", "lb_weighted_vote", "lb_boundary_alignment", "colorbar_bbox", "hz_zero_crossing", "hz_hampel", "mem_patterns", "mem_feature_bins", "fig_quality_split", "captions_join", "sess_backtrack", "sess_backtrack_panel", "sess_backtrack_segment", "sess_update", "report_cards", "external_ascii", "panel_iou_pairs"])
 def test_same_as_sql(spark, duck, name):
     got = QUERIES[name](spark, SF)
     want = duck.execute(ORACLE_SQL[name])
@@ -209,3 +209,73 @@ def test_model_files(spark, tmp_path):
     assert a.splitlines() == ["#x #z #Vp #Vs #rho", *want]
     got = [r.line for r in properties.ascii_rows(grid, dz=0.5).where("figure_id = 'a'").orderBy("block", "z").collect()]
     assert got[:4] == ["3 2", "0.000000 1.000000 2.000000", "0.000000 0.500000", "3000.0000 3001.0000 3002.0000"] and len(got) == 9
+
+
+def test_merged_boxes_against_a_plain_loop(spark):
+    from strataframe.operators import panels
+    from strataframe.sources import tables
+
+    boxes = tables.boxes(spark, SF)
+    pages = {}
+    for r in boxes.collect():
+        pages.setdefault(r.page_id, []).append((-r.w * r.h, r.box_id, r.x, r.y, r.x + r.w, r.y + r.h))
+    want, joined = {}, 0
+    for page, rows in pages.items():
+        kept = []
+        for _, _, *p in sorted(rows):
+            hit = []
+            for q in kept:
+                iw, ih = min(p[2], q[2]) - max(p[0], q[0]), min(p[3], q[3]) - max(p[1], q[1])
+                size = lambda b: (b[2] - b[0]) * (b[3] - b[1])
+                if iw > 0 and ih > 0 and iw * ih / (size(p) + size(q) - iw * ih) > 0.1:
+                    hit.append(q)
+            joined += len(hit)
+            kept = [q for q in kept if q not in hit] + [[f(b[i] for b in [*hit, p]) for i, f in enumerate((min, min, max, max))]]
+        want |= {(page, k): (b[0], b[1], b[2] - b[0], b[3] - b[1]) for k, b in enumerate(kept)}
+    assert joined
+    assert {(r.page_id, r.k): (r.x, r.y, r.w, r.h) for r in panels.merge_overlapping(boxes, 0.1).collect()} == want
+
+
+def test_layout_files_of_either_version_and_broken_ones(spark, tmp_path):
+    from strataframe.sources import documents
+
+    item = lambda kind, key, text, **more: {"type": kind, "content": {key: [{"type": "text", "content": text}], **more}}
+    for name, body in {
+        "a/x_content_list_v2.json": json.dumps([[item("title", "title_content", "T"), {"type": "image", "content": "odd"}, 3], [item("image", "image_caption", " C ", image_source={"path": "images/f.."})], "no list"]),
+        "a/x_content_list.json": json.dumps([[item("title", "title_content", "old")]]),
+        "b/y_content_list.json": "{ not json",
+        "c/z_content_list.json": json.dumps({"type": "title"}),
+        "d/w_content_list.json": json.dumps([[{"type": "text", "content": "plain", "bbox": [1, 2, 3, 4]}, {"type": "text", "content": {"k": 1}}]]),
+    }.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(body)
+    docs = documents.layout_files(spark, str(tmp_path))
+    assert docs.count() == 4
+    blocks = [(r.doc[-1], r.page, r.kind, r.text, r.bbox) for r in documents.text_blocks(docs).orderBy("doc", "page", "k").collect()]
+    assert blocks == [("a", 0, "title", "T", []), ("a", 1, "image_caption", " C ", []), ("d", 0, "text", "plain", [1.0, 2.0, 3.0, 4.0])]
+    files = docs.where("doc like '%a'").selectExpr("doc", "inline(array(struct('f.png' as name), struct('f.jpeg' as name)))")
+    assert [(r.name, r.page) for r in documents.page_map(docs, files).collect()] == [("f.jpeg", 1)]
+    assert [r.caption for r in documents.caption_map(docs, files).collect()] == ["C"]
+
+
+def test_flow_skips_fails_and_goes_on(spark):
+    from strataframe.operators import flow
+
+    rows = {r.figure_id: r for r in QUERIES["fig_process"](spark, SF).collect()}
+    gate = {r.figure_id: r for r in QUERIES["fig_gate"](spark, SF).collect()}
+    assert {k: r.status == "skipped" for k, r in rows.items()} == {k: r.status == "skipped" for k, r in gate.items()}
+    assert all(r.n_layers >= 1 and r.engine for r in rows.values() if r.status == "ok")
+    assert all(r.reason and r.engine is None for r in rows.values() if r.status == "skipped")
+    unknown = spark.createDataFrame([(1, y, x, 10 * y, 0, 0, "none") for y in range(12) for x in range(12)], "figure_id long, y int, x int, r int, g int, b int, engine string")
+    got = engines.segment_by(unknown).select("error", "failed").distinct().collect()
+    assert len(got) == 1 and got[0].error and not got[0].failed
+    assert flow.gate(spark.createDataFrame([(1, 299, 500, "conceptual"), (2, 300, 200, "other"), (3, 300, 200, "conceptual")], "figure_id long, w int, h int, figure_type string")).orderBy("figure_id").select("status").collect() == [("skipped",), ("skipped",), ("ready",)]
+
+
+def test_metrics_of_a_label_map(spark):
+    rows = [(1, y, x, (3 if (y, x) == (2, 2) else 1 if y < 30 else 2), 90 * (y >= 30), 0, 0) for y in range(60) for x in range(60)]
+    lb = spark.createDataFrame(rows, "figure_id long, y int, x int, lbl int, r int, g int, b int")
+    from strataframe.operators import flow
+
+    got = flow.metrics(lb).first()
+    assert (got.n_layers, got.tiny_fragments, got.has_tiny_fragments, got.fragment_fraction) == (3, 1, True, round(1 / 3600, 5))

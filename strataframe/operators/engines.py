@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from strataframe.functions import colors, kernels
 from strataframe.functions import seeds as seeds_
 
+
 def per_figure(df: DataFrame, run: Callable[[pa.Table], pa.Table], columns: str) -> DataFrame:
     """Grouped map by figure, whose id keeps its type; ``run`` gives the other columns."""
 
@@ -84,16 +85,67 @@ def seeds(rgb: np.ndarray, n_layers: int = 5) -> np.ndarray:
     return found[np.argsort(like, kind="stable")][: n_layers + 2]
 
 
-def v4_kmeans(rgb: np.ndarray) -> np.ndarray:
-    return kernels.median_filter(nearest(lab(rgb), lab(seeds(rgb))), 5)
+def more_seeds(rgb: np.ndarray, given: np.ndarray, most: int) -> np.ndarray:
+    """The given seeds and up to ``most`` colours that they miss: of the groups first, then of a finer look at the figure.
+
+    A group counts with a 2000th of the pixels, 50 at least, and half a percent within 50 of it. The
+    distances are fixed values: 30 in LAB from the given seeds, 20 for the finer look, and 30 in RGB
+    from one another.
+    """
+    if most <= 0:
+        return given
+    h, w, _ = rgb.shape
+    back = np.median([rgb[0, 0], rgb[0, -1], rgb[-1, 0], rgb[-1, -1], rgb[h // 2, w // 2]], axis=0)
+    least, known, found = max(50, h * w // 2000), lab(given), []
+    far = lambda c: float(np.sqrt(((known - lab(c[None])) ** 2).sum(1)).min()) if len(given) else np.inf
+    apart = lambda c: all(np.sqrt(((c - f) ** 2).sum()) > 30 for f in found)
+    seen = lambda c: seeds_.find_pixel(rgb, c, back, 40.0, 50.0) is not None
+    groups = [(n, far(m), m) for m, n in seeds_.color_groups(rgb, most=20) if n >= least and np.sqrt(((m - back) ** 2).sum()) >= 80]
+    for _, d, m in sorted(groups, key=lambda g: (g[0], g[1]), reverse=True):
+        wide = (np.sqrt(((rgb - m) ** 2).sum(2)) < 50) & (np.sqrt(((rgb - back) ** 2).sum(2)) >= 50)
+        if len(found) < most and d >= 30 and apart(m) and seen(m) and wide.sum() >= h * w * 0.005:
+            found.append(m)
+    for m, n in seeds_.color_groups(rgb, 40.0, 30, 20_000):
+        if len(found) < most and n >= least and np.sqrt(((m - back) ** 2).sum()) >= 60 and far(m) >= 20 and apart(m) and seen(m):
+            found.append(m)
+    return np.concatenate([given, np.array(found)]) if found else given
+
+
+def shape_filter(lbl: np.ndarray, limit: float = 35.0) -> np.ndarray:
+    """Thin parts of what is labelled (0 and up), by perimeter squared over area, take the commonest label around them."""
+    comp, n = kernels.components(lbl >= 0, eight=True)
+    thin = [c for c in range(1, n + 1) if (m := comp == c).any() and kernels.perimeter(m) ** 2 / m.sum() > limit]
+    out, slim = lbl.copy(), np.isin(comp, thin)
+    for c in thin:
+        rim = kernels.dilate(comp == c, square=True) & ~slim
+        if rim.any():
+            values, counts = np.unique(out[rim], return_counts=True)
+            out[comp == c] = values[counts.argmax()]
+    return out
+
+
+def v4_kmeans(rgb: np.ndarray, auto_k: int = 0) -> np.ndarray:
+    return shape_filter(kernels.median_filter(nearest(lab(rgb), lab(more_seeds(rgb, seeds(rgb), auto_k))), 5))
+
 
+def kmeans_full(rgb: np.ndarray, auto_k: int = 0) -> np.ndarray:
+    return shape_filter(lloyd(lab(rgb), lab(more_seeds(rgb, seeds(rgb), auto_k)))[0])
 
-def kmeans_full(rgb: np.ndarray) -> np.ndarray:
-    return lloyd(lab(rgb), lab(seeds(rgb)))[0]
+
+def bar_seeds(rgb: np.ndarray, n_layers: int = 5) -> np.ndarray | None:
+    """Even samples of the figure's own colour bar, or None: the first strip along a side whose colours vary enough."""
+    h, w, _ = rgb.shape
+    size = max(4, min(h, w) // 10)
+    for strip, down in ((rgb[:size], False), (rgb[-size:], False), (rgb[:, -size:], True), (rgb[:, :size], True)):
+        if lab(strip)[..., 1:].reshape(-1, 2).std(0).mean() / 40 > 0.3:
+            line = strip[:, strip.shape[1] // 2] if down else strip[strip.shape[0] // 2]
+            at = np.linspace(int(0.05 * len(line)), int(0.95 * len(line)) - 1, n_layers).astype(int)
+            return np.unique(line[at], axis=0)
+    return None
 
 
 def pastel(rgb: np.ndarray, n_layers: int = 5) -> np.ndarray:
-    return lloyd(lab(rgb), lab(seeds(rgb)[:n_layers]))[0]
+    return shape_filter(lloyd(lab(rgb), lab(seeds(rgb)[:n_layers]))[0])
 
 
 def redecide(rgb: np.ndarray, lbl: np.ndarray, threshold: float = 55.0) -> np.ndarray:
@@ -110,8 +162,10 @@ def redecide(rgb: np.ndarray, lbl: np.ndarray, threshold: float = 55.0) -> np.nd
     return out
 
 
-def colorbar_guided(rgb: np.ndarray) -> np.ndarray:
-    lbl = by_rows(lloyd(rgb, seeds(rgb)[:5])[0])
+def colorbar_guided(rgb: np.ndarray, n_layers: int = 5) -> np.ndarray:
+    """Rounds from the colour bar's samples; a figure without a bar starts from its colour groups."""
+    bar = bar_seeds(rgb, n_layers)
+    lbl = by_rows(lloyd(rgb, seeds(rgb)[:n_layers] if bar is None else bar)[0])
     for k in np.unique(lbl):
         lbl[kernels.fill_holes(lbl == k)] = k
     return redecide(rgb, drop_small(lbl, max(8, int(0.001 * lbl.size))))
@@ -216,23 +270,30 @@ ENGINES: dict[str, Callable[[np.ndarray], np.ndarray]] = {
 }
 
 
-def labelled(t: pa.Table, engine: str) -> pa.Table:
-    """A figure's labels by an engine; if that fails, by the baseline, else zeros and ``failed``."""
+Engine = str | Callable[[np.ndarray], np.ndarray]
+
+
+def labelled(t: pa.Table, engine: Engine) -> pa.Table:
+    """A figure's labels by an engine, a name or a function; if that fails, by the baseline, else zeros and ``failed``."""
+    name = engine if isinstance(engine, str) else engine.__name__
     y, x, rgb = panel(t)
     error, failed = None, True
     lbl = np.zeros(rgb.shape[:2], int)
-    for f in (lambda a: ENGINES[engine](a), v4_kmeans):
+    for f in ((lambda a: ENGINES[engine](a)) if isinstance(engine, str) else engine, v4_kmeans):
         try:
             lbl, failed = f(rgb), False
             break
         except Exception as e:  # noqa: BLE001  one figure's failure isn't the batch's
-            error = f"{engine}: {e}"
+            error = error or f"{name}: {e}"
     n = len(y)
     return pa.table({"y": pa.array(y, pa.int32()), "x": pa.array(x, pa.int32()), "lbl": pa.array(lbl[y, x], pa.int32()), "error": pa.array([error] * n, pa.string()), "failed": pa.array([failed] * n, pa.bool_())})
 
 
-def segment(px: DataFrame, engine: str) -> DataFrame:
-    """Labels of each figure by one engine; if it fails, by the baseline, else zeros, with the error beside them."""
+def segment(px: DataFrame, engine: Engine) -> DataFrame:
+    """Labels of each figure by one engine; if it fails, by the baseline, else zeros, with the error beside them.
+
+    An engine is one of ENGINES by name, or a function from a panel (rows, columns, 3) to its labels.
+    """
     run = lambda t: labelled(t, engine).drop_columns("failed")
     return px.select("figure_id", "y", "x", "r", "g", "b").transform(per_figure, run, "y int, x int, lbl int, error string")
 
@@ -265,9 +326,9 @@ def parts(lb: DataFrame, eight: bool = False) -> DataFrame:
 
 
 def fragments(components: DataFrame, share: float = 0.003, least: int = 30) -> DataFrame:
-    """Components below a share of their panel, whose pixels are the areas of all its components."""
+    """Components of labels other than 0 below a share of their panel, whose pixels are the areas of all its components."""
     pixels = F.sum("area").over(Window.partitionBy("figure_id"))
-    c = components.withColumn("pixels", pixels).where(F.col("area") < F.greatest(F.lit(least), F.floor(F.col("pixels") * share)))
+    c = components.withColumn("pixels", pixels).where((F.col("area") < F.greatest(F.lit(least), F.floor(F.col("pixels") * share))) & (F.col("lbl") != 0))
     return c.select("figure_id", "lbl", "part", "area", F.round(F.col("area") / F.col("pixels"), 5).alias("fraction"))
 
 
@@ -307,7 +368,7 @@ def remove_small(lb: DataFrame, share: float = 0.001, least: int = 50) -> DataFr
     return lb.select("figure_id", "y", "x", "lbl").transform(per_figure, run, "y int, x int, lbl int")
 
 
-def label_blur(lb: DataFrame, sigma: float = 3.0) -> DataFrame:
+def label_blur(lb: DataFrame, sigma: float = 15.0) -> DataFrame:
     """Each pixel's label of the largest blurred indicator, the lowest of equals."""
 
     def run(t: pa.Table) -> pa.Table:

@@ -110,7 +110,7 @@ def text_density(px: DataFrame) -> DataFrame:
     return out.select("figure_id", F.round(F.when(F.col("h") < 20, 0.0).otherwise(F.least(F.lit(1.0), F.col("d") / 0.15)), 5).alias("text_density"))
 
 
-def quality_check(px: DataFrame, min_size: int = 40, max_blank: float = 0.95, min_edge: float = 0.005) -> DataFrame:
+def quality_check(px: DataFrame, min_size: int = 100, max_blank: float = 0.95, min_edge: float = 0.005) -> DataFrame:
     """Why a figure is refused: too small, blank, or without edges; the first reason counts."""
     e = sobel(px, colors.gray(*rgb())).groupBy("figure_id").agg(
         (F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"),
@@ -144,6 +144,11 @@ def complexity(features: DataFrame) -> DataFrame:
     return features.select("figure_id", F.round(F.when(F.least("h", "w") < 10, 0.0).otherwise(score), 4).alias("complexity"))
 
 
+def best_panel(scores: DataFrame, by: str) -> DataFrame:
+    """Of each group the figure of the highest complexity, the first of equals."""
+    return scores.groupBy(by).agg(F.max_by("figure_id", F.struct("complexity", -F.col("figure_id"))).alias("figure_id"), F.max("complexity").alias("complexity"))
+
+
 def route(features: DataFrame, hashes: DataFrame, preference: str = "balanced", has_colorbar: bool = False, velocity_model: bool = True) -> DataFrame:
     """The engine of each figure, by its saturation; vivid figures take turns by their hash."""
     turns = {"balanced": ["kmeans_full", "edge_guided", "edge_grow"], "best": ["ensemble", "kmeans_full", "edge_guided", "edge_grow"]}.get(preference, ["v4_kmeans"])

@@ -17,20 +17,20 @@ REJECTED = ("observational", "observational_data", "other")
 def gate(figures: DataFrame, reviews: DataFrame | None = None, min_w: int = MIN_W, min_h: int = MIN_H, rejected: tuple[str, ...] = REJECTED) -> DataFrame:
     """(figure_id, status, reason): ready, or skipped by size, by a review, or by the figure's kind.
 
-    ``figures`` has figure_id, w, h and figure_type; ``reviews`` figure_id, kind and recommendation. With
-    reviews, a figure without one (its review failed) goes on, as one whose review says so does. The texts
-    of reasons are fixed values.
+    ``figures`` has figure_id, w, h and figure_type; ``reviews`` figure_id, kind and recommendation. A
+    figure without a review (it failed, or none are given) is judged by its own kind. The texts of
+    reasons are fixed values.
     """
     small = (F.col("w") < min_w) | (F.col("h") < min_h)
     too_small = F.format_string(f"too_small_for_auto_segmentation (%dx%d < {min_w}x{min_h})", "w", "h")
-    if reviews is None:
-        f = figures
-        by_kind = F.when(F.col("figure_type").isin(*rejected), F.concat(F.lit("figure_type="), "figure_type"))
-    else:
-        f = figures.join(reviews.select("figure_id", "kind", "recommendation"), "figure_id", "left")
+    by_kind = F.when(F.col("figure_type").isin(*rejected), F.concat(F.lit("figure_type="), "figure_type"))
+    f = figures
+    if reviews is not None:
+        f = figures.join(reviews.select("figure_id", "kind", "recommendation", F.lit(True).alias("reviewed")), "figure_id", "left")
         says = F.col("recommendation")
         by_kind = (
-            F.when(says == "skip", F.concat(F.lit("vlm_recommended_skip: "), "kind"))
+            F.when(F.col("reviewed").isNull(), by_kind)
+            .when(says == "skip", F.concat(F.lit("vlm_recommended_skip: "), "kind"))
             .when(says == "manual_review", F.concat(F.lit("vlm_recommended_manual_review: "), "kind"))
             .when(says.isNull() & ~F.col("kind").isin(*MODELS), F.concat(F.lit("vlm_rejected: "), "kind"))
         )

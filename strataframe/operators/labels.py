@@ -36,20 +36,34 @@ def reorder_by_median_row(lb: DataFrame, base: int = 0) -> DataFrame:
 def kmeans_rounds(px: DataFrame, palette: list[tuple[int, int, int]] = PALETTE, rounds: int = 3) -> DataFrame:
     """Lloyd's rounds per figure from a given palette; an empty cluster keeps its centre.
 
-    A figure's centres are one row of a few numbers beside its pixels, and a round is one partial
-    aggregate by figure that carries the old centres along, so the plan grows by one join a round.
+    A figure's distinct colours with their counts are one array; all rounds run over it in one
+    projection, so that work goes with colours, not pixels, and the plan doesn't grow with rounds.
     The labels are those from before the last update of the centres.
     """
-    first = F.array(*[F.struct(*[F.lit(float(v)).alias(c) for c, v in zip("rgb", p, strict=True)]) for p in palette])
-    centres = px.select("figure_id").distinct().withColumn("cs", first)
-    out = px
-    for k in range(rounds):
-        d = F.transform("cs", lambda c: F.round((F.col("r") - c.r) * (F.col("r") - c.r) + (F.col("g") - c.g) * (F.col("g") - c.g) + (F.col("b") - c.b) * (F.col("b") - c.b), 6))
-        out = px.join(centres, "figure_id").withColumn("d", d).select(*KEYS, "r", "g", "b", "cs", (F.array_position("d", F.array_min("d")) - 1).cast("int").alias("lbl"))
-        if k + 1 < rounds:
-            mean = lambda i, c: F.coalesce(F.round(F.avg(F.when(F.col("lbl") == i, F.col(c))), 6), F.first(F.col("cs")[i][c])).alias(c)
-            centres = out.groupBy("figure_id").agg(F.array(*[F.struct(*[mean(i, c) for c in "rgb"]) for i in range(len(palette))]).alias("cs"))
-    return out.select(*KEYS, "lbl")
+    centre = lambda values: F.struct(*[v.alias(c) for c, v in zip("rgb", values, strict=True)])
+    first = F.array(*[centre([F.lit(float(v)) for v in p]) for p in palette])
+
+    def nearest(p, cs):
+        d = F.transform(cs, lambda c: F.round((p.r - c.r) * (p.r - c.r) + (p.g - c.g) * (p.g - c.g) + (p.b - c.b) * (p.b - c.b), 6))
+        return F.array_position(d, F.array_min(d))
+
+    def moved(cs, _):
+        owned = F.transform("colors", lambda p: F.struct(p.r.alias("r"), p.g.alias("g"), p.b.alias("b"), p.n.alias("n"), nearest(p, cs).alias("k")))
+
+        def means(c, i):
+            zero = F.struct(*[F.lit(0).cast("long").alias(v) for v in ("n", "r", "g", "b")])
+            add = lambda a, p: F.struct((a.n + p.n).alias("n"), *[(a[v] + p.n * p[v]).alias(v) for v in "rgb"])
+            mean = lambda s: F.when(s.n > 0, centre([F.round(s[v] / s.n, 6) for v in "rgb"])).otherwise(c)
+            return F.aggregate(F.filter(F.col("owned"), lambda p: p.k == i + 1), zero, add, mean)
+
+        return owned, means
+
+    per = px.groupBy("figure_id", "r", "g", "b").agg(F.count(F.lit(1)).alias("n")).groupBy("figure_id").agg(F.collect_list(F.struct("r", "g", "b", "n")).alias("colors")).withColumn("cs", first)
+    for _ in range(rounds - 1):
+        owned, means = moved(F.col("cs"), None)
+        per = per.withColumn("owned", owned).withColumn("cs", F.transform("cs", means)).drop("owned")
+    out = px.join(per.select("figure_id", "cs"), "figure_id")
+    return out.select(*KEYS, nearest(F.struct("r", "g", "b"), F.col("cs")).cast("int").alias("lbl")).withColumn("lbl", F.col("lbl") - 1)
 
 
 def map_to_common(palette: DataFrame, common: DataFrame) -> DataFrame:
@@ -102,7 +116,7 @@ def noise_regions(lb: DataFrame) -> DataFrame:
     s = region_stats(lb).join(lb.groupBy("figure_id").agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w")), "figure_id")
     bw, bh = F.col("x1") - F.col("x0") + 1, F.col("y1") - F.col("y0") + 1
     aspect = F.greatest(bw, bh) / F.least(bw, bh)
-    touches = (F.col("x0") < F.col("w") * 0.05) | (F.col("x1") >= F.col("w") * 0.95) | (F.col("y0") < F.col("h") * 0.05) | (F.col("y1") >= F.col("h") * 0.95)
+    touches = (F.col("x0") < F.col("w") * 0.05) | (F.col("x1") > F.col("w") * 0.95) | (F.col("y0") < F.col("h") * 0.05) | (F.col("y1") > F.col("h") * 0.95)
     kind = F.when((aspect > 8) & (F.col("fraction") < 0.15), "extreme_aspect").when(touches & ((aspect > 3) | (F.col("fraction") < 0.05)), "border_strip")
     return s.withColumn("noise", kind).where("noise is not null").select("figure_id", "lbl", F.round(aspect, 4).alias("aspect"), "fraction", "noise")
 
@@ -160,3 +174,9 @@ def close_boundaries(lb: DataFrame, palette: list[tuple[int, int, int]] = PALETT
     for i, j in near:
         hit = hit | ((F.least("lbl", "next") == i) & (F.greatest("lbl", "next") == j))
     return steps.where(hit).groupBy("figure_id", F.least("lbl", "next").alias("lo"), F.greatest("lbl", "next").alias("hi")).agg(F.count(F.lit(1)).alias("touching"))
+
+
+def disagreement(one: DataFrame, two: DataFrame) -> DataFrame:
+    """(figure_id, disagreement): the share of pixels whose two labels differ."""
+    b = one.select(*KEYS, "lbl").join(two.select(*KEYS, F.col("lbl").alias("other")), KEYS)
+    return b.groupBy("figure_id").agg(F.round(F.avg(F.when(F.col("lbl") != F.col("other"), 1.0).otherwise(0.0)), 6).alias("disagreement"))

@@ -85,12 +85,17 @@ def ambiguous(boxes: DataFrame, page_area: int = 700 * 500) -> DataFrame:
     return s.select("page_id", "n", (((F.col("n") == 1) & (F.col("conf") < 0.5)) | ((F.col("n") == 1) & (F.col("area") > 0.95 * page_area))).alias("ambiguous"))
 
 
-def background_type(px: DataFrame, patch: int = 8) -> DataFrame:
-    """Black, white or the nearer of them, from the corner patches' luma."""
-    p = with_shape(px)
-    corner = ((F.col("y") < patch) | (F.col("y") >= F.col("h") - patch)) & ((F.col("x") < patch) | (F.col("x") >= F.col("w") - patch))
-    m = p.where(corner).groupBy("figure_id").agg(F.round(F.avg(colors.gray(F.col("r"), F.col("g"), F.col("b"))), 6).alias("corner_mean"))
-    return m.withColumn("background", F.when(F.col("corner_mean") < 0.35, "black").when(F.col("corner_mean") > 0.65, "white").when(F.col("corner_mean") < 0.5, "black").otherwise("white"))
+def background_type(px: DataFrame, patch: int = 20) -> DataFrame:
+    """(figure_id, corner_mean, background, h, w): black, white or the nearer of them, from the corner patches' luma.
+
+    A patch is a quarter of the figure's height and width at most; where that is below five, white is assumed.
+    """
+    p = with_shape(px).withColumn("patch", F.least(F.lit(patch), F.floor(F.col("h") / 4), F.floor(F.col("w") / 4)))
+    corner = ((F.col("y") < F.col("patch")) | (F.col("y") >= F.col("h") - F.col("patch"))) & ((F.col("x") < F.col("patch")) | (F.col("x") >= F.col("w") - F.col("patch")))
+    luma = F.when(corner, colors.gray(F.col("r"), F.col("g"), F.col("b")))
+    m = p.groupBy("figure_id").agg(F.round(F.avg(luma), 6).alias("corner_mean"), F.first("patch").alias("patch"), F.first("h").alias("h"), F.first("w").alias("w"))
+    kind = F.when(F.col("patch") < 5, "white").when(F.col("corner_mean") < 0.35, "black").when(F.col("corner_mean") > 0.65, "white").when(F.col("corner_mean") < 0.5, "black").otherwise("white")
+    return m.select("figure_id", "corner_mean", kind.alias("background"), "h", "w")
 
 
 def merge_overlapping(boxes: DataFrame, threshold: float = 0.3) -> DataFrame:

@@ -13,6 +13,24 @@ dims as (select figure_id, max(y) + 1 as h, max(x) + 1 as w from px group by 1)"
 GRAY = "(r * 0.2125::double + g * 0.7154::double + b * 0.0721::double) / 255.0::double"
 LAYERS = "lb as (select figure_id, y, x, label as lbl, r, g, b from px)"
 
+SHEET = """panel as (select s_suppkey as k, s_suppkey // 4 as figure_id, s_suppkey % 4 as slot, s_suppkey % 2 * 100 + 4 + s_suppkey * 7 % 12 as x0, s_suppkey % 4 // 2 * 80 + 3 + s_suppkey * 5 % 10 as y0, 40 + s_suppkey * 13 % 50 as pw, 32 + s_suppkey * 11 % 40 as ph from supplier),
+shown as (select * from panel where not (figure_id % 5 = 1 and slot > 1 or figure_id % 5 = 2 and slot % 2 = 1)),
+canvas as (select figure_id, y, x from (select distinct figure_id from panel), range(0, 160) t(y), range(0, 200) u(x)),
+own as (select c.figure_id, y, x, min(k) as k from canvas c join shown s on c.figure_id = s.figure_id and x >= x0 and x < x0 + pw and y >= y0 and y < y0 + ph where c.figure_id % 5 <> 3 or x % 2 = 0 and y % 2 = 0 group by 1, 2, 3),
+px as (select figure_id, y, x, coalesce(k * 53 % 200 + y * 3 % 40, back) as r, coalesce(k * 97 % 200 + y * 3 % 40, back) as g, coalesce(k * 151 % 200 + y * 3 % 40, back) as b from (select *, case when figure_id % 5 = 4 then 0 else 255 end as back from canvas left join own using (figure_id, y, x)))"""
+CORNERS = "corners as (select figure_id, round(avg((r * 0.2125::double + g * 0.7154::double + b * 0.0721::double) / 255.0::double), 6) as m from px where (y < 20 or y >= 140) and (x < 20 or x >= 180) group by 1), kinds as (select figure_id, m as corner_mean, case when m < 0.5 then 'black' else 'white' end as background from corners)"
+
+
+def _content(white: str, dark: str) -> str:
+    return f"content as (select figure_id, y, x, case when background = 'black' then v > {dark} else v < {white} end as on_ from (select *, (r * 0.2125::double + g * 0.7154::double + b * 0.0721::double) / 255.0::double as v from px) join kinds using (figure_id))"
+
+
+def _gaps(ratio: str) -> str:
+    """Projections of both axes, their gaps of five or more, and the stretches of ten or more between them."""
+    return f"""lines as (select figure_id, 'x' as axis, x as pos, count(*) filter (on_) as n, 160 * {ratio} as most from content group by all union all select figure_id, 'y', y, count(*) filter (on_), 200 * {ratio} from content group by all),
+gap as (select figure_id, axis, min(pos) as lo, max(pos) + 1 as hi from (select *, pos - row_number() over (partition by figure_id, axis order by pos) as island from lines where n < most) group by figure_id, axis, island having count(*) >= 5),
+stretch as (select figure_id, axis, prev as lo, lo as hi from (select *, coalesce(lag(hi) over (partition by figure_id, axis order by lo, hi), 0) as prev from (select * from gap union all select distinct figure_id, axis, case axis when 'x' then 200 else 160 end, case axis when 'x' then 200 else 160 end from lines)) where lo - prev >= 10)"""
+
 
 def _sobel(value: str) -> str:
     near = lambda c, w: f"coalesce(lag({c}) over {w}, {c}), coalesce(lead({c}) over {w}, {c})"
@@ -92,6 +110,22 @@ def _kmeans(rounds: int) -> str:
 HUE = "case when mx = mn then 0.0 when mx = r then ((((g - b) / (mx - mn)) % 6.0) + 6.0) % 6.0 when mx = g then (b - r) / (mx - mn) + 2.0 else (r - g) / (mx - mn) + 4.0 end / 6.0"
 MEDIANS = "pm as (select figure_id, lbl, median(r) as r, median(g) as g, median(b) as b from lb group by 1, 2)"
 
+COARSE = NEAR + ", lb as (select figure_id, y, x, lbl + 1 as lbl from near)"
+#: Bands over the sheets, the pairs of neighbouring layers, and the curve between their medians.
+BANDS = SHEET + ", lb as (select figure_id, y, x, cast(case when (y * 31 + x * 17 + figure_id * 7) % 97 = 0 then band % 4 + 1 else band end as int) as lbl from (select *, greatest(1, least(4, floor((y + 7 * sin(x / 13.0::double + figure_id)) / 40) + 1)) as band from canvas))"
+PAIRS = "pairs as (select * from (select figure_id, row_number() over (partition by figure_id order by med, lbl) - 1 as ord, lbl as top, lead(lbl) over (partition by figure_id order by med, lbl) as bottom from (select figure_id, lbl, median(y) as med from lb where lbl > 0 group by 1, 2)) where bottom is not null)"
+TOUCH = """near4 as (select *, lag(lbl) over (partition by figure_id, y order by x) as n1, lead(lbl) over (partition by figure_id, y order by x) as n2, lag(lbl) over (partition by figure_id, x order by y) as n3, lead(lbl) over (partition by figure_id, x order by y) as n4 from lb),
+touch as (select distinct figure_id, y, x, lbl, other from (select figure_id, y, x, lbl, unnest([n1, n2, n3, n4]) as other from near4) where other <> lbl)"""
+MIDDLES = "meds as (select figure_id, x, lbl, median(y) as m from lb group by 1, 2, 3), mids as (select p.figure_id, ord, top, bottom, a.x, (a.m + b.m) / 2 as yb from pairs p join meds a on a.figure_id = p.figure_id and a.lbl = top join meds b on b.figure_id = p.figure_id and b.lbl = bottom and b.x = a.x)"
+PLACES = "places as (select figure_id, ord, place, not bool_or(coalesce(close, false)) over (partition by figure_id) as ok from (select *, row_number() over (partition by figure_id order by med, ord) as place, lead(med) over (partition by figure_id order by med, ord) - med < 3 as close from (select figure_id, ord, median(yb) as med from mids group by 1, 2)))"
+ZONES = "zones as (select distinct p.figure_id, ord, t.y + dy as y, t.x + dx as x from touch t join pairs p on p.figure_id = t.figure_id and (p.top = lbl and p.bottom = other or p.top = other and p.bottom = lbl), range(-5, 6) u(dy), range(-5, 6) v(dx) where abs(dy) + abs(dx) <= 5)"
+DRAWN = """corner as (select figure_id, unnest([{'k': 0, 'x': 10 + figure_id % 20, 'y': 12}, {'k': 1, 'x': 150 + figure_id % 30, 'y': 5 + figure_id % 9}, {'k': 2, 'x': 120, 'y': 70}, {'k': 3, 'x': 185 - figure_id % 11, 'y': 150}, {'k': 4, 'x': 5 + figure_id % 7, 'y': 140 - figure_id % 13}], recursive := true) from (select distinct s_suppkey // 4 as figure_id from supplier)),
+side as (select c.figure_id, c.x, c.y, d.x as x1, d.y as y1 from corner c join corner d on c.figure_id = d.figure_id and d.k = (c.k + 1) % 5),
+crossing as (select figure_id, r as y, x + (r - y) * (x1 - x) / (y1 - y)::double as pos from side, range(0, 160) t(r) where y <> y1 and r >= least(y, y1) and r < greatest(y, y1)),
+span as (select distinct figure_id, y, lo, hi from (
+    select figure_id, y, ceil(pos - 1e-9) as lo, floor(upto + 1e-9) as hi from (select *, row_number() over w as n, lead(pos) over w as upto from crossing window w as (partition by figure_id, y order by pos)) where n % 2 = 1 and ceil(pos - 1e-9) <= floor(upto + 1e-9)
+    union all select figure_id, y, least(x, x1), greatest(x, x1) from side where y = y1 union all select figure_id, y, x, x from corner))"""
+
 ORACLE_SQL: dict[str, str] = {
     "px_saturation_ratio": _with("select * from f1", FEATURES),
     "px_is_grayscale": _with("select figure_id, round(avg(greatest(r, g, b) - least(r, g, b)), 6) as mean_saturation, avg(greatest(r, g, b) - least(r, g, b)) < 15.0 as is_grayscale from px group by 1", PX),
@@ -125,7 +159,7 @@ ORACLE_SQL: dict[str, str] = {
     "lb_palette_median": _with("select figure_id, lbl, r, g, b, 'region_' || (row_number() over (partition by figure_id order by lbl) - 1) as name from pm", PX, LAYERS, MEDIANS),
     "palette_names_by_hue": _with(f"select figure_id, lbl, hue, case when k <= 6 then {HUE_NAMES!r}[least(k, 6)] else 'c' || (k - 1) end as name from (select *, row_number() over (partition by figure_id order by hue, lbl) as k from (select figure_id, lbl, round({HUE}, 6) as hue from (select *, greatest(r, g, b) as mx, least(r, g, b) as mn from pm)))", PX, LAYERS, MEDIANS),
     "lb_broken_pairs": _with("select p.figure_id, top, bot, t.lo is null as broken from (select figure_id, lbl as top, lead(lbl) over (partition by figure_id order by med, lbl) as bot from (select figure_id, lbl, median(y) as med from lb where lbl <> 0 group by 1, 2)) p left join (select distinct figure_id, least(lbl, nx) as lo, greatest(lbl, nx) as hi from (select figure_id, lbl, nx from steps union all select figure_id, lbl, ny from steps) where nx <> lbl) t on p.figure_id = t.figure_id and least(top, bot) = t.lo and greatest(top, bot) = t.hi where bot is not null", PX, LAYERS, STEPS),
-    "lb_noise_regions": _with("select figure_id, lbl, round(aspect, 4) as aspect, fraction, noise from (select *, case when aspect > 8 and fraction < 0.15 then 'extreme_aspect' when (x0 < w * 0.05::double or x1 >= w * 0.95::double or y0 < h * 0.05::double or y1 >= h * 0.95::double) and (aspect > 3 or fraction < 0.05) then 'border_strip' end as noise from (select *, greatest(x1 - x0 + 1, y1 - y0 + 1) / least(x1 - x0 + 1, y1 - y0 + 1) as aspect from (select figure_id, lbl, round(count(*) / any_value(n), 4) as fraction, min(x) as x0, min(y) as y0, max(x) as x1, max(y) as y1 from lb join (select figure_id, count(*) as n from lb group by 1) using (figure_id) where lbl <> 0 group by 1, 2) join dims using (figure_id))) where noise is not null", PX, LAYERS),
+    "lb_noise_regions": _with("select figure_id, lbl, round(aspect, 4) as aspect, fraction, noise from (select *, case when aspect > 8 and fraction < 0.15 then 'extreme_aspect' when (x0 < w * 0.05::double or x1 > w * 0.95::double or y0 < h * 0.05::double or y1 > h * 0.95::double) and (aspect > 3 or fraction < 0.05) then 'border_strip' end as noise from (select *, greatest(x1 - x0 + 1, y1 - y0 + 1) / least(x1 - x0 + 1, y1 - y0 + 1) as aspect from (select figure_id, lbl, round(count(*) / any_value(n), 4) as fraction, min(x) as x0, min(y) as y0, max(x) as x1, max(y) as y1 from lb join (select figure_id, count(*) as n from lb group by 1) using (figure_id) where lbl <> 0 group by 1, 2) join dims using (figure_id))) where noise is not null", PX, LAYERS),
     "lb_close_boundaries": _with("select figure_id, least(lbl, next) as lo, greatest(lbl, next) as hi, count(*) as touching from (select figure_id, lbl, nx as next from steps union all select figure_id, lbl, ny from steps) s join (select p.k as i, q.k as j from pal p join pal q on q.k = p.k + 1 where sqrt((p.pr - q.pr) * (p.pr - q.pr) + (p.pg - q.pg) * (p.pg - q.pg) + (p.pb - q.pb) * (p.pb - q.pb)) < 130) c on least(lbl, next) = i and greatest(lbl, next) = j group by 1, 2, 3", PX, NEAR, "lb as (select * from near)", STEPS),
     "panel_candidates": _with("select figure_id, row_number() over (partition by figure_id order by lo) - 1 as panel_id, lo as x, y0 as y, hi - lo as w, y1 - y0 as h, area_ratio from (select e.*, round((hi - lo) * (y1 - y0) / (h * w), 5) as area_ratio from (select figure_id, lo, hi, min(y) as y0, max(y) + 1 as y1 from (select px.figure_id, lo, hi, y, count(*) as n from px join wide on px.figure_id = wide.figure_id and x >= lo and x < hi where (r + g + b) / 3.0 < 150 group by 1, 2, 3, 4) where n > 0.1::double * (hi - lo) group by 1, 2, 3) e join dims using (figure_id)) where area_ratio between 0.02 and 0.95", PX, DARK, WIDE),
     "panel_gap_runs": _with("select * from gaps", PX, DARK, GAPS),
@@ -172,5 +206,81 @@ ORACLE_SQL: dict[str, str] = {
     "review_parse": "select event_id, case when problem is null then kind end as kind, case when problem is null then confidence end as confidence, problem from (select event_id, event_type as kind, (event_id * 13 % 100) / 100.0::double as confidence, case when event_id % 7 = 0 or event_id % 11 = 0 or event_type is null then 'schema' when (event_id * 13 % 100) / 100.0::double < 0.7 then 'confidence' end as problem from events)",
     "review_overview": "select page_id, case when n = 0 then 'no_panels_detected' end as warning, score, n = 0 as can_auto_fix, case when score >= 0.7 then 'continue' else 'manual_intervention' end as suggested_action from (select p_partkey // 8 as page_id, count(*) filter ((p_partkey * 7 % 100) / 100.0::double > 0.8) as n, max((p_partkey * 7 % 100) / 100.0::double) as score from part group by 1)",
     "sess_json": _with("select session_id, figure_id, status, score, ord from last_", LAST),
-    "fig_gate": _with("select figure_id, case when reason is null then 'ready' else 'skipped' end as status, reason from (select figure_id, case when w < 32 or h < 60 then printf('too_small_for_auto_segmentation (%dx%d < 32x60)', w, h) when k % 3 = 2 then null when k % 5 = 1 then 'vlm_recommended_skip: ' || kind when k % 5 = 2 then 'vlm_recommended_manual_review: ' || kind when k % 5 <> 3 and kind = 'photo' then 'vlm_rejected: ' || kind end as reason from (select *, figure_id // 64 as k, case when (figure_id // 64) % 4 = 0 then 'velocity_model' else 'photo' end as kind from dims))", PX),
+    "fig_gate": _with("select figure_id, case when reason is null then 'ready' else 'skipped' end as status, reason from (select figure_id, case when w < 32 or h < 60 then printf('too_small_for_auto_segmentation (%dx%d < 32x60)', w, h) when k % 3 = 2 then case when k % 9 < 3 then 'figure_type=observational' when k % 9 > 5 then 'figure_type=other' end when k % 5 = 1 then 'vlm_recommended_skip: ' || kind when k % 5 = 2 then 'vlm_recommended_manual_review: ' || kind when k % 5 <> 3 and kind = 'photo' then 'vlm_rejected: ' || kind end as reason from (select *, figure_id // 64 as k, case when (figure_id // 64) % 4 = 0 then 'velocity_model' else 'photo' end as kind from dims))", PX),
+    "panel_sheet_background": _with("select figure_id, corner_mean, background, 160 as h, 200 as w from kinds", SHEET, CORNERS),
+    "panel_gap_stretches": _with("select figure_id, axis, lo, hi from stretch", SHEET, CORNERS, _content("0.94::double", "0.06::double"), _gaps("0.15::double")),
+    "panel_gap_split": _with(
+        """select figure_id, x, y, w, h, n from (
+            select v.figure_id, v.lo as x, u.lo as y, v.hi - v.lo as w, u.hi - u.lo as h, (select count(*) from content c where on_ and c.figure_id = v.figure_id and x >= v.lo and x < v.hi and y >= u.lo and y < u.hi) as n
+            from stretch v join stretch u on v.figure_id = u.figure_id and v.axis = 'x' and u.axis = 'y' join many on many.figure_id = v.figure_id where nv > 1 and nh > 1 and v.hi - v.lo >= 50 and u.hi - u.lo >= 30
+            union all select figure_id, case axis when 'x' then lo else a end, case axis when 'x' then a else lo end, case axis when 'x' then hi - lo else b - a end, case axis when 'x' then b - a else hi - lo end, n
+            from (select figure_id, axis, lo, hi, a, b, sum(line) filter (pos >= a and pos < b) as n from (select *, min(pos) filter (line > (hi - lo) * 0.05) over w as a, max(pos) filter (line > (hi - lo) * 0.05) over w + 1 as b from crossed window w as (partition by figure_id, axis, lo)) group by all)
+        ) where n between 100 and 30400""",
+        SHEET, CORNERS, _content("0.94::double", "0.06::double"), _gaps("0.15::double"),
+        "many as (select figure_id, count(*) filter (axis = 'x') as nv, count(*) filter (axis = 'y') as nh from stretch group by 1)",
+        "crossed as (select s.figure_id, axis, lo, hi, case axis when 'x' then y else x end as pos, count(*) as line from stretch s join many using (figure_id) join content c on c.figure_id = s.figure_id and on_ and case axis when 'x' then x else y end >= lo and case axis when 'x' then x else y end < hi where axis = 'x' and nv > 1 and nh <= 1 and hi - lo >= 50 or axis = 'y' and nh > 1 and nv <= 1 and hi - lo >= 30 group by all)",
+    ),
+    "panel_gutters": _with(
+        """select figure_id, x, y, w, h, round(0.6::double + 0.3::double * least(density, 1), 2) as confidence from (select *, n / (w * h) as density from (
+            select v.figure_id, v.lo as x, u.lo as y, v.hi - v.lo as w, u.hi - u.lo as h, (select count(*) from content c where on_ and c.figure_id = v.figure_id and x >= v.lo and x < v.hi and y >= u.lo and y < u.hi) as n
+            from cell v join cell u on v.figure_id = u.figure_id and v.axis = 'x' and u.axis = 'y' where v.figure_id in (select figure_id from gap)) where w * h >= 320 and h / w between 0.3 and 3) where density >= 0.15::double""",
+        SHEET, "content as (select figure_id, y, x, (r + g + b) / 3.0::double < 245 as on_ from px)", _gaps("0.01::double"),
+        "cell as (select * from (select figure_id, axis, pos as lo, lead(pos) over (partition by figure_id, axis order by pos) as hi from (select figure_id, axis, hi as pos from gap union all select distinct figure_id, axis, unnest([0, case axis when 'x' then 200 else 160 end]) from lines)) where hi > lo)",
+    ),
+    "panel_layout": "with recursive box as (select p_partkey // 8 as f, p_partkey as k, p_partkey * 37 % 400 as x, p_partkey * 53 % 300 as y, p_size * 6 + 20 as w, p_size * 4 + 20 as h from part),"
+    """
+c as (select *, x + w / 2 as cx, y + h / 2 as cy from box),
+per as (select f, count(*) as n, median(w * h) as median, min(cx) as xlo, max(cx) as xhi, min(cy) as ylo, max(cy) as yhi, greatest(2, count(*) // 2) as bins from c group by f),
+s as (select f, n, median, bins, case when xlo = xhi then xlo - 0.5 else xlo end as xlo, ((case when xlo = xhi then xhi + 0.5 else xhi end) - (case when xlo = xhi then xlo - 0.5 else xlo end)) / bins as xs,
+    case when ylo = yhi then ylo - 0.5 else ylo end as ylo, ((case when ylo = yhi then yhi + 0.5 else yhi end) - (case when ylo = yhi then ylo - 0.5 else ylo end)) / bins as ys from per),
+b as (select *, least(floor((cx - xlo) / xs), bins - 1) as bx, least(floor((cy - ylo) / ys), bins - 1) as by_ from c join s using (f)),
+u as (select f, list_sort(list(distinct bx)) as ux, list_sort(list(distinct by_)) as uy from b group by f),
+d as (select *, list_transform(ux, lambda i: abs(cx - ((xlo + i * xs) + (xlo + (i + 1) * xs)) / 2)) as dx, list_transform(uy, lambda i: abs(cy - ((ylo + i * ys) + (ylo + (i + 1) * ys)) / 2)) as dy,
+    n > 1 and len(ux) * len(uy) >= n * 0.5 and len(ux) * len(uy) <= n * 2 as grid from b join u using (f)),
+g as (select f, k, median, case when grid then list_position(dx, list_min(dx)) else -k end as gx, case when grid then list_position(dy, list_min(dy)) else 0 end as gy, x as x0, y as y0, x + w as x1, y + h as y1 from d),
+r as (select *, row_number() over (partition by f, gx, gy order by -(x1 - x0) * (y1 - y0), k) as i, count(*) over (partition by f, gx, gy) as m from g),
+fold as (select f, gx, gy, i, m, x0, y0, x1, y1, null::struct(x bigint, y bigint, w bigint, h bigint) as out from r where i = 1
+    union all select f, gx, gy, i, m, case when j then least(a0, x0) else a0 end, case when j then least(b0, y0) else b0 end, case when j then greatest(a1, x1) else a1 end, case when j then greatest(b1, y1) else b1 end,
+        case when not j then {'x': x0, 'y': y0, 'w': x1 - x0, 'h': y1 - y0} end
+    from (select *, (x1 - x0) * (y1 - y0) >= median * 0.2 and ((greatest(0, ox) >= least(a1 - a0, x1 - x0) * 0.5 and greatest(0, -oy) < least(b1 - b0, y1 - y0) * 0.3) or (greatest(0, oy) >= least(b1 - b0, y1 - y0) * 0.5 and greatest(0, -ox) < least(a1 - a0, x1 - x0) * 0.3)) as j
+        from (select r.*, q.x0 as a0, q.y0 as b0, q.x1 as a1, q.y1 as b1, least(q.x1, r.x1) - greatest(q.x0, r.x0) as ox, least(q.y1, r.y1) - greatest(q.y0, r.y0) as oy from fold q join r on r.f = q.f and r.gx = q.gx and r.gy = q.gy and r.i = q.i + 1)))
+select f as page_id, x0 as x, y0 as y, x1 - x0 as w, y1 - y0 as h from fold where i = m union all select f, out.x, out.y, out.w, out.h from fold where out is not null""",
+    "hz_pairs": _with("select * from pairs", PX, COARSE, PAIRS),
+    "hz_contacts": _with("select p.*, (select count(*) from touch t where t.figure_id = p.figure_id and lbl = top and other = bottom) as contact from pairs p", PX, COARSE, PAIRS, TOUCH),
+    "hz_zones": _with("select figure_id, ord, count(*) as n, sum(y) as ys from zones group by 1, 2", PX, COARSE, PAIRS, TOUCH, ZONES),
+    "hz_separated": _with("select figure_id, ord, place, ok from places", BANDS, PAIRS, MIDDLES, PLACES),
+    "hz_every_column": _with(
+        "select figure_id, ord, x, coalesce(list_median(list_concat(list_concat(near, case when a is not null and x < 5 then list_transform(range(0, 5 - x), lambda i: a) else [] end), case when b is not null and x > 194 then list_transform(range(0, x - 194), lambda i: b) else [] end)), 80) as yb from (select *, list(yb) filter (yb is not null) over (partition by figure_id, ord order by x rows between 5 preceding and 5 following) as near, first_value(yb) over (partition by figure_id, ord order by x) as a, last_value(yb) over (partition by figure_id, ord order by x rows between unbounded preceding and unbounded following) as b from (select figure_id, ord, x from (select distinct figure_id, ord from known), range(0, 200) t(x)) left join known using (figure_id, ord, x))".replace("list_median(", "list_aggregate(").replace(" else [] end)), 80)", " else [] end), 'median'), 80)"),
+        BANDS, PAIRS, MIDDLES, "known as (select figure_id, ord, x, yb from mids where x % 7 <> 3 and x > 4)",
+    ),
+    "hz_adjusted": """with recursive """ + ", ".join([BANDS, PAIRS, TOUCH, MIDDLES, PLACES, ZONES]) + """,
+z as (select z.figure_id, z.y, z.x, p.top, p.bottom, z.y <= greatest(0, least(159, round_even(m.yb, 0))) as above, row_number() over (partition by z.figure_id, z.y, z.x order by place) as i from zones z join mids m on m.figure_id = z.figure_id and m.ord = z.ord and m.x = z.x join pairs p on p.figure_id = z.figure_id and p.ord = z.ord join places q on q.figure_id = z.figure_id and q.ord = z.ord),
+step as (select figure_id, y, x, lbl, 0 as i from lb union all select s.figure_id, s.y, s.x, case when s.lbl in (top, bottom) then case when above then top else bottom end else s.lbl end, z.i from step s join z on z.figure_id = s.figure_id and z.y = s.y and z.x = s.x and z.i = s.i + 1)
+select figure_id, lbl, count(*) as n from (select figure_id, y, x, arg_max(lbl, i) as lbl from step group by 1, 2, 3) group by 1, 2""",
+    "lb_edges": _with("select figure_id, lbl, count(*) as sides, sum(a) as twice_area from (select figure_id, lbl, unnest([case when n3 is distinct from lbl then -y end, case when n2 is distinct from lbl then x + 1 end, case when n4 is distinct from lbl then y + 1 end, case when n1 is distinct from lbl then -x end]) as a from near4) where a is not null group by 1, 2", PX, COARSE, TOUCH),
+    "lb_ring_areas": _with("select figure_id, lbl, count(*) as area from lb group by 1, 2", PX, COARSE),
+    "hz_local_lines": """
+        with n as (select user_id, event_id, value, list({'d': abs(o - event_id), 'dx': (o - event_id)::double, 'v': v}) as near from (select e.user_id, e.event_id, e.value, f.event_id as o, f.value as v from (select *, row_number() over (partition by user_id order by event_id) as i from events) e join (select *, row_number() over (partition by user_id order by event_id) as i from events) f on e.user_id = f.user_id and f.i between e.i - 8 and e.i + 8) group by all),
+        p as (select user_id, event_id, list_sort(near)[1 : 9] as near from n),
+        w as (select user_id, event_id, unnest(near) as q, near[-1].d as radius from p),
+        s as (select user_id, event_id, sum(w) as sw, sum(w * dx) as sx, sum(w * v) as sv, sum(w * dx * dx) as sxx, sum(w * dx * v) as sxv from (select user_id, event_id, q.dx as dx, q.v as v, case when radius > 0 then power(1 - power(q.d / radius::double, 3), 3) else 1 end as w from w) group by all)
+        select user_id, event_id, round(case when sw * sxx - sx * sx > 1e-9 then (sxx * sv - sx * sxv) / (sw * sxx - sx * sx) else sv / sw end, 4) as smooth from s""",
+    "poly_spans": _with("select figure_id, y, lo::int as lo, hi::int as hi from span", DRAWN),
+    "poly_mask": _with(
+        "select figure_id, lbl, count(*) as n from (select figure_id, case when lbl = 0 then 0 else dense_rank() over (partition by figure_id, lbl > 0 order by lbl) end as lbl from (select l.figure_id, case when exists (select 1 from span s where s.figure_id = l.figure_id and s.y = l.y and l.x between lo and hi) then lbl else 0 end as lbl from lb l)) group by 1, 2",
+        SHEET, DRAWN, "lb as (select figure_id, y, x, case when r + g + b > 0 and not (r = 255 and g = 255) then least(3, floor((y + 6 * sin(x / 9.0::double) + figure_id % 4 * 5) / 55) + 1) else 0 end::int as lbl from px)",
+    ),
+    "lb_disagreement": _with("select figure_id, round(avg(case when near.lbl <> px.r // 43 then 1.0 else 0.0 end), 6) as disagreement from near join px using (figure_id, y, x) group by 1", PX, NEAR),
+    "fig_complexity_best_panel": "",
+    "colorbar_value_sample": "",
 }
+
+# Built on other queries' SQL.
+ORACLE_SQL["fig_complexity_best_panel"] = f"select figure_id // 256 as group_id, arg_max(figure_id, (complexity, -figure_id)) as figure_id, max(complexity) as complexity from ({ORACLE_SQL['fig_complexity']}) group by 1"
+ORACLE_SQL["colorbar_value_sample"] = f"""
+    with bar as ({ORACLE_SQL["colorbar_bbox"]}), {PX},
+    b as (select figure_id, strip, h, w, greatest(4, least(h, w) // 10) as s from bar join dims using (figure_id) where strip <> 'none'),
+    f as (select *, case when strip in ('left', 'right') then h else s end as bh, case when strip in ('left', 'right') then s else w end as bw, case strip when 'bottom' then h - s else 0 end as oy, case strip when 'right' then w - s else 0 end as ox from b),
+    z as (select figure_id, color_name, (figure_id + k * 37) % 111 as value from (select distinct figure_id from b), (values (0, 'red'), (1, 'yellow'), (2, 'green'), (3, 'blue')) t(k, color_name)),
+    a as (select f.*, color_name, value, floor((0.05::double + greatest(0, least(100, value)) / 100.0::double * 0.9::double) * (greatest(bh, bw) - 1))::int as pos from f join z using (figure_id))
+    select px.figure_id, color_name, value::int as value, pos as "at", r, g, b from a join px on px.figure_id = a.figure_id and px.y = oy + case when bh >= bw then pos else bh // 2 end and px.x = ox + case when bh >= bw then bw // 2 else pos end"""

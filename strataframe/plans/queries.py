@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strataframe.operators import engines, features, flow, horizon, labels, memory, panels, properties, reviews, sessions
+from strataframe.operators import detection, engines, features, flow, horizon, labels, memory, panels, properties, refinement, representatives, reviews, sessions, shapes
 from strataframe.sources import documents, tables
 from strataframe.sources.tables import table
 
@@ -46,8 +46,8 @@ for _name, _f in {
     "px_gradient_uniformity": features.gradient_uniformity,
     "px_striation": features.striation,
     "px_text_density": features.text_density,
-    "fig_quality_check": features.quality_check,
-    "fig_quality_split": lambda px: features.quality_check(px).groupBy("ok", "reason").agg(F.count(F.lit(1)).alias("n")),
+    "fig_quality_check": lambda px: features.quality_check(px, min_size=40),
+    "fig_quality_split": lambda px: features.quality_check(px, min_size=40).groupBy("ok", "reason").agg(F.count(F.lit(1)).alias("n")),
     "fig_classify": lambda px: features.classify(features.feature_row(px)),
     "fig_complexity": lambda px: features.complexity(features.feature_row(px)),
     "route_engine": lambda px: features.route(features.feature_row(px), features.panel_hash(px)),
@@ -62,7 +62,7 @@ for _name, _f in {
     "panel_gap_runs": panels.gap_runs,
     "panel_gutter_cells": panels.gutter_cells,
     "panel_candidates": panels.candidates,
-    "panel_background_type": panels.background_type,
+    "panel_background_type": lambda px: panels.background_type(px, patch=8).drop("h", "w"),
 }.items():
     of_pixels(_name, _f)
 
@@ -293,7 +293,7 @@ of_pixels("lb_fragmentation", lambda px: engines.fragmentation(engines.parts(lab
 of_pixels("lb_fill_holes", lambda px: count_labels(engines.fill_holes(labels.nearest_palette(px))))
 of_pixels("lb_remove_small", lambda px: count_labels(engines.remove_small(labels.nearest_palette(px))))
 of_pixels("lb_polygons", lambda px: engines.polygons(labels.nearest_palette(px)))
-of_labels("hz_label_blur", lambda lb: count_labels(engines.label_blur(lb)))
+of_labels("hz_label_blur", lambda lb: count_labels(engines.label_blur(lb, 3.0)))
 of_pixels("fig_color_groups", engines.color_groups)
 of_labels("hz_savgol", lambda lb: engines.smooth_boundary(horizon.dense_boundary(top_pair(lb), 1, 2)))
 
@@ -349,11 +349,30 @@ def panel_merge_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panels.merge_overlapping(tables.boxes(spark, sf_dir), threshold=0.1)
 
 
+for _name, _f in {
+    "panel_detect": detection.detect,
+    "panel_detect_page": detection.detect_page,
+    "panel_gap_split": lambda px: detection.gap_split(detection.mask(px, 0.94, 0.06)).drop("k"),
+    "panel_gutters": lambda px: detection.gutter_panels(detection.page_mask(px)).drop("k"),
+    "panel_gap_stretches": lambda px: detection.between(detection.mask(px), 0.15).select("figure_id", "axis", F.explode("stretches").alias("s")).select("figure_id", "axis", "s.lo", "s.hi"),
+    "panel_sheet_background": lambda px: panels.background_type(px),
+}.items():
+    QUERIES[_name] = lambda spark, sf_dir, f=_f: f(tables.sheets(spark, sf_dir))
+
+
+@query
+def panel_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of a page arranged into panels."""
+    b = tables.boxes(spark, sf_dir).select(F.col("page_id").alias("figure_id"), F.col("box_id").alias("k"), "x", "y", "w", "h")
+    return detection.cluster_layout(b).drop("k").withColumnRenamed("figure_id", "page_id")
+
+
 @query
 def fig_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     px = tables.pixels(spark, sf_dir)
     sizes = px.groupBy("figure_id").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
-    return flow.gate(sizes.withColumn("figure_type", F.lit("conceptual")), figure_reviews(sizes), min_w=32, min_h=60)
+    kinds = F.element_at(F.array(*map(F.lit, ("observational", "conceptual", "other"))), (F.expr("figure_id div 64") % 9 / 3 + 1).cast("int"))
+    return flow.gate(sizes.withColumn("figure_type", kinds), figure_reviews(sizes), min_w=32, min_h=60)
 
 
 def figure_reviews(figures: DataFrame) -> DataFrame:
@@ -371,3 +390,137 @@ def fig_process(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 of_labels("lb_metrics", flow.metrics)
+
+
+# ---- horizons of all neighbouring layers
+
+
+def coarse_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels from 1 by the nearest palette colour, as an engine gives them: with fragments."""
+    return labels.nearest_palette(tables.pixels(spark, sf_dir)).select("figure_id", "y", "x", (F.col("lbl") + 1).alias("lbl"))
+
+
+def sheet_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of the sheets: 1 to 3 in bands whose borders swing, 0 outside of panels."""
+    px = tables.sheets(spark, sf_dir)
+    swing = F.col("y") + 6 * F.sin(F.col("x") / 9.0) + (F.col("figure_id") % 4) * 5
+    on = (F.col("r") + F.col("g") + F.col("b") > 0) & ~((F.col("r") == 255) & (F.col("g") == 255))
+    return px.select("figure_id", "y", "x", F.when(on, F.least(F.lit(3), F.floor(swing / 55).cast("int") + 1)).otherwise(0).cast("int").alias("lbl"))
+
+
+def bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole figures of four bands with swinging borders and lost pixels, one figure a sheet."""
+    px = tables.sheets(spark, sf_dir)
+    swing = F.col("y") + 7 * F.sin(F.col("x") / 13.0 + F.col("figure_id"))
+    lost = (F.col("y") * 31 + F.col("x") * 17 + F.col("figure_id") * 7) % 97 == 0
+    band = F.greatest(F.lit(1), F.least(F.lit(4), F.floor(swing / 40).cast("int") + 1))
+    return px.select("figure_id", "y", "x", F.when(lost, band % 4 + 1).otherwise(band).cast("int").alias("lbl"))
+
+
+for _name, _f in {
+    "hz_pairs": refinement.neighbour_pairs,
+    "hz_contacts": lambda lb: refinement.contacts(lb, refinement.neighbour_pairs(lb)),
+    "hz_zones": lambda lb: refinement.zones(lb, refinement.neighbour_pairs(lb)).groupBy("figure_id", "ord").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("ys")),
+    "lb_edges": lambda lb: shapes.edges(lb).groupBy("figure_id", "lbl").agg(F.count(F.lit(1)).alias("sides"), F.sum(F.expr("x0 * y1 - x1 * y0")).alias("twice_area")),
+    "lb_ring_areas": lambda lb: shapes.rings(lb).groupBy("figure_id", "lbl").agg(F.sum("area").cast("long").alias("area")),
+    "lb_polygons_holes": lambda lb: shapes.polygons(lb, least=50, tolerance=1.0, hole=5),
+    "lb_components_large": shapes.components,
+}.items():
+    QUERIES[_name] = lambda spark, sf_dir, f=_f: f(coarse_layers(spark, sf_dir))
+
+for _name, _f in {
+    "hz_crossings": lambda lb: refinement.crossings(lb, refinement.neighbour_pairs(lb)).withColumn("yb", F.round("yb", 4)),
+    "hz_refine": lambda lb: refinement.refine(lb)[1],
+    "hz_refine_bspline": lambda lb: count_labels(refinement.refine(lb, "bspline", 0.3)[0]),
+    "hz_refine_knots": lambda lb: count_labels(refinement.refine(lb, "knot_constrained", 0.15)[0]),
+    "hz_refine_loess": lambda lb: count_labels(refinement.refine(lb, "loess", 1.0)[0]),
+    "hz_refine_quintic": lambda lb: count_labels(refinement.refine(lb, "quintic", 1e-4)[0]),
+    "hz_every_column": lambda lb: refinement.every_column(middles(lb).where("x % 7 <> 3 and x > 4"), sheet_size(lb)),
+    "hz_separated": lambda lb: refinement.separated(middles(lb), sheet_size(lb)),
+    "hz_adjusted": lambda lb: count_labels(refinement.adjusted(lb, refinement.neighbour_pairs(lb), middles(lb), refinement.separated(middles(lb), sheet_size(lb)))),
+}.items():
+    QUERIES[_name] = lambda spark, sf_dir, f=_f: f(bands(spark, sf_dir))
+
+
+def sheet_size(lb: DataFrame) -> DataFrame:
+    return lb.groupBy("figure_id").agg((F.max("y") + 1).alias("rows"), (F.max("x") + 1).alias("cols"))
+
+
+def middles(lb: DataFrame) -> DataFrame:
+    """(figure_id, ord, x, yb) of all neighbouring layers: between the medians of both in each column."""
+    p = refinement.neighbour_pairs(lb)
+    med = lb.groupBy("figure_id", "x", "lbl").agg(F.median("y").alias("m"))
+    top = p.join(med.select("figure_id", F.col("lbl").alias("top"), "x", F.col("m").alias("a")), ["figure_id", "top"])
+    both = top.join(med.select("figure_id", F.col("lbl").alias("bottom"), "x", F.col("m").alias("b")), ["figure_id", "bottom", "x"])
+    return both.select("figure_id", "ord", "x", ((F.col("a") + F.col("b")) / 2).alias("yb"))
+
+
+@query
+def hz_local_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "value")
+    return refinement.local_lines(e, "user_id", "event_id", "value", 9)
+
+
+@query
+def poly_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels inside of a polygon that a user has drawn over each sheet."""
+    return count_labels(shapes.within(sheet_layers(spark, sf_dir), drawn(spark, sf_dir)))
+
+
+@query
+def poly_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shapes.spans(drawn(spark, sf_dir))
+
+
+def drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(figure_id, k, x, y): a polygon of five corners, not convex, for each sheet."""
+    f = F.col("figure_id")
+    points = [(10 + f % 20, F.lit(12)), (150 + f % 30, 5 + f % 9), (F.lit(120), F.lit(70)), (185 - f % 11, F.lit(150)), (5 + f % 7, 140 - f % 13)]
+    at = F.array(*[F.struct(F.lit(k).alias("k"), x.cast("int").alias("x"), y.cast("int").alias("y")) for k, (x, y) in enumerate(points)])
+    return table(spark, sf_dir, "supplier").select(F.expr("s_suppkey div 4").alias("figure_id")).distinct().select("figure_id", F.explode(at).alias("p")).select("figure_id", "p.*")
+
+
+# ---- representative points
+
+
+def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(figure_id, color_name, value): what a review says of a figure's colours, four values from 0 to 110."""
+    f = tables.figure_rows(spark, sf_dir).select("figure_id").distinct()
+    z = F.array(*[F.struct(F.lit(n).alias("color_name"), ((F.col("figure_id") + k * 37) % 111).cast("int").alias("value")) for k, n in enumerate(("red", "yellow", "green", "blue"))])
+    return f.select("figure_id", F.explode(z).alias("z")).select("figure_id", "z.*")
+
+
+@query
+def colorbar_value_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return representatives.at_values(representatives.bar_pixels(tables.pixels(spark, sf_dir)), zones(spark, sf_dir))
+
+
+@query
+def rep_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return representatives.of_zones(tables.pixels(spark, sf_dir), zones(spark, sf_dir))
+
+
+of_pixels("rep_scan", representatives.scan)
+
+
+@query
+def fig_missing_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Colour groups that a seed at each figure's corner misses."""
+    px = tables.pixels(spark, sf_dir)
+    return representatives.extended(engines.color_groups(px), px.where("x = 0 and y = 0"), most=4)
+
+
+# ---- disagreement and the most complex panel
+
+
+@query
+def lb_disagreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    px = tables.pixels(spark, sf_dir)
+    return labels.disagreement(labels.nearest_palette(px), px.select("figure_id", "y", "x", F.expr("r div 43").alias("lbl")))
+
+
+@query
+def fig_complexity_best_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the figures of a source group (four in a row), the most complex one."""
+    c = features.complexity(features.feature_row(tables.pixels(spark, sf_dir)))
+    return features.best_panel(c.withColumn("group_id", F.expr("figure_id div 256")), "group_id")

@@ -46,6 +46,36 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Rows and columns of a sheet.
+SHEET_H, SHEET_W = 160, 200
+
+
+def sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures of several panels (figure_id, y, x, r, g, b): four suppliers make a sheet, each a panel in its quarter.
+
+    By sheet modulo 5: a grid, a row, a column, a grid of separate dots, or a grid on black.
+    """
+    k = F.col("s_suppkey")
+    slot = k % 4
+    p = table(spark, sf_dir, "supplier").select(
+        F.expr("s_suppkey div 4").alias("figure_id"), k.alias("k"),
+        (slot % 2 * 100 + 4 + k * 7 % 12).cast("int").alias("x0"), (F.expr("s_suppkey % 4 div 2") * 80 + 3 + k * 5 % 10).cast("int").alias("y0"),
+        (40 + k * 13 % 50).cast("int").alias("w"), (32 + k * 11 % 40).cast("int").alias("h"), slot.alias("slot"),
+    )
+    form = F.col("figure_id") % 5
+    shown = ~(((form == 1) & (F.col("slot") > 1)) | ((form == 2) & (F.col("slot") % 2 == 1)))
+    s = p.groupBy("figure_id").agg(F.array_sort(F.collect_list(F.when(shown, F.struct("k", "x0", "y0", "w", "h")))).alias("panels"))
+    # A sheet is one short row until here, so a few tasks would hold them all.
+    s = s.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "figure_id")
+    s = s.select("figure_id", "panels", F.explode(F.sequence(F.lit(0), F.lit(SHEET_H - 1))).alias("y")).select("*", F.explode(F.sequence(F.lit(0), F.lit(SHEET_W - 1))).alias("x"))
+    hit = F.filter("panels", lambda q: (F.col("x") >= q.x0) & (F.col("x") < q.x0 + q.w) & (F.col("y") >= q.y0) & (F.col("y") < q.y0 + q.h))
+    own = F.get(F.transform(hit, lambda q: q.k), F.lit(0))
+    dot = (form != 3) | ((F.col("x") % 2 == 0) & (F.col("y") % 2 == 0))
+    back = F.when(form == 4, 0).otherwise(255)
+    channel = lambda m: F.when(own.isNotNull() & dot, own * m % 200 + F.col("y") * 3 % 40).otherwise(back).cast("int")
+    return s.select("figure_id", "y", "x", channel(53).alias("r"), channel(97).alias("g"), channel(151).alias("b"))
+
+
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The attempt log (ord, engine, outcome, saturation, edge_density, aspect, groups, alignment)."""
     e = table(spark, sf_dir, "events").select("event_id", "event_type", "value")

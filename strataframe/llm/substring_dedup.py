@@ -255,7 +255,10 @@ def repeated_runs(docs: DataFrame, width: int, work: Workspace) -> DataFrame:
                 yield from deal(s.words, ids[doc], marks[doc], base, first, count, key)
 
     def deal(words: list[bytes], doc: np.ndarray, mark: np.ndarray, base: np.ndarray, first: np.ndarray, count: np.ndarray, key: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Equal cuttings of a batch go as one, that of the smallest document; it covers the others whole."""
+        """Equal cuttings of a batch go as one, that of the smallest document; it covers the others whole.
+
+        A document that has a cutting often sends it once, with its places.
+        """
         ends = first + count + width - 1
         text = [b" ".join(words[a:b]) for a, b in zip(first.tolist(), ends.tolist(), strict=True)]
         number: dict[bytes, int] = {}
@@ -265,41 +268,50 @@ def repeated_runs(docs: DataFrame, width: int, work: Workspace) -> DataFrame:
         later = doc > least[same]
         rest = np.flatnonzero(~later)
         done = _runs(doc[later], mark[later], (base + first)[later], (base + ends)[later])
-        n, held = len(rest), len(done)
+        rest = rest[np.lexsort(((base + first)[rest], mark[rest], same[rest]))]
+        fresh = np.flatnonzero(np.r_[True, (same[rest[1:]] != same[rest[:-1]]) | (mark[rest[1:]] != mark[rest[:-1]]) | (doc[rest[1:]] != doc[rest[:-1]])][: len(rest)])
+        head, held = rest[fresh], len(done)
+        places = pa.ListArray.from_arrays(pa.array(np.r_[fresh, len(rest)].astype(np.int32)), pa.array((base + first)[rest]))
         columns = [
-            pa.concat_arrays([pa.array(key[rest].view(np.int64)), pa.nulls(held, pa.int64())]),
-            pa.concat_arrays([pa.array([text[k] for k in rest], pa.binary()), pa.nulls(held, pa.binary())]),
-            *(pa.concat_arrays([pa.array(x[rest]), y]) for x, y in zip((doc, mark, base + first, base + ends), done.columns, strict=True)),
+            pa.concat_arrays([pa.array(key[head].view(np.int64)), pa.nulls(held, pa.int64())]),
+            pa.concat_arrays([pa.array([text[k] for k in head], pa.binary()), pa.nulls(held, pa.binary())]),
+            pa.concat_arrays([places, pa.nulls(held, pa.list_(pa.int64()))]),
+            *(pa.concat_arrays([pa.array(x[head]), y]) for x, y in zip((doc, mark), done.columns, strict=False)),
+            *(pa.concat_arrays([pa.nulls(len(head), pa.int64()), y]) for y in done.columns[2:]),
         ]
-        if n + held:
-            yield pa.RecordBatch.from_arrays(columns, ["key", "words", "doc_id", "mark", "lo", "hi"])
+        if len(head) + held:
+            yield pa.RecordBatch.from_arrays(columns, ["key", "words", "places", "doc_id", "mark", "lo", "hi"])
 
     @leanly
     def covered(group: pa.Table) -> pa.Table:
         text = group.column("words").to_pylist()
-        doc, mark, lo, hi = (group.column(c).to_numpy() for c in ("doc_id", "mark", "lo", "hi"))
+        doc, mark = (group.column(c).to_numpy() for c in ("doc_id", "mark"))
+        places = group.column("places").combine_chunks()
+        lo, often = places.flatten().to_numpy(), places.value_lengths().to_numpy()
         number: dict[bytes, int] = {}
         same = np.fromiter((number.setdefault(t, len(number)) for t in text), np.int64, len(text))
+        size = np.fromiter((t.count(b" ") + 1 for t in number), np.int64, len(number))
         least = np.full(len(number), np.iinfo(np.int64).max)
         np.minimum.at(least, same, doc)
-        later = doc > least[same]
         seg, place, long = repeated_in(list(number), least, width)
+        doc, mark, same = (np.repeat(x, often) for x in (doc, mark, same))
+        later = doc > least[same]
         # Each row of a segment's smallest document loses the segment's repeated stretches.
         order = np.argsort(seg, kind="stable")
         seg, place, long = seg[order], place[order], long[order]
         own = np.flatnonzero(~later)
         a, b = (np.searchsorted(seg, same[own], side) for side in ("left", "right"))
         at, row = ragged(a, b - a), np.repeat(own, b - a)
-        out = [(doc[later], mark[later], lo[later], hi[later]), (doc[row], mark[row], lo[row] + place[at], lo[row] + place[at] + long[at])]
+        out = [(doc[later], mark[later], lo[later], lo[later] + size[same[later]]), (doc[row], mark[row], lo[row] + place[at], lo[row] + place[at] + long[at])]
         return pa.Table.from_batches([_runs(*(np.concatenate(x) for x in zip(*out, strict=True)))])
 
     joined = docs.join(marked, ["doc_id", "mark"]).select("doc_id", "mark", "text", "hashes", "hot")
-    cut = work.write(joined.mapInArrow(cuttings, f"key long, words binary, {_RUN}"), "cuttings")
+    cut = work.write(joined.mapInArrow(cuttings, f"key long, words binary, places array<long>, {_RUN}"), "cuttings")
     del joined, marked
     work.drop("marked")
-    total = cut.agg(F.coalesce(F.sum(F.octet_length("words") + 40), F.lit(0))).first()[0]
+    total = cut.agg(F.coalesce(F.sum(F.octet_length("words") + 40 + 8 * F.size("places")), F.lit(0))).first()[0]
     buckets = max(shuffle_parts(spark), int(total) // BUCKET + 1)
-    rest = cut.where("key is not null").withColumn("bucket", F.pmod("key", F.lit(buckets))).groupBy("bucket").applyInArrow(covered, _RUN)
+    rest = cut.where("key is not null").select(F.pmod("key", F.lit(buckets)).alias("bucket"), "words", "places", "doc_id", "mark").groupBy("bucket").applyInArrow(covered, _RUN)
     out = work.write(cut.where("key is null").select("doc_id", "mark", "lo", "hi").unionByName(rest), "runs")
     del cut, rest
     work.drop("cuttings")

@@ -18,6 +18,8 @@ from strataframe.llm.token_counts import RankMerger
 
 #: Words that a worker remembers with their ids.
 MEMO = 400_000
+#: Lengths up to which the configuration program is solved to a gap; beyond it is solved in a few phases.
+LENGTHS = 256
 #: The pre-tokens of this kind of vocabulary, in lower case, and the words that are split by it here.
 TOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
 STABLE = re.compile("[\x21-\x7e\u00c0-\u012f\u0131-\u0148\u014a-\u0188]*").fullmatch
@@ -109,6 +111,70 @@ def fractional(demand: np.ndarray, capacity: int, phases: int = 24, eager: float
     return out, bound
 
 
+def solved(demand: np.ndarray, capacity: int, gap: float = 0.001, rounds: int = 40, steps: int = 400) -> tuple[dict[tuple[int, ...], float], float, float]:
+    """Columns of the configuration program with their shares, their sum, and the bound that the dual gives.
+
+    The program as a game: columns against lengths, a column's gain with a length being the share of
+    it that it covers. Both sides' weights are multiplicative and each looks one step ahead at
+    the other's last change; the averages of a round are its answer. One knapsack a round prices
+    all columns by the lengths' weights, adds to the pool the best column that holds each length,
+    and bounds the program from below. It ends when the shares' sum is within ``gap`` of the bound.
+    A round costs the pool times the lengths, so this is for histograms of LENGTHS lengths at most.
+    """
+    lengths = np.flatnonzero(demand)
+    wanted, row = demand[lengths].astype(float), {int(n): k for k, n in enumerate(lengths)}
+    pool: dict[tuple[int, ...], int] = {}
+    gain = np.zeros((0, len(lengths)))
+    w = wanted * lengths
+    w /= w.sum()
+    z, best_z, total, bound = np.zeros(0), np.zeros(0), np.inf, 0.0
+    for _ in range(rounds):
+        price = np.full(capacity + 1, -1.0)
+        price[lengths] = w / wanted
+        best, last = knapsack(price, capacity)
+        bound = max(bound, 1 / best[capacity])
+        if total <= bound * (1 + gap):
+            break
+        filled = np.maximum.accumulate(np.where(last > 0, np.arange(capacity + 1), 0))
+        made = []
+        for n in lengths.tolist():
+            column, room = [n], int(filled[capacity - n])
+            while room:
+                column.append(int(last[room]))
+                room = int(filled[room - column[-1]])
+            key = tuple(sorted(column, reverse=True))
+            if key not in pool:
+                pool[key] = len(pool)
+                made.append(np.bincount([row[k] for k in key], minlength=len(lengths)) / wanted)
+        gain = np.vstack([gain, *made])
+        z = np.r_[z * 0.7, np.full(len(made), (0.3 if len(z) else 1.0) / max(1, len(made)))]
+        z /= z.sum()
+        # Steps by the widest gain of either side, relative to the value of the game.
+        size = 0.5 * bound / np.sqrt(max((gain @ w).max(), (z @ gain).max()) * bound)
+        log_z, log_w = np.log(z + 1e-12), np.log(w + 1e-15)
+        before_z, before_w = gain @ w, z @ gain
+        sum_z, sum_w = np.zeros(len(z)), np.zeros(len(w))
+        for _ in range(steps):
+            now_z, now_w = gain @ w, z @ gain
+            log_z += size * (2 * now_z - before_z)
+            log_w -= size * (2 * now_w - before_w)
+            log_z -= log_z.max()
+            log_w -= log_w.max()
+            z, w = np.exp(log_z), np.exp(log_w)
+            z /= z.sum()
+            w /= w.sum()
+            before_z, before_w = now_z, now_w
+            sum_z += z
+            sum_w += w
+        average = sum_z / sum_z.sum()
+        for some in (average, z):
+            least = (some @ gain).min()
+            if least > 0 and 1 / least < total:
+                total, best_z = 1 / least, some / least
+        z, w = average, sum_w / sum_w.sum()
+    return {c: float(best_z[k]) for c, k in pool.items() if k < len(best_z) and best_z[k] > 1e-9}, float(total), float(bound)
+
+
 def best_fit(left: np.ndarray, capacity: int, begun: dict[tuple[int, ...], int] | None = None) -> dict[tuple[int, ...], int]:
     """Best fit over a histogram: lengths in falling order, each into the fullest sequences that still take it, those ``begun`` included."""
     bins: dict[int, dict[tuple[int, ...], int]] = {}
@@ -150,12 +216,15 @@ def best_fit(left: np.ndarray, capacity: int, begun: dict[tuple[int, ...], int]
 def plan(counts: dict[int, int], capacity: int, rounds: int = 2) -> Plan:
     """Patterns that hold every item of the length histogram exactly once, and a lower bound.
 
+    A histogram of LENGTHS lengths at most has its program solved to within a thousandth of its
+    bound. For every histogram the fractional program is also solved in a few phases.
+
     The fractional configuration program is solved by multiplicative weights and its columns are
     rounded down, to no more than their lengths still need, the most used ones first; what that
     leaves is a smaller program, solved again. Best fit over falling lengths packs the rest, into
     what room the columns have and new sequences. Columns are also rounded down to a half and a
-    quarter of their share, which leaves more of the small items to the rest, and the rounding with the
-    fewest sequences is the plan. The histogram has at most ``capacity`` rows, so neither time nor
+    quarter of their share, which leaves more of the small items to the rest. The rounding with the
+    fewest sequences is the plan, or best fit alone where that has fewer. The histogram has at most ``capacity`` rows, so neither time nor
     the plan's size grows with the number of documents.
     """
     demand = np.zeros(capacity + 1, np.int64)
@@ -163,7 +232,18 @@ def plan(counts: dict[int, int], capacity: int, rounds: int = 2) -> Plan:
         demand[n] = k
     demand[0] = 0
     bound = -(-int((demand * np.arange(capacity + 1)).sum()) // capacity)
-    made: list[dict[tuple[int, ...], int]] = []
+    made: list[dict[tuple[int, ...], int]] = [best_fit(demand, capacity)]
+    if 0 < len(np.flatnonzero(demand)) <= LENGTHS:
+        columns, _, least = solved(demand, capacity)
+        bound = max(bound, int(np.ceil(least - 1e-6)))
+        for whole in (np.floor, np.round):
+            out, left = {}, demand.copy()
+            for column, share in sorted(columns.items(), key=lambda x: (-x[1], x[0])):
+                used, times = np.unique(column, return_counts=True)
+                if copies := min(int(whole(share)), int((left[used] // times).min())):
+                    out[column] = copies
+                    left[used] -= copies * times
+            made.append(best_fit(left, capacity, out))
     first = fractional(demand, capacity)
     bound = max(bound, int(np.ceil(first[1] - 1e-6)))
     for part in (1.0, 0.5, 0.25):

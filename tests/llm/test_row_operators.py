@@ -112,6 +112,29 @@ def test_plan_covers_all_items():
         assert seen == Counter(counts)
 
 
+@pytest.mark.parametrize(("counts", "sequences"), [({1365: 5000, 1366: 5000}, 3750), ({1100: 4000, 1000: 4000, 996: 4000}, 3112), ({4096: 3, 1: 1}, 4)])
+def test_program_is_solved_to_its_gap(counts, sequences):
+    demand = np.bincount(list(counts), list(counts.values()), 4097).astype(int)
+    columns, total, bound = packing.solved(demand, 4096)
+    assert total <= bound * 1.0011 and abs(sum(columns.values()) - total) < 1e-6 * total
+    covered = np.zeros(4097)
+    for column, share in columns.items():
+        assert sum(column) <= 4096
+        for n in column:
+            covered[n] += share
+    assert all(covered[n] >= k * (1 - 1e-6) for n, k in counts.items())
+    plan = packing.plan(counts, 4096)
+    assert sum(p.copies for p in plan.patterns) == sequences and plan.bound >= sequences - 2
+
+
+def test_plan_is_never_above_best_fit():
+    rng = np.random.default_rng(0)
+    for n in (40, 300):
+        counts = {int(k): int(v) for k, v in zip(rng.choice(np.arange(10, 4096), n, False), rng.integers(1, 30, n), strict=True)}
+        demand = np.bincount(list(counts), list(counts.values()), 4097).astype(int)
+        assert sum(p.copies for p in packing.plan(counts, 4096).patterns) <= sum(packing.best_fit(demand, 4096).values())
+
+
 @pytest.mark.parametrize(("counts", "most"), [({100: 10000}, 1.03), ({k: 10000 for k in range(10, 41)}, 1.01), ({300: 20000} | {k: 3 for k in range(1, 4096, 7) if k != 300}, 1.06)])
 def test_plan_repeats_lengths(counts, most):
     plan = packing.plan(counts, 4096).patterns

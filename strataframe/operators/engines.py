@@ -402,6 +402,32 @@ def polygons(lb: DataFrame, least: int = 50, tolerance: float = 2.0) -> DataFram
     return lb.select("figure_id", "y", "x", "lbl").transform(per_figure, run, "lbl int, ring int, n_vertices int, wkt string")
 
 
+def visual_terms(px: DataFrame) -> DataFrame:
+    """(figure_id, quantization, gap_score): the share of the largest colour groups, and a third for each wide white gap.
+
+    Gaps are runs of columns or rows, a tenth of the figure wide, that are white on average; a margin of
+    8 % is left out and thin lines are filtered away first.
+    """
+
+    def run(t: pa.Table) -> pa.Table:
+        _, _, rgb = panel(t)
+        gray = rgb @ np.array([0.2125, 0.7154, 0.0721]) / 255
+        h, w = gray.shape
+        my, mx = max(1, int(h * 0.08)), max(1, int(w * 0.08))
+        inner, score = gray[my : h - my, mx : w - mx], 0.0
+        if min(inner.shape) >= 20:
+            soft = kernels.median_filter(inner, 5)
+            wide = 0
+            for axis in (0, 1):
+                white = np.r_[False, soft.mean(axis) > 0.94, False].astype(int)
+                edge = np.diff(white)
+                wide += int((np.flatnonzero(edge < 0) - np.flatnonzero(edge > 0) > inner.shape[1 - axis] * 0.10).sum())
+            score = min(1.0, wide / 3.0)
+        return pa.table({"quantization": pa.array([round(seeds_.quantization(rgb), 4)]), "gap_score": pa.array([score])})
+
+    return px.select("figure_id", "y", "x", "r", "g", "b").transform(per_figure, run, "quantization double, gap_score double")
+
+
 def color_groups(px: DataFrame) -> DataFrame:
     """(figure_id, ord, r, g, b, n, x, y): a figure's colour groups and the pixel that stands for each."""
 

@@ -121,11 +121,75 @@ def quality_check(px: DataFrame, min_size: int = 100, max_blank: float = 0.95, m
 
 
 def feature_row(px: DataFrame) -> DataFrame:
-    """All features of a figure, joined by figure: each side is a row per figure."""
-    out = shape(px)
-    for f in (saturation_ratio, edge_density, gradient_uniformity, striation, text_density):
-        out = out.join(f(px), "figure_id")
-    return out
+    """All features of a figure in one pass: rows of pixels, then columns, then one aggregate by figure.
+
+    Each feature alone would read the pixels again; here a pixel's neighbours along its row and its
+    column are found once for all.
+    """
+    row, col = across(), down()
+    p = px.withColumn("v", colors.gray(*rgb())).withColumns({"l": F.lag("v").over(row), "r_": F.lead("v").over(row)})
+    left, right = F.coalesce("l", "v"), F.coalesce("r_", "v")
+    p = p.withColumns({"sx": (left + 2 * F.col("v") + right) / 4.0, "dx": left - right})
+    near = {f"{n}_{c}": f(c).over(col) for c in ("v", "sx", "dx") for n, f in (("up", F.lag), ("dn", F.lead))}
+    p = p.withColumns(near)
+    side = lambda n, c: F.coalesce(f"{n}_{c}", c)
+    hh, vv = side("up", "sx") - side("dn", "sx"), (side("up", "dx") + 2 * F.col("dx") + side("dn", "dx")) / 4.0
+    central = lambda a, b: F.when(F.col(a).isNull(), F.col(b) - F.col("v")).when(F.col(b).isNull(), F.col("v") - F.col(a)).otherwise((F.col(b) - F.col(a)) / 2.0)
+    p = p.withColumns({"edge": F.sqrt((hh * hh + vv * vv) / 2.0), "gx": central("l", "r_"), "gy": central("up_v", "dn_v")})
+    p = p.withColumn("m", F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")))
+    share = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
+    a = p.groupBy("figure_id").agg(
+        (F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"), F.round(share(colors.saturation(*rgb()) > 80), 6).alias("saturation_ratio"),
+        F.round(share(F.col("edge") > 0.05), 6).alias("edge_density"), F.avg("m").alias("mean"), F.stddev_pop("m").alias("sd"),
+        F.round(F.least(F.lit(1.0), share((F.abs("gy") > 0.05) & (F.abs("gx") < 0.03)) * 3.0), 5).alias("striation"), F.avg(F.abs(F.col("v") - F.col("l"))).alias("d"),
+    )
+    even = F.when(F.col("mean") < 1e-9, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.col("sd") / F.col("mean") / 3.0))
+    text = F.when(F.col("h") < 20, 0.0).otherwise(F.least(F.lit(1.0), F.col("d") / 0.15))
+    return a.select("figure_id", "h", "w", "saturation_ratio", "edge_density", F.round(even, 5).alias("gradient_uniformity"), "striation", F.round(text, 5).alias("text_density"))
+
+
+def has_colorbar(px: DataFrame) -> DataFrame:
+    """(figure_id, has_colorbar): whether the right or the bottom strip varies in colour and lightness; small figures have none.
+
+    The limits are fixed values.
+    """
+    p = with_shape(px)
+    l, a, b = colors.lab(*rgb())
+    wide = F.greatest(F.lit(20), F.floor(F.col("w") / 10)), F.greatest(F.lit(20), F.floor(F.col("h") / 10))
+    strips = {"r": F.col("x") >= F.col("w") - wide[0], "b": F.col("y") >= F.col("h") - wide[1]}
+    p = p.select("figure_id", "h", "w", l.alias("ll"), a.alias("aa"), b.alias("bb"), *[s.alias(f"in_{n}") for n, s in strips.items()])
+    sd = lambda n, c: F.stddev_pop(F.when(F.col(f"in_{n}"), F.col(c)))
+    s = p.groupBy("figure_id").agg(F.first("h").alias("h"), F.first("w").alias("w"), *[sd(n, c).alias(f"{n}_{c}") for n in strips for c in ("ll", "aa", "bb")])
+    rich = lambda n: ((F.col(f"{n}_aa") + F.col(f"{n}_bb")) / 2 > 10) & (F.col(f"{n}_ll") > 8)
+    return s.select("figure_id", ((F.col("w") >= 100) & (F.col("h") >= 100) & (rich("r") | rich("b"))).alias("has_colorbar"))
+
+
+def classify_whole(features: DataFrame) -> DataFrame:
+    """(figure_id, figure_type, confidence, reason) by all terms: the features, quantization, gap_score and has_colorbar.
+
+    Several wide gaps make a figure multi_panel, or observational_data where stripes run across it;
+    else the conceptual and the observational score must differ by more than 0.15. Weights, limits
+    and the texts of reasons are fixed values.
+    """
+    c = F.col
+    bar = F.when(c("has_colorbar"), 1.0).otherwise(0.0)
+    concept = c("edge_density") * 0.15 + c("quantization") * 0.20 + (1 - c("gradient_uniformity")) * 0.15 + c("text_density") * 0.20 - c("striation") * 0.50 - bar * 0.25
+    observed = c("gradient_uniformity") * 0.25 + bar * 0.3 + (1 - c("edge_density")) * 0.15 + (1 - c("quantization")) * 0.15 + c("striation") * 0.35
+    f = features.withColumns({"s1": concept, "s2": observed})
+    two = lambda *v: [F.format_string("%.2f", x) for x in v]
+    say = lambda text, *v: F.format_string(text, *two(*v))
+    gapped = c("gap_score") >= 0.5
+    least = lambda top, v: F.least(F.lit(top), v)
+    cases = [
+        (F.least("h", "w") < 50, "other", F.lit(0.95), F.lit("Image too small")),
+        (gapped & (c("striation") >= 0.15), "observational_data", least(0.9, 0.6 + c("gap_score") * 0.2), say("Multi-gap figure with horizontal striations (gap=%s, striation=%s) suggests waveform data", c("gap_score"), c("striation"))),
+        (gapped, "multi_panel", least(0.95, 0.6 + c("gap_score") * 0.3), say("Detected %s wide panel gaps", c("gap_score"))),
+        (c("s1") > c("s2") + 0.15, "conceptual_model", least(0.9, 0.5 + c("s1") * 0.4), say("High edge density (%s) and color quantization (%s) suggest schematic/conceptual diagram", c("edge_density"), c("quantization"))),
+        (c("s2") > c("s1") + 0.15, "observational_data", least(0.9, 0.5 + c("s2") * 0.4), F.format_string("Smooth gradients (uniformity=%s) and colorbar=%s suggest data-driven figure", *two(c("gradient_uniformity")), F.initcap(c("has_colorbar").cast("string")))),
+    ]
+    last = ("other", F.lit(0.6), say("Ambiguous: conceptual_score=%s, observational_score=%s", c("s1"), c("s2")))
+    pick = lambda k, other: F.coalesce(*[F.when(when, F.lit(v[k]) if isinstance(v[k], str) else v[k]) for when, *v in cases], other)
+    return f.select("figure_id", pick(0, F.lit(last[0])).alias("figure_type"), F.round(pick(1, last[1]), 4).alias("confidence"), pick(2, last[2]).alias("reason"))
 
 
 def classify(features: DataFrame) -> DataFrame:

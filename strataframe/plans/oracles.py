@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from strataframe.operators.labels import HUE_NAMES, PALETTE
+from strataframe.operators.overlays import distinct_colors
 from strataframe.operators.properties import DEFAULTS, SNIPPET
 
 ROWS = "rows_ as (select vec_id - vec_id % 64 as figure_id, row_number() over (partition by vec_id - vec_id % 64 order by label, vec_id) - 1 as y, cast(label as int) as label, embedding from embeddings)"
@@ -126,6 +127,18 @@ span as (select distinct figure_id, y, lo, hi from (
     select figure_id, y, ceil(pos - 1e-9) as lo, floor(upto + 1e-9) as hi from (select *, row_number() over w as n, lead(pos) over w as upto from crossing window w as (partition by figure_id, y order by pos)) where n % 2 = 1 and ceil(pos - 1e-9) <= floor(upto + 1e-9)
     union all select figure_id, y, least(x, x1), greatest(x, x1) from side where y = y1 union all select figure_id, y, x, x from corner))"""
 
+WORK = LAST + """, ws as (select session_id, figure_id::varchar as figure_id, status, ord, score, list_position(['pending','classified','segmented','reviewed','exported','skipped','error'], status) as at_, status in ('skipped', 'error') and ord % 2 = 1 as odd from last_),
+w as (select session_id, figure_id, status, case when at_ between 2 and 5 or odd then ['conceptual_model', 'multi_panel', 'other'][ord % 3 + 1] end as figure_type, case when at_ between 2 and 5 or odd then round(score * 1.5, 6) end as confidence, case when at_ between 3 and 5 or odd then ord % 4 end as target,
+    case when at_ between 3 and 5 then case when ord % 2 = 0 then 'v4_kmeans' else 'edge_grow' end end as engine, case when status = 'exported' then 'x/' || ord || '.xyz' end as tomo, case when status = 'skipped' then 'too small' end as skip_reason from ws)"""
+
+
+def _back(stage: str) -> str:
+    able = {"classify": "true", "panel": "figure_type is not null", "segment": "target is not null"}[stage]
+    gone = {"classify": ("figure_type", "confidence", "target", "engine", "tomo"), "panel": ("target", "engine", "tomo"), "segment": ("engine", "tomo")}[stage]
+    kept = ", ".join(f"case when able then null else {c} end as {c}" if c in gone else c for c in ("figure_type", "confidence", "target", "engine", "tomo"))
+    return _with(f"select session_id, figure_id, case when able then '{'pending' if stage == 'classify' else 'classified'}' else status end as status, not able as refused, {kept}, skip_reason from (select *, {able} as able from w)", WORK)
+
+
 ORACLE_SQL: dict[str, str] = {
     "px_saturation_ratio": _with("select * from f1", FEATURES),
     "px_is_grayscale": _with("select figure_id, round(avg(greatest(r, g, b) - least(r, g, b)), 6) as mean_saturation, avg(greatest(r, g, b) - least(r, g, b)) < 15.0 as is_grayscale from px group by 1", PX),
@@ -271,6 +284,19 @@ select figure_id, lbl, count(*) as n from (select figure_id, y, x, arg_max(lbl,
         SHEET, DRAWN, "lb as (select figure_id, y, x, case when r + g + b > 0 and not (r = 255 and g = 255) then least(3, floor((y + 6 * sin(x / 9.0::double) + figure_id % 4 * 5) / 55) + 1) else 0 end::int as lbl from px)",
     ),
     "lb_disagreement": _with("select figure_id, round(avg(case when near.lbl <> px.r // 43 then 1.0 else 0.0 end), 6) as disagreement from near join px using (figure_id, y, x) group by 1", PX, NEAR),
+    "ws_saved": _with("select * from w", WORK),
+    "ws_clamped": _with("select session_id, figure_id, status, figure_type, case when confidence is not null then greatest(0, least(1, confidence)) end as confidence, target, engine, tomo, skip_reason from w", WORK),
+    **{f"ws_backtrack_{stage}": _back(stage) for stage in ("classify", "panel", "segment")},
+    "fig_has_colorbar": "",
+    "ov_blend": _with(
+        """select figure_id, y, sum(r) as r, sum(g) as g, sum(b) as b from (select figure_id, y, case when lbl is distinct from back and edge then 255 when lbl is not distinct from back then r else floor(r * (1 - 0.65::double) + cr * 0.65::double) end as r,
+            case when lbl is distinct from back and edge then 255 when lbl is not distinct from back then g else floor(g * (1 - 0.65::double) + cg * 0.65::double) end as g, case when lbl is distinct from back and edge then 255 when lbl is not distinct from back then b else floor(b * (1 - 0.65::double) + cb * 0.65::double) end as b
+        from (select n.*, px.r, px.g, px.b, back, cr, cg, cb, coalesce(n1 <> n.lbl, false) or coalesce(n2 <> n.lbl, false) or coalesce(n3 <> n.lbl, false) or coalesce(n4 <> n.lbl, false) as edge from near4 n join px using (figure_id, y, x) join place p on p.figure_id = n.figure_id and p.lbl = n.lbl join tint on tint.k = p.k left join ground g on g.figure_id = n.figure_id)) group by 1, 2""",
+        PX, COARSE, TOUCH,
+        "place as (select figure_id, lbl, row_number() over (partition by figure_id order by lbl) as k from (select distinct figure_id, lbl from lb))",
+        f"tint as (select * from {_values([(k, *c) for k, c in enumerate(distinct_colors(64), 1)], 'k, cr, cg, cb')})",
+        "ground as (select figure_id, arg_max(lbl, (score, -lbl)) as back from (select *, round(e / sum(e) over f * (n / sum(n) over f), 6) as score, e / sum(e) over f as edge, n / sum(n) over f as area from (select lb.figure_id, lbl, count(*) as n, count(*) filter (y = 0 or x = 0 or y = h - 1 or x = w - 1) as e from lb join dims using (figure_id) group by 1, 2) window f as (partition by figure_id)) where edge > 0.25 and area > 0.08 group by 1)",
+    ),
     "fig_complexity_best_panel": "",
     "colorbar_value_sample": "",
 }
@@ -284,3 +310,8 @@ ORACLE_SQL["colorbar_value_sample"] = f"""
     z as (select figure_id, color_name, (figure_id + k * 37) % 111 as value from (select distinct figure_id from b), (values (0, 'red'), (1, 'yellow'), (2, 'green'), (3, 'blue')) t(k, color_name)),
     a as (select f.*, color_name, value, floor((0.05::double + greatest(0, least(100, value)) / 100.0::double * 0.9::double) * (greatest(bh, bw) - 1))::int as pos from f join z using (figure_id))
     select px.figure_id, color_name, value::int as value, pos as "at", r, g, b from a join px on px.figure_id = a.figure_id and px.y = oy + case when bh >= bw then pos else bh // 2 end and px.x = ox + case when bh >= bw then bw // 2 else pos end"""
+ORACLE_SQL["mem_templates"] = ORACLE_SQL["mem_patterns"]
+ORACLE_SQL["props_saved"] = f"select figure_id, name, max(vp) as vp, max(vs) as vs, max(rho) as rho, 0 as missing from ({ORACLE_SQL['props_generate']}) group by 1, 2"
+ORACLE_SQL["fig_has_colorbar"] = _with(
+    "select figure_id, coalesce((rl > 8 and (ra + rb) / 2 > 10) or (bl > 8 and (ba + bb_) / 2 > 10), false) as has_colorbar from (select figure_id, stddev_pop(l) filter (x >= 180) as rl, stddev_pop(a) filter (x >= 180) as ra, stddev_pop(bb) filter (x >= 180) as rb, stddev_pop(l) filter (y >= 140) as bl, stddev_pop(a) filter (y >= 140) as ba, stddev_pop(bb) filter (y >= 140) as bb_ from lab group by 1)", SHEET, _lab()
+)

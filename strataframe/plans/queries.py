@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strataframe.operators import detection, engines, features, flow, horizon, labels, memory, panels, properties, refinement, representatives, reviews, sessions, shapes
+from strataframe.operators import detection, engines, features, flow, horizon, labels, memory, overlays, panels, properties, refinement, representatives, reviews, sessions, shapes, workflow, worksets
 from strataframe.sources import documents, tables
 from strataframe.sources.tables import table
 
@@ -524,3 +524,91 @@ def fig_complexity_best_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of the figures of a source group (four in a row), the most complex one."""
     c = features.complexity(features.feature_row(tables.pixels(spark, sf_dir)))
     return features.best_panel(c.withColumn("group_id", F.expr("figure_id div 256")), "group_id")
+
+
+# ---- pictures, work sets, the whole flow
+
+
+@query
+def ov_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    px = tables.pixels(spark, sf_dir)
+    o = overlays.overlay(px, coarse_layers(spark, sf_dir))
+    return o.groupBy("figure_id", "y").agg(*[F.sum(c).alias(c) for c in "rgb"])
+
+
+@query
+def ov_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlays.pictures(tables.sheets(spark, sf_dir), most=100).select("figure_id", "width", "height", F.length("uri").alias("size"))
+
+
+def workset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole entries: the latest state of each figure of a session, with the records that its state has."""
+    e = entries(spark, sf_dir)
+    at = F.array_position(F.array(*map(F.lit, tables.STATUSES)), F.col("status"))
+    odd = F.col("status").isin("skipped", "error") & (F.col("ord") % 2 == 1)
+    has = lambda n: (at.between(n, 5)) | odd
+    k, score = F.col("ord"), F.col("score")
+    records = {
+        "classification": (has(2), F.struct(F.element_at(F.array(*map(F.lit, ("conceptual_model", "multi_panel", "other"))), (k % 3 + 1).cast("int")).alias("figure_type"), (score * 1.5).alias("confidence"), F.lit("<by rule>").alias("reason"), F.lit(None).cast("string").alias("user_override"))),
+        "panels": (has(3), F.struct(F.expr(f"cast(array() as array<{worksets.PANEL}>)").alias("detected"), (k % 4).cast("int").alias("target_panel_id"), F.when(k % 7 == 0, 9).cast("int").alias("user_override"))),
+        "segmentation": (has(3) & ~odd, F.struct(F.lit("out").alias("result_dir"), F.when(k % 2 == 0, "v4_kmeans").otherwise("edge_grow").alias("engine"), (k % 6).cast("int").alias("n_layers"), score.alias("quality_score"), F.lit("o.png").alias("overlay_path"), F.lit("l.npz").alias("labels_path"), F.expr(f"cast(array() as array<{worksets.ATTEMPT}>)").alias("attempts"), F.expr("cast(array() as array<string>)").alias("user_feedback"))),
+        "export": (F.col("status") == "exported", F.struct(F.concat(F.lit("x/"), k.cast("string"), F.lit(".xyz")).alias("tomo_xyz"), F.lit(None).cast("string").alias("parfile_snippet"))),
+    }
+    id_ = F.col("figure_id").cast("string")
+    out = e.select("session_id", "ord", id_.alias("figure_id"), F.concat(F.lit("in/"), id_, F.lit(".png")).alias("source_path"), "status", *[F.when(when, v.cast(worksets.RECORDS[n])).alias(n) for n, (when, v) in records.items()])
+    return out.withColumns({"skip_reason": F.when(F.col("status") == "skipped", "too small"), "error_message": F.when(F.col("status") == "error", "bad & <broken>")})
+
+
+def flat(entries_: DataFrame) -> DataFrame:
+    return entries_.select("session_id", "figure_id", "status", *[c for c in ("refused",) if c in entries_.columns], F.col("classification.figure_type").alias("figure_type"), F.round("classification.confidence", 6).alias("confidence"), F.col("panels.target_panel_id").alias("target"), F.col("segmentation.engine").alias("engine"), F.col("export.tomo_xyz").alias("tomo"), "skip_reason")
+
+
+for _name, _f in {
+    "ws_clamped": worksets.clamped,
+    "ws_saved": lambda w: worksets.from_json(worksets.to_json(w)),
+    **{f"ws_backtrack_{stage}": lambda w, s=stage: worksets.backtrack(w, s) for stage in worksets.STAGES},
+}.items():
+    QUERIES[_name] = lambda spark, sf_dir, f=_f: flat(f(workset(spark, sf_dir)))
+
+
+@query
+def ws_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return worksets.report(workset(spark, sf_dir))
+
+
+@query
+def props_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Property tables written as JSON and read again."""
+    made = properties.ramp(named(spark, sf_dir)).groupBy("figure_id", "name").agg(*[F.max(c).alias(c) for c in ("vp", "vs", "rho")])
+    return worksets.properties_of(worksets.properties_json(made)).select("figure_id", "name", "vp", "vs", "rho", F.size("missing").alias("missing"))
+
+
+@query
+def mem_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = tables.attempts(spark, sf_dir)
+    return worksets.templates_of(worksets.templates_json(memory.patterns(log), memory.engine_rates(log)))
+
+
+@query
+def flow_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sheets through the whole flow; every third one wants a panel."""
+    px = tables.sheets(spark, sf_dir)
+    wanted = px.select("figure_id").distinct().where("figure_id % 3 = 0").select("figure_id", (F.col("figure_id") % 5).cast("int").alias("target"))
+    return workflow.run(px, wanted=wanted, min_w=100, min_h=100, rejected=()).figures
+
+
+@query
+def flow_panels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return workflow.run(tables.sheets(spark, sf_dir), min_w=100, min_h=100, rejected=()).panels
+
+
+@query
+def fig_classify_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    px = tables.sheets(spark, sf_dir)
+    row = features.feature_row(px).join(engines.visual_terms(px), "figure_id").join(features.has_colorbar(px), "figure_id")
+    return features.classify_whole(row)
+
+
+@query
+def fig_has_colorbar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.has_colorbar(tables.sheets(spark, sf_dir))

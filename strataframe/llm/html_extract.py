@@ -141,7 +141,7 @@ def parse(page: str) -> list[Node]:
                 run_main = False
             continue
         if tag in RAW_SET:
-            if not attrs.rstrip().endswith("/"):
+            if not SHUT.search(attrs) or (tag not in ("svg", "math") and re.compile(rf"</{tag}\b", re.I).search(page, at)):
                 raw_end = tag
             continue
         if tag == "head":
@@ -185,6 +185,8 @@ def parse(page: str) -> list[Node]:
     return nodes
 
 
+#: A slash that closes its tag; one at the end of a value without quotes is the value's.
+SHUT = re.compile(r"""(?:^|[\s"']|(?:^|\s)[^\s=]+)/\s*$""")
 HEAD_END = re.compile(r"</head\b|<body\b", re.I)
 BLOCK_SET, VOID_SET, RAW_SET = set(BLOCKS), set(VOID), set(RAW)
 
@@ -194,16 +196,22 @@ def features(nodes: list[Node]) -> np.ndarray:
     among its siblings, and how dense text, links, inputs and paragraphs are in its subtree."""
     n = len(nodes)
     up = np.array([x.parent for x in nodes])
-    own = np.array([[sum(len(t.strip()) for _, t in x.parts), x.links, x.tags, x.inputs, 1, x.tag == "p", x.tag == "li", x.tag[0] == "h" and x.tag[1:].isdigit(), sum(t.count(".") + t.count(",") for _, t in x.parts), sum(t.count("©") + t.count("&copy") for _, t in x.parts)] for x in nodes], float)
+    own = np.array([[sum(len(t.strip()) for _, t in x.parts), x.links, x.tags, x.inputs, 1, x.tag == "p", x.tag == "li", x.tag[0] == "h" and x.tag[1:].isdigit(), sum(t.count(".") + t.count(",") for _, t in x.parts), sum(t.count("©") + t.count("&copy") for _, t in x.parts), x.tag == "h1"] for x in nodes], float)
     sub = own.copy()
     below = np.array([x.attrs for x in nodes])
     for i in range(n - 1, 0, -1):
         sub[up[i]] += sub[i]
         below[up[i]] |= below[i]
+    # What holds most of the page's text and its title, or an article with a title, is no menu, form or
+    # sidebar whatever it is called: a layout's wrapper has such names as well.
+    lead = np.array([x.tag in ("article", "main") for x in nodes])
+    most = sub[:, 0] >= 0.6 * max(1.0, sub[0, 0])
+    spared = (most & (lead | (sub[:, 10] > 0))) | (lead & (sub[:, 10] > 0))
     above = np.zeros(n, np.int64)
     within = np.zeros(n, np.int64)  # kinds of ancestors
-    attrs = np.array([x.attrs for x in nodes])
+    attrs = np.where(spared, np.array([x.attrs for x in nodes]) & ~ASIDE, np.array([x.attrs for x in nodes]))
     kind = np.array([KIND.get(x.tag, len(KINDS) - 1) for x in nodes])
+    kind[spared & np.isin(kind, [KINDS.index(t) for t in ("nav", "header", "footer", "aside", "form")])] = KINDS.index("div")
     for i in range(1, n):
         above[i] = above[up[i]] | attrs[up[i]]
         within[i] = within[up[i]] | 1 << int(kind[up[i]])

@@ -62,6 +62,74 @@ def spiral(x: int, y: int, radius: int):
         step += 1
 
 
+def disk(r: int) -> np.ndarray:
+    y, x = np.mgrid[-r : r + 1, -r : r + 1]
+    return y * y + x * x <= r * r
+
+
+def erode_disk(mask: np.ndarray, r: int) -> np.ndarray:
+    """Pixels whose whole disk is in the mask; outside of the array counts as in it."""
+    padded = np.pad(mask, r, constant_values=True)
+    win = np.lib.stride_tricks.sliding_window_view(padded, (2 * r + 1, 2 * r + 1))
+    return win[..., disk(r)].all(-1)
+
+
+def shrunk(mask: np.ndarray) -> np.ndarray:
+    """The mask eroded by the largest of the disks 5, 3 and 1 that leaves something, else as it is."""
+    return next((e for r in (5, 3, 1) if (e := erode_disk(mask, r)).any()), mask)
+
+
+def inner_point(mask: np.ndarray) -> tuple[int, int] | None:
+    """(x, y) well inside of a mask: its shrunk form's mean, or median where the mean is outside."""
+    m = shrunk(mask)
+    if not m.any():
+        return None
+    y, x = np.nonzero(m)
+    at = int(x.mean()), int(y.mean())
+    return at if m[at[1], at[0]] else (int(np.median(x)), int(np.median(y)))
+
+
+def refine(rgb: np.ndarray, points: list[tuple[int, int]], back: np.ndarray, rough: np.ndarray, spare: list[np.ndarray]) -> list[tuple[np.ndarray, int, int, str]]:
+    """(colour, x, y, source) for each representative point, moved to where it surely stands for its layer.
+
+    ``rough`` labels each pixel by the nearest of the points' colours. A point on the background goes to the first
+    other pixel around it, within a third of the figure, or takes the spare colour farthest from the
+    background, each once. Any other goes to the middle of its shrunk layer nearby, if that is within
+    20 pixels. The distances are fixed values.
+    """
+    h, w, _ = rgb.shape
+    on_back = lambda c: np.sqrt(((c - back) ** 2).sum()) < 60
+    left, out = dict(enumerate(spare)), []
+    for k, (x, y) in enumerate(points):
+        x, y = max(0, min(w - 1, x)), max(0, min(h - 1, y))
+        at, source, own = (x, y), "point", None
+        if on_back(rgb[y, x]):
+            if found := first_foreground(rgb, x, y, back, radius=min(h, w) // 3):
+                at, source = found, "spiral"
+            elif left:
+                best = max(left, key=lambda i: float(((left[i] - back) ** 2).sum()))
+                own, source = left.pop(best), "spare"
+                if seen := find_pixel(rgb, own, back):
+                    at, own = seen, None
+            else:
+                source = "failed"
+        else:
+            y0, x0 = max(0, y - 30), max(0, x - 30)
+            near = rough[y0 : y + 31, x0 : x + 31] == k
+            if near.any():
+                py, px = np.nonzero(shrunk(near))
+                mid = int(np.median(px)) + x0, int(np.median(py)) + y0
+                if max(abs(mid[0] - x), abs(mid[1] - y)) <= 20:
+                    at, source = mid, "inner"
+            if on_back(rgb[at[1], at[0]]):
+                if found := first_foreground(rgb, x, y, back, radius=20):
+                    at, source = found, "spiral"
+                elif whole := inner_point(rough == k):
+                    at, source = whole, "layer"
+        out.append((rgb[at[1], at[0]] if own is None else own, *at, source))
+    return out
+
+
 def first_foreground(rgb: np.ndarray, x: int, y: int, background: np.ndarray, threshold: float = 60.0, radius: int = 100) -> tuple[int, int] | None:
     h, w, _ = rgb.shape
     for px, py in spiral(x, y, radius):

@@ -218,6 +218,37 @@ def edge_grow(rgb: np.ndarray, penalty: float = 150.0) -> np.ndarray:
     return used[grown]
 
 
+def without_small(lbl: np.ndarray, share: float = 0.002) -> np.ndarray:
+    """Labels in rising order with their holes filled and without parts up to a share of the panel; what is left out is 0."""
+    out, least = np.zeros_like(lbl), max(1, int(share * lbl.size))
+    for k in np.unique(lbl):
+        comp, n = kernels.components(kernels.fill_holes(lbl == k))
+        out[(comp > 0) & (np.bincount(comp.ravel(), minlength=n + 1) > least)[comp]] = k
+    return out
+
+
+def merge_tiny(lbl: np.ndarray, share: float = 0.005) -> np.ndarray:
+    """Labels of fewer pixels than a share of the panel, 50 at least, go to the commonest label around them; the rest count from 1, 0 stays."""
+    out, least = lbl.copy(), max(50, int(share * lbl.size))
+    for k in np.unique(lbl[lbl >= 0]):
+        mask = out == k
+        if not mask.any() or mask.sum() >= least:
+            continue
+        rim = kernels.dilate(mask, square=True) & ~mask & (out >= 0)
+        if rim.any():
+            out[mask] = np.bincount(out[rim]).argmax()
+    left = np.unique(out[out > 0])
+    return np.where(out > 0, np.searchsorted(left, out) + 1, 0)
+
+
+def to_common(rgb: np.ndarray, lbl: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Labels as numbers of the common colours, each by its mean colour's nearest in LAB."""
+    ids, at = np.unique(lbl, return_inverse=True)
+    at = at.reshape(lbl.shape)
+    mean = np.stack([rgb[at == k].mean(0) for k in range(len(ids))])
+    return ((lab(mean)[:, None] - lab(common)[None]) ** 2).sum(2).argmin(1)[at]
+
+
 def slic_graphcut(rgb: np.ndarray) -> np.ndarray:
     sp = kernels.superpixels(rgb)
     ids, sp = np.unique(sp, return_inverse=True)
@@ -227,7 +258,7 @@ def slic_graphcut(rgb: np.ndarray) -> np.ndarray:
     pairs = np.concatenate([np.stack([sp[:, :-1].ravel(), sp[:, 1:].ravel()], 1), np.stack([sp[:-1].ravel(), sp[1:].ravel()], 1)])
     pairs = np.unique(np.sort(pairs[pairs[:, 0] != pairs[:, 1]], 1), axis=0)
     data = np.sqrt(((means[:, None] - seeds(rgb)) ** 2).sum(2))
-    return kernels.relax(data, pairs, means)[sp]
+    return without_small(kernels.relax(data, pairs, means)[sp])
 
 
 def grayscale(rgb: np.ndarray, n_layers: int = 5) -> np.ndarray:
@@ -240,15 +271,20 @@ def grayscale(rgb: np.ndarray, n_layers: int = 5) -> np.ndarray:
         comp, n = kernels.components(np.abs(gray - v) < 8, eight=True)
         if n:
             markers[comp == np.bincount(comp.ravel())[1:].argmax() + 1] = k
-    return kernels.watershed(kernels.sobel(kernels.gaussian(gray, 1.0)), markers) if markers.any() else np.zeros(gray.shape, int)
+    return merge_tiny(kernels.watershed(kernels.sobel(kernels.gaussian(gray, 1.0)), markers)) if markers.any() else np.zeros(gray.shape, int)
 
 
 def ensemble(rgb: np.ndarray) -> np.ndarray:
-    """Engines admitted by saturation vote with their consistency as weight; the lowest label wins ties."""
+    """Engines admitted by saturation vote with their consistency as weight; the lowest label wins ties.
+
+    Each engine's labels are first taken to the baseline's colours.
+    """
     share = float((np.ptp(rgb, axis=2) > 80).mean())
     votes = [v4_kmeans(rgb)] + ([kmeans_full(rgb)] if share >= 0.1 else []) + ([edge_guided(rgb)] if share >= 0.5 else [])
     if len(votes) == 1:
         return votes[0]
+    common = seeds(rgb)
+    votes = [votes[0], *(to_common(rgb, v, common) for v in votes[1:])]
     total = np.zeros((*rgb.shape[:2], max(int(v.max()) for v in votes) + 1))
     for v in votes:
         same = np.logical_and.reduce([v == np.roll(v, s, a) for a in (0, 1) for s in (1, -1)]).mean()

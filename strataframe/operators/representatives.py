@@ -125,6 +125,26 @@ def of_zones(px: DataFrame, zones: DataFrame, layers: int = 5) -> DataFrame:
     return s.withColumn("best", F.min("rank").over(Window.partitionBy("figure_id"))).where("rank = best").select("figure_id", "source", "color_name", "x", "y")
 
 
+def refined(px: DataFrame, points: DataFrame) -> DataFrame:
+    """(figure_id, ord, color_name, x, y, r, g, b, source): points (figure_id, ord, color_name, x, y) moved to the heart of their layers."""
+    wanted = points.groupBy("figure_id").agg(F.array_sort(F.collect_list(F.struct("ord", "color_name", "x", "y"))).alias("points"))
+
+    def run(t: pa.Table) -> pa.Table:
+        _, _, rgb = engines.panel(t)
+        h, w, _ = rgb.shape
+        asked = t.column("points")[0].as_py()
+        at = [(max(0, min(w - 1, p["x"])), max(0, min(h - 1, p["y"]))) for p in asked]
+        raw = np.stack([rgb[max(0, y - 1) : y + 2, max(0, x - 1) : x + 2].reshape(-1, 3).mean(0) for x, y in at])
+        rough = engines.nearest(engines.lab(rgb), engines.lab(raw))
+        found = seeds_.refine(rgb, at, background(rgb), rough, list(engines.seeds(rgb)))
+        rows = [(p["ord"], p["color_name"], x, y, *(float(v) for v in c), s) for p, (c, x, y, s) in zip(asked, found, strict=True)]
+        kinds = (pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.string())
+        return pa.table({n: pa.array(v, k) for n, v, k in zip(("ord", "color_name", "x", "y", "r", "g", "b", "source"), zip(*rows, strict=True), kinds, strict=True)})
+
+    p = px.select("figure_id", "y", "x", "r", "g", "b").join(wanted, "figure_id")
+    return engines.per_figure(p, run, "ord int, color_name string, x int, y int, r double, g double, b double, source string")
+
+
 # ---- missing colours
 
 

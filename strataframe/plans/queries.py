@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strataframe.operators import detection, engines, features, flow, horizon, labels, memory, overlays, panels, properties, refinement, representatives, reviews, sessions, shapes, workflow, worksets
+from strataframe.operators import detection, engines, features, flow, horizon, labels, memory, overlays, panels, properties, refinement, regions, representatives, reviews, sessions, shapes, workflow, worksets
 from strataframe.sources import documents, tables
 from strataframe.sources.tables import table
 
@@ -612,3 +612,39 @@ def fig_classify_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def fig_has_colorbar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.has_colorbar(tables.sheets(spark, sf_dir))
+
+
+@query
+def rep_refined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of a scan down each figure, moved to the heart of their layers."""
+    px = tables.pixels(spark, sf_dir)
+    down = Window.partitionBy("figure_id").orderBy("y")
+    return representatives.refined(px, representatives.scan(px).withColumn("ord", F.row_number().over(down).cast("int")))
+
+
+@query
+def lb_compute_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lb = coarse_layers(spark, sf_dir).join(tables.pixels(spark, sf_dir).drop("label"), ["figure_id", "y", "x"])
+    return regions.compute_all(lb)
+
+
+def moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(figure_id, ord, lbl, x, y, target): two moves a figure, to the layer after the part's own."""
+    f = tables.figure_rows(spark, sf_dir).select("figure_id").distinct()
+    m = F.array(*[F.struct(F.lit(k).alias("ord"), (F.expr("figure_id div 64") % 6 + 1).cast("int").alias("lbl"), F.lit(x).alias("x"), F.lit(y).alias("y")) for k, (x, y) in enumerate([(10, 12), (50, 40)])])
+    return f.select("figure_id", F.explode(m).alias("m")).select("figure_id", "m.*").withColumn("target", (F.col("lbl") % 6 + 1).cast("int"))
+
+
+@query
+def lb_reassigned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_labels(regions.reassign(coarse_layers(spark, sf_dir), moves(spark, sf_dir)))
+
+
+@query
+def lb_drop_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regions.drop_targets(coarse_layers(spark, sf_dir), moves(spark, sf_dir), share=0.05)
+
+
+@query
+def lb_assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_labels(regions.assigned(coarse_layers(spark, sf_dir), moves(spark, sf_dir)))

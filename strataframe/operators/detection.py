@@ -125,9 +125,9 @@ def gap_split(m: DataFrame, ratio: float = 0.15) -> DataFrame:
     every = Window.partitionBy("figure_id", "q")
     lines = lines.withColumns({"a": F.min(full).over(every), "b": F.max(full).over(every)}).where("at between a and b")
     found = lines.groupBy("figure_id", "q", "rows", "cols", "a", "b").agg(F.sum("line").alias("n"))
-    start = lambda axis, side: F.when(F.col("q.line") == axis, F.col("a")).otherwise(F.col(f"q.{axis}")).alias(axis)  # noqa: E731, ARG005
+    start = lambda axis: F.when(F.col("q.line") == axis, F.col("a")).otherwise(F.col(f"q.{axis}")).alias(axis)
     size = lambda axis, side: F.when(F.col("q.line") == axis, F.col("b") + 1 - F.col("a")).otherwise(F.col(f"q.{side}")).alias(side)
-    found = found.where(F.col("n").between(least_area(F.col("rows"), F.col("cols")), most_area(F.col("rows"), F.col("cols")))).select("figure_id", start("x", "w"), start("y", "h"), size("x", "w"), size("y", "h"), "n")
+    found = found.where(F.col("n").between(least_area(F.col("rows"), F.col("cols")), most_area(F.col("rows"), F.col("cols")))).select("figure_id", start("x"), start("y"), size("x", "w"), size("y", "h"), "n")
     return found.select("figure_id", F.row_number().over(Window.partitionBy("figure_id").orderBy("x", "y")).alias("k"), *[F.col(c).cast("int").alias(c) for c in BOX], "n")
 
 

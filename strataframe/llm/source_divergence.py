@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from strataframe.llm.common import LOWER, UPPER, Workspace, leanly, runs_of_texts, shuffle_parts
 
-#: Rows of counts that a task holds before it sends them, and that go to one shard.
+#: Rows of counts that a task holds before it sends them, bytes of text whose counts go to one shard, and kept rows of a shard.
 HELD = 300_000
+TEXT = 8_000_000
 SHARD = 300_000
 #: Bytes of terms: letters, A-Z as a-z, and all beyond ASCII; any other byte ends a term.
 _TERM = bytes(32 if b < 0x41 or 0x5B <= b <= 0x60 or 0x7B <= b <= 0x7F else b for b in range(256)).translate(bytes.maketrans(UPPER.encode(), LOWER.encode()))
@@ -156,14 +157,12 @@ def source_divergence(docs: DataFrame, top: int = 200, min_docs: int = 3, scale:
     rows = docs.select(*(F.coalesce(docs[f"`{c}`"], F.lit("")).alias(x) for c, x in ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))))
     groups = work.write(rows.select("lang", "source").distinct(), "groups")
 
-    def by_shard(df: DataFrame, n: int) -> DataFrame:
-        return df.withColumn("shard", F.pmod(F.xxhash64("lang", "term"), F.lit(max(shuffle_parts(spark), n // SHARD + 1)))).groupBy("shard")
+    def by_shard(df: DataFrame, shards: int) -> DataFrame:
+        return df.withColumn("shard", F.pmod(F.xxhash64("lang", "term"), F.lit(max(shuffle_parts(spark), shards)))).groupBy("shard")
 
-    counts = work.write(rows.mapInArrow(term_counts, _COUNTS), "counts")
-    kept = by_shard(counts, counts.count()).applyInArrow(kept_terms(min_docs), "lang string, source string, term string, n long")
-    kept = work.write(kept, "kept")
-    del counts
-    work.drop("counts")
+    size = int(rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
+    counts = by_shard(rows.mapInArrow(term_counts, _COUNTS), size // TEXT + 1)
+    kept = work.write(counts.applyInArrow(kept_terms(min_docs), "lang string, source string, term string, n long"), "kept")
 
     # The totals of every group, and of each language (with a null source there).
     sums = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("own"))
@@ -171,7 +170,7 @@ def source_divergence(docs: DataFrame, top: int = 200, min_docs: int = 3, scale:
     totals = sums.join(langs, "lang").select("lang", "source", "total", "terms", "own")
     known = kept.withColumn("at", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))
     known = known.join(totals.select("lang", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")).alias("at"), "total", "terms"), ["lang", "at"]).drop("at")
-    parts = by_shard(known, kept.count()).applyInArrow(partial_sums(top, scale), "kind string, lang string, source string, item string, n long, value decimal(38,0)")
+    parts = by_shard(known, kept.count() // SHARD + 1).applyInArrow(partial_sums(top, scale), "kind string, lang string, source string, item string, n long, value decimal(38,0)")
     parts = work.write(parts, "parts")
 
     sized = groups.join(totals.where("source is not null"), ["lang", "source"], "left").join(langs.withColumnRenamed("terms", "V"), "lang", "left")

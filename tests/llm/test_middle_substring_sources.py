@@ -175,6 +175,7 @@ def test_source_divergence(spark, monkeypatch):
     assert sorted(map(tuple, sv.source_divergence(df, top=5).collect())) == audit(rows, 5)
     monkeypatch.setattr(sv, "HELD", 20)
     monkeypatch.setattr(sv, "SHARD", 10)
+    monkeypatch.setattr(sv, "TEXT", 300)
     assert sorted(map(tuple, sv.source_divergence(df, top=200, min_docs=1).collect())) == audit(rows, 200, 1)
     assert sorted(map(tuple, sv.source_divergence(df, top=3, min_docs=999).collect())) == audit(rows, 3, 999)
 

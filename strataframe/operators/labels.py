@@ -58,7 +58,10 @@ def kmeans_rounds(px: DataFrame, palette: list[tuple[int, int, int]] = PALETTE,
 
         return owned, means
 
-    per = px.groupBy("figure_id", "r", "g", "b").agg(F.count(F.lit(1)).alias("n")).groupBy("figure_id").agg(F.collect_list(F.struct("r", "g", "b", "n")).alias("colors")).withColumn("cs", first)
+    counted = px.groupBy("figure_id", "r", "g", "b").agg(F.count(F.lit(1)).alias("n"))
+    # The rounds are work, not bytes: by size alone all figures would go to one task.
+    counted = counted.repartition(int(px.sparkSession.conf.get("spark.sql.shuffle.partitions")), "figure_id")
+    per = counted.groupBy("figure_id").agg(F.collect_list(F.struct("r", "g", "b", "n")).alias("colors")).withColumn("cs", first)
     for _ in range(rounds - 1):
         owned, means = moved(F.col("cs"), None)
         per = per.withColumn("owned", owned).withColumn("cs", F.transform("cs", means)).drop("owned")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from strataframe.functions import colors, kernels
 from strataframe.operators import engines, panels
+from strataframe.operators.features import beside
 from strataframe.sources.stages import staged
 
 BOX = ("x", "y", "w", "h")
@@ -26,13 +27,13 @@ def mask(px: DataFrame, white: float = 0.94, dark: float | None = None) -> DataF
     kinds = panels.background_type(px).select("figure_id", "background", F.col("h").alias("rows"), F.col("w").alias("cols"))
     gray = colors.gray(F.col("r"), F.col("g"), F.col("b"))
     on = F.when(F.col("background") == "black", gray > (1.0 - white if dark is None else dark)).otherwise(gray < white)
-    return px.join(kinds, "figure_id").select("figure_id", "y", "x", on.alias("on"), "rows", "cols")
+    return beside(px, kinds).select("figure_id", "y", "x", on.alias("on"), "rows", "cols")
 
 
 def page_mask(px: DataFrame, white: int = 245) -> DataFrame:
     """(figure_id, y, x, on, rows, cols): what isn't white, by the mean of the channels."""
     size = px.groupBy("figure_id").agg((F.max("y") + 1).alias("rows"), (F.max("x") + 1).alias("cols"))
-    return px.join(size, "figure_id").select("figure_id", "y", "x", (colors.gray_mean(F.col("r"), F.col("g"), F.col("b")) < white).alias("on"), "rows", "cols")
+    return beside(px, size).select("figure_id", "y", "x", (colors.gray_mean(F.col("r"), F.col("g"), F.col("b")) < white).alias("on"), "rows", "cols")
 
 
 def least_area(rows: Column, cols: Column, share: float = 0.003) -> Column:
@@ -65,7 +66,7 @@ def block_boxes(blocked: DataFrame) -> DataFrame:
 def inside(pixels: DataFrame, boxes: DataFrame) -> DataFrame:
     """The boxes with ``n``, how many of their figure's content pixels lie in each."""
     b = boxes.select("figure_id", *BOX).distinct()
-    hit = pixels.select("figure_id", F.col("y").alias("py"), F.col("x").alias("px")).join(b, "figure_id").where("px >= x and px < x + w and py >= y and py < y + h")
+    hit = pixels.select("figure_id", F.col("y").alias("py"), F.col("x").alias("px")).transform(beside, b).where("px >= x and px < x + w and py >= y and py < y + h")
     n = hit.groupBy("figure_id", *BOX).agg(F.count(F.lit(1)).alias("n"))
     return boxes.drop("n").join(n, ["figure_id", *BOX], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
@@ -117,7 +118,7 @@ def gap_split(m: DataFrame, ratio: float = 0.15) -> DataFrame:
     v2, h2 = F.size("vs") > 1, F.size("hs") > 1
     made = F.when(v2 & h2, F.filter(grid, lambda q: (q.w >= 50) & (q.h >= 30))).when(v2, F.filter(down, lambda q: q.w >= 50)).when(h2, F.filter(along, lambda q: q.h >= 30))
     f = f.select("figure_id", "rows", "cols", F.explode(made).alias("q"))
-    on = m.where("on").select("figure_id", F.col("y").alias("py"), F.col("x").alias("px")).join(f, "figure_id").where("px >= q.x and px < q.x + q.w and py >= q.y and py < q.y + q.h")
+    on = m.where("on").select("figure_id", F.col("y").alias("py"), F.col("x").alias("px")).transform(beside, f).where("px >= q.x and px < q.x + q.w and py >= q.y and py < q.y + q.h")
     lines = on.groupBy("figure_id", "q", "rows", "cols", F.when(F.col("q.line") == "y", F.col("py")).when(F.col("q.line") == "x", F.col("px")).otherwise(0).alias("at")).agg(F.count(F.lit(1)).alias("line"))
     # The first and the last line with enough content, and what lies between them.
     across = F.when(F.col("q.line") == "y", F.col("q.w")).otherwise(F.col("q.h"))
@@ -230,7 +231,7 @@ def detect(px: DataFrame, white: float = 0.94, share: float = 0.003, ratio: floa
     found = sized.where("n >= least and n <= most and w >= 30 and h >= 30").select("figure_id", "k", *BOX)
     found = staged(found, "panel-found")
     none = size.join(found, "figure_id", "left_anti").select("figure_id")
-    split = gap_split(staged(mask(px.join(none, "figure_id", "left_semi"), 0.94, 0.06), "panel-gaps"), ratio).select("figure_id", "k", *BOX)
+    split = gap_split(staged(mask(beside(px, none, "left_semi"), 0.94, 0.06), "panel-gaps"), ratio).select("figure_id", "k", *BOX)
     boxes = staged(merged(found.unionByName(split), 0.3), "panel-boxes")
     number = F.count(F.lit(1)).over(Window.partitionBy("figure_id"))
     boxes = boxes.withColumn("count", number)

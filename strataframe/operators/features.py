@@ -28,9 +28,17 @@ def shape(px: DataFrame) -> DataFrame:
     return px.groupBy("figure_id").agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
 
 
+def beside(px: DataFrame, facts: DataFrame, how: str = "inner") -> DataFrame:
+    """Pixels joined to their figure's few rows of ``facts``, which each task hashes for its own figures.
+
+    By size alone the planner might send either side whole to the driver, or sort the pixels.
+    """
+    return px.join(facts.hint("shuffle_hash"), "figure_id", how)
+
+
 def with_shape(px: DataFrame) -> DataFrame:
-    """A figure's size beside each pixel, by broadcast or shuffle as its size asks."""
-    return px.join(shape(px), "figure_id")
+    """A figure's size beside each pixel."""
+    return beside(px, shape(px))
 
 
 def saturation_ratio(px: DataFrame, threshold: int = 80) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strataframe.functions import curves, kernels
 from strataframe.operators import engines
+from strataframe.operators.features import beside
 from strataframe.operators.horizon import median_of
 from strataframe.sources.stages import staged
 
@@ -66,7 +67,7 @@ def crossings(lb: DataFrame, pairs: DataFrame, sigma: float = 5.0) -> DataFrame:
         return pa.table({"ord": pa.array(ord_, pa.int32()), "x": pa.array(cols, pa.int32()), "yb": pa.array(ys, pa.float64())})
 
     own = pairs.groupBy("figure_id").agg(F.collect_list(F.struct("ord", "top", "bottom")).alias("pairs"))
-    p = lb.select("figure_id", "y", "x", "lbl").join(own, "figure_id")
+    p = lb.select("figure_id", "y", "x", "lbl").transform(beside, own)
     return engines.per_figure(p, run, "ord int, x int, yb double")
 
 
@@ -119,7 +120,7 @@ def zones(lb: DataFrame, pairs: DataFrame, reach: int = 5) -> DataFrame:
 def adjusted(lb: DataFrame, pairs: DataFrame, curve: DataFrame, places: DataFrame, reach: int = 5) -> DataFrame:
     """The label map in which zones follow their curves, from the upper boundary to the lower one; all else stays."""
     size = lb.groupBy("figure_id").agg(F.max("y").alias("last"))
-    z = zones(lb, pairs, reach).join(curve, [*PAIR, "x"]).join(pairs, PAIR).join(places.select(*PAIR, "place"), PAIR).join(size, "figure_id")
+    z = zones(lb, pairs, reach).join(curve, [*PAIR, "x"]).join(pairs, PAIR).join(places.select(*PAIR, "place"), PAIR).transform(beside, size)
     cut = F.greatest(F.lit(0), F.least(F.bround("yb", 0), F.col("last")))
     z = z.groupBy("figure_id", "y", "x").agg(F.array_sort(F.collect_list(F.struct("place", "top", "bottom", (F.col("y") <= cut).alias("above")))).alias("zones"))
     p = lb.select("figure_id", "y", "x", F.col("lbl").cast("int").alias("lbl")).join(z, ["figure_id", "y", "x"], "left")
@@ -151,7 +152,7 @@ def refine(lb: DataFrame, method: str = "savgol", smoothness: float = 1.0) -> tu
     known = staged(contacts(lb, neighbour_pairs(lb)), "refine-pairs")
     pairs = known.drop("contact")
     plan = staged(known.groupBy("figure_id").agg(F.when(F.min("contact") == 0, "blur").otherwise("fit").alias("strategy")), "refine-plan")
-    of = lambda df, strategy: df.join(plan.where(F.col("strategy") == strategy), "figure_id", "left_semi")
+    of = lambda df, strategy: beside(df, plan.where(F.col("strategy") == strategy), "left_semi")
 
     blurred = staged(engines.label_blur(of(lb, "blur"), 15.0), "refine-blurred")
     g = gates(of(lb, "blur"), blurred)
@@ -163,7 +164,7 @@ def refine(lb: DataFrame, method: str = "savgol", smoothness: float = 1.0) -> tu
     places = staged(separated(curve, size), "refine-places")
     n = places.groupBy("figure_id").agg(F.count(F.lit(1)).alias("boundaries"), F.min("ok").alias("ok"))
     ready = n.where("ok")
-    base = lb.join(ready, "figure_id", "left_semi")
+    base = beside(lb, ready, "left_semi")
     moved = staged(adjusted(base, fit_pairs, curve, places), "refine-moved")
     g = gates(base, moved)
     why = F.when(F.col("changed") > 0.15, "changed").when(F.col("layers_after") < F.col("layers_before") - 1, "layers_lost").when(F.col("frag_after") > F.col("frag_before") * 1.2, "fragmentation")
@@ -175,8 +176,8 @@ def refine(lb: DataFrame, method: str = "savgol", smoothness: float = 1.0) -> tu
     said = said.select("figure_id", F.coalesce("strategy", F.lit("none")).alias("strategy"), F.coalesce("boundaries", F.lit(0)).alias("boundaries"), (F.col("strategy").isNotNull() & F.col("reason").isNull()).alias("accepted"), F.when(F.col("strategy").isNull(), "one_layer").otherwise(F.col("reason")).alias("reason"))
     said = staged(said, "refine-decisions")
     taken = said.where("accepted").select("figure_id")
-    new = blurred.select("figure_id", "y", "x", "lbl").unionByName(moved).join(taken, "figure_id", "left_semi")
-    return new.unionByName(lb.join(taken, "figure_id", "left_anti")), said
+    new = blurred.select("figure_id", "y", "x", "lbl").unionByName(moved).transform(beside, taken, "left_semi")
+    return new.unionByName(beside(lb, taken, "left_anti")), said
 
 
 def coarse(px: DataFrame, n_layers: int, sigma: float = 2.0, factor: int = 4) -> DataFrame:

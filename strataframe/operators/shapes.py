@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from strataframe.functions import kernels
 from strataframe.operators import engines
+from strataframe.operators.features import beside
 
 PART = ["figure_id", "lbl", "part"]
 
@@ -170,12 +171,15 @@ def spans(corners: DataFrame) -> DataFrame:
 def within(lb: DataFrame, corners: DataFrame) -> DataFrame:
     """The label map inside each figure's polygon: 0 outside, the labels left numbered from 1 without gaps.
 
-    Figures without a polygon are all 0. A row's covered pixels are an interval join on figure and row.
+    Figures without a polygon are all 0. A polygon's rows and the labels left are arrays of its figure, so
+    that pixels meet them in the task that has them, by the row's place and the label's.
     """
     s = spans(corners).groupBy("figure_id", "y").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    p = lb.select("figure_id", "y", "x", "lbl").join(s, ["figure_id", "y"], "left")
-    inside = F.coalesce(F.exists("spans", lambda q: F.col("x").between(q.lo, q.hi)), F.lit(False))
+    s = s.groupBy("figure_id").agg(F.min("y").alias("first"), F.max("y").alias("last"), F.map_from_entries(F.collect_list(F.struct("y", "spans"))).alias("of"))
+    rows = F.transform(F.sequence("first", "last"), lambda y: F.element_at("of", y))
+    p = lb.select("figure_id", "y", "x", "lbl").transform(beside, s.select("figure_id", "first", rows.alias("rows")), "left")
+    at = F.when(F.col("y") >= F.col("first"), F.get("rows", F.col("y") - F.col("first")))
+    inside = F.coalesce(F.exists(at, lambda q: F.col("x").between(q.lo, q.hi)), F.lit(False))
     p = p.select("figure_id", "y", "x", F.when(inside, F.col("lbl")).otherwise(0).alias("lbl"))
-    left = p.where("lbl <> 0").select("figure_id", "lbl").distinct()
-    number = left.withColumn("new", F.dense_rank().over(Window.partitionBy("figure_id").orderBy("lbl")))
-    return p.join(number, ["figure_id", "lbl"], "left").select("figure_id", "y", "x", F.coalesce("new", F.lit(0)).cast("int").alias("lbl"))
+    left = p.where("lbl <> 0").groupBy("figure_id").agg(F.sort_array(F.collect_set("lbl")).alias("left"))
+    return p.transform(beside, left, "left").select("figure_id", "y", "x", F.coalesce(F.array_position("left", F.col("lbl")), F.lit(0)).cast("int").alias("lbl"))

@@ -43,7 +43,7 @@ def panels_of(px: DataFrame) -> DataFrame:
 def cropped(px: DataFrame, panels: DataFrame) -> DataFrame:
     """The pixels of each panel in its own places; ``figure_id`` is then the text figure#panel, which operators take as any id."""
     b = panels.select("figure_id", "panel_id", F.col("x").alias("x0"), F.col("y").alias("y0"), "w", "h")
-    p = px.join(b, "figure_id").where("x >= x0 and x < x0 + w and y >= y0 and y < y0 + h")
+    p = px.transform(features.beside, b).where("x >= x0 and x < x0 + w and y >= y0 and y < y0 + h")
     return p.select(F.concat_ws("#", "figure_id", "panel_id").alias("figure_id"), (F.col("y") - F.col("y0")).cast("int").alias("y"), (F.col("x") - F.col("x0")).cast("int").alias("x"), "r", "g", "b")
 
 
@@ -53,7 +53,7 @@ def keyed(panels: DataFrame) -> DataFrame:
 
 def without_bars(px: DataFrame) -> DataFrame:
     """Panels without the strip that their colour bar takes, in their new places; what is left below 30 pixels goes."""
-    p = features.with_shape(px).join(features.colorbar(px).select("figure_id", "strip"), "figure_id")
+    p = features.beside(features.with_shape(px), features.colorbar(px).select("figure_id", "strip"))
     size = F.greatest(F.lit(4), F.floor(F.least("h", "w") / 10)).cast("int")
     on = lambda side: F.when(F.col("strip") == side, size).otherwise(0)
     p = p.withColumns({"x0": on("left"), "y0": on("top"), "x1": F.col("w") - on("right"), "y1": F.col("h") - on("bottom")})
@@ -88,7 +88,7 @@ def run(px: DataFrame, reviews: DataFrame | None = None, wanted: DataFrame | Non
     row = features.feature_row(px)
     kinds = features.classify(row).select("figure_id", "figure_type")
     gate = staged(flow.gate(row.select("figure_id", "w", "h").join(kinds, "figure_id"), reviews, **limits), "flow-gate")
-    ready = px.join(gate.where("status = 'ready'").select("figure_id"), "figure_id", "left_semi")
+    ready = features.beside(px, gate.where("status = 'ready'").select("figure_id"), "left_semi")
     panels = staged(panels_of(ready), "flow-panels")
     own = staged(cropped(ready, panels), "flow-crops")
     facts = staged(features.feature_row(own), "flow-features")
@@ -100,7 +100,7 @@ def run(px: DataFrame, reviews: DataFrame | None = None, wanted: DataFrame | Non
     every = every.join(features.classify(facts).select(F.col("figure_id").alias("key"), "figure_type"), "key", "left")
     every = staged(every, "flow-every")
 
-    todo = own.join(every.where("is_target").select(F.col("key").alias("figure_id")), "figure_id", "left_semi")
+    todo = features.beside(own, every.where("is_target").select(F.col("key").alias("figure_id")), "left_semi")
     body = staged(without_bars(todo), "flow-bodies")
     routed = features.route(features.feature_row(body), features.panel_hash(body))
     first = staged(engines.segment_by(body.join(routed, "figure_id")).join(routed, "figure_id"), "flow-first")

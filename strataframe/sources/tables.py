@@ -49,6 +49,9 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Rows and columns of a sheet.
 SHEET_H, SHEET_W = 160, 200
 
+#: Sheets of one task at most, on the mean: two million pixels.
+SHEETS_A_TASK = 64
+
 
 def sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Figures of several panels (figure_id, y, x, r, g, b): four suppliers make a sheet, each a panel in its quarter.
@@ -57,19 +60,28 @@ def sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     k = F.col("s_suppkey")
     slot = k % 4
-    p = table(spark, sf_dir, "supplier").select(
+    given = table(spark, sf_dir, "supplier")
+    # Before the grouping: after it, a repartition by the same key is dropped as needless, and what is
+    # left is merged by its few bytes into one task that would hold all pixels.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-given.count() // (4 * SHEETS_A_TASK)))
+    p = given.select(
         F.expr("s_suppkey div 4").alias("figure_id"), k.alias("k"),
         (slot % 2 * 100 + 4 + k * 7 % 12).cast("int").alias("x0"), (F.expr("s_suppkey % 4 div 2") * 80 + 3 + k * 5 % 10).cast("int").alias("y0"),
         (40 + k * 13 % 50).cast("int").alias("w"), (32 + k * 11 % 40).cast("int").alias("h"), slot.alias("slot"),
-    )
+    ).repartition(tasks, "figure_id")
     form = F.col("figure_id") % 5
     shown = ~(((form == 1) & (F.col("slot") > 1)) | ((form == 2) & (F.col("slot") % 2 == 1)))
-    s = p.groupBy("figure_id").agg(F.array_sort(F.collect_list(F.when(shown, F.struct("k", "x0", "y0", "w", "h")))).alias("panels"))
-    # A sheet is one short row until here, so a few tasks would hold them all.
-    s = s.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "figure_id")
-    s = s.select("figure_id", "panels", F.explode(F.sequence(F.lit(0), F.lit(SHEET_H - 1))).alias("y")).select("*", F.explode(F.sequence(F.lit(0), F.lit(SHEET_W - 1))).alias("x"))
-    hit = F.filter("panels", lambda q: (F.col("x") >= q.x0) & (F.col("x") < q.x0 + q.w) & (F.col("y") >= q.y0) & (F.col("y") < q.y0 + q.h))
-    own = F.get(F.transform(hit, lambda q: q.k), F.lit(0))
+    one = lambda n: F.max(F.when(shown & (F.col("slot") == n), F.struct("k", "x0", "y0", "w", "h"))).alias(f"p{n}")
+    s = p.groupBy("figure_id").agg(*[one(n) for n in range(4)])
+    # Rows and columns by cross joins: the planner multiplies both sides' sizes, where it takes exploded
+    # rows for as small as the sheets and would send the pixels of all figures to the driver.
+    line = lambda n, axis: F.broadcast(spark.range(0, n, 1, 1).select(F.col("id").cast("int").alias(axis)))
+    s = s.crossJoin(line(SHEET_H, "y"))
+    at = lambda n, c: F.col(f"p{n}.{c}")
+    row = lambda n: (F.col("y") >= at(n, "y0")) & (F.col("y") < at(n, "y0") + at(n, "h"))
+    s = s.select("figure_id", "y", *[F.when(row(n), v).alias(f"{c}{n}") for n in range(4) for c, v in (("k", at(n, "k")), ("lo", at(n, "x0")), ("hi", at(n, "x0") + at(n, "w")))])
+    s = s.crossJoin(line(SHEET_W, "x"))
+    own = F.coalesce(*[F.when((F.col("x") >= F.col(f"lo{n}")) & (F.col("x") < F.col(f"hi{n}")), F.col(f"k{n}")) for n in range(4)])
     dot = (form != 3) | ((F.col("x") % 2 == 0) & (F.col("y") % 2 == 0))
     back = F.when(form == 4, 0).otherwise(255)
     channel = lambda m: F.when(own.isNotNull() & dot, own * m % 200 + F.col("y") * 3 % 40).otherwise(back).cast("int")

@@ -171,15 +171,16 @@ def spans(corners: DataFrame) -> DataFrame:
 def within(lb: DataFrame, corners: DataFrame) -> DataFrame:
     """The label map inside each figure's polygon: 0 outside, the labels left numbered from 1 without gaps.
 
-    Figures without a polygon are all 0. A polygon's rows and the labels left are arrays of its figure, so
-    that pixels meet them in the task that has them, by the row's place and the label's.
+    Figures without a polygon are all 0. The columns covered in each row of a figure, and the labels left, are
+    arrays of the figure, so that pixels meet them in the task that has them, by place and without lambdas.
     """
-    s = spans(corners).groupBy("figure_id", "y").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    s = s.groupBy("figure_id").agg(F.min("y").alias("first"), F.max("y").alias("last"), F.map_from_entries(F.collect_list(F.struct("y", "spans"))).alias("of"))
-    rows = F.transform(F.sequence("first", "last"), lambda y: F.element_at("of", y))
-    p = lb.select("figure_id", "y", "x", "lbl").transform(beside, s.select("figure_id", "first", rows.alias("rows")), "left")
-    at = F.when(F.col("y") >= F.col("first"), F.get("rows", F.col("y") - F.col("first")))
-    inside = F.coalesce(F.exists(at, lambda q: F.col("x").between(q.lo, q.hi)), F.lit(False))
+    size = lb.groupBy("figure_id").agg(F.max("y").alias("last"), F.max("x").alias("end"))
+    s = beside(spans(corners), size).withColumns({"lo": F.greatest("lo", F.lit(0)), "hi": F.least("hi", "end")}).where("y between 0 and last and lo <= hi")
+    s = s.groupBy("figure_id", "y").agg(F.first("last").alias("last"), F.array_distinct(F.flatten(F.collect_list(F.sequence("lo", "hi")))).alias("xs"))
+    s = s.groupBy("figure_id").agg(F.first("last").alias("last"), F.map_from_entries(F.collect_list(F.struct("y", "xs"))).alias("of"))
+    rows = F.transform(F.sequence(F.lit(0), F.col("last")), lambda y: F.element_at("of", y))
+    p = lb.select("figure_id", "y", "x", "lbl").transform(beside, s.select("figure_id", rows.alias("rows")), "left")
+    inside = F.coalesce(F.array_contains(F.get("rows", F.col("y")), F.col("x")), F.lit(False))
     p = p.select("figure_id", "y", "x", F.when(inside, F.col("lbl")).otherwise(0).alias("lbl"))
     left = p.where("lbl <> 0").groupBy("figure_id").agg(F.sort_array(F.collect_set("lbl")).alias("left"))
     return p.transform(beside, left, "left").select("figure_id", "y", "x", F.coalesce(F.array_position("left", F.col("lbl")), F.lit(0)).cast("int").alias("lbl"))

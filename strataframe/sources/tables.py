@@ -53,6 +53,16 @@ SHEET_H, SHEET_W = 160, 200
 SHEETS_A_TASK = 64
 
 
+def by_sheet(rows: DataFrame) -> DataFrame:
+    """Rows of suppliers dealt by their sheet (figure_id), before any grouping.
+
+    After one, a repartition by the same key is dropped as needless, and what is left is merged by its
+    few bytes into one task that would hold all pixels.
+    """
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(least, -(-rows.count() // (4 * SHEETS_A_TASK))), "figure_id")
+
+
 def sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Figures of several panels (figure_id, y, x, r, g, b): four suppliers make a sheet, each a panel in its quarter.
 
@@ -60,15 +70,11 @@ def sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     k = F.col("s_suppkey")
     slot = k % 4
-    given = table(spark, sf_dir, "supplier")
-    # Before the grouping: after it, a repartition by the same key is dropped as needless, and what is
-    # left is merged by its few bytes into one task that would hold all pixels.
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-given.count() // (4 * SHEETS_A_TASK)))
-    p = given.select(
+    p = table(spark, sf_dir, "supplier").select(
         F.expr("s_suppkey div 4").alias("figure_id"), k.alias("k"),
         (slot % 2 * 100 + 4 + k * 7 % 12).cast("int").alias("x0"), (F.expr("s_suppkey % 4 div 2") * 80 + 3 + k * 5 % 10).cast("int").alias("y0"),
         (40 + k * 13 % 50).cast("int").alias("w"), (32 + k * 11 % 40).cast("int").alias("h"), slot.alias("slot"),
-    ).repartition(tasks, "figure_id")
+    ).transform(by_sheet)
     form = F.col("figure_id") % 5
     shown = ~(((form == 1) & (F.col("slot") > 1)) | ((form == 2) & (F.col("slot") % 2 == 1)))
     one = lambda n: F.max(F.when(shown & (F.col("slot") == n), F.struct("k", "x0", "y0", "w", "h"))).alias(f"p{n}")

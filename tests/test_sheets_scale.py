@@ -2,7 +2,8 @@
 
 import pytest
 
-from strataframe.operators import detection, features
+from strataframe.operators import detection, features, shapes
+from strataframe.plans import queries
 from strataframe.sources import tables
 
 
@@ -32,3 +33,14 @@ def test_facts_of_figures_are_hashed_by_task(spark, sf_dir):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "ShuffledHashJoin" in plan and "BroadcastHashJoin" not in plan
         assert plan.count("Exchange hashpartitioning") == plan.count("FileScan parquet")  # the suppliers of each side, and no pixels
+
+
+def test_drawn_polygons_are_dealt_to_all_tasks(spark, sf_dir):
+    assert queries.drawn(spark, sf_dir).rdd.getNumPartitions() >= int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_pixels_within_a_polygon_beyond_the_figure(spark):
+    lb = spark.sql("select 1L figure_id, cast(y as int) y, cast(x as int) x, 3 lbl from (select id y from range(6)), (select id x from range(8))")
+    corners = spark.createDataFrame([(1, 0, -5, -4), (1, 1, 3, -4), (1, 2, 3, 100000), (1, 3, -5, 100000)], "figure_id long, k int, x int, y int")
+    got = {(r.y, r.x): r.lbl for r in shapes.within(lb, corners).collect()}
+    assert got == {(y, x): int(x <= 3) for y in range(6) for x in range(8)}

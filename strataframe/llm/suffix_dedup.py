@@ -190,70 +190,82 @@ def common_prefixes(text: np.ndarray, sa: np.ndarray, rank: np.ndarray, most: in
     return out
 
 
+def shared_by_neighbours(text: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """Whether each place but the first has the string of ``width`` bytes of the place before it in the list."""
+    same = np.ones(max(len(at) - 1, 0), bool)
+    if len(same):
+        words, left = eights(text), np.arange(len(same))
+        for k in steps(width):
+            left = left[words[at[left] + k] == words[at[left + 1] + k]]
+        same[:] = False
+        same[left] = True
+    return same
+
+
 class Shard:
     """A suffix array over some segments; classes are the distinct strings of ``width`` bytes at window starts."""
 
     def __init__(self, text: np.ndarray, starts: np.ndarray, docs: np.ndarray, width: int):
         """starts: positions of windows; docs: the smallest document that has each."""
-        self.text, self.width = text, width
-        sa, rank = suffix_array(text)
-        lcp = common_prefixes(text, sa, rank, width)
+        _, rank = suffix_array(text)
         at_rank = np.full(len(text), -1, np.int64)
         at_rank[rank[starts]] = np.arange(len(starts))
-        place = np.flatnonzero(at_rank >= 0)
-        ordered = at_rank[place]
-        # A class ends where, between two windows in suffix order, some prefix is short.
-        short = np.cumsum(lcp[sa] < width)
-        fresh = np.r_[True, short[place[1:]] != short[place[:-1]]][: len(place)]
+        ordered = at_rank[at_rank >= 0]
+        # A class ends where a window shares less than the width with the one before it in suffix order.
+        fresh = np.r_[True, ~shared_by_neighbours(text, starts[ordered], width)][: len(ordered)]
         self.class_of = np.empty(len(starts), np.int64)
         self.class_of[ordered] = np.cumsum(fresh) - 1
         self.at = starts[ordered][fresh]
         self.least = np.minimum.reduceat(docs[ordered], np.flatnonzero(fresh)) if len(starts) else docs[:0]
-        self.words = words_at(text)
-
-    def key(self, k: int, at: np.ndarray) -> np.ndarray:
-        """The k-th eight bytes of the strings at these positions, cut at the width."""
-        left = self.width - 8 * k
-        x = self.words[np.minimum(at + 8 * k, len(self.words) - 1)]
-        return x if left >= 8 else x >> np.uint64(8 * (8 - left))
-
-    def find(self, other: Shard) -> np.ndarray:
-        """By binary search: for each class of ``other`` its class here, or -1."""
-        parts = range(-(-self.width // 8))
-        keys = [other.key(k, other.at) for k in parts]
-        low, high = np.zeros(len(other.at), np.int64), np.full(len(other.at), len(self.at), np.int64)
-
-        def compare(mid: np.ndarray, rows: np.ndarray) -> np.ndarray:
-            out, todo = np.zeros(len(rows), np.int64), np.arange(len(rows))
-            for k in parts:
-                mine, theirs = self.key(k, self.at[mid[todo]]), keys[k][rows[todo]]
-                out[todo] = (mine > theirs).astype(np.int64) - (mine < theirs)
-                todo = todo[mine == theirs]
-                if not len(todo):
-                    break
-            return out
-
-        while (go := np.flatnonzero(low < high)).size:
-            mid = (low[go] + high[go]) // 2
-            less = compare(mid, go) < 0
-            low[go[less]] = mid[less] + 1
-            high[go[~less]] = mid[~less]
-        inside = np.flatnonzero(low < len(self.at))
-        same = compare(low[inside], inside) == 0
-        out = np.full(len(other.at), -1, np.int64)
-        out[inside[same]] = low[inside[same]]
-        return out
+
+
+def eights(text: np.ndarray) -> np.ndarray:
+    """The eight bytes at each place, in the machine's order, without a copy."""
+    return np.ndarray((len(text) - 7,), "<u8", np.ascontiguousarray(text).data, strides=(1,))
+
+
+def steps(width: int) -> list[int]:
+    """Where eight bytes start that together cover a string of ``width``, eight at least."""
+    return [*range(0, width - 8, 8), width - 8]
+
+
+def equal_strings(text: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """A number for the string of ``width`` bytes, eight at least, at each place, equal for equal strings; those of one hash are compared in full."""
+    words = eights(text)
+    key = np.zeros(len(at), np.uint64)
+    for k in steps(width):
+        w = words[at + k]
+        key = key * np.uint64(_ROLL) + (w ^ (w >> np.uint64(29)))
+    key = mix(key)
+    order = np.argsort(key)
+    held = key[order]
+    fresh = np.r_[True, held[1:] != held[:-1]][: len(at)]
+    group = np.cumsum(fresh) - 1
+    number = np.empty(len(at), np.int64)
+    number[order] = group
+    # Equal hashes of different strings get numbers of their own.
+    again = np.flatnonzero(~fresh)
+    mine, first = at[order[again]], at[order[np.flatnonzero(fresh)[group[again]]]]
+    differs = np.zeros(len(again), bool)
+    for k in steps(width):
+        differs |= words[mine + k] != words[first + k]
+    if differs.any():
+        rows = np.flatnonzero(np.isin(number, group[again[differs]]))
+        strings = text[at[rows][:, None] + np.arange(width)]
+        number[rows] = len(at) + np.unique(strings, axis=0, return_inverse=True)[1].ravel()
+    return number
 
 
 def smallest_documents(text: np.ndarray, start: np.ndarray, size: np.ndarray, docs: np.ndarray, width: int, most: int = SHARD) -> np.ndarray:
     """For every window of distinct segments, in order, the smallest document that has its string.
 
-    Segments are dealt to shards of at most ``most`` bytes; each has its own suffix array, and
-    the classes of one are found in the others by binary search.
+    Segments are dealt to shards of about ``most`` bytes; each has its own suffix array, and the
+    classes of all shards meet in one sort by their strings' hashes.
     """
     windows = size - width + 1
     cut = (np.cumsum(size) - 1) // most
     shards: list[Shard] = []
+    places: list[np.ndarray] = []
     for k in range(int(cut[-1]) + 1 if len(cut) else 0):
         some = np.flatnonzero(cut == k)
         if not len(some):
@@ -261,13 +273,16 @@ def smallest_documents(text: np.ndarray, start: np.ndarray, size: np.ndarray, do
         lo = int(start[some[0]])
         part = text[lo : int(start[some[-1]] + size[some[-1]])]
         shards.append(Shard(part, ragged(start[some] - lo, windows[some]), np.repeat(docs[some], windows[some]), width))
-    for i, one in enumerate(shards):
-        for two in shards[i + 1 :]:
-            at = one.find(two)
-            hit = np.flatnonzero(at >= 0)
-            least = np.minimum(one.least[at[hit]], two.least[hit])
-            one.least[at[hit]] = least
-            two.least[hit] = least  # the last shard with a class has its minimum, and the others get it there
+        places.append(shards[-1].at + lo)
+    if len(shards) > 1:
+        number = equal_strings(text, np.concatenate(places), width)
+        _, number = np.unique(number, return_inverse=True)
+        least = np.concatenate([s.least for s in shards])
+        lowest = np.full(int(number.max()) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(lowest, number, least)
+        ends = np.cumsum([0, *(len(s.least) for s in shards)])
+        for s, a, b in zip(shards, ends[:-1], ends[1:], strict=True):
+            s.least = lowest[number[a:b]]
     return np.concatenate([s.least[s.class_of] for s in shards]) if shards else docs[:0]
 
 
@@ -278,12 +293,12 @@ def same_segments(text: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.n
     """A number for each segment, equal for equal contents; contents of one hash are compared in full."""
     if not len(start):
         return np.zeros(0, np.int64)
-    words = np.ndarray((len(text) - 7,), "<u8", np.ascontiguousarray(text).data, strides=(1,))  # the eight bytes at each place
+    words = eights(text)
     each = -(-size // 8)
     power = np.ones(int(each.max()), np.uint64)
     power[1:] = np.cumprod(np.full(len(power) - 1, _ROLL, np.uint64))
 
-    def eights(some: slice | np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def covering(some: slice | np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The words that cover the segments (the last one ends with its segment), their numbers, where segments start."""
         n = each[some]
         first = np.cumsum(n) - n
@@ -292,7 +307,7 @@ def same_segments(text: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.n
 
     key = np.empty(len(start), np.uint64)
     for some in spans_of(size):
-        w, k, first = eights(some, start[some])
+        w, k, first = covering(some, start[some])
         key[some] = np.add.reduceat((w ^ (w >> np.uint64(29))) * power[k], first)
     key = mix(key + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     _, head, number = np.unique(key, return_index=True, return_inverse=True)
@@ -302,8 +317,8 @@ def same_segments(text: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.n
     check = np.flatnonzero(~differs & (first != np.arange(len(start))))
     for some in spans_of(size[check]):
         like = check[some]
-        one, _, at = eights(like, start[like])
-        two, _, _ = eights(like, start[first[like]])
+        one, _, at = covering(like, start[like])
+        two, _, _ = covering(like, start[first[like]])
         differs[like] = ~np.logical_and.reduceat(one == two, at)
     number = number.copy()
     number[differs] = len(head) + np.flatnonzero(differs)

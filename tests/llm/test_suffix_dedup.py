@@ -89,3 +89,31 @@ def test_empty_null_ids_and_clashing_columns(spark):
     df = spark.createDataFrame([(None, t, 1), (4, t, 1), (7, t, 1), (7, t, 1)], "doc_id long, text string, mark int")
     got = sorted((str(r.doc_id), r.n_removed) for r in sd.suffix_dedup(df).collect())
     assert got == [("4", 0), ("7", len(t)), ("7", len(t)), ("None", 0)]
+
+
+def test_strings_of_one_hash_are_told_apart(monkeypatch):
+    text = np.frombuffer(b"abcdefghijkl" * 3 + b"abcdefghijkX", np.uint8)
+    at = np.array([0, 12, 1, 24, 36, 13, 2])
+    want = [bytes(text[a : a + 12]) for a in at]
+    for collide in (False, True):
+        if collide:
+            monkeypatch.setattr(sd, "mix", lambda h: h * np.uint64(0))
+        got = sd.equal_strings(text, at, 12).tolist()
+        assert all((got[i] == got[j]) == (want[i] == want[j]) for i in range(len(at)) for j in range(len(at)))
+
+
+def test_shards_meet_in_one_sort(monkeypatch):
+    calls = []
+    real = sd.equal_strings
+    monkeypatch.setattr(sd, "equal_strings", lambda *a: calls.append(len(a[1])) or real(*a))
+    rng = np.random.default_rng(3)
+    text = rng.integers(97, 99, 6000).astype(np.uint8)
+    size = np.full(100, 60)
+    docs = rng.permutation(100)
+    got = sd.smallest_documents(text, np.cumsum(size) - size, size, docs, 30, most=300)
+    least: dict[bytes, int] = {}
+    strings = [(bytes(text[60 * k + j : 60 * k + j + 30]), docs[k]) for k in range(100) for j in range(31)]
+    for s, d in strings:
+        least[s] = min(least.get(s, d), d)
+    assert got.tolist() == [least[s] for s, _ in strings]
+    assert len(calls) == 1 and calls[0] <= len(strings)  # each class once, however many shards

@@ -340,23 +340,31 @@ def segment_by(px: DataFrame) -> DataFrame:
     return px.select("figure_id", "y", "x", "r", "g", "b", "engine").transform(per_figure, run, "y int, x int, lbl int, error string, failed boolean")
 
 
+def labelled_parts(y: np.ndarray, x: np.ndarray, lbl: np.ndarray, eight: bool = False) -> tuple[np.ndarray, ...]:
+    """(label, number, order, head, area) of a figure's parts: ``order`` has the pixels part by part, ``head`` where each begins."""
+    grid, part = np.full((y.max() + 1, x.max() + 1), -1), np.empty(len(y), np.int64)
+    grid[y, x] = lbl
+    for k in np.unique(lbl):
+        own = lbl == k
+        part[own] = kernels.components(grid == k, eight)[0][y[own], x[own]]
+    order = np.lexsort((part, lbl))
+    a, b = lbl[order], part[order]
+    head = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+    return a[head], b[head], order, head, np.diff(np.r_[head, len(order)])
+
+
 def parts(lb: DataFrame, eight: bool = False) -> DataFrame:
     """Connected components: (figure_id, lbl, part, area, x0, y0, x1, y1, cx, cy)."""
 
     def run(t: pa.Table) -> pa.Table:
         y, x, lbl = (t.column(c).to_numpy().astype(int) for c in ("y", "x", "lbl"))
-        grid = np.full((y.max() + 1, x.max() + 1), -1)
-        grid[y, x] = lbl
-        rows = []
-        for k in np.unique(lbl):
-            comp, n = kernels.components(grid == k, eight)
-            for c in range(1, n + 1):
-                py, px = np.nonzero(comp == c)
-                rows.append((int(k), c, len(py), px.min(), py.min(), px.max(), py.max(), px.mean(), py.mean()))
-        cols = list(zip(*rows, strict=True))
+        k, part, order, head, area = labelled_parts(y, x, lbl, eight)
+        y, x = y[order], x[order]
+        least, most, total = (lambda v, f=f: f.reduceat(v, head) if len(head) else v[:0] for f in (np.minimum, np.maximum, np.add))
+        values = [k, part, area, least(x), least(y), most(x), most(y), total(x) / area, total(y) / area]
         names = ["lbl", "part", "area", "x0", "y0", "x1", "y1", "cx", "cy"]
         kinds = [pa.int32(), pa.int32(), pa.int64(), *[pa.int32()] * 4, pa.float64(), pa.float64()]
-        return pa.table({n: pa.array(list(map(float if k == pa.float64() else int, v)), k) for n, v, k in zip(names, cols, kinds, strict=True)})
+        return pa.table({n: pa.array(v, t) for n, v, t in zip(names, values, kinds, strict=True)})
 
     return lb.select("figure_id", "y", "x", "lbl").transform(per_figure, run, "lbl int, part int, area long, x0 int, y0 int, x1 int, y1 int, cx double, cy double")
 

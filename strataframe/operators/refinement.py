@@ -46,12 +46,13 @@ def crossings(lb: DataFrame, pairs: DataFrame, sigma: float = 5.0) -> DataFrame:
     with fewer than three columns, or whose rows scatter by more than a tenth of the height, give none.
     """
 
-    def run(t: pa.Table) -> pa.Table:
+    def run(t: pa.Table, own: pa.Table) -> pa.Table:
+        out, ids = [], t.column("figure_id")
         y, x, lbl = (t.column(c).to_numpy().astype(int) for c in ("y", "x", "lbl"))
-        grid = np.full((y.max() + 1, x.max() + 1), -1)
-        grid[y, x] = lbl
-        out = []
-        for ord_, top, bottom in sorted((p["ord"], p["top"], p["bottom"]) for p in t.column("pairs")[0].as_py()):
+        if t.num_rows and own.num_rows:
+            grid = np.full((y.max() + 1, x.max() + 1), -1)
+            grid[y, x] = lbl
+        for ord_, top, bottom in sorted(zip(*(own.column(c).to_pylist() for c in ("ord", "top", "bottom")), strict=True)) if t.num_rows else ():
             v = kernels.gaussian((grid == top).astype(float) - (grid == bottom), sigma)
             both = (v > 0).any(0) & (v < 0).any(0)
             down = (v[:-1] > 0) & (v[1:] <= 0)
@@ -64,11 +65,13 @@ def crossings(lb: DataFrame, pairs: DataFrame, sigma: float = 5.0) -> DataFrame:
             if len(cols) >= 3 and np.median(np.abs(ys - np.median(ys))) <= len(v) / 10:
                 out.append((np.full(len(cols), ord_), cols, ys))
         ord_, cols, ys = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
-        return pa.table({"ord": pa.array(ord_, pa.int32()), "x": pa.array(cols, pa.int32()), "yb": pa.array(ys, pa.float64())})
+        held = pa.repeat(ids[0], len(ord_)) if len(ord_) else pa.array([], ids.type)
+        return pa.table({"figure_id": held, "ord": pa.array(ord_, pa.int32()), "x": pa.array(cols, pa.int32()), "yb": pa.array(ys, pa.float64())})
 
-    own = pairs.groupBy("figure_id").agg(F.collect_list(F.struct("ord", "top", "bottom")).alias("pairs"))
-    p = lb.select("figure_id", "y", "x", "lbl").transform(beside, own)
-    return engines.per_figure(p, run, "ord int, x int, yb double")
+    # The pairs come beside a figure's pixels once; joined to each pixel, they would be most of what goes to the kernel.
+    own = pairs.select(F.col("figure_id").alias("own"), "ord", "top", "bottom").groupBy("own")
+    kind = lb.schema["figure_id"].dataType.simpleString()
+    return lb.select("figure_id", "y", "x", "lbl").groupBy("figure_id").cogroup(own).applyInArrow(run, f"figure_id {kind}, ord int, x int, yb double")
 
 
 def fitted(points: DataFrame, method: str = "savgol", smoothness: float = 1.0) -> DataFrame:
@@ -118,24 +121,83 @@ def zones(lb: DataFrame, pairs: DataFrame, reach: int = 5) -> DataFrame:
 
 
 def adjusted(lb: DataFrame, pairs: DataFrame, curve: DataFrame, places: DataFrame, reach: int = 5) -> DataFrame:
-    """The label map in which zones follow their curves, from the upper boundary to the lower one; all else stays."""
-    size = lb.groupBy("figure_id").agg(F.max("y").alias("last"))
-    z = zones(lb, pairs, reach).join(curve, [*PAIR, "x"]).join(pairs, PAIR).join(places.select(*PAIR, "place"), PAIR).transform(beside, size)
-    cut = F.greatest(F.lit(0), F.least(F.bround("yb", 0), F.col("last")))
-    z = z.groupBy("figure_id", "y", "x").agg(F.array_sort(F.collect_list(F.struct("place", "top", "bottom", (F.col("y") <= cut).alias("above")))).alias("zones"))
-    p = lb.select("figure_id", "y", "x", F.col("lbl").cast("int").alias("lbl")).join(z, ["figure_id", "y", "x"], "left")
-    step = lambda acc, q: F.when((acc == q.top) | (acc == q.bottom), F.when(q.above, q.top).otherwise(q.bottom)).otherwise(acc).cast("int")
-    return p.select("figure_id", "y", "x", F.when(F.col("zones").isNull(), F.col("lbl")).otherwise(F.aggregate("zones", F.col("lbl"), step)).alias("lbl"))
+    """The label map in which zones follow their curves, from the upper boundary to the lower one; all else stays.
+
+    A figure's pixels meet its curves in one grouped map, which finds the ``zones`` of its pairs itself.
+    """
+
+    def run(t: pa.Table, facts: pa.Table) -> pa.Table:
+        if not t.num_rows or not facts.num_rows:
+            return t
+        y, x, was = (t.column(c).to_numpy().astype(int) for c in ("y", "x", "lbl"))
+        lbl = was.copy()
+        beside_ = []
+        for line, at in ((y, x), (x, y)):
+            order = np.lexsort((at, line))
+            one, two = order[:-1], order[1:]
+            near = (line[one] == line[two]) & (was[one] != was[two])
+            beside_.append((one[near], two[near]))
+        one, two = (np.concatenate(s) for s in zip(*beside_, strict=True))
+        place, top, bottom, col, yb = (facts.column(c).to_numpy() for c in ("place", "top", "bottom", "x", "yb"))
+        for k in np.unique(place):
+            own = (place == k) & (col <= x.max())
+            if not own.any():
+                continue
+            upper, lower = top[own][0], bottom[own][0]
+            cut = np.full(x.max() + 1, np.nan)
+            cut[col[own]] = np.clip(np.rint(yb[own]), 0, y.max())
+            meet = ((was[one] == upper) & (was[two] == lower)) | ((was[one] == lower) & (was[two] == upper))
+            edge = np.zeros((y.max() + 1, x.max() + 1), bool)
+            edge[y[one[meet]], x[one[meet]]] = edge[y[two[meet]], x[two[meet]]] = True
+            wide = np.pad(edge, reach)
+            zone = edge.copy()
+            for dy in range(-reach, reach + 1):
+                for dx in range(abs(dy) - reach, reach - abs(dy) + 1):
+                    zone |= wide[reach + dy : reach + dy + edge.shape[0], reach + dx : reach + dx + edge.shape[1]]
+            at = np.flatnonzero(zone[y, x] & ~np.isnan(cut[x]) & ((lbl == upper) | (lbl == lower)))
+            lbl[at] = np.where(y[at] <= cut[x[at]], upper, lower)
+        return t.set_column(t.schema.get_field_index("lbl"), "lbl", pa.array(lbl, pa.int32()))
+
+    p = lb.select("figure_id", "y", "x", F.col("lbl").cast("int").alias("lbl"))
+    facts = curve.join(pairs, PAIR).join(places.select(*PAIR, "place"), PAIR).select(F.col("figure_id").alias("own"), "place", "top", "bottom", "x", "yb")
+    return p.groupBy("figure_id").cogroup(facts.groupBy("own")).applyInArrow(run, p.schema)
 
 
 def gates(before: DataFrame, after: DataFrame) -> DataFrame:
-    """(figure_id, changed, layers_before, layers_after, frag_before, frag_after) of two label maps."""
-    layer = lambda c: F.when(F.col(c) != 0, F.col(c))
-    b = before.select("figure_id", "y", "x", "lbl").join(after.select("figure_id", "y", "x", F.col("lbl").alias("new")), ["figure_id", "y", "x"])
-    s = b.groupBy("figure_id").agg(F.avg(F.when(F.col("lbl") != F.col("new"), 1.0).otherwise(0.0)).alias("changed"), F.count_distinct(layer("lbl")).alias("layers_before"), F.count_distinct(F.when(F.col("new") >= 0, F.col("new"))).alias("layers_after"))
-    for name, df in (("frag_before", before), ("frag_after", after)):
-        s = s.join(engines.fragmentation(engines.parts(df.select("figure_id", "y", "x", "lbl"))).withColumnRenamed("fragmentation", name), "figure_id")
-    return s
+    """(figure_id, changed, layers_before, layers_after, frag_before, frag_after) of two label maps, whose pixels of a figure meet in one grouped map."""
+    names = ["pixels", "changed", "layers_before", "layers_after", *(f"{n}_{of}" for of in ("before", "after") for n in ("small", "all"))]
+
+    def small(y: np.ndarray, x: np.ndarray, lbl: np.ndarray) -> int:
+        """Pixels in small parts of labels with several, see ``engines.fragmentation``."""
+        k, _, _, _, area = engines.labelled_parts(y, x, lbl)
+        _, which, n = np.unique(k, return_inverse=True, return_counts=True)
+        return int(area[(n[which] > 1) & (area < max(50, len(y) // 1000))].sum())
+
+    def run(b: pa.Table, a: pa.Table) -> pa.Table:
+        rows, ids = [], b.column("figure_id")
+        if b.num_rows and a.num_rows:
+            (by, bx, bl), (ay, ax, al) = (tuple(t.column(c).to_numpy().astype(int) for c in ("y", "x", "lbl")) for t in (b, a))
+            wide = max(bx.max(), ax.max()) + 1
+            _, i, j = np.intersect1d(by * wide + bx, ay * wide + ax, assume_unique=True, return_indices=True)
+            was, new = bl[i], al[j]
+            if len(i):
+                rows = [(len(i), int((was != new).sum()), len(np.unique(was[was != 0])), len(np.unique(new[new >= 0])), small(by, bx, bl), len(by), small(ay, ax, al), len(ay))]
+        return pa.table({"figure_id": ids[: len(rows)], **{n: pa.array([r[k] for r in rows], pa.int64()) for k, n in enumerate(names)}})
+
+    of = lambda df, name: df.select(F.col("figure_id").alias(name), "y", "x", "lbl").groupBy(name)
+    kind = before.schema["figure_id"].dataType.simpleString()
+    s = of(before, "figure_id").cogroup(of(after, "own")).applyInArrow(run, f"figure_id {kind}, {', '.join(f'{n} long' for n in names)}")
+    return s.select("figure_id", (F.col("changed") / F.col("pixels")).alias("changed"), "layers_before", "layers_after", *[F.round(F.col(f"small_{of}") / F.col(f"all_{of}"), 5).alias(f"frag_{of}") for of in ("before", "after")])
+
+
+#: Pixels of one task at most, on the mean.
+PIXELS_A_TASK = 2_000_000
+
+
+def dealt(lb: DataFrame) -> DataFrame:
+    """A staged label map dealt by figure once, so that windows, joins and grouped maps of figures need no shuffle of their own."""
+    least = int(lb.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return lb.repartition(max(least, -(-lb.count() // PIXELS_A_TASK)), "figure_id")
 
 
 def refine(lb: DataFrame, method: str = "savgol", smoothness: float = 1.0) -> tuple[DataFrame, DataFrame]:
@@ -147,7 +209,7 @@ def refine(lb: DataFrame, method: str = "savgol", smoothness: float = 1.0) -> tu
     change, more than one layer be lost, or fragmentation grow by a fifth (by half if blurred).
     Decisions: figure_id, strategy (none, blur, fit), boundaries, accepted, reason.
     """
-    lb = staged(lb.select("figure_id", "y", "x", F.col("lbl").cast("int").alias("lbl")), "refine-labels")
+    lb = staged(lb.select("figure_id", "y", "x", F.col("lbl").cast("int").alias("lbl")), "refine-labels").transform(dealt)
     size = lb.groupBy("figure_id").agg((F.max("y") + 1).alias("rows"), (F.max("x") + 1).alias("cols"))
     known = staged(contacts(lb, neighbour_pairs(lb)), "refine-pairs")
     pairs = known.drop("contact")

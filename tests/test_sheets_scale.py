@@ -2,7 +2,7 @@
 
 import pytest
 
-from strataframe.operators import detection, features, shapes
+from strataframe.operators import detection, engines, features, refinement, shapes
 from strataframe.plans import queries
 from strataframe.sources import tables
 
@@ -44,3 +44,24 @@ def test_pixels_within_a_polygon_beyond_the_figure(spark):
     corners = spark.createDataFrame([(1, 0, -5, -4), (1, 1, 3, -4), (1, 2, 3, 100000), (1, 3, -5, 100000)], "figure_id long, k int, x int, y int")
     got = {(r.y, r.x): r.lbl for r in shapes.within(lb, corners).collect()}
     assert got == {(y, x): int(x <= 3) for y in range(6) for x in range(8)}
+
+
+def test_refinement_meets_a_figures_facts_once(spark):
+    lb = spark.sql("select 1L figure_id, cast(y as int) y, cast(x as int) x, 1 + cast(y div 4 as int) lbl from (select id y from range(12)), (select id x from range(8))")
+    pairs = refinement.neighbour_pairs(lb)
+    curve = spark.sql("select 1L figure_id, 0 ord, cast(id as int) x, 5.0D yb from range(8)")
+    places = spark.sql("select 1L figure_id, 0 ord, 1 place, true ok")
+    out = refinement.adjusted(lb, pairs, curve, places)
+    for df in (refinement.crossings(lb, pairs), out, refinement.gates(lb, out)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "FlatMapCoGroupsInArrow" in plan and "Generate" not in plan and "collect_list" not in plan
+    got = {(r.y, r.x): r.lbl for r in out.collect()}
+    assert got == {(y, x): 1 if y <= 5 else 2 if y < 8 else 3 for y in range(12) for x in range(8)}
+    g = refinement.gates(lb, out).first()
+    assert (round(g.changed, 6), g.layers_before, g.layers_after, g.frag_before, g.frag_after) == (round(16 / 96, 6), 3, 3, 0.0, 0.0)
+
+
+def test_parts_of_a_figure_with_holes(spark):
+    rows = [(1, y, x, 1 if x < 2 else 2) for y in range(3) for x in range(4) if (y, x) not in {(1, 0), (1, 1), (0, 3)}]
+    got = {(r.lbl, r.part): (r.area, r.x0, r.y0, r.x1, r.y1, r.cx, r.cy) for r in engines.parts(spark.createDataFrame(rows, "figure_id long, y int, x int, lbl int")).collect()}
+    assert got == {(1, 1): (2, 0, 0, 1, 0, 0.5, 0.0), (1, 2): (2, 0, 2, 1, 2, 0.5, 2.0), (2, 1): (5, 2, 0, 3, 2, 2.4, 1.2)}

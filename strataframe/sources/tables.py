@@ -18,10 +18,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Vectors of one task at most, on the mean: 65,536 pixels.
+VECTORS_A_TASK = 1024
+
+
+def by_figure(rows: DataFrame) -> DataFrame:
+    """Vectors dealt by their figure to as many tasks as their pixels need; by their own few bytes they would be merged into a few."""
+    return rows.repartition(max(1, -(-rows.count() // VECTORS_A_TASK)), "figure_id")
+
+
 def figure_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(figure_id, y, label, embedding): vectors of a figure from the top, in the order of their labels."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
-    e = e.withColumn("figure_id", F.col("vec_id") - F.col("vec_id") % TILE)
+    e = e.withColumn("figure_id", F.col("vec_id") - F.col("vec_id") % TILE).transform(by_figure)
     down = Window.partitionBy("figure_id").orderBy("label", "vec_id")
     return e.select("figure_id", (F.row_number().over(down) - 1).alias("y"), F.col("label").cast("int").alias("label"), "embedding")
 

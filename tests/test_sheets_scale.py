@@ -65,3 +65,9 @@ def test_parts_of_a_figure_with_holes(spark):
     rows = [(1, y, x, 1 if x < 2 else 2) for y in range(3) for x in range(4) if (y, x) not in {(1, 0), (1, 1), (0, 3)}]
     got = {(r.lbl, r.part): (r.area, r.x0, r.y0, r.x1, r.y1, r.cx, r.cy) for r in engines.parts(spark.createDataFrame(rows, "figure_id long, y int, x int, lbl int")).collect()}
     assert got == {(1, 1): (2, 0, 0, 1, 0, 0.5, 0.0), (1, 2): (2, 0, 2, 1, 2, 0.5, 2.0), (2, 1): (5, 2, 0, 3, 2, 2.4, 1.2)}
+
+
+def test_vectors_are_dealt_by_their_number(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "VECTORS_A_TASK", 64)
+    spark.sql("select id as vec_id, cast(id % 5 as int) label, array(1.0F, 2.0F) embedding from range(640)").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert tables.pixels(spark, str(tmp_path)).rdd.getNumPartitions() == 10

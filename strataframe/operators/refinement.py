@@ -90,11 +90,13 @@ def every_column(curve: DataFrame, size: DataFrame, half: int = 5) -> DataFrame:
     """(figure_id, ord, x, yb): the median of the known values around each column, half the height where there are none.
 
     ``size`` has rows and cols of each figure. Beyond the figure its first and last columns go on.
+    The curves are staged, as they are read for their pairs and for their points; their few bytes on disk don't make them fit to broadcast.
     """
+    curve = staged(curve.select(*PAIR, "x", "yb"), "known-curves")
     w = Window.partitionBy(*PAIR).orderBy("x")
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     cols = curve.select(*PAIR).distinct().join(size, "figure_id").withColumn("x", F.explode(F.sequence(F.lit(0), (F.col("cols") - 1).cast("int"))))
-    s = cols.join(curve, [*PAIR, "x"], "left")
+    s = cols.join(curve.hint("merge"), [*PAIR, "x"], "left")
     near = F.collect_list("yb").over(w.rowsBetween(-half, half))
     edge = lambda v, n: F.when(v.isNotNull() & (n > 0), F.array_repeat(v, n.cast("int"))).otherwise(F.expr("cast(array() as array<double>)"))
     s = s.select(*PAIR, "x", "rows", "cols", near.alias("near"), F.first("yb").over(whole).alias("a"), F.last("yb").over(whole).alias("b"))

@@ -71,3 +71,15 @@ def test_vectors_are_dealt_by_their_number(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(tables, "VECTORS_A_TASK", 64)
     spark.sql("select id as vec_id, cast(id % 5 as int) label, array(1.0F, 2.0F) embedding from range(640)").write.parquet(f"{tmp_path}/embeddings.parquet")
     assert tables.pixels(spark, str(tmp_path)).rdd.getNumPartitions() == 10
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_known_curves_are_read_once_and_not_broadcast(spark, sf_dir):
+    plan = plan_of(queries.QUERIES["hz_every_column"](spark, sf_dir))
+    assert "percentile" not in plan  # a stage holds the curves
+    curve = spark.sql("select 1L figure_id, 0 ord, cast(id as int) x, 5.0D yb from range(8) where id <> 3")
+    plan = plan_of(refinement.every_column(curve, spark.sql("select 1L figure_id, 12 rows, 8 cols")))
+    assert "LeftOuter" in plan and not [line for line in plan.splitlines() if "BroadcastHashJoin" in line and "LeftOuter" in line]

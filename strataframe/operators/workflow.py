@@ -85,7 +85,7 @@ def run(px: DataFrame, reviews: DataFrame | None = None, wanted: DataFrame | Non
     baseline's layers, or none with a warning; it never stops the others.
     """
     px = px.select("figure_id", "y", "x", "r", "g", "b")
-    row = features.feature_row(px)
+    row = staged(features.feature_row(px), "flow-rows")
     kinds = features.classify(row).select("figure_id", "figure_type")
     gate = staged(flow.gate(row.select("figure_id", "w", "h").join(kinds, "figure_id"), reviews, **limits), "flow-gate")
     ready = features.beside(px, gate.where("status = 'ready'").select("figure_id"), "left_semi")
@@ -102,15 +102,16 @@ def run(px: DataFrame, reviews: DataFrame | None = None, wanted: DataFrame | Non
 
     todo = features.beside(own, every.where("is_target").select(F.col("key").alias("figure_id")), "left_semi")
     body = staged(without_bars(todo), "flow-bodies")
-    routed = features.route(features.feature_row(body), features.panel_hash(body))
-    first = staged(engines.segment_by(body.join(routed, "figure_id")).join(routed, "figure_id"), "flow-first")
+    # Pixels of a stage are few bytes on disk: unless the joins name the side to hash, they might be broadcast.
+    routed = staged(features.route(features.feature_row(body), features.panel_hash(body)), "flow-routes")
+    first = staged(engines.segment_by(features.beside(body, routed)).transform(features.beside, routed), "flow-first")
     made = layers_found(first)
     again = features.retry_engine(routed, made).where("retry_engine is not null").select("figure_id", F.col("retry_engine").alias("engine"), F.col("engine").alias("retry_from"))
     again = staged(again, "flow-retries")
-    second = staged(engines.segment_by(body.join(again.select("figure_id", "engine"), "figure_id")).join(again, "figure_id"), "flow-second")
+    second = staged(engines.segment_by(features.beside(body, again.select("figure_id", "engine"))).transform(features.beside, again), "flow-second")
     better = layers_found(second).withColumnRenamed("n_layers", "now").join(made, "figure_id").where("now > n_layers").select("figure_id")
     columns = ["figure_id", "y", "x", "lbl", "engine", "retry_from", "error", "failed"]
-    final = first.withColumn("retry_from", F.lit(None).cast("string")).join(better, "figure_id", "left_anti").select(columns).unionByName(second.join(better, "figure_id", "left_semi").select(columns))
+    final = first.withColumn("retry_from", F.lit(None).cast("string")).transform(features.beside, better, "left_anti").select(columns).unionByName(features.beside(second, better, "left_semi").select(columns))
     final = staged(final, "flow-labels")
 
     said = final.groupBy("figure_id").agg(F.first("engine").alias("engine"), F.first("retry_from").alias("retry_from"), F.max("error").alias("error"), F.max("failed").alias("failed"), F.count_distinct(F.when(F.col("lbl") != 0, F.col("lbl"))).alias("n_layers"))
@@ -135,7 +136,7 @@ def run(px: DataFrame, reviews: DataFrame | None = None, wanted: DataFrame | Non
         F.coalesce("total_layers", F.lit(0)).alias("total_layers"), F.coalesce("engines", F.expr("cast(array() as array<string>)")).alias("engines"), F.coalesce(warnings, F.expr("cast(array() as array<string>)")).alias("warnings"),
     )
     ids = p.select("key", *PANEL)
-    lb = final.where("not failed").select(F.col("figure_id").alias("key"), "y", "x", "lbl").join(ids, "key").select(*PANEL, "y", "x", "lbl")
+    lb = final.where("not failed").select(F.col("figure_id").alias("key"), "y", "x", "lbl").join(ids.hint("shuffle_hash"), "key").select(*PANEL, "y", "x", "lbl")
     return Results(figures, p.drop("key", "warning", "said"), lb, layer_properties(lb))
 
 

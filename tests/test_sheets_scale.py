@@ -2,7 +2,7 @@
 
 import pytest
 
-from strataframe.operators import detection, engines, features, refinement, shapes
+from strataframe.operators import detection, engines, features, refinement, shapes, workflow
 from strataframe.plans import queries
 from strataframe.sources import tables
 
@@ -89,3 +89,13 @@ def test_medians_of_columns_are_taken_once_for_both_layers_of_a_pair(spark, sf_d
     lb = queries.bands(spark, sf_dir)
     scans = plan_of(queries.middles(lb)).count("FileScan parquet")
     assert scans == 1 + plan_of(refinement.neighbour_pairs(lb)).count("FileScan parquet")
+
+
+def test_flow_hashes_facts_beside_pixels(spark, monkeypatch):
+    seen, segment_by = [], engines.segment_by
+    monkeypatch.setattr(engines, "segment_by", lambda df: seen.append(plan_of(df)) or segment_by(df))
+    px = spark.sql("select 1L figure_id, cast(y as int) y, cast(x as int) x, cast((y div 20) * 90 as int) r, cast(x % 7 as int) g, 40 b from (select id y from range(60)), (select id x from range(60))")
+    out = workflow.run(px, min_w=30, min_h=30, rejected=())
+    assert out.figures.first().status == "ok" and len(seen) == 2
+    for plan in (*seen, plan_of(out.labels)):
+        assert "ShuffledHashJoin" in plan and "BroadcastHashJoin" not in plan and "Window" not in plan  # features come from a stage

@@ -165,7 +165,8 @@ def has_colorbar(px: DataFrame) -> DataFrame:
     l, a, b = colors.lab(*rgb())
     wide = F.greatest(F.lit(20), F.floor(F.col("w") / 10)), F.greatest(F.lit(20), F.floor(F.col("h") / 10))
     strips = {"r": F.col("x") >= F.col("w") - wide[0], "b": F.col("y") >= F.col("h") - wide[1]}
-    p = p.select("figure_id", "h", "w", l.alias("ll"), a.alias("aa"), b.alias("bb"), *[s.alias(f"in_{n}") for n, s in strips.items()])
+    # Only the strips' pixels are taken to LAB; each figure has some in both.
+    p = p.where(strips["r"] | strips["b"]).select("figure_id", "h", "w", l.alias("ll"), a.alias("aa"), b.alias("bb"), *[s.alias(f"in_{n}") for n, s in strips.items()])
     sd = lambda n, c: F.stddev_pop(F.when(F.col(f"in_{n}"), F.col(c)))
     s = p.groupBy("figure_id").agg(F.first("h").alias("h"), F.first("w").alias("w"), *[sd(n, c).alias(f"{n}_{c}") for n in strips for c in ("ll", "aa", "bb")])
     rich = lambda n: ((F.col(f"{n}_aa") + F.col(f"{n}_bb")) / 2 > 10) & (F.col(f"{n}_ll") > 8)

@@ -91,6 +91,11 @@ def test_medians_of_columns_are_taken_once_for_both_layers_of_a_pair(spark, sf_d
     assert scans == 1 + plan_of(refinement.neighbour_pairs(lb)).count("FileScan parquet")
 
 
+def test_only_the_strips_pixels_are_taken_to_lab(spark, sf_dir):
+    plan = plan_of(features.has_colorbar(tables.sheets(spark, sf_dir)))
+    assert any(word in line and ">=" in line and " OR " in line for line in plan.splitlines() for word in ("Filter", "ShuffledHashJoin"))
+
+
 def test_flow_hashes_facts_beside_pixels(spark, monkeypatch):
     seen, segment_by = [], engines.segment_by
     monkeypatch.setattr(engines, "segment_by", lambda df: seen.append(plan_of(df)) or segment_by(df))

@@ -161,7 +161,7 @@ def adjusted(lb: DataFrame, pairs: DataFrame, curve: DataFrame, places: DataFram
         return t.set_column(t.schema.get_field_index("lbl"), "lbl", pa.array(lbl, pa.int32()))
 
     p = lb.select("figure_id", "y", "x", F.col("lbl").cast("int").alias("lbl"))
-    facts = curve.join(pairs, PAIR).join(places.select(*PAIR, "place"), PAIR).select(F.col("figure_id").alias("own"), "place", "top", "bottom", "x", "yb")
+    facts = curve.join(pairs, PAIR).join(places.select(*PAIR, "place"), PAIR).select(F.col("figure_id").alias("own"), "place", "top", "bottom", F.col("x").alias("x"), "yb")  # x of its own: the curve's may be the pixels'
     return p.groupBy("figure_id").cogroup(facts.groupBy("own")).applyInArrow(run, p.schema)
 
 

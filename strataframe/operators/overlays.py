@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataframe.operators import engines, labels
-from strataframe.operators.features import across, down
+from strataframe.operators.features import across, beside, down, shape
 from strataframe.sources import files
 
 #: How much of a layer's colour each fill shows.
@@ -52,13 +52,23 @@ def overlay(px: DataFrame, lb: DataFrame, fill: str = "blend", alpha: float | No
 
 
 def pictures(px: DataFrame, most: int = 300) -> DataFrame:
-    """(figure_id, width, height, uri): each figure as a PNG in a data address, at most ``most`` pixels wide and high."""
+    """(figure_id, width, height, uri): each figure as a PNG in a data address, at most ``most`` pixels wide and high.
+
+    Every ``step``-th pixel of every ``step``-th row is shown, and only these go to Python; a figure's last row
+    goes too, so that one which lacks them all has a picture.
+    """
+    step = F.greatest(F.lit(1), F.expr(f"(greatest(h, w) + {most - 1}) div {most}"))
+    shown = beside(px, shape(px).withColumn("step", step)).where("(y % step = 0 and x % step = 0) or y = h - 1")
 
     def run(t: pa.Table) -> pa.Table:
-        _, _, rgb = engines.panel(t)
-        step = max(1, -(-max(rgb.shape[:2]) // most))
-        small = rgb[::step, ::step].clip(0, 255).astype(np.uint8)
+        h, w, step = (t.column(c)[0].as_py() for c in ("h", "w", "step"))
+        y, x = t.column("y").to_numpy(), t.column("x").to_numpy()
+        on = (y % step == 0) & (x % step == 0)
+        small = np.zeros((-(-h // step), -(-w // step), 3))
+        for k, c in enumerate("rgb"):
+            small[y[on] // step, x[on] // step, k] = t.column(c).to_numpy()[on]
+        small = small.clip(0, 255).astype(np.uint8)
         uri = "data:image/png;base64," + base64.b64encode(files.png(small)).decode()
         return pa.table({"width": pa.array([small.shape[1]], pa.int32()), "height": pa.array([small.shape[0]], pa.int32()), "uri": pa.array([uri])})
 
-    return px.select("figure_id", "y", "x", "r", "g", "b").transform(engines.per_figure, run, "width int, height int, uri string")
+    return shown.select("figure_id", "y", "x", "r", "g", "b", "h", "w", "step").transform(engines.per_figure, run, "width int, height int, uri string")

@@ -2,7 +2,7 @@
 
 import pytest
 
-from strataframe.operators import detection, engines, features, refinement, shapes, workflow
+from strataframe.operators import detection, engines, features, overlays, refinement, shapes, workflow
 from strataframe.plans import queries
 from strataframe.sources import tables
 
@@ -104,3 +104,13 @@ def test_flow_hashes_facts_beside_pixels(spark, monkeypatch):
     assert out.figures.first().status == "ok" and len(seen) == 2
     for plan in (*seen, plan_of(out.labels)):
         assert "ShuffledHashJoin" in plan and "BroadcastHashJoin" not in plan and "Window" not in plan  # features come from a stage
+
+
+def test_only_shown_pixels_go_to_the_picture(spark, monkeypatch):
+    seen, per_figure = [], engines.per_figure
+    monkeypatch.setattr(engines, "per_figure", lambda df, *a: seen.append(df) or per_figure(df, *a))
+    px = spark.sql("select 1L figure_id, cast(y as int) y, cast(x as int) x, 10 r, 20 g, cast(y as int) b from (select id y from range(12)), (select id x from range(8))")
+    px = px.unionByName(px.where("y % 3 = 1").withColumn("figure_id", px.figure_id + 1))  # the second lacks all that is shown
+    got = {r.figure_id: (r.width, r.height) for r in overlays.pictures(px, most=4).collect()}
+    assert got == {1: (3, 4), 2: (3, 4)}
+    assert {r.figure_id: r["count"] for r in seen[0].groupBy("figure_id").count().collect()} == {1: 4 * 3 + 8, 2: 8}

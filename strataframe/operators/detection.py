@@ -1,7 +1,8 @@
 """Panels of a figure or page: content masks, connected blocks, gaps of projections, layout and what is no panel.
 
 A figure's pixels are labelled by one kernel; all else is grouping, windows and joins by figure,
-whose boxes are a few rows each.
+whose boxes are a few rows each. Joins are hashed by task: by the few bytes of a stage's compressed
+files the planner would send sizes and boxes of all figures to the driver.
 """
 
 from __future__ import annotations
@@ -68,7 +69,7 @@ def inside(pixels: DataFrame, boxes: DataFrame) -> DataFrame:
     b = boxes.select("figure_id", *BOX).distinct()
     hit = pixels.select("figure_id", F.col("y").alias("py"), F.col("x").alias("px")).transform(beside, b).where("px >= x and px < x + w and py >= y and py < y + h")
     n = hit.groupBy("figure_id", *BOX).agg(F.count(F.lit(1)).alias("n"))
-    return boxes.drop("n").join(n, ["figure_id", *BOX], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return boxes.drop("n").join(n.hint("shuffle_hash"), ["figure_id", *BOX], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 # ---- gaps
@@ -150,12 +151,12 @@ def cluster_layout(boxes: DataFrame) -> DataFrame:
     for a in "xy":
         flat = F.col(f"{a}lo") == F.col(f"{a}hi")
         per = per.withColumns({f"{a}hi": F.when(flat, F.col(f"{a}hi") + 0.5).otherwise(F.col(f"{a}hi")), f"{a}lo": F.when(flat, F.col(f"{a}lo") - 0.5).otherwise(F.col(f"{a}lo"))})
-    c = c.join(per, "figure_id")
+    c = beside(c, per)
     step = {a: (F.col(f"{a}hi") - F.col(f"{a}lo")) / F.col("bins") for a in "xy"}
     for a in "xy":
         c = c.withColumn(f"b{a}", F.least(F.floor((F.col(f"c{a}") - F.col(f"{a}lo")) / step[a]), F.col("bins") - 1).cast("int"))
     used = c.groupBy("figure_id").agg(*[F.sort_array(F.collect_set(f"b{a}")).alias(f"u{a}") for a in "xy"])
-    c = c.join(used, "figure_id")
+    c = beside(c, used)
 
     def to_middles(a: str) -> Column:
         """How far the centre lies from the middle of each used bin."""
@@ -226,11 +227,11 @@ def detect(px: DataFrame, white: float = 0.94, share: float = 0.003, ratio: floa
     size = m.groupBy("figure_id").agg(F.max("rows").alias("rows"), F.max("cols").alias("cols"))
     size = size.select("figure_id", least_area(F.col("rows"), F.col("cols"), share).alias("least"), most_area(F.col("rows"), F.col("cols")).alias("most"))
     blocked = staged(blocks(m), "panel-blocks")
-    sized = block_boxes(blocked).join(size, "figure_id").where(F.col("n") >= F.floor(F.col("least") / 5))
-    clean = blocked.join(sized.select("figure_id", F.col("k").alias("part")), ["figure_id", "part"], "left_semi")
+    sized = beside(block_boxes(blocked), size).where(F.col("n") >= F.floor(F.col("least") / 5))
+    clean = blocked.join(sized.select("figure_id", F.col("k").alias("part")).hint("shuffle_hash"), ["figure_id", "part"], "left_semi")
     found = sized.where("n >= least and n <= most and w >= 30 and h >= 30").select("figure_id", "k", *BOX)
     found = staged(found, "panel-found")
-    none = size.join(found, "figure_id", "left_anti").select("figure_id")
+    none = beside(size, found, "left_anti").select("figure_id")
     split = gap_split(staged(mask(beside(px, none, "left_semi"), 0.94, 0.06), "panel-gaps"), ratio).select("figure_id", "k", *BOX)
     boxes = staged(merged(found.unionByName(split), 0.3), "panel-boxes")
     number = F.count(F.lit(1)).over(Window.partitionBy("figure_id"))
@@ -239,7 +240,7 @@ def detect(px: DataFrame, white: float = 0.94, share: float = 0.003, ratio: floa
     boxes = staged(boxes.where("count < 3").drop("count").unionByName(many), "panel-layout")
     every = Window.partitionBy("figure_id")
     boxes = boxes.withColumns({"count": F.count(F.lit(1)).over(every), "largest": F.max(F.col("w") * F.col("h")).over(every)})
-    boxes = inside(clean, boxes.join(size, "figure_id")).where((F.col("w") * F.col("h")).between(F.col("least"), F.col("most")) & (F.col("n") >= F.col("least") * 0.3))
+    boxes = inside(clean, beside(boxes, size)).where((F.col("w") * F.col("h")).between(F.col("least"), F.col("most")) & (F.col("n") >= F.col("least") * 0.3))
     boxes = boxes.where(is_panel(F.col("count"), F.col("largest")))
     place = F.row_number().over(every.orderBy("y", "x")) - 1
     return boxes.select("figure_id", place.alias("panel_id"), *[F.col(b).cast("int").alias(b) for b in BOX], F.round(F.least(F.lit(1.0), F.col("n") / F.col("least")), 6).alias("confidence"))

@@ -114,3 +114,18 @@ def test_only_shown_pixels_go_to_the_picture(spark, monkeypatch):
     got = {r.figure_id: (r.width, r.height) for r in overlays.pictures(px, most=4).collect()}
     assert got == {1: (3, 4), 2: (3, 4)}
     assert {r.figure_id: r["count"] for r in seen[0].groupBy("figure_id").count().collect()} == {1: 4 * 3 + 8, 2: 8}
+
+
+@pytest.mark.parametrize("name", ["panel_detect"])
+def test_panels_send_nothing_of_the_figures_through_the_driver(spark, sf_dir, monkeypatch, name):
+    plans, staged = [], detection.staged
+    monkeypatch.setattr(detection, "staged", lambda df, at: plans.append(plan_of(df)) or staged(df, at))
+    plans.append(plan_of(queries.QUERIES[name](spark, sf_dir)))
+    assert "BroadcastHashJoin" not in "".join(plans)
+    assert all("Range" in below for plan in plans for below in after_broadcasts(plan))
+
+
+def after_broadcasts(plan: str) -> list[str]:
+    """What is sent to all tasks, as two lines below each broadcast: a line of row or column numbers."""
+    lines = plan.splitlines()
+    return ["".join(lines[k + 1 : k + 3]) for k, line in enumerate(lines) if "BroadcastExchange" in line]

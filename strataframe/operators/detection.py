@@ -277,14 +277,14 @@ def detect_page(px: DataFrame, white: int = 245) -> DataFrame:
     """
     m = staged(page_mask(px, white), "page-mask")
     size = m.groupBy("figure_id").agg(F.max("rows").alias("rows"), F.max("cols").alias("cols"))
-    b = block_boxes(blocks(m, eight=False)).join(size, "figure_id").withColumn("density", F.col("n") / (F.col("w") * F.col("h")))
+    b = beside(block_boxes(blocks(m, eight=False)), size).withColumn("density", F.col("n") / (F.col("w") * F.col("h")))
     b = b.where((F.col("w") * F.col("h") >= 0.01 * F.col("rows") * F.col("cols")) & (F.col("h") / F.col("w")).between(0.3, 3.0) & (F.col("density") >= 0.3))
     b = b.select("figure_id", "k", *BOX, (0.7 + 0.2 * F.least("density", F.lit(1.0))).alias("confidence"), F.count(F.lit(1)).over(Window.partitionBy("figure_id")).alias("count"))
     b = staged(b, "page-blocks")
-    cells = gutter_panels(m).join(b.where("count > 1"), "figure_id", "left_semi")
-    kept = b.where("count > 1").drop("count").join(cells, "figure_id", "left_anti").unionByName(cells)
+    cells = beside(gutter_panels(m), b.where("count > 1"), "left_semi")
+    kept = beside(b.where("count > 1").drop("count"), cells, "left_anti").unionByName(cells)
     page = kept.select(F.col("figure_id").alias("page_id"), F.col("k").alias("box_id"), *[F.col(c).cast("long").alias(c) for c in BOX], F.col("confidence").alias("conf"))
     several = panels.suppress(page, 0.5).select(F.col("page_id").alias("figure_id"), F.col("box_id").alias("k"), *BOX, F.col("conf").alias("confidence"))
     found = several.unionByName(b.where("count = 1").select("figure_id", "k", *[F.col(c).cast("long").alias(c) for c in BOX], "confidence"))
-    whole = size.join(found, "figure_id", "left_anti").select("figure_id", F.lit(0).alias("k"), *[v.cast("long").alias(c) for c, v in zip(BOX, (F.lit(0), F.lit(0), F.col("cols"), F.col("rows")), strict=True)], F.lit(0.5).alias("confidence"))
+    whole = beside(size, found, "left_anti").select("figure_id", F.lit(0).alias("k"), *[v.cast("long").alias(c) for c, v in zip(BOX, (F.lit(0), F.lit(0), F.col("cols"), F.col("rows")), strict=True)], F.lit(0.5).alias("confidence"))
     return found.unionByName(whole).withColumn("confidence", F.round("confidence", 6))

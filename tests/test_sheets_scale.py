@@ -116,7 +116,7 @@ def test_only_shown_pixels_go_to_the_picture(spark, monkeypatch):
     assert {r.figure_id: r["count"] for r in seen[0].groupBy("figure_id").count().collect()} == {1: 4 * 3 + 8, 2: 8}
 
 
-@pytest.mark.parametrize("name", ["panel_detect", "panel_detect_page"])
+@pytest.mark.parametrize("name", ["panel_detect", "panel_detect_page", "panel_gap_split", "panel_gap_stretches", "panel_gutters"])
 def test_panels_send_nothing_of_the_figures_through_the_driver(spark, sf_dir, monkeypatch, name):
     plans, staged = [], detection.staged
     monkeypatch.setattr(detection, "staged", lambda df, at: plans.append(plan_of(df)) or staged(df, at))

@@ -85,12 +85,13 @@ def ambiguous(boxes: DataFrame, page_area: int = 700 * 500) -> DataFrame:
     return s.select("page_id", "n", (((F.col("n") == 1) & (F.col("conf") < 0.5)) | ((F.col("n") == 1) & (F.col("area") > 0.95 * page_area))).alias("ambiguous"))
 
 
-def background_type(px: DataFrame, patch: int = 20) -> DataFrame:
+def background_type(px: DataFrame, patch: int = 20, shrink: bool = True) -> DataFrame:
     """(figure_id, corner_mean, background, h, w): black, white or the nearer of them, from the corner patches' luma.
 
-    A patch is a quarter of the figure's height and width at most; where that is below five, white is assumed.
+    Where patches ``shrink``, they are a quarter of the figure's height and width at most, and white is assumed where that is
+    below five; else they are as large in every figure and may meet in a small one.
     """
-    p = with_shape(px).withColumn("patch", F.least(F.lit(patch), F.floor(F.col("h") / 4), F.floor(F.col("w") / 4)))
+    p = with_shape(px).withColumn("patch", F.least(F.lit(patch), F.floor(F.col("h") / 4), F.floor(F.col("w") / 4)) if shrink else F.lit(patch))
     corner = ((F.col("y") < F.col("patch")) | (F.col("y") >= F.col("h") - F.col("patch"))) & ((F.col("x") < F.col("patch")) | (F.col("x") >= F.col("w") - F.col("patch")))
     luma = F.when(corner, colors.gray(F.col("r"), F.col("g"), F.col("b")))
     m = p.groupBy("figure_id").agg(F.round(F.avg(luma), 6).alias("corner_mean"), F.first("patch").alias("patch"), F.first("h").alias("h"), F.first("w").alias("w"))

@@ -461,5 +461,15 @@ def test_equals_sql(spark, name):
     assert got == sorted(tuple(show(r[i]) for i in at) for r in out.fetchall()) and got
 
 
+def test_background_of_a_last_figure_with_few_rows_equals_sql(spark, tmp_path):
+    made = spark.sql("select id as vec_id, cast(id % 5 as int) label, transform(sequence(1, 64), k -> cast((id * k) % 7 - 3 as float)) embedding from range(0, 80, 1, 1)")
+    made.write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    sql = {r[0]: r[1:] for r in con.sql(f"select figure_id, corner_mean, background from ({ORACLE_SQL['panel_background_type']})").fetchall()}
+    got = {r.figure_id: (r.corner_mean, r.background) for r in QUERIES["panel_background_type"](spark, str(tmp_path)).collect()}
+    assert set(got) == {0, 64} and {k: (round(m, 5), b) for k, (m, b) in got.items()} == {k: (round(m, 5), b) for k, (m, b) in sql.items()}
+
+
 def test_nothing_imports_the_training_data_operators():
     assert not any(getattr(m, "__name__", "").startswith("strataframe.llm") for m in vars(sys.modules["strataframe.operators.detection"]).values())

@@ -412,16 +412,20 @@ def remove_small(lb: DataFrame, share: float = 0.001, least: int = 50) -> DataFr
     return lb.select("figure_id", "y", "x", "lbl").transform(per_figure, run, "y int, x int, lbl int")
 
 
+def blurred(y: np.ndarray, x: np.ndarray, lbl: np.ndarray, sigma: float) -> np.ndarray:
+    """One figure's labels, see ``label_blur``."""
+    grid = np.zeros((y.max() + 1, x.max() + 1), int)
+    grid[y, x] = lbl
+    ids = np.unique(lbl)
+    return ids[np.stack([kernels.gaussian((grid == k).astype(float), sigma) for k in ids]).argmax(0)][y, x]
+
+
 def label_blur(lb: DataFrame, sigma: float = 15.0) -> DataFrame:
     """Each pixel's label of the largest blurred indicator, the lowest of equals."""
 
     def run(t: pa.Table) -> pa.Table:
         y, x, lbl = (t.column(c).to_numpy().astype(int) for c in ("y", "x", "lbl"))
-        grid = np.zeros((y.max() + 1, x.max() + 1), int)
-        grid[y, x] = lbl
-        ids = np.unique(lbl)
-        out = ids[np.stack([kernels.gaussian((grid == k).astype(float), sigma) for k in ids]).argmax(0)]
-        return pa.table({"y": pa.array(y, pa.int32()), "x": pa.array(x, pa.int32()), "lbl": pa.array(out[y, x], pa.int32())})
+        return pa.table({"y": pa.array(y, pa.int32()), "x": pa.array(x, pa.int32()), "lbl": pa.array(blurred(y, x, lbl, sigma), pa.int32())})
 
     return lb.select("figure_id", "y", "x", "lbl").transform(per_figure, run, "y int, x int, lbl int")
 

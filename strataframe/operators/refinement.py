@@ -1,7 +1,13 @@
-"""Refinement of a label map: smooth curves through the boundaries of neighbouring layers, behind gates."""
+"""Refinement of a label map: smooth curves through the boundaries of neighbouring layers, behind gates.
+
+Each step is a relation of its own; ``refine`` takes a figure through all of them in one grouped map, so that
+pixels are read once and nothing is written between.
+"""
 
 from __future__ import annotations
 
+from decimal import ROUND_HALF_UP, Decimal
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -9,7 +15,6 @@ from pyspark.sql import functions as F
 
 from strataframe.functions import curves, kernels
 from strataframe.operators import engines
-from strataframe.operators.features import beside
 from strataframe.operators.horizon import median_of
 from strataframe.sources.stages import staged
 
@@ -38,6 +43,30 @@ def contacts(lb: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.join(n, PAIR, "left").withColumn("contact", F.coalesce("contact", F.lit(0)))
 
 
+def filled_grid(y: np.ndarray, x: np.ndarray, lbl: np.ndarray, hole: int = -1) -> np.ndarray:
+    grid = np.full((y.max() + 1, x.max() + 1), hole)
+    grid[y, x] = lbl
+    return grid
+
+
+def crossing_points(grid: np.ndarray, pairs: list[tuple[int, int, int]], sigma: float = 5.0) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(ord, columns, rows) of one figure's pairs (ord, top, bottom), see ``crossings``."""
+    out = []
+    for ord_, top, bottom in pairs:
+        v = kernels.gaussian((grid == top).astype(float) - (grid == bottom), sigma)
+        both = (v > 0).any(0) & (v < 0).any(0)
+        down = (v[:-1] > 0) & (v[1:] <= 0)
+        cols = np.flatnonzero(both)
+        at = down.argmax(0)[cols]
+        a, b = v[at, cols], v[np.minimum(at + 1, len(v) - 1), cols]
+        step = np.where(a - b > 1e-6, a / np.where(a - b > 1e-6, a - b, 1), 0.5)
+        last = len(v) - 1 - (v[::-1] > 0).argmax(0)[cols]
+        ys = np.where(down.any(0)[cols], at + step, last)
+        if len(cols) >= 3 and np.median(np.abs(ys - np.median(ys))) <= len(v) / 10:
+            out.append((ord_, cols, ys))
+    return out
+
+
 def crossings(lb: DataFrame, pairs: DataFrame, sigma: float = 5.0) -> DataFrame:
     """(figure_id, ord, x, yb): where a column first goes from the upper layer to the lower one.
 
@@ -48,23 +77,10 @@ def crossings(lb: DataFrame, pairs: DataFrame, sigma: float = 5.0) -> DataFrame:
 
     def run(t: pa.Table, own: pa.Table) -> pa.Table:
         out, ids = [], t.column("figure_id")
-        y, x, lbl = (t.column(c).to_numpy().astype(int) for c in ("y", "x", "lbl"))
         if t.num_rows and own.num_rows:
-            grid = np.full((y.max() + 1, x.max() + 1), -1)
-            grid[y, x] = lbl
-        for ord_, top, bottom in sorted(zip(*(own.column(c).to_pylist() for c in ("ord", "top", "bottom")), strict=True)) if t.num_rows else ():
-            v = kernels.gaussian((grid == top).astype(float) - (grid == bottom), sigma)
-            both = (v > 0).any(0) & (v < 0).any(0)
-            down = (v[:-1] > 0) & (v[1:] <= 0)
-            cols = np.flatnonzero(both)
-            at = down.argmax(0)[cols]
-            a, b = v[at, cols], v[np.minimum(at + 1, len(v) - 1), cols]
-            step = np.where(a - b > 1e-6, a / np.where(a - b > 1e-6, a - b, 1), 0.5)
-            last = len(v) - 1 - (v[::-1] > 0).argmax(0)[cols]
-            ys = np.where(down.any(0)[cols], at + step, last)
-            if len(cols) >= 3 and np.median(np.abs(ys - np.median(ys))) <= len(v) / 10:
-                out.append((np.full(len(cols), ord_), cols, ys))
-        ord_, cols, ys = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+            y, x, lbl = (t.column(c).to_numpy().astype(int) for c in ("y", "x", "lbl"))
+            out = crossing_points(filled_grid(y, x, lbl), sorted(zip(*(own.column(c).to_pylist() for c in ("ord", "top", "bottom")), strict=True)), sigma)
+        ord_, cols, ys = (np.concatenate(c) for c in zip(*((np.full(len(c), k), c, v) for k, c, v in out), strict=True)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
         held = pa.repeat(ids[0], len(ord_)) if len(ord_) else pa.array([], ids.type)
         return pa.table({"figure_id": held, "ord": pa.array(ord_, pa.int32()), "x": pa.array(cols, pa.int32()), "yb": pa.array(ys, pa.float64())})
 
@@ -122,6 +138,34 @@ def zones(lb: DataFrame, pairs: DataFrame, reach: int = 5) -> DataFrame:
     return edge.withColumn("s", F.explode(steps)).select(*PAIR, (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x")).distinct()
 
 
+def sides(y: np.ndarray, x: np.ndarray, lbl: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pixels, by their places in the arrays, and the next ones of their row or column where the label differs."""
+    near = []
+    for line, at in ((y, x), (x, y)):
+        order = np.lexsort((at, line))
+        one, two = order[:-1], order[1:]
+        cut = (line[one] == line[two]) & (lbl[one] != lbl[two])
+        near.append((one[cut], two[cut]))
+    one, two = (np.concatenate(s) for s in zip(*near, strict=True))
+    return one, two
+
+
+def moved_labels(y: np.ndarray, x: np.ndarray, was: np.ndarray, touching_: tuple[np.ndarray, np.ndarray], lines: list[tuple], reach: int = 5) -> np.ndarray:
+    """One figure's labels after its lines (top, bottom, columns, rows) from the upper one to the lower, see ``adjusted``."""
+    lbl = was.copy()
+    one, two = touching_
+    for upper, lower, col, yb in lines:
+        cut = np.full(x.max() + 1, np.nan)
+        cut[col] = np.clip(np.rint(yb), 0, y.max())
+        meet = ((was[one] == upper) & (was[two] == lower)) | ((was[one] == lower) & (was[two] == upper))
+        edge = np.zeros((y.max() + 1, x.max() + 1), bool)
+        edge[y[one[meet]], x[one[meet]]] = edge[y[two[meet]], x[two[meet]]] = True
+        zone = kernels.dilate(edge, reach)
+        at = np.flatnonzero(zone[y, x] & ~np.isnan(cut[x]) & ((lbl == upper) | (lbl == lower)))
+        lbl[at] = np.where(y[at] <= cut[x[at]], upper, lower)
+    return lbl
+
+
 def adjusted(lb: DataFrame, pairs: DataFrame, curve: DataFrame, places: DataFrame, reach: int = 5) -> DataFrame:
     """The label map in which zones follow their curves, from the upper boundary to the lower one; all else stays.
 
@@ -132,49 +176,28 @@ def adjusted(lb: DataFrame, pairs: DataFrame, curve: DataFrame, places: DataFram
         if not t.num_rows or not facts.num_rows:
             return t
         y, x, was = (t.column(c).to_numpy().astype(int) for c in ("y", "x", "lbl"))
-        lbl = was.copy()
-        beside_ = []
-        for line, at in ((y, x), (x, y)):
-            order = np.lexsort((at, line))
-            one, two = order[:-1], order[1:]
-            near = (line[one] == line[two]) & (was[one] != was[two])
-            beside_.append((one[near], two[near]))
-        one, two = (np.concatenate(s) for s in zip(*beside_, strict=True))
         place, top, bottom, col, yb = (facts.column(c).to_numpy() for c in ("place", "top", "bottom", "x", "yb"))
-        for k in np.unique(place):
-            own = (place == k) & (col <= x.max())
-            if not own.any():
-                continue
-            upper, lower = top[own][0], bottom[own][0]
-            cut = np.full(x.max() + 1, np.nan)
-            cut[col[own]] = np.clip(np.rint(yb[own]), 0, y.max())
-            meet = ((was[one] == upper) & (was[two] == lower)) | ((was[one] == lower) & (was[two] == upper))
-            edge = np.zeros((y.max() + 1, x.max() + 1), bool)
-            edge[y[one[meet]], x[one[meet]]] = edge[y[two[meet]], x[two[meet]]] = True
-            wide = np.pad(edge, reach)
-            zone = edge.copy()
-            for dy in range(-reach, reach + 1):
-                for dx in range(abs(dy) - reach, reach - abs(dy) + 1):
-                    zone |= wide[reach + dy : reach + dy + edge.shape[0], reach + dx : reach + dx + edge.shape[1]]
-            at = np.flatnonzero(zone[y, x] & ~np.isnan(cut[x]) & ((lbl == upper) | (lbl == lower)))
-            lbl[at] = np.where(y[at] <= cut[x[at]], upper, lower)
-        return t.set_column(t.schema.get_field_index("lbl"), "lbl", pa.array(lbl, pa.int32()))
+        lines = [(top[own][0], bottom[own][0], col[own], yb[own]) for k in np.unique(place) if (own := (place == k) & (col <= x.max())).any()]
+        return t.set_column(t.schema.get_field_index("lbl"), "lbl", pa.array(moved_labels(y, x, was, sides(y, x, was), lines, reach), pa.int32()))
 
     p = lb.select("figure_id", "y", "x", F.col("lbl").cast("int").alias("lbl"))
     facts = curve.join(pairs, PAIR).join(places.select(*PAIR, "place"), PAIR).select(F.col("figure_id").alias("own"), "place", "top", "bottom", F.col("x").alias("x"), "yb")  # x of its own: the curve's may be the pixels'
     return p.groupBy("figure_id").cogroup(facts.groupBy("own")).applyInArrow(run, p.schema)
 
 
+def small_parts(y: np.ndarray, x: np.ndarray, lbl: np.ndarray) -> int:
+    """Pixels in small parts of labels with several, see ``engines.fragmentation``."""
+    hole = int(lbl.min()) - 1
+    k, area = kernels.regions(filled_grid(y, x, lbl, hole))
+    k, area = k[k != hole], area[k != hole]
+    _, which, n = np.unique(k, return_inverse=True, return_counts=True)
+    return int(area[(n[which] > 1) & (area < max(50, len(y) // 1000))].sum())
+
+
 def gates(before: DataFrame, after: DataFrame) -> DataFrame:
     """(figure_id, changed, layers_before, layers_after, frag_before, frag_after) of two label maps, whose pixels of a figure meet in one grouped map."""
     names = ["pixels", "changed", "layers_before", "layers_after", *(f"{n}_{of}" for of in ("before", "after") for n in ("small", "all"))]
 
-    def small(y: np.ndarray, x: np.ndarray, lbl: np.ndarray) -> int:
-        """Pixels in small parts of labels with several, see ``engines.fragmentation``."""
-        k, _, _, _, area = engines.labelled_parts(y, x, lbl)
-        _, which, n = np.unique(k, return_inverse=True, return_counts=True)
-        return int(area[(n[which] > 1) & (area < max(50, len(y) // 1000))].sum())
-
     def run(b: pa.Table, a: pa.Table) -> pa.Table:
         rows, ids = [], b.column("figure_id")
         if b.num_rows and a.num_rows:
@@ -183,7 +206,7 @@ def gates(before: DataFrame, after: DataFrame) -> DataFrame:
             _, i, j = np.intersect1d(by * wide + bx, ay * wide + ax, assume_unique=True, return_indices=True)
             was, new = bl[i], al[j]
             if len(i):
-                rows = [(len(i), int((was != new).sum()), len(np.unique(was[was != 0])), len(np.unique(new[new >= 0])), small(by, bx, bl), len(by), small(ay, ax, al), len(ay))]
+                rows = [(len(i), int((was != new).sum()), len(np.unique(was[was != 0])), len(np.unique(new[new >= 0])), small_parts(by, bx, bl), len(by), small_parts(ay, ax, al), len(ay))]
         return pa.table({"figure_id": ids[: len(rows)], **{n: pa.array([r[k] for r in rows], pa.int64()) for k, n in enumerate(names)}})
 
     of = lambda df, name: df.select(F.col("figure_id").alias(name), "y", "x", "lbl").groupBy(name)
@@ -192,14 +215,47 @@ def gates(before: DataFrame, after: DataFrame) -> DataFrame:
     return s.select("figure_id", (F.col("changed") / F.col("pixels")).alias("changed"), "layers_before", "layers_after", *[F.round(F.col(f"small_{of}") / F.col(f"all_{of}"), 5).alias(f"frag_{of}") for of in ("before", "after")])
 
 
-#: Pixels of one task at most, on the mean.
-PIXELS_A_TASK = 2_000_000
-
-
-def dealt(lb: DataFrame) -> DataFrame:
-    """A staged label map dealt by figure once, so that windows, joins and grouped maps of figures need no shuffle of their own."""
-    least = int(lb.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return lb.repartition(max(least, -(-lb.count() // PIXELS_A_TASK)), "figure_id")
+def every_column_of(cols: np.ndarray, yb: np.ndarray, height: int, width: int, half: int = 5) -> np.ndarray:
+    """One curve's value in each of ``width`` columns, see ``every_column``."""
+    known = np.full(width + 2 * half, np.nan)
+    known[cols + half] = yb
+    known[:half], known[width + half :] = known[half], known[width + half - 1]
+    near = np.sort(np.lib.stride_tricks.sliding_window_view(known, 2 * half + 1), axis=1)
+    n = (~np.isnan(near)).sum(1)
+    at, none = np.arange(width), n == 0
+    middle = (near[at, np.maximum(n - 1, 0) // 2] + near[at, n // 2]) / 2.0
+    return np.where(none, float(height // 2), middle)
+
+
+def refined_figure(y: np.ndarray, x: np.ndarray, lbl: np.ndarray, method: str, smoothness: float) -> tuple[np.ndarray, str, int, str | None]:
+    """(labels, strategy, boundaries, reason) of one figure, see ``refine``; the labels are the given ones where there is a reason."""
+    height, width, total = int(y.max()) + 1, int(x.max()) + 1, len(lbl)
+    layers = sorted((float(np.median(y[lbl == k])), int(k)) for k in np.unique(lbl[lbl > 0]))
+    pairs = [(k, a, b) for k, ((_, a), (_, b)) in enumerate(zip(layers, layers[1:], strict=False))]
+    if not pairs:
+        return lbl, "none", 0, "one_layer"
+    one, two = sides(y, x, lbl)
+    meet = set(zip(lbl[one].tolist(), lbl[two].tolist(), strict=True))
+    blur = any((a, b) not in meet and (b, a) not in meet for _, a, b in pairs)
+    if blur:
+        new, n = engines.blurred(y, x, lbl, 15.0), 0
+    else:
+        found = crossing_points(filled_grid(y, x, lbl), pairs)
+        if not found:
+            return lbl, "fit", 0, "no_boundary"
+        smooth = curves.fit_all([(cols, ys) for _, cols, ys in found], method, smoothness)
+        lines = [every_column_of(cols, ys, height, width) for (_, cols, _), ys in zip(found, smooth, strict=True)]
+        down = sorted((float(np.median(line)), ord_, line) for (ord_, _, _), line in zip(found, lines, strict=True))
+        n = len(down)
+        if any(b[0] - a[0] < max(3, height // 100) for a, b in zip(down, down[1:], strict=False)):
+            return lbl, "fit", n, "too_close"
+        new = moved_labels(y, x, lbl, (one, two), [(*pairs[ord_][1:], np.arange(width), line) for _, ord_, line in down])
+    share = lambda v: Decimal(repr(small_parts(y, x, v) / total)).quantize(Decimal("0.00001"), ROUND_HALF_UP)
+    before, after = float(share(lbl)), float(share(new))
+    lost = len(np.unique(new[new >= 0])) < len(np.unique(lbl[lbl != 0])) - 1
+    cases = [("fragmentation", after > before * 1.5), ("layers_lost", lost)] if blur else [("changed", int((new != lbl).sum()) / total > 0.15), ("layers_lost", lost), ("fragmentation", after > before * 1.2)]
+    why = next((name for name, holds in cases if holds), None)
+    return (new if why is None else lbl), "blur" if blur else "fit", n, why
 
 
 def refine(lb: DataFrame, method: str = "savgol", smoothness: float = 1.0) -> tuple[DataFrame, DataFrame]:
@@ -210,38 +266,23 @@ def refine(lb: DataFrame, method: str = "savgol", smoothness: float = 1.0) -> tu
     layers, no boundary is coherent or two come together; where more than 15 % of pixels would
     change, more than one layer be lost, or fragmentation grow by a fifth (by half if blurred).
     Decisions: figure_id, strategy (none, blur, fit), boundaries, accepted, reason.
+
+    A figure is one group, taken through the steps above in memory: its pixels are dealt by figure unless they
+    are already, and sorted by it. Both relations run the map for themselves, so that who reads
+    both of a costly label map stages it first.
     """
-    lb = staged(lb.select("figure_id", "y", "x", F.col("lbl").cast("int").alias("lbl")), "refine-labels").transform(dealt)
-    size = lb.groupBy("figure_id").agg((F.max("y") + 1).alias("rows"), (F.max("x") + 1).alias("cols"))
-    known = staged(contacts(lb, neighbour_pairs(lb)), "refine-pairs")
-    pairs = known.drop("contact")
-    plan = staged(known.groupBy("figure_id").agg(F.when(F.min("contact") == 0, "blur").otherwise("fit").alias("strategy")), "refine-plan")
-    of = lambda df, strategy: beside(df, plan.where(F.col("strategy") == strategy), "left_semi")
-
-    blurred = staged(engines.label_blur(of(lb, "blur"), 15.0), "refine-blurred")
-    g = gates(of(lb, "blur"), blurred)
-    why = F.when(F.col("frag_after") > F.col("frag_before") * 1.5, "fragmentation").when(F.col("layers_after") < F.col("layers_before") - 1, "layers_lost")
-    blur_said = g.select("figure_id", F.lit(0).cast("long").alias("boundaries"), why.alias("reason"))
-
-    fit_pairs = of(pairs, "fit")
-    curve = staged(every_column(fitted(crossings(of(lb, "fit"), fit_pairs), method, smoothness), size), "refine-curves")
-    places = staged(separated(curve, size), "refine-places")
-    n = places.groupBy("figure_id").agg(F.count(F.lit(1)).alias("boundaries"), F.min("ok").alias("ok"))
-    ready = n.where("ok")
-    base = beside(lb, ready, "left_semi")
-    moved = staged(adjusted(base, fit_pairs, curve, places), "refine-moved")
-    g = gates(base, moved)
-    why = F.when(F.col("changed") > 0.15, "changed").when(F.col("layers_after") < F.col("layers_before") - 1, "layers_lost").when(F.col("frag_after") > F.col("frag_before") * 1.2, "fragmentation")
-    fit_said = of(plan, "fit").select("figure_id").join(n, "figure_id", "left").join(g.select("figure_id", why.alias("why")), "figure_id", "left")
-    fit_said = fit_said.select("figure_id", F.coalesce("boundaries", F.lit(0)).alias("boundaries"), F.when(F.col("boundaries").isNull(), "no_boundary").when(~F.col("ok"), "too_close").otherwise(F.col("why")).alias("reason"))
-
-    said = plan.join(blur_said.unionByName(fit_said), "figure_id")
-    said = size.select("figure_id").join(said, "figure_id", "left")
-    said = said.select("figure_id", F.coalesce("strategy", F.lit("none")).alias("strategy"), F.coalesce("boundaries", F.lit(0)).alias("boundaries"), (F.col("strategy").isNotNull() & F.col("reason").isNull()).alias("accepted"), F.when(F.col("strategy").isNull(), "one_layer").otherwise(F.col("reason")).alias("reason"))
-    said = staged(said, "refine-decisions")
-    taken = said.where("accepted").select("figure_id")
-    new = blurred.select("figure_id", "y", "x", "lbl").unionByName(moved).transform(beside, taken, "left_semi")
-    return new.unionByName(beside(lb, taken, "left_anti")), said
+    arrays = lambda t: [t.column(c).to_numpy().astype(int) for c in ("y", "x", "lbl")]
+
+    def labels_of(t: pa.Table) -> pa.Table:
+        y, x, lbl = arrays(t)
+        return t.select(["y", "x"]).append_column("lbl", pa.array(refined_figure(y, x, lbl, method, smoothness)[0], pa.int32()))
+
+    def said_of(t: pa.Table) -> pa.Table:
+        _, strategy, n, reason = refined_figure(*arrays(t), method, smoothness)
+        return pa.table({"strategy": [strategy], "boundaries": pa.array([n], pa.int64()), "accepted": [reason is None], "reason": pa.array([reason], pa.string())})
+
+    p = lb.select("figure_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.col("lbl").cast("int").alias("lbl"))
+    return p.transform(engines.per_figure, labels_of, "y int, x int, lbl int"), p.transform(engines.per_figure, said_of, "strategy string, boundaries long, accepted boolean, reason string")
 
 
 def coarse(px: DataFrame, n_layers: int, sigma: float = 2.0, factor: int = 4) -> DataFrame:

@@ -1,7 +1,9 @@
 """Pixels of the sheets are spread over tasks, and never taken for a table that is small enough to broadcast."""
 
+import numpy as np
 import pytest
 
+from strataframe.functions import curves, kernels
 from strataframe.operators import detection, engines, features, overlays, refinement, shapes, workflow
 from strataframe.plans import queries
 from strataframe.sources import tables
@@ -129,3 +131,42 @@ def after_broadcasts(plan: str) -> list[str]:
     """What is sent to all tasks, as two lines below each broadcast: a line of row or column numbers."""
     lines = plan.splitlines()
     return ["".join(lines[k + 1 : k + 3]) for k, line in enumerate(lines) if "BroadcastExchange" in line]
+
+
+def test_refinement_takes_a_figure_through_one_map(spark, sf_dir, monkeypatch):
+    def none(*_):
+        raise AssertionError("refine writes nothing between its steps")
+
+    monkeypatch.setattr(refinement, "staged", none)
+    lb = queries.bands(spark, sf_dir)
+    for df in refinement.refine(lb, "quintic", 1e-4):
+        plan = plan_of(df)
+        assert plan.count("FileScan parquet") == plan.count("Exchange hashpartitioning") == plan.count("FlatMapGroupsInArrow") == 1  # the suppliers, and no pixels
+
+
+def test_refinement_is_what_its_steps_give(spark, sf_dir):
+    lb = queries.bands(spark, sf_dir).where("figure_id < 3").localCheckpoint()
+    pairs, size = refinement.neighbour_pairs(lb), queries.sheet_size(lb)
+    curve = refinement.every_column(refinement.fitted(refinement.crossings(lb, pairs), "bspline", 0.3), size)
+    moved = refinement.adjusted(lb, pairs, curve, refinement.separated(curve, size))
+    got, said = refinement.refine(lb, "bspline", 0.3)
+    assert {(r.strategy, r.boundaries, r.accepted, r.reason) for r in said.collect()} == {("fit", 3, True, None)}
+    rows = lambda df: {(r.figure_id, r.y, r.x): r.lbl for r in df.collect()}
+    assert rows(got) == rows(moved) != rows(lb)
+
+
+def test_curves_fitted_together_are_those_fitted_alone():
+    rng = np.random.default_rng(3)
+    series = [(np.sort(rng.choice(90, n, replace=False)), 5 * rng.normal(size=n).cumsum()) for n in (60, 60, 41, 3)]
+    for method, smoothness in (("bspline", 0.3), ("knot_constrained", 0.01), ("quintic", 1e-4)):
+        for one, (x, y) in zip(curves.fit_all(series, method, smoothness), series, strict=True):
+            assert (one == curves.fit(x, y, method, smoothness)).all()
+
+
+def test_regions_of_all_labels_are_each_labels_components():
+    rng = np.random.default_rng(4)
+    for shape in ((1, 1), (1, 9), (9, 1), (17, 23)):
+        grid = rng.integers(0, 3, shape)
+        label, area = kernels.regions(grid)
+        expected = sorted((int(k), int(n)) for k in np.unique(grid) for n in np.bincount(kernels.components(grid == k)[0].ravel())[1:])
+        assert sorted(zip(label.tolist(), area.tolist(), strict=True)) == expected

@@ -23,6 +23,24 @@ def per_figure(df: DataFrame, run: Callable[[pa.Table], pa.Table], columns: str)
     return df.groupBy("figure_id").applyInArrow(with_id, f"figure_id {df.schema['figure_id'].dataType.simpleString()}, {columns}")
 
 
+def per_gathered(df: DataFrame, run: Callable[[pa.Table, pa.Table], pa.Table], columns: str, values: tuple[str, ...], facts: tuple[str, ...] = ()) -> DataFrame:
+    """``per_figure`` over one row a figure, which reaches Python several times as fast as a row a pixel.
+
+    ``run`` gets the table of a figure's pixels (y, x and the int columns ``values``, in no order) and its row of
+    ``facts``, columns that are equal in all of its pixels. A task that has a figure's pixels gathers them without a sort.
+    """
+    place = F.shiftleft(F.col("y").cast("long"), 32) + F.col("x").cast("long")
+    lists = [F.collect_list(F.coalesce(F.col(c).cast("int"), F.lit(0))).alias(f"all_{c}") for c in values]
+    g = df.groupBy("figure_id").agg(F.collect_list(place).alias("places"), *lists, *[F.first(c).alias(c) for c in facts])
+
+    def unpacked(t: pa.Table) -> pa.Table:
+        flat = lambda c: t.column(c).combine_chunks().flatten().to_numpy()
+        at = flat("places")
+        return run(pa.table({"y": at >> 32, "x": at & 0xFFFFFFFF, **{c: flat(f"all_{c}") for c in values}}), t.select(list(facts)))
+
+    return per_figure(g, unpacked, columns)
+
+
 def panel(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     y, x = t.column("y").to_numpy().astype(int), t.column("x").to_numpy().astype(int)
     rgb = np.zeros((y.max() + 1, x.max() + 1, 3))

@@ -267,22 +267,22 @@ def refine(lb: DataFrame, method: str = "savgol", smoothness: float = 1.0) -> tu
     change, more than one layer be lost, or fragmentation grow by a fifth (by half if blurred).
     Decisions: figure_id, strategy (none, blur, fit), boundaries, accepted, reason.
 
-    A figure is one group, taken through the steps above in memory: its pixels are dealt by figure unless they
-    are already, and sorted by it. Both relations run the map for themselves, so that who reads
+    A figure is one row of its pixels, taken through the steps above in memory; they are dealt by figure unless they
+    are already. Both relations run the map for themselves, so that who reads
     both of a costly label map stages it first.
     """
     arrays = lambda t: [t.column(c).to_numpy().astype(int) for c in ("y", "x", "lbl")]
 
-    def labels_of(t: pa.Table) -> pa.Table:
+    def labels_of(t: pa.Table, _: pa.Table) -> pa.Table:
         y, x, lbl = arrays(t)
-        return t.select(["y", "x"]).append_column("lbl", pa.array(refined_figure(y, x, lbl, method, smoothness)[0], pa.int32()))
+        new, *_ = refined_figure(y, x, lbl, method, smoothness)
+        return pa.table({n: pa.array(v, pa.int32()) for n, v in (("y", y), ("x", x), ("lbl", new))})
 
-    def said_of(t: pa.Table) -> pa.Table:
+    def said_of(t: pa.Table, _: pa.Table) -> pa.Table:
         _, strategy, n, reason = refined_figure(*arrays(t), method, smoothness)
         return pa.table({"strategy": [strategy], "boundaries": pa.array([n], pa.int64()), "accepted": [reason is None], "reason": pa.array([reason], pa.string())})
 
-    p = lb.select("figure_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.col("lbl").cast("int").alias("lbl"))
-    return p.transform(engines.per_figure, labels_of, "y int, x int, lbl int"), p.transform(engines.per_figure, said_of, "strategy string, boundaries long, accepted boolean, reason string")
+    return engines.per_gathered(lb, labels_of, "y int, x int, lbl int", ("lbl",)), engines.per_gathered(lb, said_of, "strategy string, boundaries long, accepted boolean, reason string", ("lbl",))
 
 
 def coarse(px: DataFrame, n_layers: int, sigma: float = 2.0, factor: int = 4) -> DataFrame:

@@ -142,6 +142,7 @@ def test_refinement_takes_a_figure_through_one_map(spark, sf_dir, monkeypatch):
     for df in refinement.refine(lb, "quintic", 1e-4):
         plan = plan_of(df)
         assert plan.count("FileScan parquet") == plan.count("Exchange hashpartitioning") == plan.count("FlatMapGroupsInArrow") == 1  # the suppliers, and no pixels
+        assert plan.index("Sort ") < plan.index("collect_list") and "Sort " not in plan[plan.index("collect_list") :]  # rows of figures, and no pixels
 
 
 def test_refinement_is_what_its_steps_give(spark, sf_dir):

@@ -49,13 +49,13 @@ def most_area(rows: Column, cols: Column) -> Column:
 def blocks(m: DataFrame, eight: bool = True) -> DataFrame:
     """(figure_id, y, x, part): the connected block of each content pixel, numbered in raster order."""
 
-    def run(t: pa.Table) -> pa.Table:
+    def run(t: pa.Table, _: pa.Table) -> pa.Table:
         y, x = (t.column(c).to_numpy().astype(int) for c in "yx")
         on = np.zeros((y.max() + 1, x.max() + 1), bool)
         on[y, x] = True
         return pa.table({"y": pa.array(y, pa.int32()), "x": pa.array(x, pa.int32()), "part": pa.array(kernels.components(on, eight)[0][y, x], pa.int32())})
 
-    return m.where("on").select("figure_id", "y", "x").transform(engines.per_figure, run, "y int, x int, part int")
+    return engines.per_gathered(m.where("on"), run, "y int, x int, part int", ())
 
 
 def block_boxes(blocked: DataFrame) -> DataFrame:

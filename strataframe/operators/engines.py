@@ -354,8 +354,63 @@ def segment(px: DataFrame, engine: Engine) -> DataFrame:
 
 def segment_by(px: DataFrame) -> DataFrame:
     """Labels of each figure by the engine in its column ``engine``; ``failed`` where the baseline fails too."""
-    run = lambda t: labelled(t, t.column("engine")[0].as_py())
-    return px.select("figure_id", "y", "x", "r", "g", "b", "engine").transform(per_figure, run, "y int, x int, lbl int, error string, failed boolean")
+    run = lambda t, facts: labelled(t, facts.column("engine")[0].as_py())
+    return per_gathered(px, run, "y int, x int, lbl int, error string, failed boolean", ("r", "g", "b"), ("engine",))
+
+
+def neighbours(line: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each pixel the places of the ones before and after it on its line, -1 where there is none."""
+    order = np.argsort(line * (at.max() + 1) + at, kind="stable")
+    one, two = order[:-1], order[1:]
+    same = line[one] == line[two]
+    before, after = np.full(len(line), -1), np.full(len(line), -1)
+    before[two[same]], after[one[same]] = one[same], two[same]
+    return before, after
+
+
+def means(y: np.ndarray, x: np.ndarray, rgb: list[np.ndarray]) -> dict[str, float | int | None]:
+    """One figure's means over pixels that ``features.features_of`` takes, and ``grid``, the sum that ``features.panel_hash`` takes."""
+    r, g, b = rgb
+    h, w = int(y.max()) + 1, int(x.max()) + 1
+    v = (r * 0.2125 + g * 0.7154 + b * 0.0721) / 255.0
+    row, col = neighbours(y, x), neighbours(x, y)
+    side = lambda c, at: np.where(at < 0, c, c[at])
+    left, right = (side(v, at) for at in row)
+    sx, dx = (left + 2 * v + right) / 4.0, left - right
+    (up_sx, dn_sx), (up_dx, dn_dx), (up, down) = ([side(c, at) for at in col] for c in (sx, dx, v))
+    hh, vv = up_sx - dn_sx, (up_dx + 2 * dx + dn_dx) / 4.0
+    edge = np.sqrt((hh * hh + vv * vv) / 2.0)
+
+    def central(at: tuple[np.ndarray, np.ndarray], a: np.ndarray, c: np.ndarray) -> np.ndarray:
+        none = np.where((at[0] < 0) & (at[1] < 0), np.nan, c - v)
+        return np.where(at[0] < 0, none, np.where(at[1] < 0, v - a, (c - a) / 2.0))
+
+    gx, gy = central(row, left, right), central(col, up, down)
+    m, step = np.sqrt(gx * gx + gy * gy), np.abs(v - left)[row[0] >= 0]
+    m = m[~np.isnan(m)]
+    places = lambda n: n // 4 + (3 * n // 4 - n // 4) * np.arange(4) // 3
+    on = np.isin(y, places(h)) & np.isin(x, places(w))
+    high = np.maximum(np.maximum(r, g), b) - np.minimum(np.minimum(r, g), b)
+    return {
+        "h": h, "w": w, "vivid": float((high > 80).mean()), "edges": float((edge > 0.05).mean()), "mean": float(m.mean()) if len(m) else None, "sd": float(m.std()) if len(m) else None,
+        "striped": float(((np.abs(gy) > 0.05) & (np.abs(gx) < 0.03)).mean()), "d": float(step.mean()) if len(step) else None, "grid": int((r + g + b)[on].sum()) if on.any() else None,
+    }
+
+
+def figure_means(px: DataFrame) -> DataFrame:
+    """A row a figure with its ``means``: what ``features.feature_row`` and ``features.panel_hash`` need, in one pass without windows."""
+
+    def run(t: pa.Table, _: pa.Table) -> pa.Table:
+        y, x, *rgb = (t.column(c).to_numpy().astype(np.int64) for c in ("y", "x", "r", "g", "b"))
+        whole = {"h": pa.int32(), "w": pa.int32(), "grid": pa.int64()}
+        return pa.table({n: pa.array([v], whole.get(n, pa.float64())) for n, v in means(y, x, rgb).items()})
+
+    return per_gathered(px, run, "h int, w int, vivid double, edges double, mean double, sd double, striped double, d double, grid long", ("r", "g", "b"))
+
+
+def hashes(m: DataFrame, modulus: int = 4) -> DataFrame:
+    """``features.panel_hash`` of figures' means."""
+    return m.where("grid is not null").select("figure_id", ((F.col("grid") + 7 * F.col("h") + 13 * F.col("w")) % modulus).cast("long").alias("panel_hash"))
 
 
 def labelled_parts(y: np.ndarray, x: np.ndarray, lbl: np.ndarray, eight: bool = False) -> tuple[np.ndarray, ...]:

@@ -147,13 +147,21 @@ def feature_row(px: DataFrame) -> DataFrame:
     p = p.withColumn("m", F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")))
     share = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
     a = p.groupBy("figure_id").agg(
-        (F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"), F.round(share(colors.saturation(*rgb()) > 80), 6).alias("saturation_ratio"),
-        F.round(share(F.col("edge") > 0.05), 6).alias("edge_density"), F.avg("m").alias("mean"), F.stddev_pop("m").alias("sd"),
-        F.round(F.least(F.lit(1.0), share((F.abs("gy") > 0.05) & (F.abs("gx") < 0.03)) * 3.0), 5).alias("striation"), F.avg(F.abs(F.col("v") - F.col("l"))).alias("d"),
+        (F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"), share(colors.saturation(*rgb()) > 80).alias("vivid"),
+        share(F.col("edge") > 0.05).alias("edges"), F.avg("m").alias("mean"), F.stddev_pop("m").alias("sd"),
+        share((F.abs("gy") > 0.05) & (F.abs("gx") < 0.03)).alias("striped"), F.avg(F.abs(F.col("v") - F.col("l"))).alias("d"),
     )
+    return features_of(a)
+
+
+def features_of(a: DataFrame) -> DataFrame:
+    """A figure's features from its means over pixels: vivid, edges, mean and sd of the gradient, striped, d along rows."""
     even = F.when(F.col("mean") < 1e-9, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.col("sd") / F.col("mean") / 3.0))
     text = F.when(F.col("h") < 20, 0.0).otherwise(F.least(F.lit(1.0), F.col("d") / 0.15))
-    return a.select("figure_id", "h", "w", "saturation_ratio", "edge_density", F.round(even, 5).alias("gradient_uniformity"), "striation", F.round(text, 5).alias("text_density"))
+    return a.select(
+        "figure_id", "h", "w", F.round("vivid", 6).alias("saturation_ratio"), F.round("edges", 6).alias("edge_density"), F.round(even, 5).alias("gradient_uniformity"),
+        F.round(F.least(F.lit(1.0), F.col("striped") * 3.0), 5).alias("striation"), F.round(text, 5).alias("text_density"),
+    )
 
 
 def has_colorbar(px: DataFrame) -> DataFrame:

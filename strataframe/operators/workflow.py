@@ -85,13 +85,13 @@ def run(px: DataFrame, reviews: DataFrame | None = None, wanted: DataFrame | Non
     baseline's layers, or none with a warning; it never stops the others.
     """
     px = px.select("figure_id", "y", "x", "r", "g", "b")
-    row = staged(features.feature_row(px), "flow-rows")
+    row = staged(features.features_of(engines.figure_means(px)), "flow-rows")
     kinds = features.classify(row).select("figure_id", "figure_type")
     gate = staged(flow.gate(row.select("figure_id", "w", "h").join(kinds, "figure_id"), reviews, **limits), "flow-gate")
     ready = features.beside(px, gate.where("status = 'ready'").select("figure_id"), "left_semi")
     panels = staged(panels_of(ready), "flow-panels")
     own = staged(cropped(ready, panels), "flow-crops")
-    facts = staged(features.feature_row(own), "flow-features")
+    facts = staged(features.features_of(engines.figure_means(own)), "flow-features")
     every = keyed(panels).join(features.complexity(facts).withColumnRenamed("figure_id", "key"), "key", "left")
     target = targets_of(panels, every.select(*PANEL, "complexity"), wanted) if wanted is not None else panels.sparkSession.createDataFrame([], f"figure_id {panels.schema['figure_id'].dataType.simpleString()}, panel_id int, warning string")
     count = F.count(F.lit(1)).over(Window.partitionBy("figure_id"))
@@ -103,7 +103,8 @@ def run(px: DataFrame, reviews: DataFrame | None = None, wanted: DataFrame | Non
     todo = features.beside(own, every.where("is_target").select(F.col("key").alias("figure_id")), "left_semi")
     body = staged(without_bars(todo), "flow-bodies")
     # Pixels of a stage are few bytes on disk: unless the joins name the side to hash, they might be broadcast.
-    routed = staged(features.route(features.feature_row(body), features.panel_hash(body)), "flow-routes")
+    means = staged(engines.figure_means(body), "flow-means")
+    routed = staged(features.route(features.features_of(means), engines.hashes(means)), "flow-routes")
     first = staged(engines.segment_by(features.beside(body, routed)).transform(features.beside, routed), "flow-first")
     made = layers_found(first)
     again = features.retry_engine(routed, made).where("retry_engine is not null").select("figure_id", F.col("retry_engine").alias("engine"), F.col("engine").alias("retry_from"))

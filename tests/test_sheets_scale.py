@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from strataframe.functions import curves, kernels
 from strataframe.operators import detection, engines, features, overlays, refinement, shapes, workflow
@@ -171,3 +172,17 @@ def test_regions_of_all_labels_are_each_labels_components():
         label, area = kernels.regions(grid)
         expected = sorted((int(k), int(n)) for k in np.unique(grid) for n in np.bincount(kernels.components(grid == k)[0].ravel())[1:])
         assert sorted(zip(label.tolist(), area.tolist(), strict=True)) == expected
+
+
+def test_features_without_windows_are_those_of_the_windows(spark, sf_dir):
+    px = tables.sheets(spark, sf_dir).where("figure_id < 5").localCheckpoint()
+    holes = px.where("figure_id = 1 and (y * 31 + x * 17) % 5 > 0").withColumn("figure_id", F.lit(100).cast("long"))
+    dot = px.where("figure_id = 2 and y = 0 and x < 30").withColumn("figure_id", F.lit(101).cast("long"))
+    px = px.unionByName(holes).unionByName(dot).unionByName(dot.where("x = 0").withColumn("figure_id", F.lit(102).cast("long")))
+    means = engines.figure_means(px)
+    assert "Window" not in plan_of(means) and plan_of(means).count("collect_list") > 0
+    rows = lambda df: {r.figure_id: r[1:] for r in df.collect()}
+    got, expected = rows(features.features_of(means)), rows(features.feature_row(px))
+    assert set(got) == set(expected) == {0, 1, 2, 3, 4, 100, 101, 102}
+    assert all(a == pytest.approx(b, abs=2e-5) for k in got for a, b in zip(got[k], expected[k], strict=True))
+    assert rows(engines.hashes(means)) == rows(features.panel_hash(px))

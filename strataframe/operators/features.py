@@ -282,6 +282,8 @@ def strips(px: DataFrame) -> DataFrame:
     _, a, b = colors.lab(*rgb())
     size = F.greatest(F.lit(4), F.floor(F.least("h", "w") / 10))
     where = {"top": F.col("y") < size, "bottom": F.col("y") >= F.col("h") - size, "right": F.col("x") >= F.col("w") - size, "left": F.col("x") < size}
+    # Only the strips' pixels are taken to LAB.
+    p = p.where(where["top"] | where["bottom"] | where["right"] | where["left"])
     marked = p.select("figure_id", a.alias("a"), b.alias("bb"), F.explode(F.array_compact(F.array(*[F.when(w, F.struct(F.lit(i).alias("ord"), F.lit(n).alias("strip"))) for i, (n, w) in enumerate(where.items())]))).alias("s"))
     out = marked.groupBy("figure_id", "s.ord", "s.strip").agg(F.round(F.least(F.lit(1.0), (F.stddev_pop("a") + F.stddev_pop("bb")) / 2 / 40), 4).alias("score"))
     return out

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strataframe.functions import curves, kernels
+from strataframe.functions import curves, kernels, seeds
 from strataframe.operators import detection, engines, features, overlays, refinement, shapes, workflow
 from strataframe.plans import queries
 from strataframe.sources import tables
@@ -186,3 +186,14 @@ def test_features_without_windows_are_those_of_the_windows(spark, sf_dir):
     assert set(got) == set(expected) == {0, 1, 2, 3, 4, 100, 101, 102}
     assert all(a == pytest.approx(b, abs=2e-5) for k in got for a, b in zip(got[k], expected[k], strict=True))
     assert rows(engines.hashes(means)) == rows(features.panel_hash(px))
+
+
+def test_only_the_strips_of_colour_bars_are_taken_to_lab(spark, sf_dir):
+    plan = plan_of(features.strips(tables.sheets(spark, sf_dir)))
+    assert any(" OR " in line and ">=" in line for line in plan.splitlines() for word in ("Filter", "ShuffledHashJoin") if word in line)
+
+
+def test_colour_groups_are_running_means():
+    rgb = np.array([[[10, 10, 10], [20, 10, 10], [200, 0, 0], [12, 13, 14]]], float)
+    (first, n), (second, m) = seeds.color_groups(rgb)
+    assert (n, m) == (3, 1) and np.allclose(first, [14, 11, 34 / 3]) and second.tolist() == [200, 0, 0]
